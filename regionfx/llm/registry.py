@@ -1,11 +1,15 @@
 """Queries of this subpackage and, where SQL expresses them, their DuckDB SQL."""
 
 from regionfx.llm.packing import op8_best_fit_packing
+from regionfx.llm.quality import OP10_SQL, op10_quality_rules
+from regionfx.llm.secrets import op3_secret_scan
 from regionfx.llm.token_files import op2_token_files
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_secret_scan": op3_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_quality_rules": OP10_SQL}
