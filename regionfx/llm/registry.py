@@ -3,11 +3,13 @@
 from regionfx.llm.packing import op8_best_fit_packing
 from regionfx.llm.quality import OP10_SQL, op10_quality_rules
 from regionfx.llm.secrets import op3_secret_scan
+from regionfx.llm.simhash import op6_simhash
 from regionfx.llm.token_files import op2_token_files
 
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
+    "op6_simhash": op6_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
