@@ -1,8 +1,56 @@
-"""A corpus pipeline over the documents table (in work)."""
+"""From raw documents to packed token sequences, in four stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the runner
+writes it as Parquet and gives it to the next stage.  All but the last return
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regionfx.llm.packing import document_pieces, pack_pieces
+from regionfx.llm.personal_data import find_personal_data
+from regionfx.llm.quality import quality
+from regionfx.llm.simhash import near_duplicates
+from regionfx.llm.storage import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality rules accept."""
+    return quality(docs).where("q_kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group: the one with the smallest id; of repeated rows one stays."""
+    found = materialize(near_duplicates(docs, words_per_shingle=5), "groups")
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("n"))
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]))
+    if not kept.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(*[docs[c] for c in docs.columns])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the names of its kinds."""
+    return find_personal_data(docs, redact=True)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return pack_pieces(document_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048), capacity=2048)
+
+
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("personal data", personal_data), ("packing", packing)]
+
+#: Fingerprints, the field's segments and the packing can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

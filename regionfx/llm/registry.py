@@ -1,6 +1,7 @@
 """Queries of this subpackage and, where SQL expresses them, their DuckDB SQL."""
 
 from regionfx.llm.packing import op8_best_fit_packing
+from regionfx.llm.personal_data import op9_personal_data
 from regionfx.llm.quality import OP10_SQL, op10_quality_rules
 from regionfx.llm.secrets import op3_secret_scan
 from regionfx.llm.simhash import op6_simhash
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op6_simhash": op6_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
 }
 
