@@ -1,5 +1,6 @@
 """Queries of this subpackage and, where SQL expresses them, their DuckDB SQL."""
 
+from regionfx.llm.byte_pairs import op1_byte_pairs
 from regionfx.llm.packing import op8_best_fit_packing
 from regionfx.llm.personal_data import op9_personal_data
 from regionfx.llm.quality import OP10_SQL, op10_quality_rules
@@ -8,6 +9,7 @@ from regionfx.llm.simhash import op6_simhash
 from regionfx.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op1_byte_pairs": op1_byte_pairs,
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
     "op6_simhash": op6_simhash,

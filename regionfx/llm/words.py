@@ -162,8 +162,8 @@ class Vocabulary:
             ids = self.encode(new)
             n, at = len(self.rows), int(self.offsets[len(self.rows)])
             lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            self.values = _room(self.values, at + int(lengths.sum()))
-            self.offsets = _room(self.offsets, n + len(new) + 1)
+            self.values = room(self.values, at + int(lengths.sum()))
+            self.offsets = room(self.offsets, n + len(new) + 1)
             self.values[at : at + int(lengths.sum())] = [x for y in ids for x in y]
             self.offsets[n + 1 : n + 1 + len(new)] = at + np.cumsum(lengths)
             self.rows.update(zip(new, range(n, n + len(new)), strict=True))
@@ -183,7 +183,7 @@ class Vocabulary:
         return values, ends[last] - ends[last - counts]
 
 
-def _room(array: np.ndarray, size: int) -> np.ndarray:
+def room(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
     grown = np.zeros(max(size, 2 * len(array)), dtype=array.dtype)
