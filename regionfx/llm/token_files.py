@@ -108,17 +108,20 @@ class TokenFile:
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, ids_per_file: int = 4_000_000, folder: str | None = None) -> DataFrame:
     """Encode ``text`` and write token files in ascending doc_id order; one row per file.
 
-    The documents are range-partitioned by doc_id (ties and repeated rows: by
-    text; null doc_id first) before they are encoded, so that the sampling for
-    the ranges reads texts only, and each task writes files of about
-    ``ids_per_file`` ids (a longer document is a file of its own).  Null
+    The documents are range-partitioned by doc_id (null first; ties: by a hash
+    of the text, repeated rows in any order, so that many rows of one id are split)
+    before they are encoded; what is sampled for the ranges is those small
+    keys.  Each task writes files of about ``ids_per_file`` ids (a longer
+    document is a file of its own).  Null
     texts count as empty; an empty table gives no file.
     Columns: part, file_no, uri, n_docs, n_ids; they are written before this
     function returns.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-files")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = ordered.select("*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
 
     def write(batches):
         import pyarrow as pa
@@ -159,7 +162,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("part", "file_no").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("uri", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    spread = files.repartition("uri")
+    spread = files.repartition(max(1, manifest.count()), "uri")
 
     def read(batches):
         import pyarrow as pa
