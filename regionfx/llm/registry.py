@@ -1,5 +1,6 @@
 """Queries of this subpackage and, where SQL expresses them, their DuckDB SQL."""
 
+from regionfx.llm.archive import op5_web_archive
 from regionfx.llm.byte_pairs import op1_byte_pairs
 from regionfx.llm.packing import op8_best_fit_packing
 from regionfx.llm.personal_data import op9_personal_data
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_byte_pairs": op1_byte_pairs,
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
+    "op5_web_archive": op5_web_archive,
     "op6_simhash": op6_simhash,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_personal_data": op9_personal_data,
