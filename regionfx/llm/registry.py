@@ -2,6 +2,7 @@
 
 from regionfx.llm.archive import op5_web_archive
 from regionfx.llm.byte_pairs import op1_byte_pairs
+from regionfx.llm.licences import op7_licence_scan
 from regionfx.llm.packing import op8_best_fit_packing
 from regionfx.llm.personal_data import op9_personal_data
 from regionfx.llm.quality import OP10_SQL, op10_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_web_archive": op5_web_archive,
     "op6_simhash": op6_simhash,
+    "op7_licence_scan": op7_licence_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
