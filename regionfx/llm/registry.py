@@ -6,6 +6,7 @@ from regionfx.llm.licences import op7_licence_scan
 from regionfx.llm.packing import op8_best_fit_packing
 from regionfx.llm.personal_data import op9_personal_data
 from regionfx.llm.quality import OP10_SQL, op10_quality_rules
+from regionfx.llm.search import op4_exact_search
 from regionfx.llm.secrets import op3_secret_scan
 from regionfx.llm.simhash import op6_simhash
 from regionfx.llm.token_files import op2_token_files
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_byte_pairs": op1_byte_pairs,
     "op2_token_files": op2_token_files,
     "op3_secret_scan": op3_secret_scan,
+    "op4_exact_search": op4_exact_search,
     "op5_web_archive": op5_web_archive,
     "op6_simhash": op6_simhash,
     "op7_licence_scan": op7_licence_scan,
