@@ -1 +1,435 @@
-"""To come."""
+"""Joins, grouped summaries and neighbourhood features on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from regionfx.catalog import query, table
+from regionfx.operators import aggregates as A
+from regionfx.operators import joins as J
+from regionfx.operators import windows as W
+from regionfx.queries.basics import _NULLS, _SEQ, _nulls, _seq
+from regionfx.sources.tables import region_tensor
+
+POINTS = "(SELECT c_custkey AS id, c_nationkey AS key, c_acctbal AS pos, c_mktsegment AS cat FROM customer)"
+INTERVALS = "(SELECT s_nationkey AS key, s_acctbal - 500 AS lo, s_acctbal + 500 AS hi, s_suppkey AS ord, s_name AS kind FROM supplier)"
+FIRST = f"""(SELECT id, key, pos, cat, coalesce(kind, 'No Domain') AS annotation, lo AS a_start, hi AS a_end FROM
+(SELECT p.*, i.lo, i.hi, i.kind, row_number() OVER (PARTITION BY p.id ORDER BY i.ord) AS rn FROM {POINTS} p LEFT JOIN {INTERVALS} i ON p.key = i.key AND p.pos BETWEEN i.lo AND i.hi) WHERE rn = 1)"""
+PAIRS = "(SELECT (l_suppkey % 10)::INT AS region, (l_partkey % 20)::INT AS i, l_linenumber AS j, l_returnflag AS channel, avg(l_discount * 10) AS value FROM lineitem GROUP BY ALL)"
+CELLS = "(SELECT (l_suppkey % 10)::INT AS region, (l_partkey % 8)::INT AS i, (l_orderkey % 8)::INT AS j, avg(l_extendedprice) AS value FROM lineitem GROUP BY ALL)"
+ATOMS = "(SELECT label AS frame, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label + 1.0::DOUBLE AS mass FROM embeddings)"
+SERIES = "(SELECT event_type AS series, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS t, count(*) OVER (PARTITION BY event_type) AS n, value AS x FROM events)"
+
+
+def points(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"), F.col("c_acctbal").alias("pos"), F.col("c_mktsegment").alias("cat"))
+
+
+def intervals(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), (F.col("s_acctbal") - 500).alias("lo"), (F.col("s_acctbal") + 500).alias("hi"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("kind"))
+
+
+def annotated(spark, d):
+    return J.annotate_first_interval(points(spark, d), intervals(spark, d), "key", "pos", "lo", "hi", "kind", "ord", "id", "No Domain", bin_width=1000.0)
+
+
+def pairs(spark, d):
+    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).cast("int").alias("region"), (F.col("l_partkey") % 20).cast("int").alias("i"), F.col("l_linenumber").alias("j"), F.col("l_returnflag").alias("channel")).agg(F.avg(F.col("l_discount") * 10).alias("value"))
+
+
+def cells(spark, d):
+    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).cast("int").alias("region"), (F.col("l_partkey") % 8).cast("int").alias("i"), (F.col("l_orderkey") % 8).cast("int").alias("j")).agg(F.avg("l_extendedprice").alias("value"))
+
+
+def residues(spark, d):
+    return region_tensor(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+
+
+def atoms(spark, d):
+    e = residues(spark, d)
+    return e.select(F.col("region_id").alias("frame"), "pos", *[F.get("f", F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")], (F.col("region_id") + F.lit(1.0)).alias("mass"))
+
+
+def series(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("series"), "ts", "event_id", F.col("value").alias("x"))
+    return W.with_index(e, "series", ["ts", "event_id"]).select("series", "t", "n", "x")
+
+
+# ---- joins -----------------------------------------------------------------
+
+
+@query("j1_equi_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def j1(spark, d):
+    return J.equi_join(table(spark, d, "orders"), table(spark, d, "customer"), [("o_custkey", "c_custkey")]).select("o_orderkey", "c_name")
+
+
+@query("j2_equi_left_multi", "SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey AND l_linenumber = s_nationkey")
+def j2(spark, d):
+    return J.equi_join(table(spark, d, "lineitem"), table(spark, d, "supplier"), [("l_suppkey", "s_suppkey"), ("l_linenumber", "s_nationkey")], "left").select("l_orderkey", "l_linenumber", "s_name")
+
+
+@query("j3_annotate_chain", "SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def j3(spark, d):
+    dims = [(table(spark, d, t), [k]) for t, k in (("customer", ("o_custkey", "c_custkey")), ("nation", ("c_nationkey", "n_nationkey")), ("region", ("n_regionkey", "r_regionkey")))]
+    return J.annotate_chain(table(spark, d, "orders"), dims).select("o_orderkey", "c_name", "n_name", "r_name")
+
+
+@query("j4_join_with_status", "SELECT CASE WHEN o.k IS NULL THEN 'left_only' ELSE 'both' END AS status, count(*) AS n FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 5 = 0) o ON c_custkey = o.k GROUP BY 1")
+def j4(spark, d):
+    orders = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return J.join_with_status(table(spark, d, "customer"), orders, ["c_custkey"]).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("j5_right_only", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def j5(spark, d):
+    o, c = table(spark, d, "orders").where("o_totalprice > 300000"), table(spark, d, "customer")
+    return J.right_only(o, c, o["o_custkey"] == c["c_custkey"]).select("c_custkey")
+
+
+@query("j6_semi_reduce", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def j6(spark, d):
+    keys = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return J.semi_reduce(table(spark, d, "lineitem"), keys, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("j7_point_in_region", f"SELECT p.id, i.ord FROM {POINTS} p JOIN {INTERVALS} i ON p.key = i.key AND p.pos BETWEEN i.lo AND i.hi")
+def j7(spark, d):
+    return J.point_in_region(points(spark, d), intervals(spark, d), "key", "pos", "lo", "hi", bin_width=1000.0).select("id", "ord")
+
+
+@query("j8_annotate_first_interval", f"SELECT id, annotation, a_start, a_end FROM {FIRST}")
+def j8(spark, d):
+    return annotated(spark, d).select("id", "annotation", "a_start", "a_end")
+
+
+@query("j9_site_annotation", "SELECT c_custkey, s_suppkey FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey")
+def j9(spark, d):
+    return J.equi_join(table(spark, d, "customer"), table(spark, d, "supplier"), [("c_nationkey", "s_nationkey")], "left").select("c_custkey", "s_suppkey")
+
+
+@query("j10_latest_scores", "SELECT c_custkey, o_orderkey FROM customer JOIN (SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def j10(spark, d):
+    first = A.dedupe_first(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return J.equi_join(table(spark, d, "customer").select("c_custkey"), first, [("c_custkey", "o_custkey")]).select("c_custkey", "o_orderkey")
+
+
+@query("j11_region_property", "SELECT p_partkey, n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
+def j11(spark, d):
+    return J.equi_join(table(spark, d, "part"), table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")), [("p_partkey", "l_partkey")], "left").select("p_partkey", "n")
+
+
+@query("j12_saturation", "SELECT l_orderkey, l_linenumber, l_partkey, c AS changed FROM lineitem, (VALUES ('A'),('N'),('R'),('X')) t(c) WHERE c <> l_returnflag")
+def j12(spark, d):
+    return J.saturation(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"), "l_returnflag", list("ANRX")).drop("l_returnflag")
+
+
+@query("j13_lookup_diff", "SELECT l_orderkey, l_linenumber, l_partkey, [a.p_size - b.p_size, round(a.p_retailprice - b.p_retailprice, 6)]::DOUBLE[] AS v FROM lineitem JOIN part a ON l_partkey = a.p_partkey JOIN part b ON l_suppkey = b.p_partkey")
+def j13(spark, d):
+    from regionfx.functions.scalars import vector_diff
+
+    props = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), "p_retailprice").alias("v"))
+    both = J.equi_join(J.equi_join(table(spark, d, "lineitem"), props, [("l_partkey", "p_partkey")]), props.withColumnRenamed("v", "w"), [("l_suppkey", "p_partkey")])
+    return both.select("l_orderkey", "l_linenumber", "l_partkey", F.transform(vector_diff(F.col("v"), F.col("w")), lambda x: F.round(x, 6)).alias("v"))
+
+
+WTMUT = "(SELECT user_id, min_by(value, (ts, event_id)) AS a, max_by(value, (ts, event_id)) AS b FROM events GROUP BY 1)"
+
+
+def wtmut(spark, d):
+    key = F.struct("ts", "event_id")
+    return table(spark, d, "events").groupBy("user_id").agg(F.min_by("value", key).alias("a"), F.max_by("value", key).alias("b"))
+
+
+@query("j14_baseline_altered", f"SELECT user_id, round(b - a, 6) AS diff FROM {WTMUT}")
+def j14(spark, d):
+    return wtmut(spark, d).select("user_id", F.round(F.col("b") - F.col("a"), 6).alias("diff"))
+
+
+@query("f11_ratio", f"SELECT user_id, [round((b + 0.001) / (a + 0.001), 6)] AS v FROM {WTMUT}")
+def f11(spark, d):
+    from regionfx.functions.scalars import ratio
+
+    return wtmut(spark, d).select("user_id", F.transform(ratio(F.array("b"), F.array("a")), lambda x: F.round(x, 6)).alias("v"))
+
+
+@query("f3_interval_overlap", f"SELECT id, round(CASE WHEN a_start IS NULL THEN 0.0 ELSE greatest(least(a_end, pos + 800) - greatest(a_start, pos), 0) / least(a_end - a_start, 800) * 100 END, 6) AS pct FROM {FIRST}")
+def f3(spark, d):
+    from regionfx.functions.scalars import interval_overlap_pct
+
+    return annotated(spark, d).select("id", F.round(interval_overlap_pct(F.col("pos"), F.col("pos") + 800, F.col("a_start"), F.col("a_end")), 6).alias("pct"))
+
+
+# ---- grouped summaries -----------------------------------------------------
+
+
+@query("a1_group_mean", "SELECT l_partkey, l_returnflag, round(avg(l_discount), 9) AS l_discount, round(avg(l_tax), 9) AS l_tax FROM lineitem GROUP BY 1, 2")
+def a1(spark, d):
+    return A.group_mean(table(spark, d, "lineitem"), ["l_partkey", "l_returnflag"], ["l_discount", "l_tax"]).select("l_partkey", "l_returnflag", F.round("l_discount", 9).alias("l_discount"), F.round("l_tax", 9).alias("l_tax"))
+
+
+@query("a2_crosstab", f"SELECT status, o_orderpriority, count(*) AS n FROM {_NULLS} JOIN orders USING (o_orderkey) WHERE status IS NOT NULL GROUP BY 1, 2")
+def a2(spark, d):
+    return A.crosstab(_nulls(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey"), "status", "o_orderpriority")
+
+
+@query("a3_value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
+def a3(spark, d):
+    return A.value_counts(table(spark, d, "events"), ["event_type"], 3)
+
+
+@query("a4_dedupe_first", "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def a4(spark, d):
+    return A.dedupe_first(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("a5_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
+def a5(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n"))
+
+
+@query("a6_conflict_filter", "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE (o_custkey, o_orderpriority) NOT IN (SELECT o_custkey, o_orderpriority FROM orders GROUP BY 1, 2 HAVING min(o_orderstatus) <> max(o_orderstatus))")
+def a6(spark, d):
+    return A.conflict_filter(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderstatus").select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+@query("a7_minmax_scale", "SELECT o_orderkey, round((-o_totalprice - min(-o_totalprice) OVER ()) / (max(-o_totalprice) OVER () - min(-o_totalprice) OVER ()), 9) AS s FROM orders")
+def a7(spark, d):
+    return A.minmax_scale(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "s", negate=True).select("o_orderkey", F.round("s", 9).alias("s"))
+
+
+@query("a8_contact_frequency", "SELECT user_id, channel, round(n / f, 9) AS frequency FROM (SELECT user_id, CASE event_type WHEN 'click' THEN 'c1' WHEN 'view' THEN 'c2' END AS channel, count(*) AS n FROM events GROUP BY 1, 2) JOIN (SELECT user_id, count(DISTINCT ts::DATE) AS f FROM events GROUP BY 1) USING (user_id) WHERE channel IS NOT NULL")
+def a8(spark, d):
+    e = table(spark, d, "events")
+    frames = e.groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("n_frames"))
+    return A.contact_frequency(e, ["user_id"], "event_type", {"click": "c1", "view": "c2"}, frames, "user_id").select("user_id", "channel", F.round("frequency", 9).alias("frequency"))
+
+
+@query("a9_contact_degree", f"SELECT region, pos, channel, count(*) AS degree FROM (SELECT region, channel, i AS pos FROM {PAIRS} WHERE value > 0.4 UNION ALL SELECT region, channel, j FROM {PAIRS} WHERE value > 0.4) GROUP BY ALL")
+def a9(spark, d):
+    return A.contact_degree(pairs(spark, d))
+
+
+@query("a10_zscored_row_col", f"""WITH c AS (SELECT *, avg(value) OVER (PARTITION BY region) AS mu, stddev_pop(value) OVER (PARTITION BY region) AS sd FROM {CELLS})
+SELECT region, pos, round((r + k) / 2, 6) AS z FROM (SELECT region, i AS pos, avg((value - mu) / sd) AS r FROM c GROUP BY ALL) JOIN (SELECT region, j AS pos, avg((value - mu) / sd) AS k FROM c GROUP BY ALL) USING (region, pos)""")
+def a10(spark, d):
+    return A.zscored_row_col_mean(cells(spark, d)).select("region", "pos", F.round("z", 6).alias("z"))
+
+
+@query("a11_region_means", "SELECT label AS region_id, round(avg(embedding[3]), 6) AS rmsf, round(avg(embedding[1]), 6) AS sasa FROM embeddings GROUP BY 1")
+def a11(spark, d):
+    return residues(spark, d).groupBy("region_id").agg(F.round(F.avg(F.get("f", F.lit(2))), 6).alias("rmsf"), F.round(F.avg(F.get("f", F.lit(0))), 6).alias("sasa"))
+
+
+@query("a12_state_fractions", "SELECT user_id, round(avg((event_type = 'click')::INT), 9) AS frac_click, round(avg((event_type = 'view')::INT), 9) AS frac_view, 0.0::DOUBLE AS frac_none FROM events GROUP BY 1")
+def a12(spark, d):
+    f = A.state_fractions(table(spark, d, "events"), "user_id", "event_type", ["click", "view", "none"])
+    return f.select("user_id", *[F.round(c, 9).alias(c) for c in f.columns[1:]])
+
+
+@query("a13_angle_histogram", "SELECT l_returnflag, list_transform(range(12), lambda b: round(len(list_filter(v, lambda x: least(floor(x * 12 / 0.1), 11) = b))::DOUBLE / len(v), 9)) AS hist FROM (SELECT l_returnflag, list(l_discount) AS v FROM lineitem GROUP BY 1)")
+def a13(spark, d):
+    return A.angle_histogram(table(spark, d, "lineitem"), "l_returnflag", "l_discount", lo=0.0, hi=0.1).select("l_returnflag", F.transform("hist", lambda x: F.round(x, 9)).alias("hist"))
+
+
+@query("a14_mean_std", "SELECT event_type, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 6) AS value_std FROM events GROUP BY 1")
+def a14(spark, d):
+    return A.mean_std(table(spark, d, "events"), "event_type", ["value"]).select("event_type", F.round("value_mean", 6).alias("value_mean"), F.round("value_std", 6).alias("value_std"))
+
+
+@query("a15_rms_fluctuation", f"SELECT frame, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) AS rmsf FROM {ATOMS} GROUP BY 1")
+def a15(spark, d):
+    return A.rms_fluctuation(atoms(spark, d), "frame", "pos", list("xyz")).select("frame", F.round("rmsf", 6).alias("rmsf"))
+
+
+@query("a15_rms_fluctuation_first", f"SELECT frame, round(sqrt(avg((x - x0) ** 2 + (y - y0) ** 2 + (z - z0) ** 2)), 6) AS rmsf FROM {ATOMS} JOIN (SELECT frame, x AS x0, y AS y0, z AS z0 FROM {ATOMS} WHERE pos = 1) USING (frame) GROUP BY 1")
+def a15_first(spark, d):
+    return A.rms_fluctuation(atoms(spark, d), "frame", "pos", list("xyz"), "first").select("frame", F.round("rmsf", 6).alias("rmsf"))
+
+
+@query("a16_pair_covariance", f"SELECT a.frame AS a, b.frame AS b, round(covar_samp(a.x, b.x) + covar_samp(a.y, b.y) + covar_samp(a.z, b.z), 6) AS cov FROM {ATOMS} a JOIN {ATOMS} b ON a.pos = b.pos AND a.frame <= b.frame GROUP BY 1, 2")
+def a16(spark, d):
+    return A.pair_covariance(atoms(spark, d), "frame", "pos", list("xyz")).select("a", "b", F.round("cov", 6).alias("cov"))
+
+
+@query("a17_radius_of_gyration", f"SELECT frame, round(sqrt(sum(mass * (x * x + y * y + z * z)) / sum(mass) - (sum(mass * x) / sum(mass)) ** 2 - (sum(mass * y) / sum(mass)) ** 2 - (sum(mass * z) / sum(mass)) ** 2), 6) AS rg FROM {ATOMS} GROUP BY 1")
+def a17(spark, d):
+    return A.radius_of_gyration(atoms(spark, d), "frame", list("xyz"), "mass").select("frame", F.round("rg", 6).alias("rg"))
+
+
+@query("a18_end_to_end", f"SELECT a.frame, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) AS ete FROM {ATOMS} a JOIN {ATOMS} b ON a.frame = b.frame WHERE a.pos = 1 AND b.pos = (SELECT max(pos) FROM {ATOMS} c WHERE c.frame = b.frame)")
+def a18(spark, d):
+    return A.end_to_end(atoms(spark, d), "frame", "pos", list("xyz")).select("frame", F.round("ete", 6).alias("ete"))
+
+
+@query("a19_distance_by_separation", f"SELECT b.pos - a.pos AS separation, round(sqrt(avg((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS rms FROM {ATOMS} a JOIN {ATOMS} b ON a.frame = b.frame AND b.pos - a.pos BETWEEN 2 AND 30 GROUP BY 1")
+def a19(spark, d):
+    return A.distance_by_separation(atoms(spark, d).withColumn("pos", F.col("pos").cast("long")), "frame", "pos", list("xyz"), most=30).select("separation", F.round("rms", 6).alias("rms"))
+
+
+@query("a20_power_law_fit")
+def a20(spark, d):
+    curve = A.distance_by_separation(atoms(spark, d), "frame", "pos", list("xyz"), most=30).withColumn("series", F.lit("all"))
+    return A.power_law_fit(curve.withColumn("separation", F.col("separation").cast("double")), "series", "separation", "rms")
+
+
+@query("a21_entropy", f"SELECT protein, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT protein, n / sum(n) OVER (PARTITION BY protein) AS p FROM (SELECT protein, substr(seq, 1, 1) AS c, count(*) AS n FROM {_SEQ} GROUP BY ALL)) GROUP BY 1")
+def a21(spark, d):
+    counts = _seq(spark, d).groupBy("protein", F.substring("seq", 1, 1).alias("c")).agg(F.count("*").alias("n"))
+    return A.entropy(counts, ["protein"], "n").select("protein", F.round("entropy", 6).alias("entropy"))
+
+
+@query("a22_mean_pairwise_cosine", "SELECT a.label, round(avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS mean_cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
+def a22(spark, d):
+    return A.mean_pairwise_cosine(table(spark, d, "embeddings"), "label", "embedding", 64).select("label", F.round("mean_cosine", 6).alias("mean_cosine"))
+
+
+@query("a23_proportion_in_set", f"SELECT protein, round(avg((substr(seq, 33, 1) IN ('s', 't', 'y'))::INT), 9) AS p FROM {_SEQ} GROUP BY 1")
+def a23(spark, d):
+    return _seq(spark, d).groupBy("protein").agg(F.round(F.avg(F.substring("seq", 33, 1).isin("s", "t", "y").cast("double")), 9).alias("p"))
+
+
+@query("a24_mean_with_sem", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem FROM events GROUP BY 1")
+def a24(spark, d):
+    return A.mean_with_sem(table(spark, d, "events"), "event_type", "value").select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"))
+
+
+@query("a25_histogram", "SELECT least(floor((o_totalprice - lo) * 30 / (hi - lo)), 29)::INT AS bin, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1")
+def a25(spark, d):
+    return A.histogram(table(spark, d, "orders"), "o_totalprice", 30)
+
+
+@query("a25_density", "SELECT o_orderstatus, bin, round(n / (sum(n) OVER (PARTITION BY o_orderstatus) * w), 12) AS density FROM (SELECT o_orderstatus, least(floor((o_totalprice - lo) * 30 / (hi - lo)), 29)::INT AS bin, count(*) AS n, any_value((hi - lo) / 30) AS w FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1, 2)")
+def a25_density(spark, d):
+    return A.histogram(table(spark, d, "orders"), "o_totalprice", 30, "o_orderstatus", density=True).withColumn("density", F.round("density", 12))
+
+
+@query("a26_kde", """WITH s AS (SELECT event_type, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1)
+SELECT event_type, round(lo + (hi - lo) * g / 9, 6) AS x, round(sum(exp(-0.5 * ((lo + (hi - lo) * g / 9 - value) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density FROM events JOIN s USING (event_type), range(10) t(g) GROUP BY event_type, g, lo, hi""")
+def a26(spark, d):
+    return A.kde_1d(table(spark, d, "events"), "event_type", "value", grid=10).select("event_type", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
+@query("a27_hist_2d", "SELECT least(floor((l_quantity - 1) * 5 / 49), 4)::INT AS bx, least(floor(l_discount * 5 / 0.1), 4)::INT AS by, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL")
+def a27(spark, d):
+    return A.hist_2d(table(spark, d, "lineitem"), "l_quantity", "l_discount", 5, "l_returnflag")
+
+
+@query("a28_linear_fit", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
+def a28(spark, d):
+    return A.linear_fit(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag").select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@query("a29_group_overlap_mean", f"SELECT cat, round(avg(CASE WHEN a_start IS NULL THEN 0.0 ELSE greatest(least(a_end, pos + 800) - greatest(a_start, pos), 0) / least(a_end - a_start, 800) * 100 END), 6) AS pct FROM {FIRST} GROUP BY 1")
+def a29(spark, d):
+    from regionfx.functions.scalars import interval_overlap_pct
+
+    x = annotated(spark, d).withColumn("pct", interval_overlap_pct(F.col("pos"), F.col("pos") + 800, F.col("a_start"), F.col("a_end")))
+    return x.groupBy("cat").agg(F.round(F.avg("pct"), 6).alias("pct"))
+
+
+@query("a30_conditional_mean_distance", f"SELECT cat, round(avg(a_end - pos), 6) AS mean FROM {FIRST} WHERE cat IN ('MACHINERY', 'HOUSEHOLD') GROUP BY 1")
+def a30(spark, d):
+    return annotated(spark, d).where(F.col("cat").isin("MACHINERY", "HOUSEHOLD")).groupBy("cat").agg(F.round(F.avg(F.col("a_end") - F.col("pos")), 6).alias("mean"))
+
+
+@query("a31_row_mean", "SELECT o_orderkey, round(CASE WHEN price IS NULL THEN o_custkey ELSE (price + o_custkey) / 2 END, 6) AS m FROM " + _NULLS + " JOIN (SELECT o_orderkey, o_custkey FROM orders) USING (o_orderkey)")
+def a31(spark, d):
+    from regionfx.functions.scalars import row_mean
+
+    return _nulls(spark, d).join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select("o_orderkey", F.round(row_mean(["price", "o_custkey"]), 6).alias("m"))
+
+
+# ---- windows ---------------------------------------------------------------
+
+
+@query("w1_neighbour_window", "SELECT label AS region_id, pos::INT AS pos, list_concat(list_concat(coalesce(lag(f) OVER w, [0, 0]), f), coalesce(lead(f) OVER w, [0, 0]))::FLOAT[] AS win FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, embedding[1:2] AS f FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY pos)")
+def w1(spark, d):
+    short = residues(spark, d).withColumn("f", F.slice("f", 1, 2))
+    return W.neighbour_window(short, "region_id", "pos", "f", 2, k=1, out="win").drop("f")
+
+
+@query("w2_normalise_by_mean", "SELECT event_id, round(value / avg(value) OVER (PARTITION BY user_id), 9) AS v FROM events")
+def w2(spark, d):
+    return W.normalise_by_mean(table(spark, d, "events"), "user_id", "value", "v").select("event_id", F.round("v", 9).alias("v"))
+
+
+@query("w3_zscore", "SELECT event_id, round((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)")
+def w3(spark, d):
+    return W.zscore(table(spark, d, "events"), "event_type", "value", "z").select("event_id", F.round("z", 6).alias("z"))
+
+
+@query("w4_signed_orientation", "SELECT l_orderkey, l_linenumber, l_partkey, l_tax * -1 * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS score FROM lineitem")
+def w4(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_tax") * -1 * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).alias("score"))
+
+
+_ALIGNED = "(SELECT doc_id, regexp_replace(seq, '[ei]', '-', 'g') AS a, regexp_replace(seq, '[oa]', '-', 'g') AS b, seq FROM " + _SEQ + " WHERE length(seq) = 64)"
+
+
+def _aligned(spark, d):
+    return _seq(spark, d).where("length(seq) = 64").select("doc_id", F.regexp_replace("seq", "[ei]", "-").alias("a"), F.regexp_replace("seq", "[oa]", "-").alias("b"))
+
+
+@query("w7_gaps_and_islands", f"""WITH c AS (SELECT doc_id, p, substr(a, p::BIGINT, 1) AS x, substr(b, p::BIGINT, 1) AS y FROM {_ALIGNED}, range(1, 65) t(p)),
+k AS (SELECT *, sum((x <> '-')::INT) OVER w AS pa, sum((y <> '-')::INT) OVER w AS pb FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM k WHERE x <> '-' AND y <> '-')
+SELECT doc_id, min(pa)::BIGINT AS a_start, max(pa)::BIGINT AS a_end, min(pb)::BIGINT AS b_start, max(pb)::BIGINT AS b_end FROM r GROUP BY doc_id, run HAVING count(*) >= 5""")
+def w7(spark, d):
+    return W.aligned_segments(_aligned(spark, d), "doc_id", "a", "b", min_len=5)
+
+
+@query("w8_identity_pct", f"SELECT doc_id, round(100.0::DOUBLE * len(list_filter(range(1, 65), lambda p: substr(a, p::BIGINT, 1) <> '-' AND substr(a, p::BIGINT, 1) = substr(b, p::BIGINT, 1))) / nullif(len(list_filter(range(1, 65), lambda p: substr(a, p::BIGINT, 1) <> '-' AND substr(b, p::BIGINT, 1) <> '-')), 0), 6) AS pct FROM (SELECT doc_id, a, replace(b, 't', 'z') AS b FROM {_ALIGNED})")
+def w8(spark, d):
+    return _aligned(spark, d).select("doc_id", F.round(W.identity_pct(F.col("a"), F.translate("b", "t", "z")), 6).alias("pct"))
+
+
+@query("w9_avg_rank", "SELECT l_returnflag, value, n, rank FROM (SELECT l_returnflag, l_quantity AS value, count(*) AS n, min(r) + (count(*) - 1) / 2.0::DOUBLE AS rank FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r FROM lineitem) GROUP BY 1, 2)")
+def w9(spark, d):
+    return W.avg_rank(table(spark, d, "lineitem"), "l_quantity", ["l_returnflag"])
+
+
+@query("w10_autocorrelation", f"""WITH s AS {SERIES}, m AS (SELECT series, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM s GROUP BY 1)
+SELECT a.series, (b.t - a.t)::INT AS lag, round(sum((a.x - m) * (b.x - m)) / (any_value(v) * (any_value(m.n) - (b.t - a.t))), 6) AS r FROM s a JOIN s b ON a.series = b.series AND b.t - a.t BETWEEN 0 AND 10 JOIN m ON a.series = m.series GROUP BY a.series, b.t - a.t""")
+def w10(spark, d):
+    return W.autocorrelation(series(spark, d), "series", 10).select("series", "lag", F.round("r", 6).alias("r"))
+
+
+_BLOCKS = f"""(SELECT series, blocks, sqrt(var_pop(m) / (count(*) - 1)) AS err FROM (SELECT series, b AS blocks, floor(t / (n / b)) AS k, avg(x) AS m FROM {SERIES}, range(2, 3000) r(b) WHERE b <= n AND n % b = 0 GROUP BY ALL) GROUP BY 1, 2)"""
+
+
+@query("w11_block_average_error", f"SELECT series, blocks, round(err, 6) AS err, round(err / sqrt(2.0 * (blocks - 1)), 6) AS err_err FROM {_BLOCKS}")
+def w11(spark, d):
+    return W.block_average_error(series(spark, d), "series").select("series", "blocks", F.round("err", 6).alias("err"), F.round("err_err", 6).alias("err_err"))
+
+
+@query("w12_trim_for_blocking", """WITH l AS (SELECT event_type AS series, count(*) AS n FROM events GROUP BY 1)
+SELECT series, n, coalesce((SELECT max(m) FROM range(1, 3000) t(m) WHERE m <= n AND m > n - 101 AND len(list_filter(range(2, m + 1), lambda b: m % b = 0)) >= 20), n) AS trimmed FROM l""")
+def w12(spark, d):
+    return W.trim_for_blocking(table(spark, d, "events").withColumnRenamed("event_type", "series"), "series")
+
+
+@query("w13_block_hist_error")
+def w13(spark, d):
+    return W.block_hist_error(series(spark, d).withColumn("w", F.lit(1.0) + F.col("x") % 2), "series", bins=20)
+
+
+@query("w14_block_sem", f"""WITH e AS (SELECT *, err / sqrt(2.0 * (blocks - 1)) AS ee FROM {_BLOCKS}), i AS (SELECT a.series, a.blocks, a.err, count(b.blocks) AS n_inside FROM e a LEFT JOIN e b ON a.series = b.series AND b.blocks < a.blocks AND abs(a.err - b.err) <= b.ee GROUP BY ALL)
+SELECT series, blocks, round(err, 6) AS err, n_inside FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY n_inside DESC, blocks DESC) AS rn FROM i) WHERE rn = 1""")
+def w14(spark, d):
+    return W.block_sem(W.block_average_error(series(spark, d), "series"), "series").withColumn("err", F.round("err", 6))
+
+
+@query("w15_block_density")
+def w15(spark, d):
+    dens = W.block_density_error(series(spark, d), "series")
+    return W.free_energy(dens, "series", 2.479, most=15.0)
+
+
+@query("w15_mean_with_error")
+def w15_mean(spark, d):
+    return W.mean_with_error(W.block_density_error(series(spark, d), "series"), "series")
+
+
+@query("w16_boltzmann_weights", "SELECT event_id, round(exp((value - m) / 2.5) / sum(exp((value - m) / 2.5)) OVER (PARTITION BY event_type), 9) AS weight FROM (SELECT *, max(value) OVER (PARTITION BY event_type) AS m FROM events)")
+def w16(spark, d):
+    return W.boltzmann_weights(table(spark, d, "events"), "event_type", "value", 2.5).select("event_id", F.round("weight", 9).alias("weight"))
