@@ -32,8 +32,8 @@ def numbered(df: DataFrame, order: str, name: str = "row_no") -> DataFrame:
     ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_min"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    return local.join(F.broadcast(before), "_p").withColumn(name, (F.col("_b") + F.col("_r")).cast("long")).drop("_p", "_r", "_b")
+    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    return local.join(F.broadcast(before), "_p").withColumn("_b", (F.col("_b") + F.col("_k")).cast("long")).drop("_p", "_k").withColumnRenamed("_b", name)
 
 
 def batch_slice(df: DataFrame, order: str, start: int, size: int = 20) -> DataFrame:

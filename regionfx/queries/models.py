@@ -1 +1,192 @@
-"""To come."""
+"""Feature tables, folds, models and incremental scoring on the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from regionfx.catalog import query, table
+from regionfx.plans import features as P
+from regionfx.plans import models as M
+from regionfx.queries.basics import _folder, _seq
+from regionfx.queries.statistics import scored
+from regionfx.queries.tables import cells, pairs, residues
+from regionfx.streaming import incremental as I
+
+LETTERS = list("ANR")
+
+
+def _variants(spark, d):
+    li = table(spark, d, "lineitem").where("l_returnflag <> 'R'").select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("variant_id"), (F.col("l_suppkey") % 10).alias("key"), (F.col("l_partkey") % 60).alias("location"), F.col("l_returnflag").alias("orig"))
+    return li.withColumn("changed", F.lit("R"))
+
+
+def _regions(spark, d):
+    return table(spark, d, "embeddings").select(F.col("label").alias("region_id")).distinct().select("region_id", F.col("region_id").cast("long").alias("key"), F.lit(5).alias("start"), F.lit(54).alias("end"))
+
+
+def _props(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("aa")).agg(F.array(F.avg("l_tax"), F.avg("l_discount")).alias("props"))
+
+
+def _feature_table(spark, d):
+    cov = cells(spark, d)
+    return P.variant_feature_table(_variants(spark, d), _regions(spark, d), residues(spark, d).withColumn("f", F.slice("f", 1, 3)), pairs(spark, d), cov, _props(spark, d), LETTERS, LETTERS, 3, k=1, rmsf=2)
+
+
+@query("m1_variant_feature_table", """WITH e AS (SELECT label AS region_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, avg(embedding[3]::DOUBLE) OVER (PARTITION BY label) AS mr FROM embeddings),
+w AS (SELECT region_id, pos, a, b, (c / mr)::FLOAT AS c, coalesce(lag(a) OVER v, 0) AS pa, coalesce(lead((c / mr)::FLOAT) OVER v, 0) AS nc FROM e WINDOW v AS (PARTITION BY region_id ORDER BY pos)),
+p AS (SELECT (l_suppkey % 10)::INT AS region, (l_partkey % 20)::INT AS i, l_linenumber AS j, l_returnflag AS channel, avg(l_discount * 10) AS value FROM lineitem GROUP BY ALL),
+g AS (SELECT region, pos, sum((channel = 'A')::INT) AS da, sum((channel = 'N')::INT) AS dn FROM (SELECT region, channel, i AS pos FROM p WHERE value > 0.4 UNION ALL SELECT region, channel, j FROM p WHERE value > 0.4) GROUP BY ALL),
+x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_suppkey % 10) AS k, l_partkey % 60 AS location, l_returnflag AS orig FROM lineitem WHERE l_returnflag <> 'R')
+SELECT l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR AS variant_id, w.region_id, w.pos::INT AS pos, round(pa, 5) AS prev_a, round(nc, 5) AS next_c, coalesce(da, 0)::DOUBLE AS deg_a, coalesce(dn, 0)::DOUBLE AS deg_n, -(orig = 'A')::INT AS hot_a
+FROM x JOIN w ON x.k = w.region_id AND w.pos = location - 4 AND location BETWEEN 5 AND 54 LEFT JOIN g ON g.region = w.region_id AND g.pos = w.pos""")
+def m1(spark, d):
+    t = _feature_table(spark, d)
+    at = lambda c, i: F.get(c, F.lit(i))
+    return t.select("variant_id", "region_id", "pos", F.round(at("window", 0), 5).alias("prev_a"), F.round(at("window", 8), 5).alias("next_c"), at("pair", 0).alias("deg_a"), at("pair", 1).alias("deg_n"), at("one_hot", 0).alias("hot_a"))
+
+
+@query("m2_mean_pair_features", "SELECT region, i AS pos, channel, round(avg(value), 9) AS mean FROM (SELECT (l_suppkey % 10)::INT AS region, (l_partkey % 20)::INT AS i, l_linenumber AS j, l_returnflag AS channel, avg(l_discount * 10) AS value FROM lineitem GROUP BY ALL) WHERE i BETWEEN 2 AND 5 AND j BETWEEN 2 AND 5 GROUP BY ALL")
+def m2(spark, d):
+    return P.mean_pair_features(pairs(spark, d), 2, 5).withColumn("mean", F.round("mean", 9))
+
+
+@query("m3_group_kfold", "SELECT f AS fold, (SELECT count(*) FROM customer) // 5 + CASE WHEN f <= (SELECT count(*) FROM customer) % 5 THEN 1 ELSE 0 END AS n FROM (SELECT unnest(range(1, 6))::INT AS f)")
+def m3(spark, d):
+    return P.group_kfold(table(spark, d, "customer").select("c_custkey"), "c_custkey", 5, 42).groupBy("fold").agg(F.count("*").alias("n"))
+
+
+@query("m4_mixed_source_folds", """WITH s AS (SELECT source, quality AS label FROM labels JOIN documents USING (doc_id)), q AS (SELECT count(*) FILTER (WHERE source = 'src1' AND label = 0) AS a, count(*) FILTER (WHERE source = 'src0' AND label = 0) AS b, count(*) AS t FROM s)
+SELECT 'train' AS part, 5 * a + 4 * (t - a - b) AS n FROM q UNION ALL SELECT 'val', t - a FROM q""")
+def m4(spark, d):
+    x = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return P.mixed_source_folds(x, "doc_id", "doc_id", "quality", "source", "src1", "src0", 5, 3).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("m5_group_split")
+def m5(spark, d):
+    return P.group_split(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 0.1, 42)
+
+
+def _training(spark, d):
+    x = scored(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    words = F.size(F.split("text", r"\s+")).cast("double")
+    symbols = (F.length("text") - F.length(F.translate("text", "#*$%&|", ""))).cast("double")
+    capitals = (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("double")
+    return x.select("doc_id", "fold", F.col("quality").cast("double").alias("label"), F.col("score").cast("double").alias("Length"), (symbols / words).alias("Res_symbols"), (capitals / words).alias("Res_capitals"), words.alias("Pair_words"))
+
+
+FAST = {"trees": 10, "depth": 5}
+
+
+@query("m6_train_classifier")
+def m6(spark, d):
+    t = _training(spark, d)
+    return M.predict(M.train_classifier(t, M.feature_columns(t, ["residue", "pair"]), "label", **FAST), t, "p").select("doc_id", "label", "p")
+
+
+@query("m7_train_regressor")
+def m7(spark, d):
+    t = _training(spark, d)
+    return M.predict(M.train_regressor(t, M.feature_columns(t, ["residue", "pair"]), "Length", **FAST), t, "value").select("doc_id", "Length", "value")
+
+
+@query("m8_predict")
+def m8(spark, d):
+    t = _training(spark, d)
+    model = M.train_classifier(t.where("fold <> 1"), M.feature_columns(t, ["residue"]), "label", **FAST)
+    return M.predict(model, t.where("fold = 1"), "p").select("doc_id", "p")
+
+
+@query("s11_save_load_model")
+def s11(spark, d):
+    t, path = _training(spark, d), _folder(spark, "model")
+    M.save_model(M.train_classifier(t, M.feature_columns(t, ["residue"]), "label", **FAST), path)
+    return M.predict(M.load_model(path), t, "p").select("doc_id", "p")
+
+
+@query("m9_out_of_fold_scores")
+def m9(spark, d):
+    t = _training(spark, d).persist()
+    return M.out_of_fold_scores(t, "fold", M.feature_columns(t, ["residue", "pair"]), "label", 5, "p", **FAST).select("doc_id", "fold", "label", "p")
+
+
+@query("m10_saturation_scores")
+def m10(spark, d):
+    t = _training(spark, d)
+    model = M.train_classifier(t, M.feature_columns(t, ["residue"]), "label", **FAST)
+    positions = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", F.col("l_discount").alias("Res_symbols"))
+    add = lambda x: x.withColumn("Res_capitals", F.ascii("changed").cast("double") / 100)
+    return M.saturation_scores(positions, "l_returnflag", LETTERS, add, {"p": model}).select("l_orderkey", "l_partkey", "l_linenumber", "changed", "p")
+
+
+@query("m11_score_ensemble", "SELECT doc_id, round((n_chars + doc_id) / 2.0::DOUBLE, 6) AS p FROM documents")
+def m11(spark, d):
+    from regionfx.functions.scalars import row_mean
+
+    return table(spark, d, "documents").select("doc_id", F.round(row_mean(["n_chars", "doc_id"]), 6).alias("p"))
+
+
+@query("m12_pca")
+def m12(spark, d):
+    out, _ = M.pca(table(spark, d, "embeddings"), "embedding", 5)
+    return out.select("vec_id", "pc")
+
+
+@query("m13_kmeans")
+def m13(spark, d):
+    return M.kmeans(table(spark, d, "embeddings"), "embedding", 4).select("vec_id", "cluster")
+
+
+_EPS = """(SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_distance(a.embedding[1:3]::DOUBLE[], b.embedding[1:3]::DOUBLE[]) <= 0.05)"""
+
+
+@query("m14_dbscan", f"""WITH RECURSIVE e AS MATERIALIZED {_EPS}, r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings WHERE vec_id IN (SELECT a FROM e) UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a)
+SELECT vec_id, coalesce(c, -1) AS cluster FROM embeddings LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) ON v = vec_id""")
+def m14(spark, d):
+    x = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("v"))
+    return M.dbscan_pairs(x, "vec_id", "v", 0.05, 8)
+
+
+@query("m15_msa_site_features")
+def m15(spark, d):
+    msa = _seq(spark, d).where("length(seq) = 64").select("protein", "seq")
+    sites = msa.select("protein").distinct().withColumn("site", F.explode(F.array(F.lit(3), F.lit(32), F.lit(60))))
+    return P.msa_site_features(sites, msa, "protein", "site", "seq", "aeiou", "strn", ["aeiou", "strn", "bcdfg", "hjklm"], "sty")
+
+
+@query("m16_edit_worklist", """SELECT region_id || '_' || orig || ':' || pos::VARCHAR || ':' || changed AS work_id FROM (SELECT DISTINCT c_mktsegment AS region_id, 'A' AS orig, (c_custkey % 5 + 1) AS pos, 'C' AS changed FROM customer WHERE c_nationkey = 3)""")
+def m16(spark, d):
+    v = table(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), (F.col("c_custkey") % 5 + 10).alias("location"), F.lit("A").alias("orig"), F.lit("C").alias("changed"), "c_nationkey")
+    r = table(spark, d, "customer").select(F.col("c_mktsegment").alias("key")).distinct().select("key", F.col("key").alias("region_id"), F.lit(10).alias("start"), F.lit(20).alias("end"), F.lit("AAAAAAAAAAA").alias("sequence"))
+    return P.edit_worklist(v, r, F.col("c_nationkey") == 3, 1000, 1).select("work_id")
+
+
+@query("t9_feature_importance")
+def t9(spark, d):
+    t = _training(spark, d).persist()
+    cols = M.feature_columns(t, ["residue", "pair", "length"])
+    return M.feature_importance([M.train_classifier(t.where(F.col("fold") != i), cols, "label", **FAST) for i in (1, 2)], cols, spark)
+
+
+@query("t10_permutation_importance")
+def t10(spark, d):
+    t = _training(spark, d).persist()
+    cols = M.feature_columns(t, ["residue"])
+    return M.permutation_importance(M.train_classifier(t, cols, "label", **FAST), t, cols, "label", "doc_id", repeats=2)
+
+
+@query("a32_region_profile")
+def a32(spark, d):
+    e = table(spark, d, "events")
+    frames = e.select("user_id", "event_id", "event_type", "value", (F.col("value") % 6.28 - 3.14).alias("phi"), F.col("value").alias("x"), (F.col("value") * 2).alias("y"), F.lit(0.0).alias("z"))
+    return P.region_profile(frames, "user_id", "event_id", "event_type", ["click", "view", "error"], "value", ["phi"], list("xyz"), k=40)
+
+
+@query("st1_incremental_scoring", "SELECT user_id, round(avg(value), 6) AS score FROM events GROUP BY 1")
+def st1(spark, d):
+    e, path = table(spark, d, "events"), _folder(spark, "scores")
+    score = I.by_key_mean("user_id", "value")
+    I.incremental_scoring(e.where("user_id % 2 = 0"), "user_id", score, path)
+    I.incremental_scoring(e, "user_id", score, path)
+    return spark.read.parquet(path).withColumn("score", F.round("score", 6))
