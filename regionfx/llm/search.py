@@ -104,7 +104,7 @@ def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def build_index(docs: DataFrame, folder: str, shard_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, folder: str, shard_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """Write shards of (doc_id, text).  Returns the shards (uri, n_docs, n_words) and (word, df) over all documents."""
 
     def write(batches):
@@ -178,7 +178,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     blocks = materialize(weighted.mapInArrow(write, "queries string"), "query-blocks")
     names = sorted(r["queries"] for r in blocks.collect())  # file names, one for each QUERY_BLOCK queries
-    per_task = 16
+    per_task = 4
     groups = [names[i : i + per_task] for i in range(0, len(names), per_task)]
     work = shards.select("uri", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))).alias("g")) if groups else shards.select("uri", F.lit(0).alias("g")).limit(0)
     work = work.repartition(max(1, shards.count() * len(groups)), "uri", "g")
