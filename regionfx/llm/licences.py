@@ -140,11 +140,12 @@ def find_licences(docs: DataFrame, text: str = "text", templates=TEMPLATES, phra
 
     Null and empty texts have no words, no labels and score 0; a base phrase gives score 1; repeated
     rows are scanned each by itself; an empty table gives no rows; input
-    columns of these names aren't allowed.
+    columns of these names are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     added = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
+    docs = docs.drop(*added)
     schema = docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
     index = TemplateIndex(templates, word_weights(docs, templates, text))
     base = [(p.encode().split(), label) for p, label in phrases]

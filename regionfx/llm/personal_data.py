@@ -372,11 +372,12 @@ def find_personal_data(docs: DataFrame, text: str = "text", redact: bool = False
     redact: the text column holds the redacted text instead, and no columns
     are added.  Null texts have no spans and stay null, empty ones stay empty; rows are
     scanned each by itself, so repeated rows and hot keys cost nothing more; an empty
-    table gives no rows.  Input columns named base_spans or spans aren't allowed.
+    table gives no rows.  Input columns named base_spans or spans are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     field = trained_field()
+    docs = docs if redact else docs.drop("base_spans", "spans")
     schema = docs.schema if redact else docs.select("*", F.lit(None).cast(SPANS).alias("base_spans"), F.lit(None).cast(SPANS).alias("spans")).schema
 
     def scan(batches):

@@ -130,9 +130,11 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents' columns, then base_spans and spans: arrays of (start, kind, end) in code points.
 
     Null and empty texts have no spans; repeated rows are scanned each by
-    itself; an empty table gives no rows.  Each pattern runs only over texts
+    itself; an empty table gives no rows; input columns named base_spans or
+    spans are replaced.  Each pattern runs only over texts
     that a first test finds to hold it, so most texts cost one pass per kind.
     """
+    docs = docs.drop("base_spans", "spans", "_more")
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(SPAN)
     guard = lambda p, spans: F.when(t.rlike(p), spans).otherwise(none)
