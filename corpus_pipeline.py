@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from regionfx.llm.packing import document_pieces, pack_pieces
 from regionfx.llm.personal_data import find_personal_data
-from regionfx.llm.quality import quality
+from regionfx.llm.quality import accepted
 from regionfx.llm.simhash import near_duplicates
 from regionfx.llm.storage import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality rules accept."""
-    return quality(docs).where("q_kept").select(*docs.columns)
+    return accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,10 @@ RULES = (
 )
 
 
+#: Columns that the measures and verdicts take.
+MEASURES = [f"q_{c}" for c in "words lines windows n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_bar_lines n_stop_words n_capitals one base_failed kept".split()]
+
+
 def _deleted(text: Column, signs: str) -> Column:
     return F.translate(text, signs, "")
 
@@ -57,6 +61,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     within the document; nothing leaves its row, so there is no shuffle and a
     hot source or a long text only costs its own row.
     """
+    docs = docs.drop(*MEASURES)
     t = F.coalesce(F.col(text), F.lit(""))
     a = docs.withColumn("q_words", F.array_remove(F.split(t, WHITE_RUN), "")).withColumn("q_lines", F.filter(F.split(t, "\n"), lambda x: F.length(_deleted(x, WHITE)) > 0))
     n = F.size("q_words")
@@ -99,11 +104,19 @@ def quality(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The documents' columns, then measures with the prefix ``q_`` and the booleans q_base_failed and q_kept.
 
     Null and empty texts have no words and fail; an empty table gives no
-    rows; repeated rows are judged each by itself; columns of the input whose
-    name starts with ``q_`` aren't allowed.
+    rows; repeated rows are judged each by itself; input columns with the
+    names of measures are replaced.
     """
     failed = (F.col("q_n_words") < BASE_MIN_WORDS) | (100 * F.col("q_n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("q_n_words"))
-    return with_measures(docs, text).withColumn("q_base_failed", failed).withColumn("q_kept", ~failed & passes(rules))
+    # a row number in this projection keeps Spark from pushing a later filter through it, where each use of a measure would be computed again
+    fixed = F.monotonically_increasing_id() >= 0
+    return with_measures(docs, text).withColumn("q_base_failed", failed).withColumn("q_kept", F.when(fixed, ~failed & passes(rules)))
+
+
+def accepted(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The documents that the rules keep, with their own columns, whatever their names."""
+    judged = quality(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), "text", rules)
+    return judged.where("q_kept").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
