@@ -97,9 +97,12 @@ def in_larger_tasks(docs: DataFrame, task_bytes: int) -> DataFrame:
     return docs.coalesce(min(n, max(spark.sparkContext.defaultParallelism, -(-n // max(1, task_bytes // split))))) if n else docs
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 4 << 20, task_bytes: int = 96 << 20, most_words: int = 2_000_000, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20, task_bytes: int = 96 << 20, most_words: int = 1_000_000, text: str = "text", id_col: str = "doc_id", then=None) -> DataFrame:
     """(id, ids): one row per document, ids as an array of int.
 
+    then: (schema, function of Arrow batches of (id, ids)) for what the same
+    worker makes of them instead.
+
     Null and empty texts have no ids.  Rows are encoded each by itself
     (repeated rows and null ids stay); an empty table gives no rows; other columns are left out.
     A text longer than ``chunk_bytes`` is a chunk of its own.  A task keeps at
@@ -108,29 +111,32 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 4 << 20,
 
     def cut(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def rows(words=None, docs=None):
             n = len(words if docs is None else docs[0])
             return pa.RecordBatch.from_arrays([words if words is not None else pa.nulls(n, pa.list_(pa.binary())), docs[0] if docs else pa.nulls(n, pa.int64()), docs[1] if docs else pa.nulls(n, pa.binary())], names=["words", "id", "places"])
 
-        known: dict[bytes, int] = {}
+        known = pa.array([], pa.binary())
         for table in chunks_of(batches, "text", chunk_bytes):
             if len(known) > most_words:
-                known.clear()
-            at = 0 if known else -1
+                known = known[:0]
+            if not len(known):  # an empty list stands for a new start
+                yield rows(pa.array([[]], pa.list_(pa.binary())))
             pieces, counts = split_pieces(table.column("text").combine_chunks())
             coded = pieces.dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            new = [w for w in words if w not in known]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            if at < 0:  # an empty list stands for a new start
-                yield rows(pa.array([[]], pa.list_(pa.binary())))
-            if new:
+            found = pc.index_in(coded.dictionary, value_set=known)
+            fresh = found.is_null()
+            new = coded.dictionary.filter(fresh)
+            index = pc.fill_null(found, -1).to_numpy().astype("<i4")
+            index[index < 0] = np.arange(len(known), len(known) + len(new))
+            known = pa.concat_arrays([known, new])
+            if len(new):
                 cuts = [*range(0, len(new), 1024), len(new)]
                 for k in range(0, len(cuts) - 1, 16):
                     part = cuts[k : k + 17]
-                    yield rows(pa.ListArray.from_arrays(pa.array([x - part[0] for x in part], pa.int32()), pa.array(new[part[0] : part[-1]], pa.binary())))
-            places = np.fromiter(map(known.__getitem__, words), dtype="<i4", count=len(words))[coded.indices.to_numpy()].tobytes()
+                    yield rows(pa.ListArray.from_arrays(pa.array([x - part[0] for x in part], pa.int32()), new[part[0] : part[-1]]))
+            places = index[coded.indices.to_numpy()].tobytes()
             ends = np.append(0, np.cumsum(counts) * 4).tolist()
             for k in range(0, table.num_rows, 256):
                 hi = min(table.num_rows, k + 256)
@@ -165,13 +171,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 4 << 20,
     source = in_larger_tasks(docs, task_bytes).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     words = source.mapInArrow(cut, "words array<binary>, id long, places binary")
     folded = words.select("id", "places", F.when(F.col("words").isNotNull(), fold_merges(F.col("words"), rank_table(ranks))).alias("ids"))
-    return folded.mapInArrow(gather, "id long, ids array<int>")
+    schema, last = then or ("id long, ids array<int>", lambda batches: batches)
+    return folded.mapInArrow(lambda batches: last(gather(batches)), schema)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds ``decoded`` (binary): the token bytes of ``ids`` joined.  Null ids give null; an id that isn't in the vocabulary is an error."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    encoded = encoded.drop("decoded")
     schema = encoded.select("*", F.lit(b"").alias("decoded")).schema
     parts = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
@@ -189,8 +197,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.mapInArrow(join, schema)
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (id, ids): the ids are decoded and both forms hashed."""
+def digests(ranks: dict[bytes, int]):
+    """For encode's ``then``: (doc_id, n_tokens, ids_sha256, decoded_sha256); the ids are decoded and both forms hashed."""
     size = max(ranks.values(), default=-1) + 1
 
     def hashed(batches):
@@ -211,7 +219,7 @@ def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 b.append(hashlib.sha256(b"".join([parts[i] for i in ids])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(hashed, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", hashed
 
 
 def op1_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,4 +227,4 @@ def op1_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return digests(encode(docs, ranks), ranks)
+    return encode(docs, ranks, then=digests(ranks))
