@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from regionfx.llm.packing import document_pieces, pack_pieces
 from regionfx.llm.personal_data import find_personal_data
 from regionfx.llm.quality import accepted
-from regionfx.llm.simhash import near_duplicates
+from regionfx.llm.similar import near_duplicates
 from regionfx.llm.storage import materialize
 
 

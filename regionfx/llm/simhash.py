@@ -25,31 +25,38 @@ from regionfx.llm.words import chunks_of
 RADIUS = 3
 
 
-def fingerprint_batch(texts: list[bytes], words_per_shingle: int) -> np.ndarray:
-    """Fingerprints of UTF-8 texts.  Words: runs of other than ASCII white space, A-Z in lower case."""
+def shingle_hashes(texts: list[bytes], words_per_shingle: int, text_seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all texts in a row, their number in each text, a hash of each text's words).
+
+    Words: runs of other than ASCII white space, A-Z in lower case.
+    """
     import xxhash
 
     digest, lower = xxhash.xxh64_intdigest, bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-    hashes, counts = [], []
+    hashes, counts, wholes = [], [], []
     for text in texts:
         words = text.translate(lower).split()
         n = len(words) - words_per_shingle + 1
+        joined = b" ".join(words)
+        wholes.append(digest(joined, text_seed))
         if n <= 1:
-            hashes += [digest(b" ".join(words), 42)] if words else []
+            hashes += [digest(joined, 42)] if words else []
             counts.append(min(len(words), 1))
         else:
-            joined = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
             begins = (np.append(0, ends[:-1])[:n]).tolist()
             hashes += [digest(joined[a:b], 42) for a, b in zip(begins, (ends[words_per_shingle - 1 :] - 1).tolist(), strict=True)]
             counts.append(n)
-    counts = np.array(counts, dtype=np.int64)
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64), np.array(wholes, dtype=np.uint64)
+
+
+def fingerprints_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprints of texts from the hashes of their shingles."""
+    out = np.zeros(len(counts), dtype=np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
         at = np.append(0, np.cumsum(counts[full]))
         sums = np.zeros((len(full), 64), dtype=np.int64)
-        values = np.array(hashes, dtype=np.uint64)
         for k in range(0, len(full), 64):  # a bounded number of bits at a time
             hi = min(len(full), k + 64)
             bits = np.unpackbits(values[at[k] : at[hi]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,6 +65,12 @@ def fingerprint_batch(texts: list[bytes], words_per_shingle: int) -> np.ndarray:
     return out
 
 
+def fingerprint_batch(texts: list[bytes], words_per_shingle: int) -> np.ndarray:
+    """Fingerprints of UTF-8 texts."""
+    values, counts, _ = shingle_hashes(texts, words_per_shingle)
+    return fingerprints_of(values, counts)
+
+
 def fingerprints(docs: DataFrame, words_per_shingle: int, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, fp): 64-bit fingerprints as long; null texts count as empty, and texts without words have fingerprint 0."""
 
