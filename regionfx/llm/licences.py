@@ -1,11 +1,11 @@
 """Licence notices in texts by a positional rare-token index of licence templates.
 
-A template's words are indexed by position.  Of the template words that a file
-holds, the ones with the highest inverse document frequency over all files are looked up;
-each of their places and postings votes for an alignment (file position minus
-template position).  An alignment's score is the share of the template's
-word weight found at its places, and a label also needs the template's key
-phrases within the aligned range.
+A template's words are indexed by position.  Of each template's words that a file
+holds, those with the highest inverse document frequency over all files are looked up,
+so many that no alignment without any of them can score; each of their places and
+postings gives alignments (file position minus template position).  An
+alignment's score is the share of the template's word weight found at its places, and a
+label also needs the template's key phrases within the aligned range.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 #: Base phrases and labels of the contract.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-RARE_WORDS = 6  # of a file, the template words looked up
 LEAST_SCORE = 0.75
 SLACK = 2  # positions that a word may be off its alignment
 
@@ -84,23 +83,40 @@ class TemplateIndex:
                 self.postings[w].append((k, q))
         self.totals = [sum(weights[w] for w in words) for _, words, _ in self.templates]
 
+    def rare_words(self, k: int, present: set[bytes]) -> list[bytes]:
+        """The rarest present words of template k, one of which every alignment with LEAST_SCORE has at its place.
+
+        So many that the weight of these and of the absent words is more than a scoring alignment can lack; none
+        if the absent words alone weigh that much.
+        """
+        words = self.templates[k][1]
+        found = sum(self.weights[w] for w in words if w in present)
+        least, out = LEAST_SCORE * self.totals[k] * (1 - 1e-9), []
+        for w in sorted(present.intersection(words), key=lambda w: (-self.weights[w], w)):
+            if found < least:
+                break
+            found -= words.count(w) * self.weights[w]
+            out.append(w)
+        return out
+
     def match(self, words: list[bytes]) -> dict[str, float]:
-        """Labels and the best score of each."""
+        """Labels and the best score of each, over all alignments of all templates."""
         present = self.postings.keys() & set(words)
-        rare = set(sorted(present, key=lambda w: (-self.weights[w], w))[:RARE_WORDS])
-        if len(rare) < 2:
+        wanted: dict[bytes, set[int]] = defaultdict(set)
+        for k, (_, _, required) in enumerate(self.templates):
+            rare = self.rare_words(k, present)
+            if rare and all(places(words, r) for r in required):
+                for w in rare:
+                    wanted[w].add(k)
+        if not wanted:
             return {}
-        votes: dict[tuple[int, int], float] = Counter()
+        shifts: set[tuple[int, int]] = set()
         for p, w in enumerate(words):
-            if w in rare:
-                for k, q in self.postings[w]:
-                    votes[k, p - q] += 1
+            if w in wanted:
+                shifts.update((k, p - q + d) for k, q in self.postings[w] if k in wanted[w] for d in range(-SLACK, SLACK + 1))
         out: dict[str, float] = {}
-        for (k, shift), n in votes.items():
+        for k, shift in shifts:
             label, template, required = self.templates[k]
-            near = sum(votes.get((k, shift + d), 0) for d in range(-SLACK, SLACK + 1))
-            if near < 2 or n < max(votes.get((k, shift + d), 0) for d in range(-SLACK, SLACK + 1)):
-                continue
             lo, hi = max(0, shift - SLACK), min(len(words), shift + len(template) + SLACK)
             found = sum(self.weights[w] for q, w in enumerate(template) if w in words[max(lo, shift + q - SLACK) : max(0, shift + q + SLACK + 1)])
             score = found / self.totals[k]

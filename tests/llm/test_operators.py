@@ -233,6 +233,37 @@ def test_licence_templates(spark):
     assert out == {1: "gpl-3", 2: "", 3: "cc-by-nc"}
 
 
+def _all_alignments(index, words):
+    out, slack = {}, licences.SLACK
+    for k, (label, template, required) in enumerate(index.templates):
+        for shift in range(-len(template) - slack, len(words) + slack + 1):
+            part = words[max(0, shift - slack) : max(0, shift + len(template) + slack)]
+            found = sum(index.weights[w] for q, w in enumerate(template) if w in words[max(0, shift + q - slack) : max(0, shift + q + slack + 1)])
+            score = found / index.totals[k]
+            if score >= licences.LEAST_SCORE and all(any(part[i : i + len(r)] == r for i in range(len(part))) for r in required):
+                out[label] = max(score, out.get(label, 0.0))
+    return out
+
+
+def test_licences_equal_all_alignments(spark):
+    rng = random.Random(11)
+    notices = [t.text for t in licences.TEMPLATES]
+    stray = sorted({w for t in notices for w in t.split()}) + ["tarenho", "limu"]
+    prose = lambda n: " ".join(rng.choice(stray) for _ in range(n))
+    worn = lambda t: " ".join(w for w in t.split() if rng.random() > 0.08)
+    bsd, gpl = notices[8], notices[4]
+    texts = [f"{bsd} . {gpl}", f"{prose(1500)} {gpl} {prose(1500)}"]
+    texts += [" ".join(f"{prose(rng.randint(0, 60))} {worn(rng.choice(notices))}" for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(1000 + i, "nothing of gnu") for i in range(80)], "doc_id long, text string")
+    index = licences.TemplateIndex(licences.TEMPLATES, licences.word_weights(df))
+    out = {r["doc_id"]: r["labels"].split(",") for r in licences.find_licences(df).collect()}
+    assert {"bsd", "gpl-3"} <= set(out[0]) and "gpl-3" in out[1]
+    for t in texts:
+        words = licences.words_of(t)
+        got, want = index.match(words), _all_alignments(index, words)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.document_pieces(docs, path, 0, 64)
