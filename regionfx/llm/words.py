@@ -139,10 +139,12 @@ class Vocabulary:
     """Token ids of the pieces met so far in this process; starts anew beyond ``limit`` pieces.
 
     encode: a function from a list of pieces (bytes) to a list of id lists.
+    added: tokens that stand in texts as they are; texts that hold one are
+    given whole to encode_text, a function from a text to a list of ids.
     """
 
-    def __init__(self, encode, limit: int = 1_000_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode, limit: int = 1_000_000, added: tuple[str, ...] = (), encode_text=None):
+        self.encode, self.limit, self.added, self.encode_text = encode, limit, added, encode_text
         self.clear()
 
     def clear(self):
@@ -172,6 +174,23 @@ class Vocabulary:
 
     def encode_texts(self, texts):
         """(ids of all texts in a row, number of ids of each text)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            held |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not held.any():
+            return self.encode_pieces(texts)
+        values, counts = self.encode_pieces(pc.if_else(pa.array(held), pa.scalar("", texts.type), texts))
+        whole = [self.encode_text(x) for x in texts.filter(pa.array(held)).to_pylist()]
+        lengths = np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
+        places = np.repeat((np.cumsum(counts) - counts)[held], lengths)
+        counts[held] = lengths
+        return np.insert(values, places, [x for y in whole for x in y]), counts
+
+    def encode_pieces(self, texts):
+        """encode_texts for texts without added tokens."""
         pieces, counts = split_pieces(texts)
         if not len(pieces):
             return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
@@ -199,13 +218,14 @@ def byte_characters() -> dict[int, str]:
 
 
 def library_vocabulary(path: str) -> Vocabulary:
-    """Encodes single pieces with the tokenizers library's model from a byte-level BPE file."""
+    """Encodes single pieces with the tokenizers library's model from a byte-level BPE file, texts with its added tokens by the library."""
 
     def make():
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         model, names = tokenizer.model, byte_characters()
-        return Vocabulary(lambda pieces: [[t.id for t in model.tokenize(x.decode("latin-1").translate(names))] for x in pieces])
+        added = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+        return Vocabulary(lambda pieces: [[t.id for t in model.tokenize(x.decode("latin-1").translate(names))] for x in pieces], added=added, encode_text=lambda x: tokenizer.encode(x, add_special_tokens=False).ids)
 
     return once(("library vocabulary", path), make)

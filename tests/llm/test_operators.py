@@ -83,6 +83,25 @@ def test_token_files(docs, empty):
     assert token_files.read_token_files(token_files.write_token_files(empty, path)).isEmpty()
 
 
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    path, mark = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    library = Tokenizer.from_file(path)
+    texts = [f"end {mark} begin", "plain text", None, f"{mark}{mark}  x\n", "", mark, f"é {mark[:-1]} it's", f"{'long words ' * 400}{mark} {'more ' * 300}", "the end"]
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert 50256 in ids[0]
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    at, want = 0, []
+    for i, x in ids.items():
+        want.append((i, at, len(x) + 1, crc([*x, 2])))
+        at += len(x) + 1
+    assert sorted(map(tuple, token_files.read_token_files(token_files.write_token_files(df, path)).collect())) == want
+    want = [(i, k, s, n, crc([*x, 0][s : s + n])) for i, x in ids.items() for k, (s, n) in enumerate(packing.split_document(len(x) + 1, 64))]
+    assert sorted(map(tuple, packing.document_pieces(df, path, 0, 64).collect())) == want
+
+
 def test_codes_are_addressable(tmp_path):
     rng = np.random.default_rng(1)
     ids = rng.choice([0, 255, 256, 65535, 65536, 2**31], 3000).astype(np.uint32)
