@@ -3,10 +3,10 @@
 The field scores whole segments: each candidate (a run of tokens of bounded
 length around digits or an at sign) has features of its full text, and dynamic
 programming over the tokens chooses the segments, their boundaries and their
-types together.  Texts without a digit or an at sign can't hold a
-candidate and are passed over; in others only windows around such signs are decoded,
-which gives the same result as decoding the whole text, as tokens outside can only
-be left alone.
+types together.  Every candidate holds a digit, an at sign or the word "at", so only
+windows around these are decoded, as many tokens wide as a segment and the
+features before it reach.  That gives the same result as decoding the whole text, as tokens
+outside can only be left alone.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import math
 import random
 import re
 from collections import defaultdict
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,9 +76,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
 MAX_TOKENS = 20  # of a segment
-MARGIN = 8  # tokens of context kept around a window
+CONTEXT = 6  # tokens before a segment that its features look at
 NONE = len(KINDS)
-JOINERS = {"at", "dot"}
+SCALE = 1 << 20  # of scores when they are summed up
 
 
 def candidates(tokens: list[str]):
@@ -127,7 +128,7 @@ def features(tokens: list[str], i: int, j: int, kind: int) -> list[str]:
     digits = "".join(c for c in text if c.isdigit())
     k = KINDS[kind]
     out = [k]
-    before = [t.lower() for t in tokens[max(0, i - 6) : i] if t.isalpha()][-2:]
+    before = [t.lower() for t in tokens[max(0, i - CONTEXT) : i] if t.isalpha()][-2:]
     out += [f"{k}|before={w}" for w in before]
     if kind == 0:
         tail = part[-1]
@@ -170,18 +171,23 @@ class Field:
         return self.weights.get(f"step {a}>{b}", 0.0)
 
     def decode(self, tokens: list[str]) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities (first token, type, past the last)."""
+        """The best segmentation's entities (first token, type, past the last).
+
+        Scores are summed as whole numbers, so that which of several equal segmentations is
+        chosen doesn't hang on the tokens before them.
+        """
         by_end, n = self.segments(tokens), len(tokens)
         if not by_end:
             return []
+        steps = [[round(SCALE * self.step(p, k)) for k in range(NONE + 1)] for p in range(NONE + 1)]
         best = [[-math.inf] * (NONE + 1) for _ in range(n + 1)]
         back: list[list] = [[None] * (NONE + 1) for _ in range(n + 1)]
-        best[0][NONE] = 0.0
+        best[0][NONE] = 0
         for j in range(1, n + 1):
-            moves = [(j - 1, NONE, 0.0), *((i, k, s) for i, k, _, s in by_end.get(j, ()))]
+            moves = [(j - 1, NONE, 0), *((i, k, round(SCALE * s)) for i, k, _, s in by_end.get(j, ()))]
             for i, k, s in moves:
                 for p in range(NONE + 1):
-                    v = best[i][p] + s + self.step(p, k)
+                    v = best[i][p] + s + steps[p][k]
                     if v > best[j][k]:
                         best[j][k], back[j][k] = v, (i, p)
         out, j, k = [], n, max(range(NONE + 1), key=lambda x: best[n][x])
@@ -301,14 +307,12 @@ def trained_field(n_windows: int = 400, passes: int = 4, seed: int = 7) -> Field
     return once(("personal data field", n_windows, passes, seed), make)
 
 
-TRIGGER = re.compile(r"[0-9@]|\b(?:at|dot)\b", re.I)
-HOLDS = re.compile(r"[0-9]{4}|[0-9][^A-Za-z]{0,3}[0-9]|@|\bdot\b|\(at\)|\[at\]", re.I)
+#: What every candidate holds: digits, an at sign or the token "at" in any case.
+TRIGGER = re.compile(r"[0-9]+|@|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the field's entities in a text."""
-    if not HOLDS.search(text):
-        return []
     out = []
     for begin, end in windows(text):
         tokens = TOKEN.findall(text, begin, end)
@@ -324,29 +328,39 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
 def windows(text: str):
     """Places (begin, end) around triggers, far enough apart to be decoded each by itself.
 
-    Two triggers further apart than any segment reaches fall into two windows.
+    A segment reaches MAX_TOKENS - 1 tokens from a trigger in it.  Triggers with more than twice
+    MAX_TOKENS tokens between them fall into two windows; a window also holds the
+    tokens that features look at and one more on each side, which no segment covers.
     """
-    reach = 6 * MARGIN
     begin = end = None
     for m in TRIGGER.finditer(text):
-        if begin is not None and m.start() - end <= 2 * reach:
+        if begin is not None and (m.start() - end <= 2 * MAX_TOKENS or tokens_after(text, end, 2 * MAX_TOKENS) >= m.start()):
             end = m.end()
             continue
         if begin is not None:
-            yield _cut(text, begin, end, reach)
-        begin, end = m.start(), m.end()
+            yield tokens_before(text, begin, MAX_TOKENS + CONTEXT), tokens_after(text, end, MAX_TOKENS)
+        begin, end = m.span()
     if begin is not None:
-        yield _cut(text, begin, end, reach)
-
-
-def _cut(text: str, begin: int, end: int, reach: int):
-    """Widen by the reach, and on to where no run of letters or digits is cut."""
-    begin, end = max(0, begin - reach), min(len(text), end + reach)
-    while begin and text[begin - 1].isalnum() and text[begin].isalnum():
-        begin -= 1
-    while end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
-        end += 1
-    return begin, end
+        yield tokens_before(text, begin, MAX_TOKENS + CONTEXT), tokens_after(text, end, MAX_TOKENS)
+
+
+def tokens_after(text: str, at: int, n: int) -> int:
+    """The end of the n-th token after a token's end, or of the text."""
+    for m in islice(TOKEN.finditer(text, at), n):
+        at = m.end()
+    return at
+
+
+def tokens_before(text: str, at: int, n: int) -> int:
+    """The start of the n-th token before a token's start, or of the text."""
+    size = 8 * n
+    while size < at:
+        starts = [m.start() for m in TOKEN.finditer(text, at - size, at)]
+        if len(starts) > n:  # the first of them may be the rest of a longer token
+            return starts[-n]
+        size *= 4
+    starts = [m.start() for m in TOKEN.finditer(text, 0, at)]
+    return starts[-n] if len(starts) >= n else 0
 
 
 def all_spans(text: str, field: Field):

@@ -350,6 +350,26 @@ def test_field_on_held_out_windows():
     assert hit / gold_n > 0.75 and hit / found_n > 0.75
 
 
+def test_windows_equal_whole_texts():
+    field, rng = personal_data.trained_field(), random.Random(8)
+    host = "computationallinguistics.informaticsdepartment.universitynorthernexample.edu"
+    local = ".".join(["verylongfirstname", "evenlongersecondname", "andthelongestfamilyname"])
+    parts = [f"john [at] {host}", f"{local} (at) mail dot com", f"{local} at mail.{host}", "ann_at_mail.example.org", "we met at noon. Then", "192 . 168 . 1 . 7", "1 2 3 4 5 6 7", "(234) 555-6789", "4111 1111 1111 1111", "a" * 90, "é" * 30, "words and more words ", "\n", ". ", ", ", " dot ", "at", "9", "x@y", " " * 12]
+    whole_n = 0
+    texts = [f"write to john [at] {host} now"] + ["".join(rng.choice(parts) + rng.choice(("", " ", "  ")) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    texts += [" filler of words".join([""] + rng.choices(parts, k=4) + [""]) + " word" * rng.randint(10, 60) for _ in range(200)]
+    for t in texts:
+        tokens = personal_data.TOKEN.findall(t)
+        at = [0]
+        for x in tokens:
+            at.append(at[-1] + len(x))
+        whole = [(at[i], k, at[j]) for i, k, j in field.decode(tokens)]
+        assert personal_data.field_spans(t, field) == whole
+        whole_n += len(whole)
+    assert whole_n > 300
+    assert "northernexample" not in personal_data.redacted(texts[0], personal_data.all_spans(texts[0], field)[1])
+
+
 def test_quality(docs, empty):
     for r in quality.quality(docs).collect():
         t = r["text"] or ""
