@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from regionfx.llm.packing import document_pieces, pack_pieces
 from regionfx.llm.personal_data import find_personal_data
 from regionfx.llm.quality import accepted
-from regionfx.llm.similar import near_duplicates
+from regionfx.llm.similar import near_duplicate_groups, with_node
 from regionfx.llm.storage import materialize
 
 
@@ -24,13 +24,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group: the one with the smallest id; of repeated rows one stays."""
-    found = materialize(near_duplicates(docs, words_per_shingle=5), "groups")
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("n"))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]))
+    """Keeps one document of each near-duplicate group: the one with the smallest id, null ids last.
+
+    Of several texts with that id in a group the one with the smallest hash of its words
+    stays, of rows with equal ids and words one.
+    """
+    found = materialize(near_duplicate_groups(docs, words_per_shingle=5), "groups")
+    rows = found.groupBy("root", "id", "node").agg(F.count("*").alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "node", "n")).alias("x"))
+    kept = materialize(least.select("x.id", "x.node", "x.n"), "kept")
+    own = with_node(docs)
+    out = own.join(kept, (own["_node"] == kept["node"]) & own["doc_id"].cast("long").eqNullSafe(kept["id"]), "left_semi")
     if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*[docs[c] for c in docs.columns])
+        out = out.dropDuplicates(["doc_id", "_node"])
+    return out.select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

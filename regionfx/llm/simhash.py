@@ -50,6 +50,14 @@ def shingle_hashes(texts: list[bytes], words_per_shingle: int, text_seed: int =
     return np.array(hashes, dtype=np.uint64), np.array(counts, dtype=np.int64), np.array(wholes, dtype=np.uint64)
 
 
+def word_hashes(texts: list[bytes], text_seed: int = 0) -> np.ndarray:
+    """The last part of shingle_hashes alone."""
+    import xxhash
+
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    return np.array([xxhash.xxh64_intdigest(b" ".join(x.translate(lower).split()), text_seed) for x in texts], dtype=np.uint64)
+
+
 def fingerprints_of(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Fingerprints of texts from the hashes of their shingles."""
     out = np.zeros(len(counts), dtype=np.uint64)

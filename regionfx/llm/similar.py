@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionfx.llm.simhash import components, fingerprints_of, links, shingle_hashes
+from regionfx.llm.simhash import components, fingerprints_of, links, shingle_hashes, word_hashes
 from regionfx.llm.storage import materialize
 from regionfx.llm.words import chunks_of
 
@@ -128,16 +128,8 @@ def similar_edges(members: DataFrame, edges: DataFrame, sets: DataFrame, similar
         n_leads *= 4
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id, fp (long), component_id (the smallest id among documents reachable by links).
-
-    Links: equal words, fingerprints within three bits, or shingle sets with a
-    Jaccard similarity of at least ``similarity``.  Null and empty texts are linked to
-    one another; texts with fewer words than a shingle have their whole sequence as the only one.
-    Null ids keep their row; a component of null ids only has a null component_id.
-    Repeated rows stay; an empty table gives no rows; further columns of
-    ``docs`` are ignored.  Texts count as equal if a 64-bit hash of their words is.
-    """
+def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """near_duplicates with the columns node (a hash of the text's words) and root (one for each component) besides."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = materialize(signatures(source, words_per_shingle), "signatures")
     nodes = materialize(own.groupBy("node").agg(F.min("id").alias("least_id"), F.min("fp").alias("fp")), "nodes")
@@ -148,5 +140,35 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: flo
     edges = similar_edges(members, materialize(fingerprint_edges(nodes), "links"), sets, similarity)
     named = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_node = materialize(named.join(least, "root").select("node", "component_id"), "components")
-    return own.join(by_node, "node").select("id", "fp", "component_id")
+    by_node = materialize(named.join(least, "root").select("node", "root", "component_id"), "components")
+    return own.join(by_node, "node").select("id", "fp", "component_id", "node", "root")
+
+
+def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, similarity: float = 0.8, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document: id, fp (long), component_id (the smallest id among documents reachable by links).
+
+    Links: equal words, fingerprints within three bits, or shingle sets with a
+    Jaccard similarity of at least ``similarity``.  Null and empty texts are linked to
+    one another; texts with fewer words than a shingle have their whole sequence as the only one.
+    Null ids keep their row; a component of null ids only has a null component_id.
+    Repeated rows stay; an empty table gives no rows; further columns of
+    ``docs`` are ignored.  Texts count as equal if a 64-bit hash of their words is.
+    """
+    return near_duplicate_groups(docs, words_per_shingle, similarity, text, id_col).select("id", "fp", "component_id")
+
+
+def with_node(docs: DataFrame, text: str = "text", name: str = "_node") -> DataFrame:
+    """``docs`` and the node of each text (a null one counts as empty)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = docs.select("*", F.lit(None).cast("long").alias(name)).schema
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            nodes = word_hashes([(x or "").encode() for x in batch.column(text).to_pylist()], NODE_SEED)
+            yield pa.RecordBatch.from_arrays([*[c.cast(arrow.field(k).type) for k, c in enumerate(batch.columns)], pa.array(nodes.view(np.int64))], schema=arrow)
+
+    return docs.mapInArrow(hashed, schema)

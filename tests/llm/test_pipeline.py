@@ -1,5 +1,7 @@
 """The pipeline on the smallest tables, stage by stage."""
 
+import random
+
 import corpus_pipeline
 from regionfx.llm.storage import materialize
 from tests.compare import connect, rows
@@ -24,3 +26,16 @@ def test_quality_sql(spark, sf_dir):
 
     df, expected = op10_quality_rules(spark, sf_dir), connect(sf_dir).sql(OP10_SQL)
     assert rows(df.collect(), df.columns) == rows(expected.fetchall(), expected.columns)
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(120))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (9, e), (None, e + " and more"), (3, f), (3, f), (4, f.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(None, a), (None, b), (7, c), (7, d), (9, e), (3, f)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, want))
+    assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").isEmpty()
