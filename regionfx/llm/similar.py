@@ -4,10 +4,11 @@ Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ
 in about ten bits of a 64-bit SimHash, which ball hashing can't cover.  So
 texts also get band signatures of minima of their shingles' hashes; texts that
 share a band are compared by their whole sets.  A band's texts are compared
-with a few leaders, never each with each: a leader leaves the band after that,
-and the band is done when all its texts are in one component.  Bands with
+with a few leaders, never each with each: a leader leaves the band after that, as
+does a text that by its distance from a leader and its own shingles nothing in the band can be
+similar to.  The band is done when all its texts are in one component.  Bands with
 several components take four times as many leaders in the next round, so that
-in the end no two texts of a band are left uncompared and unlinked.
+in the end no two texts of a band are left that might be similar and are neither compared nor linked.
 """
 
 from __future__ import annotations
@@ -85,12 +86,11 @@ def fingerprint_edges(nodes: DataFrame) -> DataFrame:
     return same.union(near.select("a_node", "b_node"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of nodes whose shingle sets are at least so similar."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with the sizes of their shingle sets and of what these share."""
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set")), end)
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.where(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared) - 1e-9).select("a", "b")
+    return pairs.select("a", "b", F.size("a_set").alias("a_size"), F.size("b_set").alias("b_size"), F.size(F.array_intersect("a_set", "b_set")).alias("shared"))
 
 
 def crowded_bands(sigs: DataFrame) -> DataFrame:
@@ -100,31 +100,65 @@ def crowded_bands(sigs: DataFrame) -> DataFrame:
     return met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("sig", "node", "weight")
 
 
+def hopeful(met: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(sig, node, weight): the members of bands that another one of their band may still be similar enough to.
+
+    met: (sig, node, weight, root, lead), the members of a band and the leaders they were
+    compared with; known: those comparisons.  A text's difference from a leader is
+    the symmetric difference of their sets, of size d; the distance of two texts is
+    the symmetric difference of their differences.  Shingles that no other
+    text here has (u of them) are in no two differences, so x and y differ in at least
+    d(x) + d(y) - 2 min(d(x) - u(x), d(y) - u(y)) shingles, and similar ones in at most
+    share * (size(x) + size(y)).  With high = d - 2u + share * size and low = d - share * size a
+    pair needs high(y) >= low(x) and high(x) >= low(y).  Members are held against
+    summaries of their band in steps of low, each with its greatest high and least low.
+    """
+    share = (1 - similarity) / (1 + similarity)
+    of = known.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("a_size").alias("size"), (F.col("a_size") + F.col("b_size") - 2 * F.col("shared")).alias("d"))
+    of = of.union(known.select("b", "a", "b_size", F.col("a_size") + F.col("b_size") - 2 * F.col("shared")))
+    there = met.select("node").union(met.select("lead")).distinct()
+    own = sets.join(there, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    single = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("u"))
+    rows = met.join(of, ["node", "lead"]).join(single, "node", "left")
+    slack = share * F.col("size") + 1e-6
+    rows = rows.select("sig", "node", "weight", "root", "lead", (F.col("d") - 2 * F.coalesce("u", F.lit(0)) + slack).alias("high"), (F.col("d") - slack).alias("low"), (8 * F.log2(F.greatest(F.col("d"), F.lit(1)))).cast("int").alias("step"))
+    rows = materialize(rows, "bounds")
+    steps = rows.groupBy("sig", "lead", "step").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.min("root").alias("first"), F.max("root").alias("last"))
+    bands = steps.groupBy("sig", "lead").agg(F.collect_list(F.struct("high", "low", "first", "last")).alias("steps"))  # at most 8 for each doubling of d
+    may = F.exists("steps", lambda s: (s["high"] >= F.col("low")) & (s["low"] <= F.col("high")) & ((s["first"] != F.col("root")) | (s["last"] != F.col("root"))))
+    return rows.join(bands, ["sig", "lead"]).groupBy("sig", "node").agg(F.first("weight").alias("weight"), F.min(may).alias("may")).where("may").drop("may")
+
+
 def similar_edges(members: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``edges`` and those between members of a band that are similar enough, but for such as are in one component already.
 
     Texts that meet many others lead first: the text that a family of near copies
-    was made from links them all in the first round.
+    was made from links them all in the first round.  Members that nothing in their
+    band can be similar to any more leave it.
     """
-    n_leads, tested, active = 1, None, members
+    n_leads, tested, active, roots = 1, None, members, components(edges)
     while True:
-        roots = components(edges)
         seen = materialize(active.join(roots, "node", "left").select("sig", "node", "weight", F.coalesce("root", "node").alias("root")), "band-members")
-        best = F.min(F.struct((-F.col("weight")).alias("order"), F.col("node").alias("lead"), F.col("root").alias("lead_root"))).alias("x")
-        ranges = [F.min("root").alias("low"), F.max("root").alias("high")]
+        best = F.min(F.struct((-F.col("weight")).alias("order"), F.col("node").alias("lead"))).alias("x")
+        ranges = [F.min("root").alias("first"), F.max("root").alias("last")]
         leads = seen.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(n_leads)).alias("part")).agg(best, *ranges)
-        leads = leads.groupBy("sig").agg(F.collect_list("x").alias("x"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-        leads = materialize(leads.select("sig", F.inline("x")), "leads")
+        leads = leads.groupBy("sig").agg(F.collect_list("x.lead").alias("leads"), F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
+        leads = materialize(leads.select("sig", F.explode("leads").alias("lead")), "leads")
         if leads.isEmpty():
             return edges
-        met = seen.join(leads.select("sig", "lead", "lead_root"), "sig").where("root <> lead_root")
+        met = materialize(seen.join(leads, "sig").where("node <> lead"), "met-leads")
         pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        edges = edges.union(materialize(verified(pairs, sets, similarity), "similar"))
-        left = seen.join(leads.select("sig").distinct(), "sig", "left_semi")
-        gone = leads.select("sig", F.col("lead").alias("node"))
-        active = materialize(left.join(gone, ["sig", "node"], "left_anti").select("sig", "node", "weight"), "bands")
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        known = materialize(compared(pairs, sets), "compared")
+        tested = known if tested is None else tested.union(known)
+        edges = edges.union(known.where(F.col("shared") >= similarity * (F.col("a_size") + F.col("b_size") - F.col("shared")) - 1e-9).select("a", "b"))
+        roots = components(edges)
+        led = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_bands = led.groupBy("sig").agg(*ranges).where("first <> last").select("sig")
+        led = materialize(led.join(open_bands, "sig", "left_semi"), "led")
+        left = hopeful(led, tested, sets, similarity)
+        active = materialize(left.join(leads.withColumnRenamed("lead", "node"), ["sig", "node"], "left_anti"), "bands")
         n_leads *= 4
 
 

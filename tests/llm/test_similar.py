@@ -38,12 +38,10 @@ def texts():
     return [*out, out[6], " ".join(["again and again"] * 20000)]
 
 
-def test_groups_equal_brute_force(spark, texts):
-    rows = [(i, t, [1], "x") for i, t in enumerate(texts)] + [(9, texts[9], [2], "y"), (None, texts[10], [3], "z"), (None, "only here", [4], "z")]
+def _check(spark, texts, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, bands array<int>, node string").repartition(3)
     got = similar.near_duplicates(docs).collect()
     assert len(got) == len(rows)
-    assert [r["component_id"] for r in got if r["id"] is None].count(None) == 1
     prints = [x.view("int64").item() for x in simhash.fingerprint_batch([(t or "").encode() for t in texts], 5)]
     sets, root = [_set(t) for t in texts], list(range(len(texts)))
 
@@ -58,7 +56,34 @@ def test_groups_equal_brute_force(spark, texts):
             if sets[i] == sets[j] or (prints[i] % 2**64 ^ prints[j] % 2**64).bit_count() <= 3 or n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    assert _groups({r["id"]: r["component_id"] for r in got if r["id"] is not None}.items()) == _groups((i, find(i)) for i in range(len(texts)))
+    groups = _groups((i, find(i)) for i in range(len(texts)))
+    assert _groups({r["id"]: r["component_id"] for r in got if r["id"] is not None}.items()) == groups
+    return got, groups
+
+
+def test_groups_equal_brute_force(spark, texts):
+    rows = [(i, t, [1], "x") for i, t in enumerate(texts)] + [(9, texts[9], [2], "y"), (None, texts[10], [3], "z"), (None, "only here", [4], "z")]
+    got, _ = _check(spark, texts, rows)
+    assert [r["component_id"] for r in got if r["id"] is None].count(None) == 1
+
+
+def test_large_families_equal_brute_force(spark):
+    """Copies of a text around the least similarity, with changes that several of them have in common, and copies of copies."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 2000)}"
+    texts = []
+    for size, most, few in ((150, 9, 6), (60, 4, 3), (300, 18, 400)):
+        base = [word() for _ in range(size)]
+        family = [base]
+        for _ in range(120):
+            near = list(base if rng.random() < 0.8 else rng.choice(family))
+            for _ in range(rng.randint(1, most)):
+                near[rng.randrange(len(near))] = f"x{rng.randint(0, few)}"
+            family.append(near[rng.choice((0, 0, 0, 3)) :])
+        texts += [" ".join(x) for x in family]
+    texts = list(dict.fromkeys(texts))
+    _, groups = _check(spark, texts, [(i, t, [1], "x") for i, t in enumerate(texts)])
+    assert max(map(len, groups)) > 30 and sum(len(g) == 1 for g in groups) > 100
 
 
 def test_empty_table(spark):
