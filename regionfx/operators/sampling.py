@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionfx.storage import materialize
+
 
 def top_n(df: DataFrame, col: str, n: int, tiebreak: str) -> DataFrame:
     return df.orderBy(F.desc(col), F.col(tiebreak)).limit(n)
@@ -24,16 +28,45 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return df.orderBy(hash_order(key, seed), key).limit(n)
 
 
-def numbered(df: DataFrame, order: str, name: str = "row_no") -> DataFrame:
-    """Rows numbered from 1 in a global order without one task for all: partitions are ranges, whose sizes are added up.
+def same(keys: list[str], a: DataFrame, b: DataFrame) -> Column:
+    """Equal keys of two tables, nulls among them."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"_{k}"]) for k in keys])
+
+
+def numbered(df: DataFrame, order: str | list[str], name: str = "row_no", keys: list[str] | None = None) -> DataFrame:
+    """Rows numbered from 1 in a stated order, over the whole table or within each key, without one task for all rows or for a key.
+
+    The rows are written once in ranges of (keys, order), with their place in the range; the
+    numbers of rows of a key in each range (a row for each range and key in it) are added up and joined back.  Rows that are equal in
+    ``order`` are numbered in any order.  An empty table gives no rows.
+    """
+    keys, order = keys or [], [order] if isinstance(order, str) else order
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialize(ranged.withColumn("_part", F.shiftright("_at", 33)), "ranges")
+    sizes = ranged.groupBy("_part", *keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("_part").alias("__part"), *[F.col(k).alias(f"_{k}") for k in keys], (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    out = ranged.join(before, same(["_part", *keys], ranged, before))
+    return out.select(*[c for c in df.columns if c != name], (F.col("_at") + F.col("_shift")).alias(name))
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str | Column, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds for each (name: column) the sum of the column over the rows of the key before this one; ranges as in ``numbered``.
 
-    Only one row per partition is collected by a window.
+    Rows of a key must differ in ``order``.
     """
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min(order).alias("_min"))
-    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    return local.join(F.broadcast(before), "_p").withColumn("_b", (F.col("_b") + F.col("_k")).cast("long")).drop("_p", "_k").withColumnRenamed("_b", name)
+    order = F.col(order) if isinstance(order, str) else order
+    order = order.desc() if descending else order.asc()
+    ranged = df.repartitionByRange(*keys, order).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    parts = ranged.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    over = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = over(Window.partitionBy(*keys).orderBy("_part"))
+    before = parts.select(F.col("_part").alias("__part"), *[F.col(k).alias(f"_{k}") for k in keys], *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    inside = over(Window.partitionBy("_part", *keys).orderBy(order))
+    out = ranged.withColumns({f"_w_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    out = out.join(before, same(["_part", *keys], out, before))
+    return out.select(*[c for c in df.columns if c not in sums], *[(F.col(f"_b_{n}") + F.col(f"_w_{n}")).alias(n) for n in sums])
 
 
 def batch_slice(df: DataFrame, order: str, start: int, size: int = 20) -> DataFrame:
@@ -44,9 +77,11 @@ def batch_slice(df: DataFrame, order: str, start: int, size: int = 20) -> DataFr
 
 def burn_in_sample(df: DataFrame, series: str, order: str, share: float, k: int, seed: int) -> DataFrame:
     """Per series: drop the first floor(share*n) rows, then take k of the others by a seeded hash."""
-    w = Window.partitionBy(series)
-    late = df.withColumn("_i", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count("*").over(w)).where(F.col("_i") > F.floor(F.col("_n") * share))
-    return late.withColumn("_k", F.row_number().over(w.orderBy(hash_order(order, seed), order))).where(F.col("_k") <= k).drop("_i", "_n", "_k")
+    sizes = df.groupBy(F.col(series).alias("_series")).agg(F.count("*").alias("_n"))
+    rows = numbered(df, order, "_i", [series])
+    late = rows.join(sizes, rows[series].eqNullSafe(sizes["_series"])).where(F.col("_i") > F.floor(F.col("_n") * share))
+    chosen = Window.partitionBy(series).orderBy(hash_order(order, seed), order)  # a task keeps k rows of a series before the shuffle
+    return late.withColumn("_k", F.row_number().over(chosen)).where(F.col("_k") <= k).drop("_i", "_n", "_k", "_series")
 
 
 def union_by_name(*dfs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionfx.functions import pvalues
+from regionfx.operators.sampling import running_sums
 
 
 def _score_table(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -16,8 +17,7 @@ def _score_table(df: DataFrame, score: str, label: str, by: list[str]) -> DataFr
 def auroc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """(by, auroc, n_pos, n_neg): ties count half; null where one class is missing."""
     t = _score_table(df, score, label, by)
-    w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = t.withColumn("b", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    below = running_sums(t, by, "s", {"b": "n"})
     g = below.groupBy(*by).agg(F.sum(F.col("p") * (F.col("b") + F.col("n") / F.lit(2.0))).alias("u"), F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"))
     return g.select(*by, F.try_divide(F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"), "n_pos", "n_neg")
 
@@ -25,9 +25,9 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 def roc_curve(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """(by, s, fpr, tpr) from the highest score down, with the start (0, 0) at a null score."""
     t = _score_table(df, score, label, by)
-    w = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     whole = t.groupBy(*by).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    steps = t.withColumn("cp", F.sum("p").over(w)).withColumn("cn", F.sum("n").over(w)).join(whole, by)
+    steps = running_sums(t, by, "s", {"cp": "p", "cn": "n"}, descending=True).withColumns({"cp": F.col("cp") + F.col("p"), "cn": F.col("cn") + F.col("n")})
+    steps = steps.join(whole, by) if by else steps.crossJoin(whole)  # one row
     curve = steps.select(*by, "s", F.try_divide(F.col("cn"), F.col("_n")).alias("fpr"), F.try_divide(F.col("cp"), F.col("_p")).alias("tpr"))
     zero = whole.select(*by, F.lit(None).cast(dict(curve.dtypes)["s"]).alias("s"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return zero.unionByName(curve)
@@ -78,12 +78,11 @@ def mann_whitney_pairs(df: DataFrame, group: str, value: str, by: list[str] | No
     counts = df.na.drop(subset=[group, value]).groupBy(*by, F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
     names = counts.select(*by, "g").distinct()
     a, b = names.withColumnRenamed("g", "a"), names.withColumnRenamed("g", "b")
-    pairs = (a.join(b, by) if by else a.join(F.broadcast(b))).where("a < b")
+    pairs = (a.join(b, by) if by else a.crossJoin(b)).where("a < b")  # of groups: a row for each pair in the result
     x = counts.select(*by, F.col("g").alias("_g"), "v", "c")
     side = pairs.withColumn("_g", F.explode(F.array("a", "b"))).join(x, [*by, "_g"])
     t = side.groupBy(*by, "a", "b", "v").agg(F.sum(F.when(F.col("_g") == F.col("a"), F.col("c")).otherwise(0)).alias("ca"), F.sum(F.when(F.col("_g") == F.col("b"), F.col("c")).otherwise(0)).alias("cb"))
-    w = Window.partitionBy(*by, "a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("below", F.coalesce(F.sum("cb").over(w), F.lit(0))).withColumn("k", (F.col("ca") + F.col("cb")).cast("double"))
+    t = running_sums(t, [*by, "a", "b"], "v", {"below": "cb"}).withColumn("k", (F.col("ca") + F.col("cb")).cast("double"))
     g = t.groupBy(*by, "a", "b").agg(F.sum("ca").alias("n1"), F.sum("cb").alias("n2"), F.sum(F.col("ca") * (F.col("below") + F.col("cb") / F.lit(2.0))).alias("u"), F.sum(F.pow("k", F.lit(3.0)) - F.col("k")).alias("ties"))
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), (F.col("n1") + F.col("n2")).cast("double")
     var = n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
@@ -114,21 +113,25 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 def chi2_contingency(counts: DataFrame, row: str, col: str, by: list[str] | None = None) -> DataFrame:
     """(by, chi2, dof, p) of a table (row, col, n), cells that don't occur included; Yates' correction for one degree of freedom.
 
-    Empty cells add their expected count: the sum over all cells is that over
-    the cells present plus what the expected counts lack of the total.
+    No grid of all cells is formed: an empty cell adds its expected count, and
+    all expected counts add up to the total.  In a table of two by two all cells are
+    equally far from their expected counts, so one cell and the marginals give the corrected sum.
     """
     by = by or []
     r = counts.groupBy(*by, row).agg(F.sum("n").alias("_r"))
     c = counts.groupBy(*by, col).agg(F.sum("n").alias("_c"))
-    t = counts.groupBy(*by).agg(F.sum("n").alias("_t"), F.count_distinct(row).alias("_nr"), F.count_distinct(col).alias("_nc"))
-    grid = (r.join(c, by) if by else r.join(F.broadcast(c))).join(counts, [*by, row, col], "left")
-    grid = grid.join(t, by) if by else grid.join(F.broadcast(t))
-    o, e = F.coalesce("n", F.lit(0)), F.col("_r") * F.col("_c") / F.col("_t").cast("double")
-    dof = (F.col("_nr") - 1) * (F.col("_nc") - 1)
-    gap = F.abs(o - e)
-    gap = F.when(dof == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    out = grid.groupBy(*by).agg(F.sum(gap * gap / e).alias("chi2"), F.first(dof).cast("int").alias("dof"))
-    return out.withColumn("p", pvalues.chi2_p(F.col("chi2"), F.col("dof")))
+    inverse = lambda t, x, name: t.groupBy(*by).agg(F.sum(F.try_divide(F.lit(1.0), F.col(x))).alias(name), F.count("*").alias(f"_n{name}"))
+    total = counts.groupBy(*by).agg(F.sum("n").cast("double").alias("_t"))
+    of = lambda a, b: a.join(b, by) if by else a.crossJoin(b)  # noqa: E731  one row each without keys
+    t = of(of(total, inverse(r, "_r", "_ir")), inverse(c, "_c", "_ic"))
+    cells = of(counts.join(r, [*by, row]).join(c, [*by, col]), t)
+    e = F.col("_r") * F.col("_c") / F.col("_t")
+    gap = F.abs(F.col("n") - e)
+    g = cells.groupBy(*by).agg(F.sum(F.coalesce(F.try_divide(gap * gap, e), F.lit(0.0)) - e).alias("_s"), F.max(gap).alias("_g"), *[F.first(x).alias(x) for x in ("_t", "_ir", "_ic", "_n_ir", "_n_ic")])
+    dof = ((F.col("_n_ir") - 1) * (F.col("_n_ic") - 1)).cast("int")
+    less = F.col("_g") - F.least(F.lit(0.5), F.col("_g"))
+    chi2 = F.when(dof == 1, less * less * F.col("_t") * F.col("_ir") * F.col("_ic")).otherwise(F.greatest(F.col("_s") + F.col("_t"), F.lit(0.0)))
+    return g.select(*by, chi2.alias("chi2"), dof.alias("dof")).withColumn("p", pvalues.chi2_p(F.col("chi2"), F.col("dof")))
 
 
 def one_vs_rest_chi2(df: DataFrame, term: str, category: str, top_n: int, alpha: float = 0.05) -> DataFrame:
@@ -136,7 +139,7 @@ def one_vs_rest_chi2(df: DataFrame, term: str, category: str, top_n: int, alpha:
     counts = df.na.drop(subset=[term, category]).groupBy(F.col(term).alias("term"), F.col(category).alias("category")).agg(F.count("*").alias("n"))
     top = counts.groupBy("term").agg(F.sum("n").alias("_t")).orderBy(F.desc("_t"), "term").limit(top_n).select("term")
     whole = counts.groupBy("category").agg(F.sum("n").alias("whole"))
-    cells = top.join(F.broadcast(whole)).join(counts, ["term", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    cells = whole.crossJoin(F.broadcast(top)).join(counts, ["term", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     both = cells.select("term", "category", F.inline(F.array(F.struct(F.lit("term").alias("side"), F.col("n").alias("n")), F.struct(F.lit("other").alias("side"), (F.col("whole") - F.col("n")).alias("n")))))
     return chi2_contingency(both, "side", "category", ["term"]).where(F.col("p") < alpha).orderBy("p", "term")
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionfx.operators.sampling import numbered, running_sums
 
-def neighbour_window(df: DataFrame, region: str, pos: str, f: str, size: int, k: int = 3, out: str = "window") -> DataFrame:
-    """Feature arrays at offsets -k..+k joined, zeros outside the region.  Positions of a region follow each other without gaps."""
-    w = Window.partitionBy(region).orderBy(pos)
+
+def neighbour_window(df: DataFrame, region: str, pos: str, f: str, size: int, k: int = 3, out: str = "window", block: int = 4096) -> DataFrame:
+    """Feature arrays at offsets -k..+k joined, zeros outside the region.  Positions of a region follow each other without gaps.
+
+    A region is cut into blocks of positions, each with the k rows beyond its ends, so that a long region isn't one task.
+    """
+    at = lambda p: F.floor(p / block)
+    parts = F.array_distinct(F.array(at(F.col(pos) - k), at(F.col(pos)), at(F.col(pos) + k)))
+    rows = df.select("*", F.explode(parts).alias("_block"))
+    w = Window.partitionBy(region, "_block").orderBy(pos)
     zeros = F.array_repeat(F.lit(0).cast("float"), size)
     near = [F.coalesce(F.lag(f, -o).over(w), zeros) if o < 0 else (F.coalesce(F.lead(f, o).over(w), zeros) if o > 0 else F.col(f)) for o in range(-k, k + 1)]
-    return df.withColumn(out, F.concat(*near))
+    return rows.withColumn(out, F.concat(*near)).where(F.col("_block") == at(F.col(pos))).drop("_block")
 
 
 def normalise_by_mean(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
@@ -29,8 +37,7 @@ def zscore(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
 def avg_rank(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     """(keys, value, n, rank): average ranks from the table of distinct values; nulls are left out."""
     counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0))
+    return running_sums(counts, keys, "value", {"_below": "n"}).withColumn("rank", F.col("_below") + (F.col("n") + 1) / F.lit(2.0)).drop("_below")
 
 
 def aligned_segments(df: DataFrame, key: str, a: str, b: str, gap: str = "-", min_len: int = 5) -> DataFrame:
@@ -51,8 +58,10 @@ def identity_pct(a, b, gap: str = "-"):
 
 
 def with_index(df: DataFrame, series: str, order: list[str]) -> DataFrame:
-    """t from 0 and the series' length n."""
-    return df.withColumn("t", F.row_number().over(Window.partitionBy(series).orderBy(*order)).cast("long") - 1).withColumn("n", F.count("*").over(Window.partitionBy(series)))
+    """t from 0 and the series' length n; a long series is numbered in ranges, over many tasks."""
+    sizes = df.groupBy(F.col(series).alias("_series")).agg(F.count("*").alias("n"))
+    rows = numbered(df.drop("t", "n"), order, "_i", [series])
+    return rows.join(sizes, rows[series].eqNullSafe(sizes["_series"])).withColumn("t", F.col("_i") - 1).drop("_i", "_series")
 
 
 def autocorrelation(df: DataFrame, series: str, max_lag: int) -> DataFrame:
@@ -64,25 +73,33 @@ def autocorrelation(df: DataFrame, series: str, max_lag: int) -> DataFrame:
     return a.join(b, [series, "u"]).join(s, series).groupBy(series, "lag").agg(r.alias("r"))
 
 
+def divisors(n: Column) -> Column:
+    """All divisors of n (at least 1) in ascending order, n and 1 among them: those up to its root, and their counterparts."""
+    low = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(n.cast("double"))).cast("long")), lambda d: n % d == 0)
+    return F.array_sort(F.array_union(low, F.transform(low, lambda d: F.floor(n / d).cast("long"))))
+
+
 def block_average_error(df: DataFrame, series: str) -> DataFrame:
     """(series, blocks, err, err_err) for each divisor of the length from 2 on, of (series, t, n, x).
 
-    A row is needed once per divisor; sums of a block combine before the shuffle.
+    Divisors are found once per series.  A row is needed once per divisor; sums of a block combine before the shuffle.
     """
-    divisors = F.filter(F.sequence(F.lit(2).cast("long"), F.greatest("n", F.lit(2))), lambda b: F.col("n") % b == 0)
-    rows = df.select(series, "t", "n", "x", F.explode(divisors).alias("blocks"))
+    sizes = df.groupBy(F.col(series).alias("_series")).agg(F.max("n").alias("_n")).withColumn("_d", F.filter(divisors(F.col("_n")), lambda d: d > 1))
+    rows = df.join(sizes, df[series].eqNullSafe(sizes["_series"])).select(series, "t", "n", "x", F.explode("_d").alias("blocks"))
     means = rows.groupBy(series, "blocks", F.floor(F.col("t") / (F.col("n") / F.col("blocks"))).alias("b")).agg(F.avg("x").alias("m"))
     err = F.sqrt(F.var_pop("m") / (F.count("*") - 1))
     return means.groupBy(series, "blocks").agg(err.alias("err")).withColumn("err_err", F.col("err") / F.sqrt(2.0 * (F.col("blocks") - 1)))
 
 
 def trim_for_blocking(df: DataFrame, series: str, min_divisors: int = 20, max_trim: int = 101) -> DataFrame:
-    """(series, n, trimmed): the longest length from n down to n - max_trim + 1 with enough divisors (1 and itself not counted); n where none has."""
+    """(series, n, trimmed): the longest length from n - 1 down to n - max_trim that has enough divisors; where none has, the last length tried.
+
+    A length that has enough divisors itself stays as it is.  Divisors are counted from 2 on, the length itself among them.  Lengths below 1 aren't tried.
+    """
     lengths = df.groupBy(series).agg(F.count("*").alias("n"))
-    tries = lengths.withColumn("m", F.explode(F.sequence(F.col("n"), F.greatest(F.col("n") - max_trim + 1, F.lit(1)), F.lit(-1).cast("long"))))
-    k = F.size(F.filter(F.sequence(F.lit(2).cast("long"), F.greatest("m", F.lit(2))), lambda b: F.col("m") % b == 0))
-    best = tries.where(k >= min_divisors).groupBy(series).agg(F.max("m").alias("trimmed"))
-    return lengths.join(best, series, "left").withColumn("trimmed", F.coalesce("trimmed", "n"))
+    tries = F.sequence(F.col("n"), F.greatest(F.col("n") - max_trim, F.lit(1)), F.lit(-1).cast("long"))
+    good = F.filter(tries, lambda m: F.size(divisors(m)) - 1 >= min_divisors)
+    return lengths.withColumn("trimmed", F.coalesce(F.get(good, F.lit(0)), F.element_at(tries, -1)))
 
 
 def block_sem(errors: DataFrame, series: str) -> DataFrame:

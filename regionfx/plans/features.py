@@ -42,7 +42,7 @@ def pair_features(contacts: DataFrame, cov: DataFrame | None, channels: list, cu
 def property_diff(df: DataFrame, props: DataFrame, orig: str, new: str) -> DataFrame:
     """Adds ``aa``: property vector of the new letter minus that of the original; props (aa, props) has a row per letter of the alphabet."""
     o, n = props.select(F.col("aa").alias(orig), F.col("props").alias("_o")), props.select(F.col("aa").alias(new), F.col("props").alias("_n"))
-    return df.join(F.broadcast(o), orig).join(F.broadcast(n), new).withColumn("aa", S.vector_diff(F.col("_n"), F.col("_o"))).drop("_o", "_n")
+    return df.join(o, orig).join(n, new).withColumn("aa", S.vector_diff(F.col("_n"), F.col("_o"))).drop("_o", "_n")
 
 
 def variant_feature_table(variants: DataFrame, regions: DataFrame, residue: DataFrame, contacts: DataFrame, cov: DataFrame | None, props: DataFrame, alphabet: list[str], channels: list, size: int, k: int = 3, rmsf: int | None = None) -> DataFrame:

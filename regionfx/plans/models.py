@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionfx.operators.sampling import hash_order
+from regionfx.storage import shared_root
 
 #: One registry of feature groups by column-name pattern, for training, scoring and importances alike.
 FEATURE_GROUPS = {"residue": "^Res_", "pair": "^Pair_", "one_hot": "^One_Hot_", "length": "^Length$", "score": "^Score$"}
@@ -109,9 +110,7 @@ def dbscan_pairs(df: DataFrame, key: str, vector: str, eps: float, blocks: int)
     """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="regionfx-"))
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     x = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
     x = x.withColumn("slab", F.floor(F.get("v", F.lit(0)) / eps).cast("long"))
     near = x.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.explode(F.array(F.col("slab"), F.col("slab") - 1)).alias("slab"))

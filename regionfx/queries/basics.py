@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from regionfx.catalog import query, table
 from regionfx.functions import scalars as S
 from regionfx.operators import sampling as L
 from regionfx.sources import tables as T
-
-
-def _folder(spark, name):
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="regionfx-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from regionfx.storage import new_folder as _folder
 
 
 @query("s1_read_table", "SELECT o_orderkey AS order_id, o_orderstatus AS outcome, o_totalprice AS score FROM orders")
@@ -28,9 +20,9 @@ def s1(spark, d):
 def s2(spark, d):
     path = _folder(spark, "tsv")
     lines = table(spark, d, "nation").select(F.concat_ws("\t", "n_nationkey", "n_name", "n_regionkey").alias("value"))
-    head = lines.limit(1).select(F.explode(F.array(F.lit("# one"), F.lit("# two"))).alias("value"))
+    head = lines.limit(1).select(F.explode(F.array(F.lit("preamble"), F.lit("7\tno comment sign\t8"))).alias("value"))
     head.union(lines).coalesce(1).write.text(path)
-    return T.read_tsv(spark, path, "n_nationkey int, n_name string, n_regionkey int", usecols=["n_nationkey", "n_name"])
+    return T.read_tsv(spark, path, "n_nationkey int, n_name string, n_regionkey int", usecols=["n_nationkey", "n_name"], skip=2)
 
 
 @query("s3_read_whitespace", "SELECT p_partkey, split_part(p_name, ' ', 1) AS colour, nullif(split_part(p_name, ' ', 2), '') AS thing FROM part")
@@ -58,20 +50,20 @@ def s6(spark, d):
     return T.read_fasta(spark, path)
 
 
-@query("s7_mixed_layout", r"""WITH l AS (SELECT regexp_split_to_array(trim(split_part(text, chr(10), 1)), '\s+') AS p FROM documents)
+@query("s7_mixed_layout", r"""WITH l AS (SELECT regexp_split_to_array(trim(line), '\s+') AS p FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
 SELECT split_part(CASE WHEN contains(p[1], '_') THEN p[2] ELSE p[1] END, '-', 1) AS id, CASE WHEN contains(p[1], '_') THEN p[3] ELSE p[2] END AS location,
 CASE WHEN contains(p[1], '_') THEN p[4] ELSE p[3] END AS type FROM l WHERE contains(p[1], '_') OR regexp_matches(p[1], '^[A-Za-z]')""")
 def s7(spark, d):
-    return T.mixed_layout(table(spark, d, "documents").select(F.split("text", "\n")[0].alias("value")))
+    return T.mixed_layout(table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value")))
 
 
-@query("s8_matrix_to_long", "SELECT 'm' || label::VARCHAR AS row, 'p' || (i - 1)::VARCHAR AS column, round(avg(embedding[i]), 5) AS value FROM embeddings, range(1, 9) t(i) GROUP BY ALL")
+@query("s8_matrix_to_long", "SELECT 'm' || label::VARCHAR AS row, 'p' || (i - 1)::VARCHAR AS column, round(avg(embedding[i]), 5) AS value FROM embeddings, range(1, 65) t(i) GROUP BY ALL")
 def s8(spark, d):
     path = _folder(spark, "matrix")
-    means = table(spark, d, "embeddings").groupBy("label").agg(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 5).alias(f"p{i}") for i in range(8)])
-    line = F.concat_ws(",", F.concat(F.lit("m"), "label"), *[f"p{i}" for i in range(8)])
+    means = table(spark, d, "embeddings").groupBy("label").agg(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 5).alias(f"p{i}") for i in range(64)])
+    line = F.concat_ws(",", F.concat(F.lit("m"), "label"), *[f"p{i}" for i in range(64)])
     # one file per label, each with its header
-    means.select("label", F.concat(F.lit("aa," + ",".join(f"p{i}" for i in range(8)) + "\n"), line).alias("value")).repartition("label").write.partitionBy("label").text(path)
+    means.select("label", F.concat(F.lit("aa," + ",".join(f"p{i}" for i in range(64)) + "\n"), line).alias("value")).repartition("label").write.partitionBy("label").text(path)
     return T.matrix_to_long(spark, f"{path}/*/*.txt").drop("file")
 
 
@@ -302,11 +294,22 @@ def f5(spark, d):
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("n")), "vec_id").select("vec_id", S.vector_diff(F.col("e"), F.col("n")).alias("v"))
 
 
-_SEQ = "(SELECT doc_id, lang AS protein, substr(regexp_replace(lower(text), '[^a-z]', '', 'g'), 1, 64) AS seq FROM documents)"
+_SEQ = "(SELECT doc_id, lang AS protein, regexp_replace(lower(text), '[^a-z]', '', 'g') AS seq FROM documents)"
 
 
 def _seq(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("lang").alias("protein"), F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 64).alias("seq"))
+    """The letters of each text."""
+    return table(spark, d, "documents").select("doc_id", F.col("lang").alias("protein"), F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("seq"))
+
+
+def _pieces(spark, d, size):
+    """Each text's letters in consecutive pieces (w from 0) of ``size``; the last one may be shorter."""
+    parts = F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0))
+    return _seq(spark, d).select("doc_id", "protein", F.posexplode(parts).alias("w", "seq"))
+
+
+def _pieces_sql(size):
+    return f"(SELECT doc_id, protein, unnest(range(len(x)))::INT AS w, unnest(x) AS seq FROM (SELECT doc_id, protein, regexp_extract_all(seq, '.{{1,{size}}}') AS x FROM {_SEQ}))"
 
 
 def _n(x, letters):
@@ -323,9 +326,9 @@ def f6(spark, d):
     return _seq(spark, d).select("doc_id", F.round(S.charge_sigma(F.col("seq"), "aeiou", "strn"), 6).alias("sigma"))
 
 
-@query("f7_charge_gamma", f"SELECT doc_id, round(list_sum(list_transform(range(10), lambda k: pow({_sigma('substr(w, k * 2 + 1, 5)')} - {_sigma('w')}, 2))) / 10, 6) AS gamma FROM (SELECT doc_id, substr(seq, 1, 18) AS w FROM {_SEQ})".replace("'substr(w, k * 2 + 1, 5)'", "substr(w, (k * 2 + 1)::BIGINT, 5)"))
+@query("f7_charge_gamma", f"SELECT doc_id, w, round(list_sum(list_transform(range(10), lambda k: pow({_sigma('substr(seq, (k * 2 + 1)::BIGINT, 5)')} - {_sigma('seq')}, 2))) / 10, 6) AS gamma FROM {_pieces_sql(18)}")
 def f7(spark, d):
-    return _seq(spark, d).select("doc_id", F.round(S.charge_gamma(F.substring("seq", 1, 18), 18, "aeiou", "strn"), 6).alias("gamma"))
+    return _pieces(spark, d, 18).select("doc_id", "w", F.round(S.charge_gamma(F.col("seq"), 18, "aeiou", "strn"), 6).alias("gamma"))
 
 
 @query("f8_cluster_counts", f"SELECT doc_id, [(length(seq) - length(translate(seq, 'aeiou', '')))::INT, (length(seq) - length(translate(seq, 'strn', '')))::INT] AS v FROM {_SEQ}")
@@ -333,9 +336,9 @@ def f8(spark, d):
     return _seq(spark, d).select("doc_id", S.cluster_counts(F.col("seq"), ["aeiou", "strn"]).alias("v"))
 
 
-@query("f9_residue_counts", f"SELECT protein, p::INT AS pos, seq[p + 1] AS letter, count(*) AS n FROM {_SEQ}, range(18) t(p) WHERE length(seq) > p GROUP BY ALL".replace("seq[p + 1]", "substr(seq, p + 1, 1)"))
+@query("f9_residue_counts", f"SELECT protein, pos, letter, count(*) AS n FROM (SELECT protein, unnest(range(length(seq)))::INT AS pos, unnest(string_split(seq, '')) AS letter FROM {_SEQ} WHERE length(seq) > 0) GROUP BY ALL")
 def f9(spark, d):
-    return _seq(spark, d).where("length(seq) > 0").select("protein", F.posexplode(F.split(F.substring("seq", 1, 18), "")).alias("pos", "letter")).groupBy("protein", "pos", "letter").agg(F.count("*").alias("n"))
+    return _seq(spark, d).where("length(seq) > 0").select("protein", F.posexplode(F.split("seq", "")).alias("pos", "letter")).groupBy("protein", "pos", "letter").agg(F.count("*").alias("n"))
 
 
 @query("f10_transforms", "SELECT l_orderkey, l_linenumber, round(asin(sqrt(l_discount)), 9) AS a, round(log10(l_tax + 0.0001), 9) AS b FROM lineitem")
@@ -353,12 +356,15 @@ def f13(spark, d):
     return S.explode_feature_names(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 3, "Res")
 
 
-@query("w5_context_window", f"SELECT doc_id, substr(seq, 24, 9) || substr(seq, 34, 9) AS middle, substr(seq, 1, 9) || substr(seq, 11, 9) AS head, substr(seq, length(seq) - 18, 9) || substr(seq, length(seq) - 8, 9) AS tail FROM {_SEQ} WHERE length(seq) = 64")
+_HEAD, _TAIL = "substr(seq, 1, 9) || substr(seq, 11, 9)", "substr(seq, length(seq) - 18, 9) || substr(seq, length(seq) - 8, 9)"
+
+
+@query("w5_context_window", f"SELECT doc_id, w, CASE WHEN length(seq) >= 19 THEN CASE WHEN 32 >= length(seq) - 9 THEN {_TAIL} ELSE substr(seq, 24, 9) || substr(seq, 34, 9) END END AS middle, CASE WHEN length(seq) >= 19 THEN {_HEAD} END AS head, CASE WHEN length(seq) >= 19 THEN {_TAIL} END AS tail FROM {_pieces_sql(64)}")
 def w5(spark, d):
     s, n = F.col("seq"), F.length("seq")
-    return _seq(spark, d).where("length(seq) = 64").select("doc_id", S.context_window(s, F.lit(32), 19).alias("middle"), S.context_window(s, F.lit(3), 19).alias("head"), S.context_window(s, n - 2, 19).alias("tail"))
+    return _pieces(spark, d, 64).select("doc_id", "w", S.context_window(s, F.lit(32), 19).alias("middle"), S.context_window(s, F.lit(3), 19).alias("head"), S.context_window(s, n - 2, 19).alias("tail"))
 
 
-@query("w6_segment_windows", f"SELECT doc_id, list_transform(range(10), lambda k: substr(w, (k * 2 + 1)::BIGINT, 5)) AS parts FROM (SELECT doc_id, substr(seq, 1, 18) AS w FROM {_SEQ} WHERE length(seq) >= 18)")
+@query("w6_segment_windows", f"SELECT doc_id, w, list_transform(range(10), lambda k: substr(seq, (k * 2 + 1)::BIGINT, 5)) AS parts FROM {_pieces_sql(18)}")
 def w6(spark, d):
-    return _seq(spark, d).where("length(seq) >= 18").select("doc_id", S.segment_windows(F.substring("seq", 1, 18), 18).alias("parts"))
+    return _pieces(spark, d, 18).select("doc_id", "w", S.segment_windows(F.col("seq"), 18).alias("parts"))

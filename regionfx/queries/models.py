@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from regionfx.catalog import query, table
 from regionfx.plans import features as P
 from regionfx.plans import models as M
-from regionfx.queries.basics import _folder, _seq
+from regionfx.queries.basics import _folder, _pieces
 from regionfx.queries.statistics import scored
 from regionfx.queries.tables import cells, pairs, residues
+from regionfx.storage import materialize
 from regionfx.streaming import incremental as I
 
 LETTERS = list("ANR")
@@ -107,7 +108,7 @@ def s11(spark, d):
 
 @query("m9_out_of_fold_scores")
 def m9(spark, d):
-    t = _training(spark, d).persist()
+    t = materialize(_training(spark, d), "training")
     return M.out_of_fold_scores(t, "fold", M.feature_columns(t, ["residue", "pair"]), "label", 5, "p", **FAST).select("doc_id", "fold", "label", "p")
 
 
@@ -138,19 +139,19 @@ def m13(spark, d):
     return M.kmeans(table(spark, d, "embeddings"), "embedding", 4).select("vec_id", "cluster")
 
 
-_EPS = """(SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_distance(a.embedding[1:3]::DOUBLE[], b.embedding[1:3]::DOUBLE[]) <= 0.05)"""
+EPS = 1.08
+_EPS = f"""(SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= {EPS})"""
 
 
 @query("m14_dbscan", f"""WITH RECURSIVE e AS MATERIALIZED {_EPS}, r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings WHERE vec_id IN (SELECT a FROM e) UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a)
 SELECT vec_id, coalesce(c, -1) AS cluster FROM embeddings LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) ON v = vec_id""")
 def m14(spark, d):
-    x = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("v"))
-    return M.dbscan_pairs(x, "vec_id", "v", 0.05, 8)
+    return M.dbscan_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", EPS, 8)
 
 
 @query("m15_msa_site_features")
 def m15(spark, d):
-    msa = _seq(spark, d).where("length(seq) = 64").select("protein", "seq")
+    msa = _pieces(spark, d, 64).select("protein", "seq")
     sites = msa.select("protein").distinct().withColumn("site", F.explode(F.array(F.lit(3), F.lit(32), F.lit(60))))
     return P.msa_site_features(sites, msa, "protein", "site", "seq", "aeiou", "strn", ["aeiou", "strn", "bcdfg", "hjklm"], "sty")
 
@@ -164,14 +165,14 @@ def m16(spark, d):
 
 @query("t9_feature_importance")
 def t9(spark, d):
-    t = _training(spark, d).persist()
+    t = materialize(_training(spark, d), "training")
     cols = M.feature_columns(t, ["residue", "pair", "length"])
     return M.feature_importance([M.train_classifier(t.where(F.col("fold") != i), cols, "label", **FAST) for i in (1, 2)], cols, spark)
 
 
 @query("t10_permutation_importance")
 def t10(spark, d):
-    t = _training(spark, d).persist()
+    t = materialize(_training(spark, d), "training")
     cols = M.feature_columns(t, ["residue"])
     return M.permutation_importance(M.train_classifier(t, cols, "label", **FAST), t, cols, "label", "doc_id", repeats=2)
 

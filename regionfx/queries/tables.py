@@ -74,9 +74,9 @@ def j3(spark, d):
     return J.annotate_chain(table(spark, d, "orders"), dims).select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query("j4_join_with_status", "SELECT CASE WHEN o.k IS NULL THEN 'left_only' ELSE 'both' END AS status, count(*) AS n FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 5 = 0) o ON c_custkey = o.k GROUP BY 1")
+@query("j4_join_with_status", "SELECT CASE WHEN o.k IS NULL THEN 'left_only' ELSE 'both' END AS status, count(*) AS n FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON c_custkey = o.k GROUP BY 1")
 def j4(spark, d):
-    orders = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return J.join_with_status(table(spark, d, "customer"), orders, ["c_custkey"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -272,9 +272,9 @@ def a20(spark, d):
     return A.power_law_fit(curve.withColumn("separation", F.col("separation").cast("double")), "series", "separation", "rms")
 
 
-@query("a21_entropy", f"SELECT protein, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT protein, n / sum(n) OVER (PARTITION BY protein) AS p FROM (SELECT protein, substr(seq, 1, 1) AS c, count(*) AS n FROM {_SEQ} GROUP BY ALL)) GROUP BY 1")
+@query("a21_entropy", f"SELECT protein, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT protein, n / sum(n) OVER (PARTITION BY protein) AS p FROM (SELECT protein, c, count(*) AS n FROM (SELECT protein, unnest(string_split(seq, '')) AS c FROM {_SEQ} WHERE length(seq) > 0) GROUP BY ALL)) GROUP BY 1")
 def a21(spark, d):
-    counts = _seq(spark, d).groupBy("protein", F.substring("seq", 1, 1).alias("c")).agg(F.count("*").alias("n"))
+    counts = _seq(spark, d).where("length(seq) > 0").select("protein", F.explode(F.split("seq", "")).alias("c")).groupBy("protein", "c").agg(F.count("*").alias("n"))
     return A.entropy(counts, ["protein"], "n").select("protein", F.round("entropy", 6).alias("entropy"))
 
 
@@ -283,9 +283,10 @@ def a22(spark, d):
     return A.mean_pairwise_cosine(table(spark, d, "embeddings"), "label", "embedding", 64).select("label", F.round("mean_cosine", 6).alias("mean_cosine"))
 
 
-@query("a23_proportion_in_set", f"SELECT protein, round(avg((substr(seq, 33, 1) IN ('s', 't', 'y'))::INT), 9) AS p FROM {_SEQ} GROUP BY 1")
+@query("a23_proportion_in_set", f"SELECT protein, round(avg((c IN ('s', 't', 'y'))::INT), 9) AS p FROM (SELECT protein, unnest(string_split(seq, '')) AS c FROM {_SEQ} WHERE length(seq) > 0) GROUP BY 1")
 def a23(spark, d):
-    return _seq(spark, d).groupBy("protein").agg(F.round(F.avg(F.substring("seq", 33, 1).isin("s", "t", "y").cast("double")), 9).alias("p"))
+    letters = _seq(spark, d).where("length(seq) > 0").select("protein", F.explode(F.split("seq", "")).alias("c"))
+    return letters.groupBy("protein").agg(F.round(F.avg(F.col("c").isin("s", "t", "y").cast("double")), 9).alias("p"))
 
 
 @query("a24_mean_with_sem", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(value)), 6) AS sem FROM events GROUP BY 1")
@@ -342,10 +343,9 @@ def a31(spark, d):
 # ---- windows ---------------------------------------------------------------
 
 
-@query("w1_neighbour_window", "SELECT label AS region_id, pos::INT AS pos, list_concat(list_concat(coalesce(lag(f) OVER w, [0, 0]), f), coalesce(lead(f) OVER w, [0, 0]))::FLOAT[] AS win FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, embedding[1:2] AS f FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY pos)")
+@query("w1_neighbour_window", "SELECT label AS region_id, pos::INT AS pos, list_concat(list_concat(coalesce(lag(embedding) OVER w, z), embedding), coalesce(lead(embedding) OVER w, z))::FLOAT[] AS win FROM (SELECT label, embedding, list_transform(embedding, lambda x: 0::FLOAT) AS z, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos FROM embeddings) WINDOW w AS (PARTITION BY label ORDER BY pos)")
 def w1(spark, d):
-    short = residues(spark, d).withColumn("f", F.slice("f", 1, 2))
-    return W.neighbour_window(short, "region_id", "pos", "f", 2, k=1, out="win").drop("f")
+    return W.neighbour_window(residues(spark, d), "region_id", "pos", "f", 64, k=1, out="win").drop("f")
 
 
 @query("w2_normalise_by_mean", "SELECT event_id, round(value / avg(value) OVER (PARTITION BY user_id), 9) AS v FROM events")
@@ -363,14 +363,14 @@ def w4(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_tax") * -1 * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).alias("score"))
 
 
-_ALIGNED = "(SELECT doc_id, regexp_replace(seq, '[ei]', '-', 'g') AS a, regexp_replace(seq, '[oa]', '-', 'g') AS b, seq FROM " + _SEQ + " WHERE length(seq) = 64)"
+_ALIGNED = f"(SELECT doc_id, regexp_replace(seq, '[ei]', '-', 'g') AS a, regexp_replace(seq, '[oa]', '-', 'g') AS b FROM {_SEQ} WHERE length(seq) > 0)"
 
 
 def _aligned(spark, d):
-    return _seq(spark, d).where("length(seq) = 64").select("doc_id", F.regexp_replace("seq", "[ei]", "-").alias("a"), F.regexp_replace("seq", "[oa]", "-").alias("b"))
+    return _seq(spark, d).where("length(seq) > 0").select("doc_id", F.regexp_replace("seq", "[ei]", "-").alias("a"), F.regexp_replace("seq", "[oa]", "-").alias("b"))
 
 
-@query("w7_gaps_and_islands", f"""WITH c AS (SELECT doc_id, p, substr(a, p::BIGINT, 1) AS x, substr(b, p::BIGINT, 1) AS y FROM {_ALIGNED}, range(1, 65) t(p)),
+@query("w7_gaps_and_islands", f"""WITH c AS (SELECT doc_id, unnest(range(1, length(a) + 1)) AS p, unnest(string_split(a, '')) AS x, unnest(string_split(b, '')) AS y FROM {_ALIGNED}),
 k AS (SELECT *, sum((x <> '-')::INT) OVER w AS pa, sum((y <> '-')::INT) OVER w AS pb FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
 r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM k WHERE x <> '-' AND y <> '-')
 SELECT doc_id, min(pa)::BIGINT AS a_start, max(pa)::BIGINT AS a_end, min(pb)::BIGINT AS b_start, max(pb)::BIGINT AS b_end FROM r GROUP BY doc_id, run HAVING count(*) >= 5""")
@@ -378,7 +378,7 @@ def w7(spark, d):
     return W.aligned_segments(_aligned(spark, d), "doc_id", "a", "b", min_len=5)
 
 
-@query("w8_identity_pct", f"SELECT doc_id, round(100.0::DOUBLE * len(list_filter(range(1, 65), lambda p: substr(a, p::BIGINT, 1) <> '-' AND substr(a, p::BIGINT, 1) = substr(b, p::BIGINT, 1))) / nullif(len(list_filter(range(1, 65), lambda p: substr(a, p::BIGINT, 1) <> '-' AND substr(b, p::BIGINT, 1) <> '-')), 0), 6) AS pct FROM (SELECT doc_id, a, replace(b, 't', 'z') AS b FROM {_ALIGNED})")
+@query("w8_identity_pct", f"SELECT doc_id, round(100.0::DOUBLE * sum((x <> '-' AND x = y)::INT) / nullif(sum((x <> '-' AND y <> '-')::INT), 0), 6) AS pct FROM (SELECT doc_id, unnest(string_split(a, '')) AS x, unnest(string_split(replace(b, 't', 'z'), '')) AS y FROM {_ALIGNED}) GROUP BY doc_id")
 def w8(spark, d):
     return _aligned(spark, d).select("doc_id", F.round(W.identity_pct(F.col("a"), F.translate("b", "t", "z")), 6).alias("pct"))
 
@@ -394,7 +394,8 @@ def w10(spark, d):
     return W.autocorrelation(series(spark, d), "series", 10).select("series", "lag", F.round("r", 6).alias("r"))
 
 
-_BLOCKS = f"""(SELECT series, blocks, sqrt(var_pop(m) / (count(*) - 1)) AS err FROM (SELECT series, b AS blocks, floor(t / (n / b)) AS k, avg(x) AS m FROM {SERIES}, range(2, 3000) r(b) WHERE b <= n AND n % b = 0 GROUP BY ALL) GROUP BY 1, 2)"""
+_LENGTHS = "(SELECT event_type AS series, count(*) AS n FROM events GROUP BY 1)"
+_BLOCKS = f"""(SELECT series, blocks, sqrt(var_pop(m) / (count(*) - 1)) AS err FROM (SELECT s.series, d.b AS blocks, floor(s.t / (s.n / d.b)) AS k, avg(s.x) AS m FROM {SERIES} s JOIN (SELECT series, b FROM (SELECT series, n, unnest(range(2, n + 1)) AS b FROM {_LENGTHS}) WHERE n % b = 0) d ON s.series = d.series GROUP BY ALL) GROUP BY 1, 2)"""
 
 
 @query("w11_block_average_error", f"SELECT series, blocks, round(err, 6) AS err, round(err / sqrt(2.0 * (blocks - 1)), 6) AS err_err FROM {_BLOCKS}")
@@ -402,8 +403,9 @@ def w11(spark, d):
     return W.block_average_error(series(spark, d), "series").select("series", "blocks", F.round("err", 6).alias("err"), F.round("err_err", 6).alias("err_err"))
 
 
-@query("w12_trim_for_blocking", """WITH l AS (SELECT event_type AS series, count(*) AS n FROM events GROUP BY 1)
-SELECT series, n, coalesce((SELECT max(m) FROM range(1, 3000) t(m) WHERE m <= n AND m > n - 101 AND len(list_filter(range(2, m + 1), lambda b: m % b = 0)) >= 20), n) AS trimmed FROM l""")
+@query("w12_trim_for_blocking", f"""WITH c AS (SELECT series, n, unnest(range(n - 101, n + 1)) AS m FROM {_LENGTHS}), f AS (SELECT series, n, m, unnest(range(2, m + 1)) AS b FROM c WHERE m >= 1),
+k AS (SELECT series, n, m, count(*) FILTER (m % b = 0) AS k FROM f GROUP BY ALL)
+SELECT series, n, coalesce(max(m) FILTER (k > 19), min(m)) AS trimmed FROM k GROUP BY 1, 2""")
 def w12(spark, d):
     return W.trim_for_blocking(table(spark, d, "events").withColumnRenamed("event_type", "series"), "series")
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from regionfx.operators.sampling import numbered
+
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None, rename: dict[str, str] | None = None, select: list[str] | None = None, fmt: str | None = None) -> DataFrame:
     """A CSV or Parquet table with renamed and chosen columns; the choice reaches the scan.  CSV needs a schema."""
@@ -16,9 +18,25 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return df.select(*select) if select else df
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str, preamble: str = "#", usecols: list[str] | None = None) -> DataFrame:
-    """Tab-separated text whose preamble lines begin with a sign that no data line begins with."""
-    df = spark.read.schema(schema).csv(path, sep="\t", comment=preamble)
+def read_lines(spark: SparkSession, path: str | list[str], skip: int = 0) -> DataFrame:
+    """(value): the lines of text files without the first ``skip`` of each file.
+
+    A file's first lines are those of its first split, in its order; only the place of a file's first line is looked up.
+    """
+    lines = spark.read.text(path)
+    if not skip:
+        return lines
+    lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    first = lines.where("_block = 0").groupBy(F.col("_file").alias("_name")).agg(F.min("_at").alias("_first"))
+    return lines.join(first, F.col("_file") == F.col("_name")).where((F.col("_block") > 0) | (F.col("_at") - F.col("_first") >= skip)).select("value")
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str, preamble: str = "#", usecols: list[str] | None = None, skip: int = 0) -> DataFrame:
+    """Tab-separated text whose preamble lines begin with a sign that no data line begins with, or are the first ``skip`` of each file."""
+    if skip:
+        df = read_lines(spark, path, skip).where(F.trim("value") != "").select(F.from_csv("value", F.lit(schema), {"sep": "\t"}).alias("_r")).select("_r.*")
+    else:
+        df = spark.read.schema(schema).csv(path, sep="\t", comment=preamble)
     return df.select(*usecols) if usecols else df
 
 
@@ -39,7 +57,7 @@ def read_many(spark: SparkSession, paths: list[str] | str, tag: str, pattern: st
     return df.withColumn(tag, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
 
 
-def match_files(files: DataFrame, wanted: DataFrame, name: str, part: str, must: str | None = None, small_rows: int = 100_000) -> DataFrame:
+def match_files(files: DataFrame, wanted: DataFrame, name: str, part: str, must: str | None = None, small_rows: int = 1_000) -> DataFrame:
     """Rows of ``files`` whose name contains a row's ``part`` of the metadata (and ``must``).
 
     A substring join has no key: the metadata table is sent to all tasks,
@@ -74,6 +92,11 @@ def mixed_layout(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(named | plain).select(F.split(pick(0), "-")[0].alias("id"), pick(1).alias("location"), pick(2).alias("type"))
 
 
+def read_mixed_layout(spark: SparkSession, path: str | list[str], skip: int = 2) -> DataFrame:
+    """mixed_layout of the lines of files, each with ``skip`` header lines."""
+    return mixed_layout(read_lines(spark, path, skip))
+
+
 def matrix_to_long(spark: SparkSession, paths: list[str] | str, sep: str = ",") -> DataFrame:
     """Matrices with a header of their own per file -> (file, row, column, value); cells that are no numbers are null."""
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.trim("value"), "\r?\n").alias("lines"))
@@ -88,8 +111,6 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
 
 
 def region_tensor(df: DataFrame, region: str, order: str, features: str) -> DataFrame:
-    """Residue table (region_id, pos, f): positions count from 1 within a region."""
-    from pyspark.sql import Window
-
-    pos = F.row_number().over(Window.partitionBy(region).orderBy(order))
-    return df.select(F.col(region).alias("region_id"), pos.alias("pos"), F.col(features).alias("f"))
+    """Residue table (region_id, pos, f): positions count from 1 within a region, which may be spread over tasks."""
+    rows = numbered(df.select(F.col(region).alias("region_id"), F.col(order).alias("_order"), F.col(features).alias("f")), "_order", "_pos", ["region_id"])
+    return rows.select("region_id", F.col("_pos").cast("int").alias("pos"), "f")

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionfx.functions import pvalues, scalars
-from regionfx.operators import aggregates, joins, statistics, windows
+from regionfx.operators import aggregates, joins, sampling, statistics, windows
 from regionfx.plans import features
+from regionfx.sources import tables
 
 
 def test_chi2_tail():
@@ -96,3 +97,65 @@ def test_no_cartesian_product_in_the_flagship(spark, sf_dir):
 
     plan = annotated(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_numbers_are_whole_over_many_ranges(spark):
+    n = 2_000_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), (F.col("id") % 3).alias("g"), F.lit("more").alias("further"), (F.col("id") % 7).cast("string").alias("row_no"))
+    out = sampling.numbered(df, "k").agg(F.count_distinct("row_no"), F.min("row_no"), F.max("row_no")).first()
+    assert tuple(out) == (n, 1, n)
+    per = sampling.numbered(df, "k", keys=["g"]).groupBy("g").agg(F.count_distinct("row_no").alias("d"), F.count("*").alias("n"), F.max("row_no").alias("m")).collect()
+    assert len(per) == 3 and all(r["d"] == r["n"] == r["m"] for r in per)
+    folds = features.group_kfold(df.select("k", "further"), "k", 5, 1).groupBy("fold").agg(F.count("*").alias("n")).collect()
+    assert sorted(r["n"] for r in folds) == [n // 5] * 5
+
+
+def test_numbers_and_sums_with_nulls_and_ties(spark):
+    rows = [(None, 1, 5), (None, 2, 7), ("a", 3, None), ("a", 1, 2), ("a", 2, 9), ("b", None, 4)]
+    df = spark.createDataFrame(rows, "g string, o int, x int").repartition(3)
+    got = {(r["g"], r["o"]): r["i"] for r in sampling.numbered(df, "o", "i", ["g"]).collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", 1): 1, ("a", 2): 2, ("a", 3): 3, ("b", None): 1}
+    sums = {(r["g"], r["o"]): r["s"] for r in sampling.running_sums(df, ["g"], "o", {"s": "x"}).collect()}
+    assert sums == {(None, 1): 0, (None, 2): 5, ("a", 1): 0, ("a", 2): 2, ("a", 3): 11, ("b", None): 0}
+    assert sampling.numbered(df.where("false"), "o").isEmpty() and sampling.running_sums(df.where("false"), ["g"], "o", {"s": "x"}).isEmpty()
+
+
+def test_neighbour_windows_over_block_ends(spark):
+    df = spark.createDataFrame([(r, p, [float(p)]) for r in "ab" for p in range(1, 24)], "r string, p int, f array<float>")
+    for row in windows.neighbour_window(df, "r", "p", "f", 1, k=3, block=5).collect():
+        assert row["window"] == [float(q) if 1 <= q <= 23 else 0.0 for q in range(row["p"] - 3, row["p"] + 4)]
+
+
+def test_lengths_for_blocking(spark):
+    count = lambda m: sum(m % b == 0 for b in range(2, m + 1))
+    sizes = [1, 2, 100, 200, 240, 341, 342, 5041, 5100, 7561]
+    df = spark.createDataFrame([(str(n),) for n in sizes], "s string").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("s").cast("int"))))
+    for r in windows.trim_for_blocking(df, "s").collect():
+        tries = [r["n"], *range(r["n"] - 1, max(r["n"] - 102, 0), -1)]
+        assert r["trimmed"] == next((m for m in tries if count(m) > 19), tries[-1])
+
+
+def test_chi2_with_empty_cells(spark):
+    for table in ([("a", "x", 5), ("b", "y", 9)], [("a", "x", 5), ("b", "y", 9), ("a", "y", 2)], [("a", "x", 5), ("b", "y", 9), ("c", "y", 2), ("c", "z", 4)]):
+        r = statistics.chi2_contingency(spark.createDataFrame(table, "r string, c string, n long"), "r", "c").first()
+        rows, cols = sorted({t[0] for t in table}), sorted({t[1] for t in table})
+        o = {(a, b): sum(n for x, y, n in table if (x, y) == (a, b)) for a in rows for b in cols}
+        t, want = sum(o.values()), 0.0
+        for a in rows:
+            for b in cols:
+                e = sum(o[a, y] for y in cols) * sum(o[x, b] for x in rows) / t
+                gap = abs(o[a, b] - e)
+                gap -= min(0.5, gap) if len(rows) == len(cols) == 2 else 0
+                want += gap * gap / e
+        assert math.isclose(r["chi2"], want, rel_tol=1e-9) and r["dof"] == (len(rows) - 1) * (len(cols) - 1)
+
+
+def test_lines_after_a_preamble(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.tsv").write_text("one\n# two\n" + "".join(f"{k}{i}\tx\n" for i in range(4)))
+    got = tables.read_tsv(spark, str(tmp_path), "a int, b string", skip=2)
+    assert sorted(r["a"] for r in got.collect()) == sorted(int(f"{k}{i}") for k in range(3) for i in range(4))
+    (tmp_path / "w").write_text("head\n--\nname_x  P1-2 7 ph\nP3 9  ac\n11 no\n")
+    assert sorted(map(tuple, tables.read_mixed_layout(spark, str(tmp_path / "w")).collect())) == [("P1", "7", "ph"), ("P3", "9", "ac")]
+    (tmp_path / "blanks").write_text("a   1\n\n b 2 3\n")
+    assert sorted(map(str, map(tuple, tables.read_whitespace(spark, str(tmp_path / "blanks"), ["n", "v", "z"]).collect()))) == ["('a', '1', None)", "('b', '2', '3')"]
