@@ -1,19 +1,25 @@
-"""Byte-level BPE by higher-order functions over the distinct words of bounded chunks, and decoding.
-
-A first Arrow step takes the documents of a task in chunks of bounded size,
-cuts their texts into pieces and gives rows of the pieces that the task
-hasn't met before, then a row for each document, whose pieces are places among
-those.  A projection of built-in higher-order functions folds the merges over
-each distinct piece; the rank map is a literal of the plan, of the fixed size
-of the vocabulary.  A second Arrow step reads the rows in order and gives the
-documents' ids.  All steps are narrow: there is no shuffle, no group and no
-word table that grows with the corpus.
+"""Byte-level BPE by higher-order functions over distinct words, and decoding.
+
+A first pass cuts the texts into pieces and counts in how many tasks each distinct piece
+occurs.  Pieces that several tasks have are folded once for the corpus: a
+projection of built-in higher-order functions runs the ranked merges over the
+bytes of each, with the rank map as a literal of the plan, of the fixed size
+of the vocabulary.  This table is kept to a stated number of pieces (the most
+frequent ones) and written to the shared folder.  In the second pass an Arrow step gives the
+pieces that neither the table nor the task has had before, the same
+projection folds them, and a second Arrow step puts the documents' ids
+together.  So only distinct pieces are shuffled, no group is collected, and
+no task holds more than the table and a bounded number of pieces of its own.
+
+The two Arrow steps of the second pass and the projection between them are narrow, so they form one stage, in which
+rows keep their order: a document's row comes after those of its pieces.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 
@@ -21,8 +27,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionfx.llm.storage import discard, materialize, open_filesystem
 from regionfx.llm.words import chunks_of, once, ragged_take, room, split_pieces
 
+LONG = 256  # bytes of a piece
 BUCKETS = 1 << 14
 NO_RANK = 2**31 - 1
 PLACE = 1 << 31
@@ -89,15 +97,112 @@ def fold_merges(words: Column, table: Column) -> Column:
     return let(table, lambda t: F.transform(words, lambda word: folded(t, word)))
 
 
-def in_larger_tasks(docs: DataFrame, task_bytes: int) -> DataFrame:
-    """Input splits put together to about ``task_bytes`` of input, so that a task's words are shared by more texts; no shuffle."""
-    spark = docs.sparkSession
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    n = docs.rdd.getNumPartitions()
-    return docs.coalesce(min(n, max(spark.sparkContext.defaultParallelism, -(-n // max(1, task_bytes // split))))) if n else docs
+def long_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for a piece of any length, with the pairs in a heap: n log n steps instead of n * n."""
+    n = len(piece)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    end, heap = list(range(1, n + 1)), []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (r := ranks.get(piece[i : end[j]])) is not None:
+            heapq.heappush(heap, (r, i, end[i], end[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, middle, last = heapq.heappop(heap)
+        if end[i] != middle or after[i] >= n or end[after[i]] != last:
+            continue  # one of the two parts has been merged meanwhile
+        j = after[i]
+        end[j], after[i], end[i] = 0, after[j], last
+        if after[i] < n:
+            before[after[i]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = after[i]
+    return out
+
+
+def coded_pieces(texts, slice_bytes: int = 1 << 20):
+    """(distinct pieces, place of each piece among them, pieces of each text); texts are cut a slice at a time."""
+    import pyarrow as pa
+
+    parts, counts = [], []
+    for table in chunks_of(pa.table({"text": texts}).to_batches(), "text", slice_bytes):
+        pieces, n = split_pieces(table.column("text").combine_chunks())
+        parts.append(pieces)
+        counts.append(n)
+    if not parts:
+        return pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+    coded = pa.chunked_array(parts).dictionary_encode().unify_dictionaries()
+    indices = np.concatenate([x.indices.to_numpy() for x in coded.chunks])
+    return coded.chunk(0).dictionary, indices, np.concatenate(counts)
+
+
+def unseen(words, known):
+    """(place of each word among ``known``, new ones behind them; the new words)."""
+    import pyarrow.compute as pc
+
+    found = pc.index_in(words, value_set=known)
+    new = words.filter(found.is_null())
+    index = pc.fill_null(found, -1).to_numpy().astype("<i4")
+    index[index < 0] = np.arange(len(known), len(known) + len(new))
+    return index, new
+
+
+def frequent_words(source: DataFrame, ranks: dict[bytes, int], table_words: int, chunk_bytes: int, task_bytes: int) -> DataFrame:
+    """(word, ids): the pieces of ``source`` (id, text) that several tasks have, at most ``table_words`` of them, those in the most tasks; written to the shared folder."""
+
+    def distinct(batches):
+        import pyarrow as pa
 
+        known = pa.array([], pa.binary())
+        for table in chunks_of(batches, "text", chunk_bytes):
+            words, _, _ = coded_pieces(table.column("text").combine_chunks())
+            _, new = unseen(words, known)
+            known = pa.concat_arrays([known, new])
+            for k in range(0, len(new), 10_000):
+                yield pa.RecordBatch.from_arrays([new[k : k + 10_000]], names=["word"])
+            if known.nbytes > task_bytes:
+                known = known[:0]
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20, task_bytes: int = 96 << 20, most_words: int = 1_000_000, text: str = "text", id_col: str = "doc_id", then=None) -> DataFrame:
+    short = source.mapInArrow(distinct, "word binary").where(F.length("word") <= LONG)
+    counts = materialize(short.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("level", F.floor(8 * F.log2("n"))), "words")
+    total, least = 0, 0
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):  # 8 rows for each doubling of the tasks
+        least = r["level"] if total + r["n"] <= table_words else r["level"] + 1
+        total += r["n"]
+        if least != r["level"]:
+            break
+    chosen = counts.where(F.col("level") >= least).select("word").repartition(max(8, min(total, table_words) // 10_000), "word")
+    table = materialize(chosen.select("word", F.get(fold_merges(F.array("word"), rank_table(ranks)), 0).alias("ids")), "word-table")
+    discard(counts)
+    return table
+
+
+def read_word_table(folder: str):
+    """(words, ids of all words in a row, where each word's ids begin) of a table that frequent_words wrote; read in the order of the files' names."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    filesystem, path = open_filesystem(folder)
+    files = sorted(x.path for x in filesystem.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
+    words, ids = [pa.array([], pa.binary())], [pa.array([], pa.list_(pa.int32()))]
+    for f in files:
+        table = pq.ParquetFile(filesystem.open_input_file(f)).read(columns=["word", "ids"])
+        words += table.column("word").chunks
+        ids += [c.cast(pa.list_(pa.int32())) for c in table.column("ids").chunks]
+    ids = pa.concat_arrays(ids)
+    return pa.concat_arrays(words), ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy())).astype(np.int64)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20, table_words: int = 1_000_000, task_bytes: int = 16 << 20, text: str = "text", id_col: str = "doc_id", then=None) -> DataFrame:
     """(id, ids): one row per document, ids as an array of int.
 
     then: (schema, function of Arrow batches of (id, ids)) for what the same
@@ -105,38 +210,56 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20,
 
     Null and empty texts have no ids.  Rows are encoded each by itself
     (repeated rows and null ids stay); an empty table gives no rows; other columns are left out.
-    A text longer than ``chunk_bytes`` is a chunk of its own.  A task keeps at
-    most about ``most_words`` words and then starts anew.
+    A text longer than ``chunk_bytes`` is a chunk of its own.  A task keeps ``task_bytes`` of pieces
+    besides the table of at most ``table_words`` frequent ones and then starts anew.  Pieces of more than LONG bytes,
+    for which the fold's n * n steps are too many, are merged with a heap.
     """
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    table = frequent_words(source, ranks, table_words, chunk_bytes, task_bytes)
+    folder = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
+
+    def held():
+        import pyarrow as pa
+
+        return once(("word table", folder), lambda: read_word_table(folder)) if folder else (pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(1, np.int64))
 
     def cut(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        def rows(words=None, docs=None):
-            n = len(words if docs is None else docs[0])
-            return pa.RecordBatch.from_arrays([words if words is not None else pa.nulls(n, pa.list_(pa.binary())), docs[0] if docs else pa.nulls(n, pa.int64()), docs[1] if docs else pa.nulls(n, pa.binary())], names=["words", "id", "places"])
+        def rows(words=None, given=None, docs=None):
+            n = len(next(x for x in (words, given, docs and docs[0]) if x is not None))
+            kinds = (pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.int64(), pa.binary())
+            columns = [words, given, *(docs or (None, None))]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c for c, t in zip(columns, kinds, strict=True)], names=["words", "given", "id", "places"])
 
-        known = pa.array([], pa.binary())
+        common = held()[0]
+        known, own = common, 0
         for table in chunks_of(batches, "text", chunk_bytes):
-            if len(known) > most_words:
-                known = known[:0]
-            if not len(known):  # an empty list stands for a new start
-                yield rows(pa.array([[]], pa.list_(pa.binary())))
-            pieces, counts = split_pieces(table.column("text").combine_chunks())
-            coded = pieces.dictionary_encode()
-            found = pc.index_in(coded.dictionary, value_set=known)
-            fresh = found.is_null()
-            new = coded.dictionary.filter(fresh)
-            index = pc.fill_null(found, -1).to_numpy().astype("<i4")
-            index[index < 0] = np.arange(len(known), len(known) + len(new))
-            known = pa.concat_arrays([known, new])
-            if len(new):
-                cuts = [*range(0, len(new), 1024), len(new)]
-                for k in range(0, len(cuts) - 1, 16):
-                    part = cuts[k : k + 17]
-                    yield rows(pa.ListArray.from_arrays(pa.array([x - part[0] for x in part], pa.int32()), new[part[0] : part[-1]]))
-            places = index[coded.indices.to_numpy()].tobytes()
+            if own > task_bytes:
+                known, own = common, 0
+            if not own:  # an empty list stands for a new start
+                yield rows(given=pa.array([[]], pa.list_(pa.list_(pa.int32()))))
+            words, indices, counts = coded_pieces(table.column("text").combine_chunks())
+            index, new = unseen(words, known)
+            is_long = pc.greater(pc.binary_length(new), LONG)
+            if pc.any(is_long).as_py():  # long ones first
+                order = np.argsort(~is_long.to_numpy(zero_copy_only=False), kind="stable")
+                place = np.empty(len(order), "<i4")
+                place[order] = np.arange(len(order))
+                index = np.where(index >= len(known), len(known) + place[np.maximum(index - len(known), 0)], index).astype("<i4")
+                new = new.take(pa.array(order))
+                n_long = pc.sum(is_long).as_py()
+                yield rows(given=pa.array([[long_piece(x, ranks) for x in new[:n_long].to_pylist()]], pa.list_(pa.list_(pa.int32()))))
+                short = new[n_long:]
+            else:
+                short = new
+            known, own = pa.concat_arrays([known, new]), own + max(1, new.nbytes)
+            cuts = [*range(0, len(short), 1024), len(short)] if len(short) else []
+            for k in range(0, len(cuts) - 1, 16):
+                part = cuts[k : k + 17]
+                yield rows(words=pa.ListArray.from_arrays(pa.array([x - part[0] for x in part], pa.int32()), short[part[0] : part[-1]]))
+            places = index[indices].tobytes()
             ends = np.append(0, np.cumsum(counts) * 4).tolist()
             for k in range(0, table.num_rows, 256):
                 hi = min(table.num_rows, k + 256)
@@ -145,7 +268,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20,
     def gather(batches):
         import pyarrow as pa
 
-        values, offsets, n_words, n_values = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+        words, common, begins = held()
+        values, offsets = np.append(common, np.zeros(1 << 16, np.int32)), np.append(begins, np.zeros(1 << 14, np.int64))
+        n_words, n_values = len(words), len(common)
         for batch in batches:
             is_words = batch.column("places").is_null().to_numpy(zero_copy_only=False)
             turns = [0, *(np.flatnonzero(is_words[1:] != is_words[:-1]) + 1).tolist(), len(batch)]
@@ -155,7 +280,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20,
                     for lists in part.column("ids"):
                         ids = lists.values
                         if not len(ids):
-                            n_words = n_values = 0
+                            n_words, n_values = len(words), len(common)
                             continue
                         lengths, flat = ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
                         values, offsets = room(values, n_values + len(flat)), room(offsets, n_words + len(lengths) + 1)
@@ -163,14 +288,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20,
                         offsets[n_words + 1 : n_words + 1 + len(lengths)] = n_values + np.cumsum(lengths)
                         n_words, n_values = n_words + len(lengths), n_values + len(flat)
                 elif at < end:
-                    rows = part.column("places").to_pylist()
-                    flat, sizes = ragged_take(values, offsets[: n_words + 1], np.frombuffer(b"".join(rows), dtype="<i4").astype(np.int64))
-                    last = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(r) // 4 for r in rows]))]
+                    places = part.column("places").cast(pa.large_binary())
+                    bounds = np.frombuffer(places.buffers()[1], np.int64)[places.offset : places.offset + len(places) + 1]
+                    index = np.frombuffer(places.buffers()[2] or b"", "<i4")[bounds[0] // 4 : bounds[-1] // 4]
+                    flat, sizes = ragged_take(values, offsets[: n_words + 1], index.astype(np.int64))
+                    last = np.append(0, np.cumsum(sizes))[(bounds - bounds[0]) // 4]
                     yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(last, pa.int32()), pa.array(flat, pa.int32()))], names=["id", "ids"])
 
-    source = in_larger_tasks(docs, task_bytes).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    words = source.mapInArrow(cut, "words array<binary>, id long, places binary")
-    folded = words.select("id", "places", F.when(F.col("words").isNotNull(), fold_merges(F.col("words"), rank_table(ranks))).alias("ids"))
+    rows = source.mapInArrow(cut, "words array<binary>, given array<array<int>>, id long, places binary")
+    folded = rows.select("id", "places", F.coalesce(fold_merges(F.col("words"), rank_table(ranks)), F.col("given")).alias("ids"))
     schema, last = then or ("id long, ids array<int>", lambda batches: batches)
     return folded.mapInArrow(lambda batches: last(gather(batches)), schema)
 
@@ -197,8 +323,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.mapInArrow(join, schema)
 
 
-def digests(ranks: dict[bytes, int]):
-    """For encode's ``then``: (doc_id, n_tokens, ids_sha256, decoded_sha256); the ids are decoded and both forms hashed."""
+def digests(ranks: dict[bytes, int], step: int = 1 << 20):
+    """For encode's ``then``: (doc_id, n_tokens, ids_sha256, decoded_sha256); the ids are decoded and both forms hashed, about ``step`` ids at a time."""
     size = max(ranks.values(), default=-1) + 1
 
     def hashed(batches):
@@ -208,16 +334,30 @@ def digests(ranks: dict[bytes, int]):
             parts = [b""] * size
             for token, rank in ranks.items():
                 parts[rank] = token
-            return parts, [str(i) for i in range(size)]
+            return pa.array(parts, pa.binary()), pa.array([b"%d," % i for i in range(size)], pa.binary())
 
         parts, names = once(("digest tables", size, len(ranks)), tables)
+
+        def joined(table, ids):
+            """(the chosen rows joined, where each begins)"""
+            got = table.take(ids)
+            raw = got.buffers()[2]
+            return memoryview(raw if raw is not None else b""), np.frombuffer(got.buffers()[1] or b"", np.int32)
+
         for batch in batches:
-            counts, a, b = [], [], []
-            for ids in batch.column("ids").to_pylist():
-                counts.append(len(ids))
-                a.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
-                b.append(hashlib.sha256(b"".join([parts[i] for i in ids])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            lists = batch.column("ids")
+            ids, ends = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            a, b, at = [], [], 0
+            while at < len(lists):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + step, side="right")) - 1)
+                part = ids[int(ends[at]) : int(ends[to])]
+                own = (ends[at : to + 1] - ends[at]).tolist()
+                raw, begins = joined(names, part)
+                a += [hashlib.sha256(raw[begins[x] : begins[y] - 1] if y > x else b"").hexdigest() for x, y in zip(own, own[1:], strict=False)]
+                raw, begins = joined(parts, part)
+                b += [hashlib.sha256(raw[begins[x] : begins[y]] if y > x else b"").hexdigest() for x, y in zip(own, own[1:], strict=False)]
+                at = to
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(ends), pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", hashed
 

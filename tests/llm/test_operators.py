@@ -53,12 +53,17 @@ def test_byte_pairs_equal_the_library(docs, empty):
 
     ranks = byte_pairs.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    short = docs.where("text is null or length(text) < 2000")
-    out = byte_pairs.decode(byte_pairs.encode(short, ranks), ranks).collect()
-    got = collections.Counter((r["id"], tuple(r["ids"]), bytes(r["decoded"])) for r in out)
-    want = collections.Counter((r["doc_id"], tuple(library.encode_ordinary(r["text"] or "")), (r["text"] or "").encode()) for r in short.collect())
-    assert got == want
+    rng = random.Random(9)
+    letters = docs.sparkSession.createDataFrame([(900 + n, "".join(rng.choice("abcdefghijklmnoprstxyzABC") for _ in range(n)) + " the end") for n in (200, 256, 257, 300, 20_000)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(letters)
+    want = collections.Counter((r["doc_id"], tuple(library.encode_ordinary(r["text"] or "")), (r["text"] or "").encode()) for r in both.collect())
+    for options in ({}, {"chunk_bytes": 3000, "table_words": 20, "task_bytes": 500}):
+        out = byte_pairs.decode(byte_pairs.encode(both, ranks, **options), ranks).collect()
+        assert collections.Counter((r["id"], tuple(r["ids"]), bytes(r["decoded"])) for r in out) == want
     assert byte_pairs.encode(empty, ranks).isEmpty()
+    rows = byte_pairs.encode(both, ranks, then=byte_pairs.digests(ranks, step=1000)).collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert collections.Counter(map(tuple, rows)) == collections.Counter((i, len(ids), sha(",".join(map(str, ids)).encode()), sha(raw)) for (i, ids, raw), n in want.items() for _ in range(n))
 
 
 def test_token_files(docs, empty):
