@@ -34,13 +34,15 @@ CLASSES = (
     CharacterClass("entropy_base64", r"[A-Za-z0-9+/_-]{24,}={0,2}", 24, 3.9, (r"[0-9]", r"[A-Z]", r"[a-z]")),
 )
 
-#: Candidates that hold one of these are no secrets: samples, counted alphabets, one sign over and over, paths.
-ALLOWED = (
-    r"(?i)example|sample|placeholder|changeme|your[_-]?(key|token|secret)",
-    r"0123456789|(?i)abcdefghij",
-    r"(.)\1{7,}",
-    r"^(?:/?[a-z]+)(?:/[a-z]+){2,}$",
-)
+#: Not secret: samples, counted alphabets, one sign over and over, paths of plain words.
+ALLOWED = r"(?i:example|sample|placeholder|changeme|your[_-]?(?:key|token|secret))|0123456789|(?i:abcdefghij)|(.)\1{7,}|^(?:/?[a-z]+)(?:/[a-z]+){2,}$"
+#: A span that holds such a part counts all the same if so many characters in a row are outside of these parts.
+SECRET_LENGTH = 32
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -70,41 +72,50 @@ def entropy_spans(candidate: Column, rule: CharacterClass) -> Column:
 
     One pass with incremental counts: as a character enters and another
     leaves the window, only their counts and the sum of c*log2(c) change.
+    The candidate's characters, their alphabet and their codes are each computed once.
     """
     w = rule.window
     weights = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 2)])
-    signs = F.split(candidate, "")
-    alphabet = F.array_distinct(signs)
-    codes = F.transform(signs, lambda x: F.array_position(alphabet, x).cast("int") - 1)
-    steps = F.transform(codes, lambda c, i: F.struct(c.alias("come"), F.when(i >= w, F.get(codes, i - w)).alias("go"), i.cast("int").alias("i")))
-    start = F.struct(F.array_repeat(F.lit(0), F.size(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(SPAN).alias("found"))
 
-    def step(s: Column, x: Column) -> Column:
-        come, go = x["come"], x["go"]
-        same = go.isNotNull() & (come == go)
-        in_count, out_count = F.get(s["counts"], come), F.get(s["counts"], F.coalesce(go, F.lit(0)))
-        f = lambda c: F.get(weights, c)
-        entered = F.when(same, 0.0).otherwise(f(in_count + 1) - f(in_count))
-        left = F.when(same | go.isNull(), 0.0).otherwise(f(out_count - 1) - f(out_count))
-        counts = F.transform(s["counts"], lambda c, k: c + F.when(k == come, 1).otherwise(0) - F.when(go.isNotNull() & (k == go), 1).otherwise(0))
-        total = s["sum"] + entered + left
-        high = (x["i"] >= w - 1) & (F.round(F.lit(math.log2(w)) - total / w, 9) >= rule.least_bits)
-        begin, end, last = x["i"] - (w - 1), x["i"] + 1, F.get(s["found"], F.size(s["found"]) - 1)
-        code = F.lit(KINDS.index(rule.kind)).alias("kind")
-        joins = F.coalesce(last["end"] >= begin, F.lit(False))
-        joined = F.concat(F.slice(s["found"], F.lit(1), F.greatest(F.size(s["found"]) - 1, F.lit(0))), F.array(F.struct(F.coalesce(last["start"], F.lit(0)).alias("start"), code, end.alias("end"))))
-        added = F.concat(s["found"], F.array(F.struct(begin.alias("start"), code, end.alias("end"))))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(~high, s["found"]).when(joins, joined).otherwise(added).alias("found"))
-
-    return F.aggregate(steps, start, step, lambda s: s["found"])
+    def scan(codes: Column, n_signs: Column) -> Column:
+        steps = F.transform(codes, lambda c, i: F.struct(c.alias("come"), F.when(i >= w, F.get(codes, i - w)).alias("go"), i.cast("int").alias("i")))
+        start = F.struct(F.array_repeat(F.lit(0), n_signs).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(SPAN).alias("found"))
+
+        def step(s: Column, x: Column) -> Column:
+            come, go = x["come"], x["go"]
+            same = go.isNotNull() & (come == go)
+            in_count, out_count = F.get(s["counts"], come), F.get(s["counts"], F.coalesce(go, F.lit(0)))
+            f = lambda c: F.get(weights, c)
+            entered = F.when(same, 0.0).otherwise(f(in_count + 1) - f(in_count))
+            left = F.when(same | go.isNull(), 0.0).otherwise(f(out_count - 1) - f(out_count))
+            counts = F.transform(s["counts"], lambda c, k: c + F.when(k == come, 1).otherwise(0) - F.when(go.isNotNull() & (k == go), 1).otherwise(0))
+            total = s["sum"] + entered + left
+            high = (x["i"] >= w - 1) & (F.round(F.lit(math.log2(w)) - total / w, 9) >= rule.least_bits)
+            begin, end, last = x["i"] - (w - 1), x["i"] + 1, F.get(s["found"], F.size(s["found"]) - 1)
+            code = F.lit(KINDS.index(rule.kind)).alias("kind")
+            joins = F.coalesce(last["end"] >= begin, F.lit(False))
+            joined = F.concat(F.slice(s["found"], F.lit(1), F.greatest(F.size(s["found"]) - 1, F.lit(0))), F.array(F.struct(F.coalesce(last["start"], F.lit(0)).alias("start"), code, end.alias("end"))))
+            added = F.concat(s["found"], F.array(F.struct(begin.alias("start"), code, end.alias("end"))))
+            return F.struct(F.when(same, s["counts"]).otherwise(counts).alias("counts"), total.alias("sum"), F.when(~high, s["found"]).when(joins, joined).otherwise(added).alias("found"))
+
+        return F.aggregate(steps, start, step, lambda s: s["found"])
+
+    coded = lambda signs, alphabet: let(F.transform(signs, lambda x: F.array_position(alphabet, x).cast("int") - 1), lambda codes: scan(codes, F.size(alphabet)))
+    return let(F.split(candidate, ""), lambda signs: let(F.array_distinct(signs), lambda alphabet: coded(signs, alphabet)))
+
+
+def suppressed(span: Column) -> Column:
+    """Whether the allow-list explains the text of a span: it has such a part, and too little in a row beside these to be a secret."""
+    longest = F.array_max(F.transform(F.split(span, ALLOWED, -1), lambda x: F.length(x)))
+    return span.rlike(ALLOWED) & (longest < SECRET_LENGTH)
 
 
 def entropy_matches(text: Column, rule: CharacterClass) -> Column:
-    """Entropy spans of all candidates of a text that no allow-list entry suppresses."""
+    """Entropy spans of all candidates of a text that the allow-list doesn't suppress."""
     pieces = F.split(text, rule.pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
     parts = F.arrays_zip(F.transform(pieces, lambda x: F.length(x)).alias("gap"), whole.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,value:string>>").alias("found"))
 
     def step(s: Column, x: Column) -> Column:
         value = F.coalesce(x["value"], F.lit(""))
@@ -112,12 +123,13 @@ def entropy_matches(text: Column, rule: CharacterClass) -> Column:
         good = F.length(value) >= rule.window
         for p in rule.needs:
             good = good & value.rlike(p)
-        for p in ALLOWED:
-            good = good & ~value.rlike(p)
-        inner = F.transform(entropy_spans(value, rule), lambda e: F.struct((e["start"] + begin).alias("start"), e["kind"].alias("kind"), (e["end"] + begin).alias("end")))
-        return F.struct((begin + F.length(value)).alias("at"), F.when(good, F.concat(s["found"], inner)).otherwise(s["found"]).alias("found"))
+        return F.struct((begin + F.length(value)).alias("at"), F.when(good, F.concat(s["found"], F.array(F.struct(begin.alias("at"), value.alias("value"))))).otherwise(s["found"]).alias("found"))
 
-    return F.aggregate(parts, start, step, lambda s: s["found"])
+    def inner(c: Column) -> Column:
+        kept = F.filter(entropy_spans(c["value"], rule), lambda e: ~suppressed(F.substring(c["value"], e["start"] + 1, e["end"] - e["start"])))
+        return F.transform(kept, lambda e: F.struct((e["start"] + c["at"]).alias("start"), e["kind"].alias("kind"), (e["end"] + c["at"]).alias("end")))
+
+    return F.flatten(F.transform(F.aggregate(parts, start, step, lambda s: s["found"]), inner))
 
 
 def rendered(spans: Column) -> Column:

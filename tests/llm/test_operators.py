@@ -127,8 +127,7 @@ def _entropy_secrets(t):
     for rule in secrets.CLASSES:
         for m in re.finditer(rule.pattern, t):
             v = m[0]
-            allowed = [p.replace("0123456789|(?i)", "(?i)0123456789|") for p in secrets.ALLOWED]
-            if len(v) < rule.window or not all(re.search(p, v) for p in rule.needs) or any(re.search(p, v) for p in allowed):
+            if len(v) < rule.window or not all(re.search(p, v) for p in rule.needs):
                 continue
             found = []
             for i in range(len(v) - rule.window + 1):
@@ -139,17 +138,27 @@ def _entropy_secrets(t):
                         found[-1] = (found[-1][0], found[-1][1], b)
                     else:
                         found.append((a, secrets.KINDS.index(rule.kind), b))
-            out += found
+            for x in found:
+                span, at, longest = t[x[0] : x[2]], 0, 0
+                for p in re.finditer(secrets.ALLOWED, span):
+                    longest, at = max(longest, p.start() - at), p.end()
+                if not at or max(longest, len(span) - at) >= secrets.SECRET_LENGTH:
+                    out.append(x)
     return out
 
 
 def test_secrets(spark, docs, empty):
     extra = spark.createDataFrame([(1, "key aB3xY9zQ1wE7rT5uI2oP8sD6fG4hJ0kL, token=token: abcdef 1eb9c654e721b4f812088970e66a6345cee33dd6 EXAMPLEaB3xY9zQ1wE7rT5uI2oP8sD6f")], "doc_id long, text string")
-    for df in (docs, extra):
+    rng = random.Random(1)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    long = [(10, f"data:image/png;base64,{key(20_000)} and {key(300)}AAAAAAAAAAAA{key(300)}"), (11, f"example/v1/{key(40)} --------{key(40)} sample_key-{key(40)} example{key(20)}"), (12, "0123456789abcdef" * 2000)]
+    for df in (docs, extra, docs.sparkSession.createDataFrame(long, "doc_id long, text string")):
         for r in secrets.find_secrets(df).collect():
             base = _base_secrets(r["text"] or "")
             assert [tuple(x) for x in r["base_spans"]] == base
             assert [tuple(x) for x in r["spans"]] == sorted(base + _entropy_secrets(r["text"] or ""))
+            if r["doc_id"] in (10, 11):
+                assert len(r["spans"]) >= 3 and sum(x["end"] - x["start"] for x in r["spans"]) > 100
     assert secrets.find_secrets(empty).isEmpty()
 
 
