@@ -11,11 +11,12 @@ outside can only be left alone.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
 from collections import defaultdict
-from itertools import islice
+from itertools import accumulate, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ from regionfx.llm.words import once
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -75,8 +75,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---- the field -------------------------------------------------------------
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.S)
-MAX_TOKENS = 20  # of a segment
-CONTEXT = 6  # tokens before a segment that its features look at
+MAX_TOKENS = 36  # of a segment
+CONTEXT, AFTER = 6, 4  # tokens before and after a segment that its features look at
 NONE = len(KINDS)
 SCALE = 1 << 20  # of scores when they are summed up
 
@@ -121,6 +121,37 @@ def candidates(tokens: list[str]):
                     yield i, j + 1, 3
 
 
+#: A dot of a host as it may be spelt, and a host after these are put as dots.
+DOT = re.compile(r"\s*[(\[]?\s*(?:\bdot\b|\.)\s*[)\]]?\s*")
+HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+\Z")
+
+
+def address_features(tokens: list[str], i: int, j: int) -> list[str]:
+    """Features of the segment i..j-1 as an e-mail address: its name, sign and host as wholes, and whether it is cut off on either side."""
+    part = [t.lower() for t in tokens[i:j]]
+    at = next((k for k, t in enumerate(part) if t in ("@", "at")), 0)
+    left, right = "".join(part[:at]), "".join(part[at + 1 :])
+    name, host = left.rstrip(" (["), right.lstrip(" )]")
+    sign = left[len(name) :] + part[at] + right[: len(right) - len(host)]
+    plain = DOT.sub(".", host)
+    spelt = "dot" if "dot" in part[at:] else ".." if plain != host else "."
+    labels = plain.split(".")
+    whole = HOST.match(plain) is not None
+    before, after = "".join(tokens[max(0, i - 2) : i]).lower(), "".join(tokens[j : j + AFTER]).lower()
+    shape = "none" if not name else "blank" if re.search(r"\s", name) else "odd" if re.search(r"[()\[\]/]", name) else "digits" if name.isdigit() else "good"
+    return [
+        f"email|name={shape}",
+        f"email|host={'good' if whole else 'blank' if re.search(r'[^ -~]| ', plain) else 'odd'}",
+        f"email|labels={min(4, len(labels))}",
+        f"email|tail={'letters' if labels[-1].isalpha() and 2 <= len(labels[-1]) <= 6 else 'other'}",
+        f"email|sign={sign}",
+        f"email|dots={spelt}|{part[at]}",
+        f"email|whole={shape == 'good' or shape == 'digits'}{whole}{spelt}|{sign}",
+        f"email|cut before={bool(re.search(r'[a-z0-9][._%+-]$|[a-z0-9]$', before))}",
+        f"email|cut after={bool(re.match(r'[.-][a-z0-9]|[a-z0-9]| ?[(\[]?dot\b', after))}",
+    ]
+
+
 def features(tokens: list[str], i: int, j: int, kind: int) -> list[str]:
     """Features of the whole segment i..j-1 as an entity of this type."""
     part = tokens[i:j]
@@ -131,11 +162,7 @@ def features(tokens: list[str], i: int, j: int, kind: int) -> list[str]:
     before = [t.lower() for t in tokens[max(0, i - CONTEXT) : i] if t.isalpha()][-2:]
     out += [f"{k}|before={w}" for w in before]
     if kind == 0:
-        tail = part[-1]
-        out += [f"{k}|sign={'@' in text}", f"{k}|tail={'letters' if tail.isalpha() and 2 <= len(tail) <= 6 else 'other'}", f"{k}|blanks={min(3, text.count(' '))}", f"{k}|dot={'.' in text}", f"{k}|odd={any(c in '()/+[]' for c in text)}"]
-        words = [t.lower() for t in part]
-        if "@" not in text:
-            out += [f"{k}|marked={'(' in text or '[' in text}", f"{k}|dot word={'dot' in words}", f"{k}|tokens={'few' if len([t for t in words if t.isalpha()]) <= 6 else 'many'}"]
+        out += address_features(tokens, i, j)
     else:
         groups = re.findall("[0-9]+", text)
         shape = "-".join(str(len(g)) for g in groups)
@@ -257,8 +284,10 @@ def training_windows(n: int, seed: int):
         return sep.join(x[i : i + 4] for i in range(0, len(x), 4)) if len(x) == 16 else x
 
     def email():
-        local, host, top = rng.choice((word(), f"{word()}.{word()}", word() + num(2), num(2))), rng.choice((word(), "mail" + num(1) + ".example")), rng.choice(("com", "org", "net", "de", "fr"))
-        return rng.choice((f"{local}@{host}.{top}", f"{local}@{host}.{top}", f"{local} at {word()} dot {top}", f"{local} (at) {word()} (dot) {top}", f"{local} [at] {word()}.{top}", f"{local} @ {word()}.{top}"))
+        local = rng.choice((word(), f"{word()}.{word()}", f"{word()}_{word()}", word() + num(2), num(2)))
+        host = [word() for _ in range(rng.choice((1, 1, 2)))] + [*rng.choice((["com"], ["org"], ["net"], ["de"], ["fr"], ["co", "uk"]))]
+        sign, dot = rng.choice((("@", "."), ("@", "."), (" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", "."), (" @ ", "."), ("(at)", "(dot)"), (" [at] ", " [dot] ")))
+        return local + sign + dot.join(host)
 
     def ip():
         parts = [str(rng.randint(0, 255)) for _ in range(4)]
@@ -338,10 +367,10 @@ def windows(text: str):
             end = m.end()
             continue
         if begin is not None:
-            yield tokens_before(text, begin, MAX_TOKENS + CONTEXT), tokens_after(text, end, MAX_TOKENS)
+            yield tokens_before(text, begin, MAX_TOKENS + CONTEXT), tokens_after(text, end, MAX_TOKENS + AFTER)
         begin, end = m.span()
     if begin is not None:
-        yield tokens_before(text, begin, MAX_TOKENS + CONTEXT), tokens_after(text, end, MAX_TOKENS)
+        yield tokens_before(text, begin, MAX_TOKENS + CONTEXT), tokens_after(text, end, MAX_TOKENS + AFTER)
 
 
 def tokens_after(text: str, at: int, n: int) -> int:
@@ -366,8 +395,9 @@ def tokens_before(text: str, at: int, n: int) -> int:
 def all_spans(text: str, field: Field):
     """(base spans, base spans and the field's further ones), each sorted by start, then kind."""
     base = base_spans(text)
-    more = [s for s in field_spans(text, field) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
-    return base, sorted(base + more)
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))  # the furthest end of the spans so far
+    free = lambda s: not (k := bisect.bisect_left(starts, s[2])) or reach[k - 1] <= s[0]
+    return base, sorted(base + [s for s in field_spans(text, field) if free(s)])
 
 
 def redacted(text: str, spans) -> str:
