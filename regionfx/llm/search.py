@@ -1,101 +1,111 @@
-"""Exact BM25 top-k over sharded inverted indexes with block-max pruning.
-
-Each task that reads documents writes one or more shards: postings by word, in blocks of
-documents.  Scores use statistics of all documents, so the best of each shard
-merge to the exact best of all.  Within a shard, the sum of the block maxima
-of a query's words bounds every score in a block of documents; blocks are
-scored from the highest bound down until no bound reaches the k-th best score.
+"""Exact BM25 top-k over sharded inverted indexes with block-max WAND pruning.
+
+Tasks that read documents write shards: postings by word, with the documents of
+a shard in blocks.  Scores use statistics of all documents, so what the shards give
+merges to the exact best of all.
+
+A task owns some queries and walks all shards with them.  The k-th best score so
+far is carried from shard to shard as the threshold.  In a shard a query's words
+are ordered by their postings, longest first, and the pivot is the first word
+with which the sum of the words' greatest weights could reach the threshold: a document with none of
+the words from the pivot on can't be among the best, so the words before it are
+never walked.  Those from the pivot on are summed up for the documents they hold.  A document goes on
+only if that sum and the words' greatest weights in its block reach the threshold; what
+is left gets the weights of the words before the pivot looked up, and is scored in full.  All steps
+are array operations over a shard's documents.
 """
 
 from __future__ import annotations
 
 import io
-import json
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionfx.llm.licences import words_of
+from regionfx.llm.licences import WORD_BYTES, words_of
 from regionfx.llm.storage import materialize, new_folder, open_filesystem, write_bytes
 from regionfx.llm.words import chunks_of
 
 K1, B = 1.2, 0.75
 BLOCK_DOCS = 32
-QUERY_BLOCK = 128
+#: Words that more than this share of a shard's documents have are also held as rows of weights by document, so that they can be looked up.
+DENSE_SHARE = 1 / 24
+#: The words before the pivot may reach this share of the threshold: what they leave of it prunes documents at once.
+PIVOT_SHARE = 0.7
+SLACK = 1e-6  # of bounds, for rounding
 
 
-def build_shard(doc_ids: list, texts: list) -> tuple[bytes, list[bytes], np.ndarray, int]:
-    """(file content, words in order, document frequency of each, number of words)."""
+def build_shard(doc_ids: list, texts: list) -> tuple[bytes, object, np.ndarray, int]:
+    """(file content, the words (pyarrow), document frequency of each, number of words)."""
     import pyarrow as pa
-
-    lengths, flat = [], []
-    for t in texts:
-        words = words_of(t)
-        lengths.append(len(words))
-        flat += words
-    coded = pa.array(flat, pa.binary()).dictionary_encode()
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
-    pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(texts) + doc, return_counts=True) if len(flat) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    word, doc = pairs // max(1, len(texts)), pairs % max(1, len(texts))
-    words = coded.dictionary.to_pylist()
+    import pyarrow.compute as pc
+
+    plain = pa.array([(t or "").encode().translate(WORD_BYTES).decode() for t in texts], pa.large_string())
+    lists = pc.ascii_split_whitespace(plain)
+    flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+    full = pc.not_equal(flat, "")
+    flat, doc = flat.filter(full), doc[full.to_numpy(zero_copy_only=False)]
+    coded = flat.cast(pa.string()).dictionary_encode()
+    n = max(1, len(texts))
+    pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
+    word, at = pairs // n, pairs % n
+    words = coded.dictionary
     df = np.bincount(word, minlength=len(words)).astype(np.int64)
+    text, ends = b"".join(w.encode() for w in words.to_pylist()), np.append(0, np.cumsum(pc.binary_length(words).to_numpy()))
     out = io.BytesIO()
-    np.savez(out, doc_ids=np.array([0 if x is None else x for x in doc_ids], np.int64), nulls=np.array([x is None for x in doc_ids]), lengths=np.array(lengths, np.int32), words=np.frombuffer(b"\n".join(words), np.uint8), df=df, doc=doc.astype(np.int32), tf=tf.astype(np.int32))
-    return out.getvalue(), words, df, len(flat)
+    np.savez(out, doc_ids=np.array([0 if x is None else x for x in doc_ids], np.int64), nulls=np.array([x is None for x in doc_ids], bool), lengths=np.bincount(doc, minlength=len(texts)).astype(np.int32), words=np.frombuffer(text, np.uint8), ends=ends.astype(np.int32), df=df, doc=at.astype(np.int32), tf=tf.astype(np.int32))
+    return out.getvalue(), words, df, len(doc)
 
 
 class Shard:
-    def __init__(self, uri: str, mean_length: float):
-        filesystem, path = open_filesystem(uri)
+    def __init__(self, filesystem, path: str, mean_length: float):
+        import pyarrow as pa
+
         with filesystem.open_input_file(path) as f:
             z = np.load(io.BytesIO(f.read()))
-        words = z["words"].tobytes().split(b"\n") if len(z["df"]) else []
-        self.rows = dict(zip(words, range(len(words)), strict=True))
-        self.ids = [None if n else i for i, n in zip(z["doc_ids"].tolist(), z["nulls"].tolist(), strict=True)]
-        self.sort_ids = np.where(z["nulls"], np.iinfo(np.int64).min, z["doc_ids"])
-        self.doc, tf, length = z["doc"], z["tf"].astype(np.float64), z["lengths"].astype(np.float64)
+        self.words = pa.StringArray.from_buffers(len(z["df"]), pa.py_buffer(z["ends"].tobytes()), pa.py_buffer(z["words"].tobytes()))
+        self.doc_ids, self.nulls, self.df, self.doc = z["doc_ids"], z["nulls"], z["df"], z["doc"]
+        self.n = len(self.doc_ids)
+        tf, length = z["tf"].astype(np.float64), z["lengths"].astype(np.float64)
         norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
         self.weight = tf * (K1 + 1) / (tf + norm[self.doc])
-        # blocks: runs of postings of one word within one block of documents
-        word = np.repeat(np.arange(len(words)), z["df"])
-        block = self.doc // BLOCK_DOCS
-        begins = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))) if len(word) else np.zeros(0, np.int64)
-        self.run_block, self.run_at = block[begins], np.append(begins, len(word))
-        self.run_max = np.maximum.reduceat(self.weight, begins) if len(word) else np.zeros(0)
-        self.word_runs = np.searchsorted(word[begins], np.arange(len(words) + 1))
-        self.n_blocks = -(-len(self.ids) // BLOCK_DOCS)
-
-    def best(self, words: list[bytes], idf: list[float], k: int):
-        """(place of document, score) of the k best documents with a score above 0; ties by doc_id."""
-        known = [(self.rows[w], x) for w, x in zip(words, idf, strict=True) if w in self.rows]
-        if not known:
-            return []
-        rows, factor = np.array([r for r, _ in known]), np.array([x for _, x in known])
-        n = self.word_runs[rows + 1] - self.word_runs[rows]
-        runs = _ranges(self.word_runs[rows], n)
-        times = np.repeat(factor, n)
-        bounds = np.bincount(self.run_block[runs], weights=times * self.run_max[runs], minlength=self.n_blocks)
-        order = np.argsort(-bounds, kind="stable")
-        places, scores, least, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        while at < len(order) and bounds[order[at]] > 0 and bounds[order[at]] >= least - 1e-6:
-            take = order[at : at + step]
-            take = take[bounds[take] >= least - 1e-6]
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[take] = True
-            mine = chosen[self.run_block[runs]]
-            part = runs[mine]
-            m = self.run_at[part + 1] - self.run_at[part]
-            posts = _ranges(self.run_at[part], m)
-            got = np.bincount(self.doc[posts], weights=np.repeat(times[mine], m) * self.weight[posts], minlength=len(self.ids))
-            hit = np.flatnonzero(got)
-            places, scores = np.append(places, hit), np.append(scores, np.round(got[hit], 9))
-            keep = np.lexsort((self.sort_ids[places], -scores))[:k]
-            places, scores = places[keep], scores[keep]
-            least = scores[-1] if len(scores) == k else 0.0
-            at, step = at + step, step * 4
-        return list(zip(places.tolist(), scores.tolist(), strict=True))
+        self.at = np.append(0, np.cumsum(self.df))
+        self.greatest = np.maximum.reduceat(self.weight, self.at[:-1]) if len(self.df) else np.zeros(0)
+        dense = np.flatnonzero(self.df > max(8, DENSE_SHARE * self.n))
+        self.dense_row = np.full(len(self.df), -1, np.int64)
+        self.dense_row[dense] = np.arange(len(dense))
+        self.n_blocks = -(-self.n // BLOCK_DOCS)
+        self.rows = np.zeros((len(dense), self.n_blocks * BLOCK_DOCS))
+        posts = _ranges(self.at[dense], self.df[dense])
+        self.rows[np.repeat(np.arange(len(dense)), self.df[dense]), self.doc[posts]] = self.weight[posts]
+        self.block_greatest = self.rows.reshape(len(dense), self.n_blocks, BLOCK_DOCS).max(axis=2) if len(dense) else np.zeros((0, self.n_blocks))
+
+    def places(self, words) -> np.ndarray:
+        """The row of each word (pyarrow), -1 for others."""
+        import pyarrow.compute as pc
+
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+
+    def best(self, words: np.ndarray, idf: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores): all documents that score at least ``least`` and above 0, and perhaps some that don't."""
+        order = np.argsort(-self.df[words], kind="stable")
+        words, idf = words[order], idf[order]
+        reach = np.cumsum(idf * self.greatest[words])
+        n_dense = int((self.dense_row[words] >= 0).sum())  # they come first
+        pivot = min(n_dense, int(np.searchsorted(reach, PIVOT_SHARE * least - SLACK)))
+        sizes = self.df[words[pivot:]]
+        posts = _ranges(self.at[words[pivot:]], sizes)
+        got = np.bincount(self.doc[posts], weights=np.repeat(idf[pivot:], sizes) * self.weight[posts], minlength=self.n)
+        hit = np.flatnonzero(got >= (least - SLACK - reach[pivot - 1] if pivot else max(least - SLACK, SLACK)))
+        if not pivot or not len(hit):
+            return hit, got[hit]
+        before, factor = self.dense_row[words[:pivot]], idf[:pivot]
+        bound = factor @ self.block_greatest[before]
+        hit = hit[got[hit] + bound[hit // BLOCK_DOCS] >= least - SLACK]
+        return hit, got[hit] + factor @ self.rows[before[:, None], hit]
 
 
 def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -104,42 +114,46 @@ def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def build_index(docs: DataFrame, folder: str, shard_bytes: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
-    """Write shards of (doc_id, text).  Returns the shards (uri, n_docs, n_words) and (word, df) over all documents."""
+def build_index(docs: DataFrame, folder: str, shard_bytes: int = 24 << 20) -> DataFrame:
+    """Write shards of (doc_id, text).  Returns rows (n_docs, n_words) of the shards and (word, df) of their words.
+
+    Input splits are put together to about a shard each, with no shuffle, as every query meets every shard.
+    """
 
     def write(batches):
         import pyarrow as pa
 
         for k, table in enumerate(chunks_of(batches, "text", shard_bytes)):
             content, words, df, n_words = build_shard(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
-            uri = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{k:06d}.npz"
-            write_bytes(uri, [content])
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([table.num_rows], pa.int64()), pa.nulls(1, pa.string()), pa.array([n_words], pa.int64())], names=["uri", "n_docs", "word", "n"])
-            for i in range(0, len(words), 8192):
-                part = words[i : i + 8192]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.int64()), pa.array([w.decode() for w in part]), pa.array(df[i : i + 8192], pa.int64())], names=["uri", "n_docs", "word", "n"])
+            write_bytes(f"{folder}/shard-{TaskContext.get().partitionId():06d}-{k:06d}.npz", [content])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([n_words], pa.int64())], names=["word", "df", "n_docs", "n_words"])
+            for i in range(0, len(words), 10_000):
+                part = words[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([part, pa.array(df[i : i + 10_000], pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64())], names=["word", "df", "n_docs", "n_words"])
 
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(source.mapInArrow(write, "uri string, n_docs long, word string, n long"), "index-rows")
-    return rows.where("uri is not null").select("uri", "n_docs", F.col("n").alias("n_words")), rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("df"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    source = source.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // shard_bytes)))
+    return materialize(source.mapInArrow(write, "word string, df long, n_docs long, n_words long"), "index-rows")
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 24 << 20, queries_per_task: int = 256, words_at_once: int = 1_000_000) -> DataFrame:
     """(query_id, rank, doc_id, score): the k documents with the highest BM25 score for each query (query_id, text).
 
     A query's distinct words count once each; documents without any of them
-    aren't listed.  Equal scores (rounded to 9 places) are ranked by doc_id.
+    aren't listed.  Equal scores (rounded to 9 places) are ranked by doc_id, null ids first.
     Rows of one query_id count as one query with the largest text; null and empty texts give no
-    rows; repeated documents are ranked each by itself; empty tables give no rows.
-    Query blocks and shards meet as file names, so no row of either is
-    copied through a shuffle.
+    rows; repeated documents are ranked each by itself; empty tables give no rows; further columns are ignored.
+    A task holds one shard and queries of ``words_at_once`` words; it gives k rows for each query, whatever the number of shards.
     """
     spark = docs.sparkSession
     folder = new_folder(spark, "search")
-    shards, df = build_index(docs, folder)
-    total = shards.agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).first()
+    index = build_index(docs, folder, shard_bytes)
+    total = index.agg(F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).first()
     n_docs = total["docs"] or 0
     mean = (total["words"] or 0) / max(1, n_docs)
+    df = index.where("word is not null").groupBy("word").agg(F.sum("df").alias("df"))
 
     def split(batches):
         import pyarrow as pa
@@ -150,56 +164,61 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 if words:
                     yield pa.RecordBatch.from_arrays([pa.array([q] * len(words), pa.int64()), pa.array([w.decode() for w in words])], names=["query_id", "word"])
 
-    asked = queries.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.max("text").alias("text")).mapInArrow(split, "query_id long, word string")
+    asked = queries.groupBy(F.col("query_id").cast("long").alias("query_id")).agg(F.max("text").alias("text"))
+    asked = asked.mapInArrow(split, "query_id long, word string")
     idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(df, "word").select("query_id", F.struct("word", idf.alias("idf")).alias("x")).groupBy("query_id").agg(F.sort_array(F.collect_list("x")).alias("words"))
+    weighted = materialize(weighted, "queries")
+    n_tasks = max(1, -(-weighted.count() // queries_per_task))
 
-    def write(batches):
+    def search(batches):
         import pyarrow as pa
-
-        held, n, uris = [], 0, []
-
-        def flush():
-            nonlocal held, n
-            uri = f"{folder}/queries-{TaskContext.get().partitionId():06d}-{n:06d}.json"
-            write_bytes(uri, [json.dumps(held).encode()])
-            held, n = [], n + 1
-            uris.append(uri)
-
+        from pyarrow import fs
+
+        def walk(held):
+            """The rows of some queries, from all shards."""
+            ids = [q for q, _, _ in held]
+            words = pa.concat_arrays([w for _, w, _ in held])
+            ends = np.append(0, np.cumsum([len(w) for _, w, _ in held]))
+            coded = words.dictionary_encode()
+            own = coded.indices.to_numpy()
+            idf = np.concatenate([x for _, _, x in held])
+            best = [(np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64))] * len(ids)  # score, id not null, id
+            least = np.zeros(len(ids))
+            filesystem, path = open_filesystem(folder)
+            for name in sorted(x.path for x in filesystem.get_file_info(fs.FileSelector(path)) if x.path.endswith(".npz")):
+                shard = Shard(filesystem, name, mean)
+                row = shard.places(coded.dictionary)[own]
+                for i in range(len(ids)):
+                    part = row[ends[i] : ends[i + 1]]
+                    here = part >= 0
+                    if not here.any():
+                        continue
+                    docs, scores = shard.best(part[here], idf[ends[i] : ends[i + 1]][here], least[i])
+                    if len(docs):
+                        s, named, at = best[i]
+                        s, named, at = np.append(s, np.round(scores, 9)), np.append(named, ~shard.nulls[docs]), np.append(at, shard.doc_ids[docs])
+                        keep = np.lexsort((at, named, -s))[:k]
+                        best[i] = s[keep], named[keep], at[keep]
+                        if len(keep) == k:
+                            least[i] = s[keep[-1]]
+            sizes = [len(s) for s, _, _ in best]
+            rank = np.concatenate([np.arange(1, n + 1) for n in sizes]).astype(np.int32)
+            s, named, at = (np.concatenate(x) for x in zip(*best, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes), pa.int64()) if None not in ids else pa.array([q for q, n in zip(ids, sizes, strict=True) for _ in range(n)], pa.int64()), pa.array(rank), pa.array(at, pa.int64(), mask=~named), pa.array(s)], names=["query_id", "rank", "doc_id", "score"])
+
+        held, n = [], 0
         for batch in batches:
-            for q, words in zip(batch.column("query_id").to_pylist(), batch.column("words").to_pylist(), strict=True):
-                held.append((q, [w["word"] for w in words], [w["idf"] for w in words]))
-                if len(held) == QUERY_BLOCK:
-                    flush()
+            for q, words in zip(batch.column("query_id").to_pylist(), batch.column("words"), strict=True):
+                held.append((q, words.values.field("word"), words.values.field("idf").to_numpy()))
+                n += len(words)
+                if n >= words_at_once:
+                    yield walk(held)
+                    held, n = [], 0
         if held:
-            flush()
-        if uris:
-            yield pa.RecordBatch.from_pydict({"queries": pa.array(uris, pa.string())})
-
-    blocks = materialize(weighted.mapInArrow(write, "queries string"), "query-blocks")
-    names = sorted(r["queries"] for r in blocks.collect())  # file names, one for each QUERY_BLOCK queries
-    per_task = 4
-    groups = [names[i : i + per_task] for i in range(0, len(names), per_task)]
-    work = shards.select("uri", F.explode(F.sequence(F.lit(0), F.lit(len(groups) - 1))).alias("g")) if groups else shards.select("uri", F.lit(0).alias("g")).limit(0)
-    work = work.repartition(max(1, shards.count() * len(groups)), "uri", "g")
+            yield walk(held)
 
-    def search(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for uri, g in zip(batch.column("uri").to_pylist(), batch.column("g").to_pylist(), strict=True):
-                shard = Shard(uri, mean)
-                for name in groups[g]:
-                    filesystem, path = open_filesystem(name)
-                    with filesystem.open_input_file(path) as f:
-                        block = json.loads(f.read())
-                    out = [(q, shard.ids[p], s) for q, words, idf in block for p, s in shard.best([w.encode() for w in words], idf, k)]
-                    a = list(zip(*out, strict=True)) or [(), (), ()]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.float64())], names=["query_id", "doc_id", "score"])
-
-    found = work.mapInArrow(search, "query_id long, doc_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return weighted.repartition(n_tasks, "query_id").mapInArrow(search, "query_id long, rank int, doc_id long, score double")
 
 
 def op4_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:

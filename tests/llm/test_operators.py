@@ -177,9 +177,35 @@ def test_search_equals_exhaustive_scores(docs, empty):
             if s > 0:
                 scores.append((-round(s, 6), -1 if i is None else i))
         want += [(q[0], k + 1, i) for k, (_, i) in enumerate(sorted(scores)[:5])]
-    got = [(r["query_id"], r["rank"], -1 if r["doc_id"] is None else r["doc_id"]) for r in search.top_k(docs, queries, 5).collect()]
-    assert sorted(got) == sorted(want)
-    assert search.top_k(empty, queries.where("false")).isEmpty()
+    for options in ({}, {"shard_bytes": 4000, "queries_per_task": 3, "words_at_once": 9}):
+        got = [(r["query_id"], r["rank"], -1 if r["doc_id"] is None else r["doc_id"]) for r in search.top_k(docs, queries, 5, **options).collect()]
+        assert sorted(got) == sorted(want)
+    assert search.top_k(empty, queries.where("false")).isEmpty() and search.top_k(empty, queries).isEmpty() and search.top_k(docs, queries.where("false")).isEmpty()
+
+
+def test_search_prunes_without_loss(spark, sf_dir):
+    """On real texts, with shards large enough for words before the pivot, the best are those of exhaustive scores."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id < 20").selectExpr("doc_id", "concat(text, ' once more')"))
+    queries = docs.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    rows = [(r["doc_id"], collections.Counter(licences.words_of(r["text"]))) for r in docs.collect()]
+    mean, n = sum(sum(c.values()) for _, c in rows) / len(rows), len(rows)
+    df = collections.Counter(w for _, c in rows for w in c)
+    idf = {w: math.log(1 + (n - x + 0.5) / (x + 0.5)) for w, x in df.items()}
+    weights = [(i, {w: idf[w] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, tf in c.items()}) for i, c in rows]
+    got = collections.defaultdict(list)
+    for r in search.top_k(docs, queries, 10, shard_bytes=100_000).collect():
+        got[r["query_id"]].append((r["rank"], r["doc_id"], r["score"]))
+    texts = {r["query_id"]: r["text"] for r in queries.groupBy("query_id").agg({"text": "max"}).withColumnRenamed("max(text)", "text").collect()}
+    assert got.keys() == texts.keys()
+    for q, t in texts.items():
+        terms = set(licences.words_of(t))
+        scores = sorted(((-sum(x[w] for w in terms & x.keys()), i) for i, x in weights if terms & x.keys()))[:10]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, len(scores) + 1))
+        assert all(abs(m[2] + s) < 1e-6 for m, (s, _) in zip(mine, scores, strict=True))
+        exact = {i: -s for s, i in ((-sum(x[w] for w in terms & x.keys()), i) for i, x in weights)}
+        assert all(m[2] <= exact[m[1]] + 1e-6 or m[1] < 20 for m in mine)
 
 
 def test_archive(spark):
