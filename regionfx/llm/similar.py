@@ -4,11 +4,11 @@ Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ
 in about ten bits of a 64-bit SimHash, which ball hashing can't cover.  So
 texts also get band signatures of minima of their shingles' hashes; texts that
 share a band are compared by their whole sets.  A band's texts are compared
-with a few leaders, never each with each: a leader leaves the band after that, as
-does a text that by its distance from a leader and its own shingles nothing in the band can be
-similar to.  The band is done when all its texts are in one component.  Bands with
-several components take four times as many leaders in the next round, so that
-in the end no two texts of a band are left that might be similar and are neither compared nor linked.
+with leaders, never each with each: first with one of the band, after which a text leaves that by its
+distance from this leader and its own shingles nothing in the band can be similar to; then with
+texts that are still outside of the band's largest component, as far as both distances allow.  A leader leaves the
+band after its turn, and the band is done when all its texts are in one component, so that
+no two texts of a band are left that might be similar and are neither compared nor linked.
 """
 
 from __future__ import annotations
@@ -101,10 +101,10 @@ def crowded_bands(sigs: DataFrame) -> DataFrame:
 
 
 def hopeful(met: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(sig, node, weight): the members of bands that another one of their band may still be similar enough to.
+    """(sig, node, high, low): the members of bands that another one of their band may still be similar enough to.
 
-    met: (sig, node, weight, root, lead), the members of a band and the leaders they were
-    compared with; known: those comparisons.  A text's difference from a leader is
+    met: (sig, node, root, lead), the members of a band and the leader they were
+    compared with; known: those comparisons.  A text's difference from the leader is
     the symmetric difference of their sets, of size d; the distance of two texts is
     the symmetric difference of their differences.  Shingles that no other
     text here has (u of them) are in no two differences, so x and y differ in at least
@@ -114,51 +114,66 @@ def hopeful(met: DataFrame, known: DataFrame, sets: DataFrame, similarity: float
     summaries of their band in steps of low, each with its greatest high and least low.
     """
     share = (1 - similarity) / (1 + similarity)
-    of = known.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("a_size").alias("size"), (F.col("a_size") + F.col("b_size") - 2 * F.col("shared")).alias("d"))
-    of = of.union(known.select("b", "a", "b_size", F.col("a_size") + F.col("b_size") - 2 * F.col("shared")))
+    gap = (F.col("a_size") + F.col("b_size") - 2 * F.col("shared")).alias("d")
+    of = known.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("a_size").alias("size"), gap)
+    of = of.union(known.select("b", "a", "b_size", gap))
     there = met.select("node").union(met.select("lead")).distinct()
     own = sets.join(there, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     single = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("u"))
-    rows = met.join(of, ["node", "lead"]).join(single, "node", "left")
     slack = share * F.col("size") + 1e-6
-    rows = rows.select("sig", "node", "weight", "root", "lead", (F.col("d") - 2 * F.coalesce("u", F.lit(0)) + slack).alias("high"), (F.col("d") - slack).alias("low"), (8 * F.log2(F.greatest(F.col("d"), F.lit(1)))).cast("int").alias("step"))
-    rows = materialize(rows, "bounds")
-    steps = rows.groupBy("sig", "lead", "step").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.min("root").alias("first"), F.max("root").alias("last"))
-    bands = steps.groupBy("sig", "lead").agg(F.collect_list(F.struct("high", "low", "first", "last")).alias("steps"))  # at most 8 for each doubling of d
+    high, low = F.col("d") - 2 * F.coalesce("u", F.lit(0)) + slack, F.col("d") - slack
+    step = (8 * F.log2(F.greatest(F.col("d"), F.lit(1)))).cast("int")
+    rows = materialize(met.join(of, ["node", "lead"]).join(single, "node", "left").select("sig", "node", "root", high.alias("high"), low.alias("low"), step.alias("step")), "bounds")
+    steps = rows.groupBy("sig", "step").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.min("root").alias("first"), F.max("root").alias("last"))
+    bands = steps.groupBy("sig").agg(F.collect_list(F.struct("high", "low", "first", "last")).alias("steps"))  # at most 8 for each doubling of d
     may = F.exists("steps", lambda s: (s["high"] >= F.col("low")) & (s["low"] <= F.col("high")) & ((s["first"] != F.col("root")) | (s["last"] != F.col("root"))))
-    return rows.join(bands, ["sig", "lead"]).groupBy("sig", "node").agg(F.first("weight").alias("weight"), F.min(may).alias("may")).where("may").drop("may")
+    return rows.join(bands, "sig").where(may).select("sig", "node", "high", "low")
 
 
 def similar_edges(members: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``edges`` and those between members of a band that are similar enough, but for such as are in one component already.
 
-    Texts that meet many others lead first: the text that a family of near copies
-    was made from links them all in the first round.  Members that nothing in their
-    band can be similar to any more leave it.
+    First each band's members are compared with one leader, the one that meets most
+    others in its bands: the text that a family of near copies was made from links them all.  Members that
+    nothing in their band can be similar to leave it.  After that, leaders are texts outside of their
+    band's largest component, and each is compared with the members of other components that may be similar to it.
     """
-    n_leads, tested, active, roots = 1, None, members, components(edges)
+    roots = components(edges)
+    ranges = [F.min("root").alias("first"), F.max("root").alias("last")]
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col("shared") >= similarity * (F.col("a_size") + F.col("b_size") - F.col("shared")) - 1e-9).select("a", "b")
+
+    leads = rooted(members).groupBy("sig").agg(F.min(F.struct((-F.col("weight")).alias("order"), F.col("node").alias("lead"))).alias("x"), *ranges).where("first <> last")
+    met = materialize(members.join(leads.select("sig", "x.lead"), "sig").where("node <> lead").select("sig", "node", "lead"), "met-leads")
+    pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    tested = materialize(compared(pairs, sets), "compared")
+    edges = edges.union(linked(tested))
+    roots = components(edges)
+    met = materialize(rooted(met), "met-leads")
+    open_bands = met.groupBy("sig").agg(*ranges).where("first <> last").select("sig")
+    active, n_leads = materialize(hopeful(met.join(open_bands, "sig", "left_semi"), tested, sets, similarity), "hopeful"), 64
     while True:
-        seen = materialize(active.join(roots, "node", "left").select("sig", "node", "weight", F.coalesce("root", "node").alias("root")), "band-members")
-        best = F.min(F.struct((-F.col("weight")).alias("order"), F.col("node").alias("lead"))).alias("x")
-        ranges = [F.min("root").alias("first"), F.max("root").alias("last")]
-        leads = seen.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(n_leads)).alias("part")).agg(best, *ranges)
-        leads = leads.groupBy("sig").agg(F.collect_list("x.lead").alias("leads"), F.min("first").alias("first"), F.max("last").alias("last")).where("first <> last")
-        leads = materialize(leads.select("sig", F.explode("leads").alias("lead")), "leads")
+        seen = materialize(rooted(active), "band-members")
+        sizes = seen.groupBy("sig", "root").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("sig").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("roots")).where("roots > 1").select("sig", F.col("x.root").alias("largest"))
+        outside = seen.join(largest, "sig").where("root <> largest")
+        leads = outside.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(n_leads)).alias("part")).agg(F.min(F.struct("node", "root", "high", "low")).alias("x"))
+        leads = materialize(leads.select("sig", F.col("x.node").alias("lead"), F.col("x.root").alias("lead_root"), F.col("x.high").alias("lead_high"), F.col("x.low").alias("lead_low")), "leads")
         if leads.isEmpty():
             return edges
-        met = materialize(seen.join(leads, "sig").where("node <> lead"), "met-leads")
+        met = seen.join(leads, "sig").where("root <> lead_root and high >= lead_low and lead_high >= low")
         pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        known = materialize(compared(pairs, sets), "compared")
-        tested = known if tested is None else tested.union(known)
-        edges = edges.union(known.where(F.col("shared") >= similarity * (F.col("a_size") + F.col("b_size") - F.col("shared")) - 1e-9).select("a", "b"))
-        roots = components(edges)
-        led = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_bands = led.groupBy("sig").agg(*ranges).where("first <> last").select("sig")
-        led = materialize(led.join(open_bands, "sig", "left_semi"), "led")
-        left = hopeful(led, tested, sets, similarity)
-        active = materialize(left.join(leads.withColumnRenamed("lead", "node"), ["sig", "node"], "left_anti"), "bands")
+        known = materialize(compared(pairs.join(tested, ["a", "b"], "left_anti"), sets), "compared")
+        tested = tested.union(known)
+        more = linked(known)
+        if not more.isEmpty():
+            edges = edges.union(more)
+            roots = components(edges)
+        active = materialize(seen.drop("root").join(leads.select("sig", F.col("lead").alias("node")), ["sig", "node"], "left_anti"), "bands")
         n_leads *= 4
 
 
