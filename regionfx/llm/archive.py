@@ -26,7 +26,8 @@ from regionfx.llm.storage import materialize, new_folder, open_filesystem, write
 
 MAGIC = b"RFXCDX01"
 BLOCK = 512  # captures of an index block
-FILE_BYTES = 64 << 20
+FILE_BYTES, READ_BYTES = 64 << 20, 2 << 20
+CAPTURES_PER_TASK = 5_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "key string, page_id long, uri string, offset long, length long"
 
@@ -125,7 +126,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sort captures by (key, page_id) over index files; (uri, first_key, first_id), one row per file, in order.
+    """Sort captures by (key, page_id) over index files; (uri, first_key, first_id, captures), one row per file, in order.
 
     Keys of one hot host or URL are told apart by page_id, so ranges stay even.
     """
@@ -134,7 +135,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     def write(batches):
         import pyarrow as pa
 
-        rows, blocks, size, directory, first = [], [], 0, [], None
+        rows, blocks, size, directory, first, n = [], [], 0, [], None, 0
 
         def block():
             nonlocal rows, size
@@ -145,7 +146,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first = first or r
+                first, n = first or r, n + 1
                 rows.append(r)
                 if len(rows) == BLOCK:
                     block()
@@ -155,9 +156,9 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             tail = zlib.compress(json.dumps(directory).encode())
             uri = f"{folder}/part-{TaskContext.get().partitionId():06d}.idx"
             write_bytes(uri, [*blocks, tail, struct.pack("<QQ8s", size, len(tail), MAGIC)])
-            yield pa.RecordBatch.from_pydict({"uri": pa.array([uri]), "first_key": pa.array([first[0]], pa.string()), "first_id": pa.array([first[1]], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"uri": pa.array([uri]), "first_key": pa.array([first[0]], pa.string()), "first_id": pa.array([first[1]], pa.int64()), "captures": pa.array([n], pa.int64())})
 
-    return materialize(ordered.mapInArrow(write, "uri string, first_key string, first_id long"), "index-files")
+    return materialize(ordered.mapInArrow(write, "uri string, first_key string, first_id long, captures long"), "index-files")
 
 
 def order(key: str, page_id) -> tuple:
@@ -205,10 +206,10 @@ def look_up(keys: DataFrame, index: DataFrame) -> DataFrame:
     tasks hold of the index; blocks are read by range.  Each distinct key is
     looked up once, next to its neighbours.
     """
-    files = [(order(r["first_key"], r["first_id"]), r["uri"]) for r in index.collect()]
-    files.sort()
-    firsts, uris = [f for f, _ in files], [u for _, u in files]
-    ordered = keys.distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    files = sorted((order(r["first_key"], r["first_id"]), r["uri"], r["captures"]) for r in index.collect())
+    firsts, uris = [f for f, _, _ in files], [u for _, u, _ in files]
+    tasks = max(1, sum(n for _, _, n in files) // CAPTURES_PER_TASK)  # stated, as the rows are too small to be spread by their bytes
+    ordered = keys.distinct().repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id")
 
     def find(batches):
         import pyarrow as pa
@@ -231,8 +232,10 @@ def look_up(keys: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def read_records(captures: DataFrame) -> DataFrame:
-    """The records of captures (uri, offset, length), each archive's in the order of their places."""
-    ordered = captures.select("uri", "offset", "length").repartitionByRange("uri", "offset").sortWithinPartitions("uri", "offset")
+    """The records of captures (uri, offset, length), each archive's in the order of their places; tasks get about READ_BYTES each."""
+    captures = materialize(captures.select("uri", "offset", "length"), "found")
+    tasks = max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    ordered = captures.repartitionByRange(tasks, "uri", "offset").sortWithinPartitions("uri", "offset")
 
     def read(batches):
         import pyarrow as pa
