@@ -10,7 +10,9 @@ variant, any fingerprint within 1 of it links to every other one found there
 each to one of them gives all components without forming pairs.
 
 Before that, fingerprints that have no other one within 1 bit on either
-32-bit half are set aside: they can't have a partner within 3.
+32-bit half are set aside: they can't have a partner within 3.  Halves of unrelated fingerprints
+meet by chance as well: about n / 65 million others within 1 bit of a half for n distinct fingerprints, so
+from some 10 million on this sets few aside, and every fingerprint costs its whole ball.
 """
 
 from __future__ import annotations
@@ -98,7 +100,8 @@ def _bit(i: Column) -> Column:
 
 
 def with_near_half(fps: DataFrame) -> DataFrame:
-    """Fingerprints (fp, distinct) that have another one within 1 bit on one of the two 32-bit halves."""
+    """Fingerprints (fp, distinct) that have another one within 1 bit on one of the two 32-bit halves; a task makes the balls of 20,000."""
+    fps = fps.repartition(max(1, fps.count() // 20_000), "fp")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32).bitwiseOR(F.lit(1 << 32))
     halves = fps.select("fp", F.explode(F.array(low, high)).alias("half"))
     ball = F.concat(F.array("half"), F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("half").bitwiseXOR(_bit(i))))
@@ -119,7 +122,9 @@ def ball(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints within RADIUS that connect every group."""
     w = Window.partitionBy("variant").orderBy("r", "fp")
-    met = ball(with_near_half(fps)).withColumn("lead", F.first(F.struct("r", "fp")).over(w)).where("lead.r <= 1 and lead.fp <> fp")
+    near = materialize(with_near_half(fps), "near-half")
+    near = near.repartition(max(1, near.count() // 1_000), "fp")  # each makes up to 2,081 rows
+    met = ball(near).withColumn("lead", F.first(F.struct("r", "fp")).over(w)).where("lead.r <= 1 and lead.fp <> fp")
     pairs = met.select(F.col("fp").alias("a"), F.col("lead.fp").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
