@@ -12,6 +12,7 @@ rounds after the first are small.
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -108,6 +109,16 @@ def pack_pieces(pieces: DataFrame, capacity: int, pieces_per_part: int = 40_000,
     empty table gives no rows.  ``meet`` partitions' open sequences are packed
     together in each further round.
     """
+    return certified_packing(pieces, capacity, pieces_per_part, meet)[0]
+
+
+def certified_packing(pieces: DataFrame, capacity: int, pieces_per_part: int = 40_000, meet: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(pack_pieces' rows, certificates).
+
+    Certificates: a row for each partition of each round (turn, part, pieces, sequences, bound, closed): its
+    best-fit decreasing packing has ``sequences``, no packing of its pieces has fewer than ``bound``, and ``closed`` of
+    them stay as they are while the others' pieces go on to the next round.
+    """
     pieces = materialize(pieces, "pieces")
     parts = max(1, -(-pieces.count() // pieces_per_part))
 
@@ -118,7 +129,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, pieces_per_part: int = 40_000,
             lengths = pdf["length"].to_numpy()
             bins = best_fit_decreasing(lengths, capacity)
             fill = np.bincount(bins, weights=lengths).astype(np.int64)
-            gap = len(fill) - lower_bound(lengths, capacity)
+            bound = lower_bound(lengths, capacity)
+            gap = len(fill) - bound
             free = capacity - fill
             # open: the emptiest sequences, one more for each that the bound doesn't certify, and as many as could be filled from them
             openings = np.zeros(len(fill), dtype=bool)
@@ -133,6 +145,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, pieces_per_part: int = 40_000,
             pdf["sequence_id"] = (np.int64(turn) << 56) + (np.int64(part) << 24) + bins
             pdf["offset"] = offset
             pdf["is_open"] = openings[bins]
+            pdf["n_sequences"], pdf["bound"], pdf["n_closed"] = len(fill), bound, len(fill) - int(openings.sum())
             pdf["piece"] = pdf["piece"].astype("int32")
             return pdf
 
@@ -140,18 +153,17 @@ def pack_pieces(pieces: DataFrame, capacity: int, pieces_per_part: int = 40_000,
 
     row = F.xxhash64(F.monotonically_increasing_id())
     todo = pieces.withColumn("part", F.pmod(row, F.lit(parts)).cast("int"))
-    done, turn = [], 0
+    done, proofs, turn = [], [], 0
     while True:
-        packed = materialize(todo.groupBy("part").applyInPandas(pack(parts == 1, turn), f"{COLUMNS}, part int, sequence_id long, offset long, is_open boolean"), "packed")
+        packed = materialize(todo.groupBy("part").applyInPandas(pack(parts == 1, turn), f"{COLUMNS}, part int, sequence_id long, offset long, is_open boolean, n_sequences long, bound long, n_closed long"), "packed")
+        proofs.append(packed.groupBy(F.lit(turn).alias("turn"), "part").agg(F.count("*").alias("pieces"), *[F.first(f).alias(t) for f, t in (("n_sequences", "sequences"), ("bound", "bound"), ("n_closed", "closed"))]))
+        packed = packed.drop("n_sequences", "bound", "n_closed")
         done.append(packed.where(~F.col("is_open")).drop("is_open", "part"))
         if parts == 1:
             break
         parts, turn = -(-parts // meet), turn + 1
         todo = packed.where("is_open").drop("is_open", "sequence_id", "offset").withColumn("part", F.floor(F.col("part") / meet).cast("int"))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, proofs)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,6 +226,9 @@ def test_archive(spark):
     assert sorted(map(str, want)) == sorted(str((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got)
     one = spark.createDataFrame([(archive.url_key("http://hot.com/"), 700)], "key string, page_id long")
     assert archive.look_up(one, index).count() == 1
+    nothing = pages.where("false")
+    index = archive.write_index(archive.write_archives(nothing, folder + "-none"), folder + "-none")
+    assert archive.read_records(archive.look_up(archive.capture_keys(nothing), index)).isEmpty()
 
 
 def _fingerprint(t, n):
@@ -326,7 +329,8 @@ def test_licences_equal_all_alignments(spark):
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.document_pieces(docs, path, 0, 64)
-    out = packing.pack_pieces(pieces, 64, pieces_per_part=20, meet=2).collect()
+    packed, proofs = packing.certified_packing(pieces, 64, pieces_per_part=20, meet=2)
+    out, proofs = packed.collect(), proofs.collect()
     key = lambda r: (str(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, out)) == sorted(map(key, pieces.collect()))
     bins = collections.defaultdict(list)
@@ -339,7 +343,11 @@ def test_packing(docs, empty):
             at += length
         assert at <= 64
     bound = packing.lower_bound(np.array([r["length"] for r in out]), 64)
-    assert len(bins) <= bound + 2
+    assert bound <= len(bins) <= bound + 2
+    assert len(bins) == sum(r["closed"] for r in proofs) and sum(r["pieces"] for r in proofs if r["turn"] == 0) == len(out)
+    assert all(r["bound"] <= r["sequences"] <= r["bound"] + 2 and r["closed"] <= r["sequences"] for r in proofs)
+    last = [r for r in proofs if r["turn"] == max(x["turn"] for x in proofs)]
+    assert len(last) == 1 and last[0]["closed"] == last[0]["sequences"]
     assert packing.pack_pieces(packing.document_pieces(empty, path, 0, 64), 64).isEmpty()
 
 
