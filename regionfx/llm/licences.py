@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionfx.llm import licence_texts as texts
+
 #: Base phrases and labels of the contract.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -37,9 +39,9 @@ TEMPLATES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ("permission is hereby granted", "without restriction")),
     Template("apache-2", "licensed under the apache license version 2 0", ("apache license", "2 0")),
     Template("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", ("apache license", "in compliance with the license")),
-    Template("gpl-3", "this work is licensed under the gnu general public license version 3", ("general public license", "version 3")),
-    Template("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or any later version", ("general public license", "version 3")),
-    Template("gpl-2", "under the terms of the gnu general public license version 2", ("general public license", "version 2")),
+    Template("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    Template("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or any later version", ("gnu general public license", "version 3")),
+    Template("gpl-2", "under the terms of the gnu general public license version 2", ("gnu general public license", "version 2")),
     Template("lgpl-3", "licensed under the gnu lesser general public license version 3", ("lesser general public license", "version 3")),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "following conditions are met")),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
@@ -47,6 +49,20 @@ TEMPLATES = (
     Template("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     Template("cc-by-sa", "licensed under the creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     Template("cc-by", "licensed under the creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("mit", texts.MIT, ("permission is hereby granted", "without restriction", "noninfringement")),
+    Template("bsd-2", texts.BSD_2, ("source and binary forms", "following conditions are met", "even if advised of the possibility of such damage")),
+    Template("bsd-3", texts.BSD_3, ("source and binary forms", "neither the name of", "even if advised of the possibility of such damage")),
+    Template("isc", texts.ISC, ("for any purpose with or without fee", "disclaims all warranties")),
+    Template("zlib", texts.ZLIB, ("must not be misrepresented", "altered source versions")),
+    Template("unlicense", texts.UNLICENSE, ("free and unencumbered software", "public domain")),
+    Template("bsl-1", texts.BOOST, ("person or organization obtaining a copy", "machine executable object code")),
+    Template("apache-2", texts.APACHE_NOTICE, ("apache license version 2 0", "limitations under the license")),
+    Template("gpl-3", texts.gnu_notice("General Public License", "3"), ("gnu general public license", "version 3")),
+    Template("gpl-2", texts.gnu_notice("General Public License", "2"), ("gnu general public license", "version 2")),
+    Template("lgpl-3", texts.gnu_notice("Lesser General Public License", "3"), ("lesser general public license", "version 3")),
+    Template("lgpl-2.1", texts.gnu_notice("Lesser General Public License", "2.1"), ("lesser general public license", "version 2 1")),
+    Template("agpl-3", texts.gnu_notice("Affero General Public License", "3"), ("affero general public license", "version 3")),
+    Template("mpl-2", texts.MPL_NOTICE, ("mozilla public license v 2 0",)),
 )
 
 #: Every byte that no word holds becomes a blank; A-Z in lower case.
@@ -75,7 +91,7 @@ class TemplateIndex:
     """Word -> (template, position) postings, with the words' weights."""
 
     def __init__(self, templates, weights: dict[bytes, float]):
-        self.templates = [(t.label, t.text.encode().split(), [p.encode().split() for p in t.required]) for t in templates]
+        self.templates = [(t.label, words_of(t.text), [p.encode().split() for p in t.required]) for t in templates]
         self.weights = weights
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words, _) in enumerate(self.templates):
@@ -131,7 +147,7 @@ def word_weights(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> di
     Tasks count the template words that each text holds, so what is shuffled
     and collected is bounded by the templates' words.
     """
-    vocabulary = sorted({w for t in templates for w in t.text.encode().split()})
+    vocabulary = sorted({w for t in templates for w in words_of(t.text)})
     known = frozenset(vocabulary)
 
     def count(batches):
