@@ -170,6 +170,8 @@ def frequent_words(source: DataFrame, ranks: dict[bytes, int], table_words: int,
                 yield pa.RecordBatch.from_arrays([new[k : k + 10_000]], names=["word"])
             if known.nbytes > task_bytes:
                 known = known[:0]
+            del words, new
+            pa.default_memory_pool().release_unused()
 
     short = source.mapInArrow(distinct, "word binary").where(F.length("word") <= LONG)
     counts = materialize(short.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").withColumn("level", F.floor(8 * F.log2("n"))), "words")
@@ -185,24 +187,24 @@ def frequent_words(source: DataFrame, ranks: dict[bytes, int], table_words: int,
     return table
 
 
-def read_word_table(folder: str):
-    """(words, ids of all words in a row, where each word's ids begin) of a table that frequent_words wrote; read in the order of the files' names."""
+def read_word_table(folder: str | None, column: str):
+    """The column ``word`` or ``ids`` (pyarrow) of a table that frequent_words wrote, in the order of the files' names; read once in a worker."""
     import pyarrow as pa
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    filesystem, path = open_filesystem(folder)
-    files = sorted(x.path for x in filesystem.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
-    words, ids = [pa.array([], pa.binary())], [pa.array([], pa.list_(pa.int32()))]
-    for f in files:
-        table = pq.ParquetFile(filesystem.open_input_file(f)).read(columns=["word", "ids"])
-        words += table.column("word").chunks
-        ids += [c.cast(pa.list_(pa.int32())) for c in table.column("ids").chunks]
-    ids = pa.concat_arrays(ids)
-    return pa.concat_arrays(words), ids.flatten().to_numpy(), np.append(0, np.cumsum(ids.value_lengths().to_numpy())).astype(np.int64)
+    kind = {"word": pa.binary(), "ids": pa.list_(pa.int32())}[column]
 
+    def read():
+        filesystem, path = open_filesystem(folder)
+        files = sorted(x.path for x in filesystem.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet"))
+        parts = [pq.ParquetFile(filesystem.open_input_file(f)).read(columns=[column]).column(column) for f in files]
+        return pa.concat_arrays([c.cast(kind) for p in parts for c in p.chunks] or [pa.array([], kind)])
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20, table_words: int = 1_000_000, task_bytes: int = 16 << 20, text: str = "text", id_col: str = "doc_id", then=None) -> DataFrame:
+    return once(("word table", folder, column), read) if folder else pa.array([], kind)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 4 << 20, table_words: int = 750_000, task_bytes: int = 16 << 20, text: str = "text", id_col: str = "doc_id", then=None) -> DataFrame:
     """(id, ids): one row per document, ids as an array of int.
 
     then: (schema, function of Arrow batches of (id, ids)) for what the same
@@ -218,11 +220,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20,
     table = frequent_words(source, ranks, table_words, chunk_bytes, task_bytes)
     folder = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
 
-    def held():
-        import pyarrow as pa
-
-        return once(("word table", folder), lambda: read_word_table(folder)) if folder else (pa.array([], pa.binary()), np.zeros(0, np.int32), np.zeros(1, np.int64))
-
     def cut(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -233,7 +230,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20,
             columns = [words, given, *(docs or (None, None))]
             return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c for c, t in zip(columns, kinds, strict=True)], names=["words", "given", "id", "places"])
 
-        common = held()[0]
+        common = read_word_table(folder, "word")
         known, own = common, 0
         for table in chunks_of(batches, "text", chunk_bytes):
             if own > task_bytes:
@@ -264,13 +261,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20,
             for k in range(0, table.num_rows, 256):
                 hi = min(table.num_rows, k + 256)
                 yield rows(docs=(table.column("id").slice(k, hi - k).combine_chunks(), pa.array([places[a:b] for a, b in zip(ends[k:hi], ends[k + 1 : hi + 1], strict=True)], pa.binary())))
+            del words, indices, index, new, short, places
+            pa.default_memory_pool().release_unused()
 
     def gather(batches):
         import pyarrow as pa
 
-        words, common, begins = held()
-        values, offsets = np.append(common, np.zeros(1 << 16, np.int32)), np.append(begins, np.zeros(1 << 14, np.int64))
-        n_words, n_values = len(words), len(common)
+        common = read_word_table(folder, "ids")
+        common_words, common_values = len(common), len(common.values)
+        values, offsets = np.zeros(common_values + (1 << 16), np.int32), np.zeros(common_words + (1 << 14), np.int64)
+        values[:common_values], offsets[1 : common_words + 1] = common.values.to_numpy(), np.cumsum(common.value_lengths().to_numpy())
+        n_words, n_values = common_words, common_values
         for batch in batches:
             is_words = batch.column("places").is_null().to_numpy(zero_copy_only=False)
             turns = [0, *(np.flatnonzero(is_words[1:] != is_words[:-1]) + 1).tolist(), len(batch)]
@@ -280,7 +281,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], chunk_bytes: int = 8 << 20,
                     for lists in part.column("ids"):
                         ids = lists.values
                         if not len(ids):
-                            n_words, n_values = len(words), len(common)
+                            n_words, n_values = common_words, common_values
                             continue
                         lengths, flat = ids.value_lengths().to_numpy(), ids.flatten().to_numpy()
                         values, offsets = room(values, n_values + len(flat)), room(offsets, n_words + len(lengths) + 1)
