@@ -71,3 +71,17 @@ def annotate_first_interval(points: DataFrame, intervals: DataFrame, key: str, p
 def saturation(positions: DataFrame, letter: str, alphabet: list[str], changed: str = "changed") -> DataFrame:
     """Each position with every other letter; the alphabet is a literal, so nothing is joined."""
     return positions.withColumn(changed, F.explode(F.array(*[F.lit(a) for a in alphabet]))).where(F.col(changed) != F.col(letter))
+
+
+def baseline_altered(altered: DataFrame, baseline: DataFrame, name: str, features: str, pseudo: float = 1e-3) -> DataFrame:
+    """Rows of altered entities beside their baselines, with ``difference`` and ``ratio`` of the feature arrays.
+
+    A name is ``<id>_<start>_<end>_<old>:<location>:<new>``: its region is what stands before the last underscore, and
+    the place in it (pos, from 1) is the location less the start.  baseline: (region_id, pos, features).  Names of another form and
+    places without a baseline drop out; the ratio has a small count added to both sides.
+    """
+    form = r"^((?:.*_)?(\d+)_\d+)_[^_:]*:(\d+):[^_:]*$"
+    part = lambda i: F.regexp_extract(name, form, i)
+    named = altered.where(F.col(name).rlike(form)).withColumn("region_id", part(1)).withColumn("pos", (part(3).cast("long") - part(2).cast("long") + 1).cast("int"))
+    both = named.join(baseline.select("region_id", "pos", F.col(features).alias("_base")), ["region_id", "pos"])
+    return both.withColumn("difference", F.zip_with(features, "_base", lambda x, y: x - y)).withColumn("ratio", F.zip_with(features, "_base", lambda x, y: (x + pseudo) / (y + pseudo))).drop("_base")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionfx.functions import pvalues
@@ -144,6 +144,20 @@ def one_vs_rest_chi2(df: DataFrame, term: str, category: str, top_n: int, alpha:
     return chi2_contingency(both, "side", "category", ["term"]).where(F.col("p") < alpha).orderBy("p", "term")
 
 
+def score_comparison_report(df: DataFrame, scores: list[str], label: str, fold: str, strata: dict[str, Column], cutoffs: list[float]) -> DataFrame:
+    """(stratum, model, fold, auroc, n_pos, n_neg, pauroc_<cutoff>...) of each score column, over all rows and over each stratum (name: condition).
+
+    A row is in ``all`` and in every stratum whose condition holds; folds without both classes have null areas.
+    """
+    names = F.filter(F.array(F.lit("all"), *[F.when(c, n) for n, c in strata.items()]), lambda x: x.isNotNull())
+    rows = df.select(F.explode(names).alias("stratum"), F.col(fold).alias("fold"), F.col(label).alias("_label"), *[F.col(c).cast("double").alias(c) for c in scores])
+    long, by = rows.unpivot(["stratum", "fold", "_label"], scores, "model", "_score"), ["stratum", "model", "fold"]
+    out = auroc(long, "_score", "_label", by)
+    for c in cutoffs:
+        out = out.join(partial_auroc(long, "_score", "_label", by, c, legacy=True).withColumnRenamed("pauroc", f"pauroc_{c}"), by, "left")
+    return out
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n, nulls, min, max, mean) of numeric columns in one pass; NaN counts as null."""
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}

@@ -93,6 +93,20 @@ def region_profile(frames: DataFrame, entity: str, frame: str, state: str, state
     return parts.select(entity, F.concat(F.array(*cols), *[F.col(f"_h_{a}") for a in angles]).alias("profile"))
 
 
+def pair_profile(contacts: DataFrame, frames: DataFrame, entity: str, frame: str, kind: str, kinds: dict[str, str], xyz: list[str]) -> DataFrame:
+    """(a, b, profile): for each pair of entities a <= b of shared frames the frequency of each contact channel, then their covariance.
+
+    contacts (a, b, kind); kinds names the channel of each kind of contact, others are left out.  Frequencies are over all
+    frames; pairs without contacts have zeros.
+    """
+    channels = list(dict.fromkeys(kinds.values()))
+    of = F.coalesce(*[F.when(F.col(kind) == k, v) for k, v in kinds.items()])
+    hits = contacts.groupBy("a", "b").agg(*[F.count(F.when(of == c, 1)).alias(f"_c{i}") for i, c in enumerate(channels)])
+    n = frames.agg(F.count_distinct(frame).alias("_n"))
+    both = A.pair_covariance(frames, entity, frame, xyz).join(hits, ["a", "b"], "left").crossJoin(F.broadcast(n))  # one row
+    return both.select("a", "b", F.array(*[F.coalesce(F.col(f"_c{i}"), F.lit(0)) / F.col("_n") for i in range(len(channels))], "cov").alias("profile"))
+
+
 def edit_worklist(variants: DataFrame, regions: DataFrame, category: Column, n: int, seed: int) -> DataFrame:
     """(work_id, region_id, seq): edited sequences of a seeded choice of variants of a category in regions (key, region_id, start, end, sequence)."""
     placed = J.point_in_region(variants.where(category), regions, "key", "location", "start", "end")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,11 +14,26 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionfx.functions.scalars import row_mean
 from regionfx.operators.sampling import hash_order
 from regionfx.storage import shared_root
 
-#: One registry of feature groups by column-name pattern, for training, scoring and importances alike.
-FEATURE_GROUPS = {"residue": "^Res_", "pair": "^Pair_", "one_hot": "^One_Hot_", "length": "^Length$", "score": "^Score$"}
+#: One registry of feature groups by column-name pattern, for training, scoring and importances alike.  Fixed values.
+FEATURE_GROUPS = {"one_hot": "One_Hot_", "residue_aa": "Res_AA_", "residue_md": "Res_MD", "pair_md": "Pair_MD", "conservation": "Cons_", "embedding": "ESM2_", "conformation": "Conf_", "likelihood": "ESM1b_", "length": "^Region Length$"}
+
+#: The feature groups of each classifier and of each regressor.  Fixed values.
+CLASSIFIERS = {
+    "One_Hot": ["one_hot"],
+    "AAIndex": ["residue_aa"],
+    "Res": ["residue_aa", "residue_md"],
+    "Res_Pair": ["residue_aa", "residue_md", "pair_md"],
+    "ESM1b": ["residue_aa", "likelihood"],
+    "MD_Cons": ["residue_aa", "residue_md", "pair_md", "conservation"],
+    "ESM1b_MD_only": ["residue_aa", "residue_md", "pair_md", "likelihood"],
+    "Length": ["residue_aa", "length"],
+    "ESM1b_MD_Cons": ["residue_aa", "residue_md", "pair_md", "conservation", "likelihood"],
+}
+REGRESSORS = {"AAIndex_DMS": ["residue_aa"], "Res_DMS": ["residue_aa", "residue_md"], "Res_Pair_DMS": ["residue_aa", "residue_md", "pair_md"]}
 
 
 def feature_columns(df: DataFrame, groups: list[str]) -> list[str]:
@@ -51,13 +67,32 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def out_of_fold_scores(df: DataFrame, fold: str, columns: list[str], label: str, k: int, out: str, **options) -> DataFrame:
-    """Each row with the score of the model that didn't see its fold; k fits, one after the other, each distributed."""
-    parts = []
-    for i in range(1, k + 1):
-        model = train_classifier(df.where(F.col(fold) != i), columns, label, **options)
-        parts.append(predict(model, df.where(F.col(fold) == i), out))
-    return reduce(DataFrame.unionByName, parts)
+def train_variants(df: DataFrame, variants: dict[str, list[str]], label: str, train=train_classifier, at_once: int = 4, **options) -> dict[str, PipelineModel]:
+    """A model for each variant (name: feature groups), some fitted at once; each fit is a distributed job of its own."""
+    with ThreadPoolExecutor(at_once) as pool:
+        fits = {name: pool.submit(train, df, feature_columns(df, groups), label, **options) for name, groups in variants.items()}
+        return {name: fit.result() for name, fit in fits.items()}
+
+
+def out_of_fold_scores(df: DataFrame, fold: str, variants: dict[str, list[str]], label: str, k: int, train_rows=None, at_once: int = 4, **options) -> DataFrame:
+    """Each row with a score column per variant, of models that didn't see its fold.
+
+    train_rows: a function from a fold to its training rows, where these aren't all rows of the other folds.
+    """
+
+    def scored(i: int) -> DataFrame:
+        models = train_variants(train_rows(i) if train_rows else df.where(F.col(fold) != i), variants, label, at_once=at_once, **options)
+        rows = df.where(F.col(fold) == i)
+        for name, model in models.items():
+            rows = predict(model, rows, name)
+        return rows
+
+    return reduce(DataFrame.unionByName, [scored(i) for i in range(1, k + 1)])
+
+
+def score_ensemble(df: DataFrame, families: list[str], out: str) -> DataFrame:
+    """Adds the mean of the model families' scores of a row, without those that are missing."""
+    return df.withColumn(out, row_mean(families))
 
 
 def feature_importance(models: list[PipelineModel], columns: list[str], spark, top_n: int = 10) -> DataFrame:

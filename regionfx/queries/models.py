@@ -9,7 +9,7 @@ from regionfx.plans import features as P
 from regionfx.plans import models as M
 from regionfx.queries.basics import _folder, _pieces
 from regionfx.queries.statistics import scored
-from regionfx.queries.tables import cells, pairs, residues
+from regionfx.queries.tables import ATOMS, atoms, cells, pairs, residues
 from regionfx.storage import materialize
 from regionfx.streaming import incremental as I
 
@@ -74,7 +74,13 @@ def _training(spark, d):
     words = F.size(F.split("text", r"\s+")).cast("double")
     symbols = (F.length("text") - F.length(F.translate("text", "#*$%&|", ""))).cast("double")
     capitals = (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("double")
-    return x.select("doc_id", "fold", F.col("quality").cast("double").alias("label"), F.col("score").cast("double").alias("Length"), (symbols / words).alias("Res_symbols"), (capitals / words).alias("Res_capitals"), words.alias("Pair_words"))
+    count = lambda signs: (F.length("text") - F.length(F.translate("text", signs, ""))).cast("double")
+    return x.select(
+        "doc_id", "fold", F.col("quality").cast("double").alias("label"), F.col("score").cast("double").alias("Region Length"),
+        *[(F.col("lang") == c).cast("double").alias(f"One_Hot_{c}") for c in ("de", "en", "es", "fr")],
+        (symbols / words).alias("Res_AA_1"), (count("0123456789") / words).alias("Res_AA_2"), (capitals / words).alias("Res_MD_1"), (count(".,;:!?") / words).alias("Res_MD_2"),
+        words.alias("Pair_MD_1"), (F.length("text") / words).alias("Pair_MD_2"), (count("\n") / words).alias("Cons_1"), (count("aeiou") / F.length("text")).alias("ESM1b_1"),
+    )
 
 
 FAST = {"trees": 10, "depth": 5}
@@ -83,41 +89,60 @@ FAST = {"trees": 10, "depth": 5}
 @query("m6_train_classifier")
 def m6(spark, d):
     t = _training(spark, d)
-    return M.predict(M.train_classifier(t, M.feature_columns(t, ["residue", "pair"]), "label", **FAST), t, "p").select("doc_id", "label", "p")
+    return M.predict(M.train_classifier(t, M.feature_columns(t, ["residue_aa", "residue_md", "pair_md"]), "label", **FAST), t, "p").select("doc_id", "label", "p")
+
+
+@query("m6_classifier_variants")
+def m6_variants(spark, d):
+    t = materialize(_training(spark, d), "training")
+    rows = t
+    for name, model in M.train_variants(t, M.CLASSIFIERS, "label", **FAST).items():
+        rows = M.predict(model, rows, name)
+    return rows.select("doc_id", "label", *M.CLASSIFIERS)
 
 
 @query("m7_train_regressor")
 def m7(spark, d):
-    t = _training(spark, d)
-    return M.predict(M.train_regressor(t, M.feature_columns(t, ["residue", "pair"]), "Length", **FAST), t, "value").select("doc_id", "Length", "value")
+    t = materialize(_training(spark, d), "training")
+    rows = t
+    for name, model in M.train_variants(t, M.REGRESSORS, "Region Length", M.train_regressor, **FAST).items():
+        rows = M.predict(model, rows, name)
+    return rows.select("doc_id", F.col("Region Length").alias("length"), *M.REGRESSORS)
 
 
 @query("m8_predict")
 def m8(spark, d):
     t = _training(spark, d)
-    model = M.train_classifier(t.where("fold <> 1"), M.feature_columns(t, ["residue"]), "label", **FAST)
+    model = M.train_classifier(t.where("fold <> 1"), M.feature_columns(t, ["residue_md"]), "label", **FAST)
     return M.predict(model, t.where("fold = 1"), "p").select("doc_id", "p")
 
 
 @query("s11_save_load_model")
 def s11(spark, d):
     t, path = _training(spark, d), _folder(spark, "model")
-    M.save_model(M.train_classifier(t, M.feature_columns(t, ["residue"]), "label", **FAST), path)
+    M.save_model(M.train_classifier(t, M.feature_columns(t, ["residue_md"]), "label", **FAST), path)
     return M.predict(M.load_model(path), t, "p").select("doc_id", "p")
 
 
 @query("m9_out_of_fold_scores")
 def m9(spark, d):
     t = materialize(_training(spark, d), "training")
-    return M.out_of_fold_scores(t, "fold", M.feature_columns(t, ["residue", "pair"]), "label", 5, "p", **FAST).select("doc_id", "fold", "label", "p")
+    return M.out_of_fold_scores(t, "fold", M.CLASSIFIERS, "label", 5, **FAST).select("doc_id", "fold", "label", *M.CLASSIFIERS)
+
+
+@query("m11_model_ensemble")
+def m11_models(spark, d):
+    t = materialize(_training(spark, d), "training")
+    families = {k: M.CLASSIFIERS[k] for k in ("Res_Pair", "ESM1b_MD_Cons")}
+    return M.score_ensemble(M.out_of_fold_scores(t, "fold", families, "label", 5, **FAST), list(families), "ensemble").select("doc_id", "label", *families, "ensemble")
 
 
 @query("m10_saturation_scores")
 def m10(spark, d):
     t = _training(spark, d)
-    model = M.train_classifier(t, M.feature_columns(t, ["residue"]), "label", **FAST)
-    positions = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", F.col("l_discount").alias("Res_symbols"))
-    add = lambda x: x.withColumn("Res_capitals", F.ascii("changed").cast("double") / 100)
+    model = M.train_classifier(t, M.feature_columns(t, ["residue_md"]), "label", **FAST)
+    positions = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", F.col("l_discount").alias("Res_MD_1"))
+    add = lambda x: x.withColumn("Res_MD_2", F.ascii("changed").cast("double") / 100)
     return M.saturation_scores(positions, "l_returnflag", LETTERS, add, {"p": model}).select("l_orderkey", "l_partkey", "l_linenumber", "changed", "p")
 
 
@@ -166,14 +191,14 @@ def m16(spark, d):
 @query("t9_feature_importance")
 def t9(spark, d):
     t = materialize(_training(spark, d), "training")
-    cols = M.feature_columns(t, ["residue", "pair", "length"])
+    cols = M.feature_columns(t, ["residue_md", "pair_md", "length"])
     return M.feature_importance([M.train_classifier(t.where(F.col("fold") != i), cols, "label", **FAST) for i in (1, 2)], cols, spark)
 
 
 @query("t10_permutation_importance")
 def t10(spark, d):
     t = materialize(_training(spark, d), "training")
-    cols = M.feature_columns(t, ["residue"])
+    cols = M.feature_columns(t, ["residue_md"])
     return M.permutation_importance(M.train_classifier(t, cols, "label", **FAST), t, cols, "label", "doc_id", repeats=2)
 
 
@@ -184,6 +209,17 @@ def a32(spark, d):
     return P.region_profile(frames, "user_id", "event_id", "event_type", ["click", "view", "error"], "value", ["phi"], list("xyz"), k=40)
 
 
+@query("a32_pair_profile", f"""WITH c AS (SELECT least(l_suppkey % 10, l_linenumber) AS a, greatest(l_suppkey % 10, l_linenumber) AS b, l_returnflag AS kind FROM lineitem), n AS (SELECT count(DISTINCT pos) AS n FROM {ATOMS}),
+h AS (SELECT a, b, sum((kind = 'A')::INT) AS x, sum((kind = 'R')::INT) AS y FROM c GROUP BY ALL),
+v AS (SELECT a.frame AS a, b.frame AS b, covar_samp(a.x, b.x) + covar_samp(a.y, b.y) + covar_samp(a.z, b.z) AS cov FROM {ATOMS} a JOIN {ATOMS} b ON a.pos = b.pos AND a.frame <= b.frame GROUP BY 1, 2)
+SELECT v.a::INT AS a, v.b::INT AS b, [round(coalesce(x, 0) / n, 6), round(coalesce(y, 0) / n, 6), round(cov, 6)] AS profile FROM v LEFT JOIN h ON v.a = h.a AND v.b = h.b, n""")
+def a32_pairs(spark, d):
+    ends = [F.col("l_suppkey") % 10, F.col("l_linenumber").cast("long")]
+    contacts = table(spark, d, "lineitem").select(F.least(*ends).cast("int").alias("a"), F.greatest(*ends).cast("int").alias("b"), F.col("l_returnflag").alias("kind"))
+    p = P.pair_profile(contacts, atoms(spark, d), "frame", "pos", "kind", {"A": "close", "R": "far"}, list("xyz"))
+    return p.select("a", "b", F.transform("profile", lambda x: F.round(x, 6)).alias("profile"))
+
+
 @query("st1_incremental_scoring", "SELECT user_id, round(avg(value), 6) AS score FROM events GROUP BY 1")
 def st1(spark, d):
     e, path = table(spark, d, "events"), _folder(spark, "scores")

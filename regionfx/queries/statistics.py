@@ -142,6 +142,23 @@ def t11(spark, d):
     return T.auroc(long, "score", "quality", ["model", "stratum"]).select("model", "stratum", F.round("auroc", 9).alias("auroc"))
 
 
+_STRATA = f"""(SELECT s || '|' || m || '|' || fold::VARCHAR AS fold, v AS score, quality FROM (SELECT *, unnest(['chars', 'id']) AS m, unnest([score::DOUBLE, doc_id::DOUBLE]) AS v FROM {SCORED}),
+ (SELECT unnest(['all', 'long', 'short']) AS s) WHERE s = 'all' OR (s = 'long') = (score > 2000))"""
+
+
+def _report():
+    area = lambda c, n: f"p{n} AS (SELECT fold, round(sum((nx - x) * (y + ny) / 2) / {c}, 6) AS pauroc FROM (SELECT fold, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM g WINDOW w AS (PARTITION BY fold ORDER BY g)) WHERE nx <= {c} GROUP BY 1)"
+    return f"""WITH {_ROC.replace(SCORED, _STRATA)}, {area(0.1, 1)}, {area(0.05, 2)}, a AS ({_auc("fold", _STRATA)})
+SELECT split_part(a.fold, '|', 1) AS stratum, split_part(a.fold, '|', 2) AS model, split_part(a.fold, '|', 3)::INT AS fold, auroc, p1.pauroc AS pauroc_1, p2.pauroc AS pauroc_2 FROM a LEFT JOIN p1 ON a.fold = p1.fold LEFT JOIN p2 ON a.fold = p2.fold"""
+
+
+@query("t11_report_cutoffs", _report())
+def t11_report(spark, d):
+    x = scored(spark, d).withColumn("chars", F.col("score")).withColumn("id", F.col("doc_id"))
+    r = T.score_comparison_report(x, ["chars", "id"], "quality", "fold", {"long": F.col("score") > 2000, "short": F.col("score") <= 2000}, [0.1, 0.05])
+    return r.select("stratum", "model", "fold", F.round("auroc", 9).alias("auroc"), F.round("`pauroc_0.1`", 6).alias("pauroc_1"), F.round("`pauroc_0.05`", 6).alias("pauroc_2"))
+
+
 @query("t12_effect_delta", _u(f"(SELECT feature, cat, value FROM (UNPIVOT (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS cat, round(b - a, 6) AS diff, round((b + 0.001) / (a + 0.001), 6) AS ratio FROM {WTMUT}) ON diff, ratio INTO NAME feature VALUE value))", "cat", "value", "feature"))
 def t12(spark, d):
     a, b = F.col("a"), F.col("b")
