@@ -159,3 +159,17 @@ def test_lines_after_a_preamble(spark, tmp_path):
     assert sorted(map(tuple, tables.read_mixed_layout(spark, str(tmp_path / "w")).collect())) == [("P1", "7", "ph"), ("P3", "9", "ac")]
     (tmp_path / "blanks").write_text("a   1\n\n b 2 3\n")
     assert sorted(map(str, map(tuple, tables.read_whitespace(spark, str(tmp_path / "blanks"), ["n", "v", "z"]).collect()))) == ["('a', '1', None)", "('b', '2', '3')"]
+
+
+def test_streams_take_each_file_once(spark, tmp_path):
+    from regionfx.streaming import incremental
+
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows = spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "k long, v double")
+    rows.write.parquet(source)
+    score = incremental.by_key_mean("k", "v")
+    incremental.stream_scoring(spark, source, rows.schema, score, out, state)
+    incremental.stream_scoring(spark, source, rows.schema, score, out, state)
+    spark.createDataFrame([(3, 1.0)], rows.schema).write.mode("append").parquet(source)
+    incremental.stream_scoring(spark, source, rows.schema, score, out, state)
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, 3.0), (2, 5.0), (3, 1.0)]
