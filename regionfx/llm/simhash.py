@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regionfx.llm.storage import materialize
+from regionfx.llm.storage import discard, materialize
 from regionfx.llm.words import chunks_of
 
 RADIUS = 3
@@ -142,9 +142,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         seen = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = materialize(labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("near")), "labels")
+        discard(labels)
         jump = step.select(F.col("node").alias("near"), F.col("near").alias("far"))
         new = materialize(step.join(jump, "near").select("node", "old", F.least("near", "far").alias("root")), "labels")
+        discard(step)
         if new.where("root <> old").isEmpty():
+            discard(both)
             return new.select("node", "root")
         labels = new.select("node", "root")
 
@@ -159,10 +162,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, text: str = "te
     """
     own = materialize(fingerprints(docs, words_per_shingle, text, id_col), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
-    roots = components(materialize(links(distinct.select("fp")), "links"))
+    edges = materialize(links(distinct.select("fp")), "links")
+    roots = components(edges)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = materialize(named.join(least, "root").select("fp", "component_id"), "components")
+    discard(distinct, edges, roots)
     return own.join(by_fp, "fp").select("id", "fp", "component_id")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionfx.llm.simhash import components, fingerprints_of, links, shingle_hashes, word_hashes
-from regionfx.llm.storage import materialize
+from regionfx.llm.storage import discard, materialize
 from regionfx.llm.words import chunks_of
 
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS = 6e-5.
@@ -190,6 +190,7 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarit
     named = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node = materialize(named.join(least, "root").select("node", "root", "component_id"), "components")
+    discard(nodes, members, sets, edges)
     return own.join(by_node, "node").select("id", "fp", "component_id", "node", "root")
 
 

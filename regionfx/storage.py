@@ -40,6 +40,6 @@ def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for df in tables:
         jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:  # names alone, on the driver
             p = jvm.org.apache.hadoop.fs.Path(folder)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
