@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -73,6 +74,36 @@ def correlation_p(rho: float, n: float) -> float:
     return beta_tail(v / 2, 0.5, v / (v + rho * rho * v / (1 - rho * rho)))
 
 
+@lru_cache(maxsize=256)
+def rank_counts(n1: int, n2: int) -> list[int]:
+    """In how many of the orders of n1 and n2 values without ties U is 0, 1, ... n1 * n2: the coefficients of a Gaussian binomial."""
+    top = n1 * n2
+    ways = [1] + [0] * top
+    for i in range(1, n1 + 1):
+        for u in range(top, n2 + i - 1, -1):  # times 1 - q ** (n2 + i)
+            ways[u] -= ways[u - n2 - i]
+        for u in range(i, top + 1):  # over 1 - q ** i
+            ways[u] += ways[u - i]
+    return ways
+
+
+def exact_rank_p(u: float, n1: float, n2: float) -> float:
+    """Two-sided p of U among all orders of the values, which has no ties."""
+    a, b = sorted((int(n1), int(n2)))
+    ways, far = rank_counts(a, b), max(u, a * b - u)
+    return min(1.0, 2 * sum(ways[math.ceil(far) :]) / math.comb(a + b, a))
+
+
+def exact_rank_test_p(u: Column, n1: Column, n2: Column) -> Column:
+    """exact_rank_p, null where an argument is."""
+
+    @F.pandas_udf("double")
+    def g(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if any(map(pd.isna, r)) else exact_rank_p(*r) for r in zip(x, a, b, strict=True)], dtype="float64")
+
+    return g(u.cast("double"), n1.cast("double"), n2.cast("double"))
+
+
 def _udf(f):
     @F.pandas_udf("double")
     def g(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -69,10 +69,11 @@ def partial_auroc(df: DataFrame, score: str, label: str, by: list[str], cutoff:
     return part.groupBy(*by).agg((F.sum((end - F.col("fpr")) * (F.col("tpr") + high) / 2) / cutoff).alias("pauroc"))
 
 
-def mann_whitney_pairs(df: DataFrame, group: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """(by, a, b, n1, n2, u, p, p_adj) for all pairs of groups a < b: U of a, two-sided p with ties and continuity, times the number of pairs.
+def mann_whitney_pairs(df: DataFrame, group: str, value: str, by: list[str] | None = None, exact_up_to: int = 8) -> DataFrame:
+    """(by, a, b, n1, n2, u, p, p_adj) for all pairs of groups a < b: U of a, two-sided p, times the number of pairs.
 
-    Pairs of groups, not of rows, are formed, over the table of distinct values.
+    The p is that of the normal distribution with ties and continuity; where there are no ties and one group has at most
+    ``exact_up_to`` values (and the other at most 1,000, beyond which the counts get long) that of all orders.  Pairs of groups, not of rows, are formed, over the table of distinct values.
     """
     by = by or []
     counts = df.na.drop(subset=[group, value]).groupBy(*by, F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
@@ -88,7 +89,9 @@ def mann_whitney_pairs(df: DataFrame, group: str, value: str, by: list[str] | No
     var = n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
     z = F.try_divide(F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5, F.sqrt(var))
     m = F.count("*").over(Window.partitionBy(*by))
-    out = g.withColumn("p", pvalues.normal_p(F.greatest(z, F.lit(0.0)))).withColumn("_m", m)
+    few = (F.col("ties") == 0) & (F.least("n1", "n2") <= exact_up_to) & (F.greatest("n1", "n2") <= 1000) & (F.least("n1", "n2") > 0)
+    p = F.coalesce(pvalues.exact_rank_test_p(F.when(few, F.col("u")), F.col("n1"), F.col("n2")), pvalues.normal_p(F.greatest(z, F.lit(0.0))))
+    out = g.withColumn("p", p).withColumn("_m", m)
     return out.select(*by, "a", "b", "n1", "n2", "u", "p", F.least(F.col("p") * F.col("_m"), F.lit(1.0)).alias("p_adj"))
 
 

@@ -21,8 +21,10 @@ def test_correlation_p():
 
 def test_mann_whitney(spark):
     data = [("a", float(x)) for x in (19, 22, 16, 29, 24)] + [("b", float(x)) for x in (20, 11, 17, 12)] + [("a", None), (None, 3.0)]
-    r = statistics.mann_whitney_pairs(spark.createDataFrame(data, "g string, v double"), "g", "v").first()
+    df = spark.createDataFrame(data, "g string, v double")
+    r = statistics.mann_whitney_pairs(df, "g", "v", exact_up_to=0).first()
     assert r["u"] == 17 and r["p"] == pytest.approx(0.1113469, abs=1e-6)
+    assert statistics.mann_whitney_pairs(df, "g", "v").first()["p"] == pytest.approx(1 / 9)
 
 
 def test_chi2_contingency(spark):
@@ -173,3 +175,18 @@ def test_streams_take_each_file_once(spark, tmp_path):
     spark.createDataFrame([(3, 1.0)], rows.schema).write.mode("append").parquet(source)
     incremental.stream_scoring(spark, source, rows.schema, score, out, state)
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, 3.0), (2, 5.0), (3, 1.0)]
+
+
+def test_exact_rank_test(spark):
+    import itertools
+
+    a, b, c = [1.5, 9.0, 2.5], [3.0, 4.0, 8.0, 10.0, 11.0], [1.5, 9.0, 7.0, 9.0]
+    rows = [("a", x) for x in a] + [("b", x) for x in b] + [("c", x) for x in c]
+    got = {(r["a"], r["b"]): r for r in statistics.mann_whitney_pairs(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    u = lambda x, y: sum((p > q) + (p == q) / 2 for p in x for q in y)
+    both = sorted(a + b)
+    every = [u(x, [y for y in both if y not in x]) for x in map(list, itertools.combinations(both, 3))]
+    far = max(u(a, b), 15 - u(a, b))
+    assert math.isclose(got["a", "b"]["p"], min(1, 2 * sum(x >= far for x in every) / len(every)))
+    assert got["a", "c"]["u"] == u(a, c) and not math.isclose(got["a", "c"]["p"], pvalues.exact_rank_p(u(a, c), 3, 4))  # ties
+    assert pvalues.rank_counts(2, 2) == [1, 1, 2, 1, 1]
