@@ -104,23 +104,21 @@ def feature_importance(models: list[PipelineModel], columns: list[str], spark, t
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[str], label: str, key: str, repeats: int = 10, seed: int = 0) -> DataFrame:
     """(feature, drop): mean loss of accuracy as one column's values move to other rows.
 
-    A value moves within its bucket of about a thousand rows by a seeded order, in all buckets
-    at once, so no row order over the whole table is needed; all columns and repeats are scored in one
-    job.
+    Values move within buckets of about a thousand rows by a seeded order, so no row order over the whole table is
+    needed.  Each repeat has one order for all columns; rows meet the ones whose values they get in one join, and a row is
+    scored once for each column and repeat, all in one job.
     """
     n = max(1, df.count() // 1000)
     hit = (F.col("prediction") == F.col(label)).cast("double")
     base = model.transform(df).agg(F.avg(hit).alias("a")).first()["a"]
-    parts = []
-    for c in columns:
-        for r in range(repeats):
-            bucket = F.pmod(hash_order(key, seed), F.lit(n))
-            x = df.withColumn("_b", bucket).withColumn("_o", hash_order(key, seed + 1)).withColumn("_s", hash_order(F.concat_ws("|", F.lit(f"{c}|{r}"), F.col(key).cast("string")), seed + 2))
-            x = x.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_o", key))).withColumn("_j", F.row_number().over(Window.partitionBy("_b").orderBy("_s", key)))
-            moved = x.select("_b", F.col("_j").alias("_i"), F.col(c).alias("_v"))
-            parts.append(x.join(moved, ["_b", "_i"]).withColumn(c, F.col("_v")).drop("_b", "_o", "_s", "_i", "_j", "_v").withColumn("feature", F.lit(c)))
-    scored = model.transform(reduce(DataFrame.unionByName, parts))
-    return scored.groupBy("feature").agg((F.lit(base) - F.avg(hit)).alias("drop"))
+    rows = df.select(*columns, label, key).withColumn("_b", F.pmod(hash_order(key, seed), F.lit(n)))
+    place = lambda order, *by: F.row_number().over(Window.partitionBy("_b", *by).orderBy(order, key))
+    rows = rows.withColumn("_i", place(hash_order(key, seed + 1))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    order = hash_order(F.concat_ws("|", F.col("_r").cast("string"), F.col(key).cast("string")), seed + 2)
+    moved = rows.select("_b", "_r", place(order, "_r").alias("_i"), F.struct(*columns).alias("_v"))
+    rows = rows.join(moved, ["_b", "_r", "_i"]).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
+    rows = rows.withColumns({c: F.when(F.col("feature") == c, F.col("_v").getField(c)).otherwise(F.col(f"`{c}`")) for c in columns})
+    return model.transform(rows).groupBy("feature").agg((F.lit(base) - F.avg(hit)).alias("drop"))
 
 
 def pca(df: DataFrame, vector: str, k: int):

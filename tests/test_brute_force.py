@@ -177,3 +177,12 @@ def test_power_law(spark):
     rows = [(k, float(x), 0.5 * k * x**0.6) for k in (1, 2) for x in range(1, 60)] + [(3, 9.0, 1.0)]
     got = {r["k"]: r for r in power_law_fit(spark.createDataFrame(rows, "k int, x double, y double"), "k", "x", "y").collect()}
     assert math.isclose(got[2]["r0"], 1.0, rel_tol=1e-6) and math.isclose(got[1]["nu"], 0.6, rel_tol=1e-6) and got[3]["nu"] is None
+
+
+def test_permutation_importance(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=1500), rng.normal(size=1500)
+    df = spark.createDataFrame([(i, float(x), float(y), float(x > 0)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "k long, a double, b double, label double")
+    model = models.train_classifier(df, ["a", "b"], "label", trees=10, depth=4)
+    got = {r["feature"]: r["drop"] for r in models.permutation_importance(model, df, ["a", "b"], "label", "k", repeats=3).collect()}
+    assert 0.35 < got["a"] < 0.6 and abs(got["b"]) < 0.05
