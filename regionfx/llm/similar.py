@@ -130,8 +130,18 @@ def hopeful(met: DataFrame, known: DataFrame, sets: DataFrame, similarity: float
     return rows.join(bands, "sig").where(may).select("sig", "node", "high", "low")
 
 
-def similar_edges(members: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``edges`` and those between members of a band that are similar enough, but for such as are in one component already.
+def merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The components (node, root) after further links (a, b); only components that the links join are gone through again."""
+    for end in ("a", "b"):
+        own = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        pairs = pairs.join(own, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    moved = components(pairs.where("a <> b"))
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_root")), "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return materialize(old.union(moved.join(roots, "node", "left_anti").select("node", "root")), "roots")
+
+
+def similar_groups(members: DataFrame, edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): components of ``edges`` and of the links between members of a band that are similar enough.
 
     First each band's members are compared with one leader, the one that meets most
     others in its bands: the text that a family of near copies was made from links them all.  Members that
@@ -151,8 +161,7 @@ def similar_edges(members: DataFrame, edges: DataFrame, sets: DataFrame, similar
     met = materialize(members.join(leads.select("sig", "x.lead"), "sig").where("node <> lead").select("sig", "node", "lead"), "met-leads")
     pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     tested = materialize(compared(pairs, sets), "compared")
-    edges = edges.union(linked(tested))
-    roots = components(edges)
+    roots = merged(roots, linked(tested))
     met = materialize(rooted(met), "met-leads")
     open_bands = met.groupBy("sig").agg(*ranges).where("first <> last").select("sig")
     active, n_leads = materialize(hopeful(met.join(open_bands, "sig", "left_semi"), tested, sets, similarity), "hopeful"), 64
@@ -164,16 +173,16 @@ def similar_edges(members: DataFrame, edges: DataFrame, sets: DataFrame, similar
         leads = outside.groupBy("sig", F.pmod(F.xxhash64("node"), F.lit(n_leads)).alias("part")).agg(F.min(F.struct("node", "root", "high", "low")).alias("x"))
         leads = materialize(leads.select("sig", F.col("x.node").alias("lead"), F.col("x.root").alias("lead_root"), F.col("x.high").alias("lead_high"), F.col("x.low").alias("lead_low")), "leads")
         if leads.isEmpty():
-            return edges
+            return roots
         met = seen.join(leads, "sig").where("root <> lead_root and high >= lead_low and lead_high >= low")
         pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         known = materialize(compared(pairs.join(tested, ["a", "b"], "left_anti"), sets), "compared")
         tested = tested.union(known)
         more = linked(known)
         if not more.isEmpty():
-            edges = edges.union(more)
-            roots = components(edges)
-        active = materialize(seen.drop("root").join(leads.select("sig", F.col("lead").alias("node")), ["sig", "node"], "left_anti"), "bands")
+            roots = merged(roots, more)
+        left = seen.join(leads.select("sig").distinct(), "sig", "left_semi").drop("root")  # a band without leaders is done
+        active = materialize(left.join(leads.select("sig", F.col("lead").alias("node")), ["sig", "node"], "left_anti"), "bands")
         n_leads *= 4
 
 
@@ -186,8 +195,8 @@ def near_duplicate_groups(docs: DataFrame, words_per_shingle: int = 5, similarit
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     chosen = source.join(wanted.select(F.col("least_id").alias("id")).where("id is not null"), "id", "left_semi").union(source.where("id is null"))
     sets = materialize(shingle_sets(chosen, words_per_shingle).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    edges = similar_edges(members, materialize(fingerprint_edges(nodes), "links"), sets, similarity)
-    named = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    edges = materialize(fingerprint_edges(nodes), "links")
+    named = nodes.join(similar_groups(members, edges, sets, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_node = materialize(named.join(least, "root").select("node", "root", "component_id"), "components")
     discard(nodes, members, sets, edges)
