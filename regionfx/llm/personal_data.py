@@ -81,6 +81,10 @@ NONE = len(KINDS)
 SCALE = 1 << 20  # of scores when they are summed up
 
 
+#: What may stand behind a blank before the at sign and before a dot, and what in front of one.
+BEFORE_AT, BEFORE_DOT, SIGNS = frozenset(["@", "at", "(", "["]), frozenset(["dot", "(", "[", ")", "]"]), frozenset(["@", "at", "dot", "(", "[", ")", "]"])
+
+
 def candidates(tokens: list[str]):
     """(first, past the last, type) of the segments that may be an entity of that type."""
     n = len(tokens)
@@ -89,11 +93,16 @@ def candidates(tokens: list[str]):
         first = tokens[i]
         if not (wordy[i] or first in "+(") or (i and wordy[i] and wordy[i - 1]):
             continue
-        digits, ats, dots, letters, odd = 0, 0, 0, 0, False
+        digits, ats, dots, letters, odd, mail = 0, 0, 0, 0, False, True
         for j in range(i, min(n, i + MAX_TOKENS)):
             t = tokens[j]
             if t in "\n\r" or odd and not ats and digits == 0:
                 break
+            if t.isspace():  # in an address only beside its signs
+                after = tokens[j + 1].lower() if j + 1 < n else ""
+                if ats and after not in BEFORE_DOT and tokens[j - 1].lower() not in SIGNS:
+                    break
+                mail = mail and (ats > 0 or after in BEFORE_AT)
             if t.isdigit() and t.isascii():
                 digits += len(t)
             elif t.isalpha():
@@ -106,7 +115,7 @@ def candidates(tokens: list[str]):
                 dots += 1
             elif t not in " -()+/_[]%":
                 odd = True
-            if odd or digits > 19 and not letters:
+            if odd or digits > 19 and not letters or (letters or ats) and not mail:
                 break
             if not wordy[j] or (j + 1 < n and wordy[j + 1]):
                 continue
@@ -122,7 +131,7 @@ def candidates(tokens: list[str]):
 
 
 #: A dot of a host as it may be spelt, and a host after these are put as dots.
-DOT = re.compile(r"\s*[(\[]?\s*(?:\bdot\b|\.)\s*[)\]]?\s*")
+DOT = re.compile(r"\s*[(\[]?\s*\bdot\b\s*[)\]]?\s*|[(\[]?\.[)\]]?")
 HOST = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+\Z")
 
 
@@ -299,7 +308,7 @@ def training_windows(n: int, seed: int):
 
     def other():
         y = f"{rng.randint(1900, 2030)}"
-        return rng.choice((f"{y}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/{y}", f"{num(rng.randint(1, 6))}", f"{num(3)}.{num(2)}", f"{num(16)}0", card(False), f"{rng.randint(256, 999)}.{num(3)}.{num(2)}.{num(1)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"{num(13)}", f"{word()}@{word()}", f"{word()} at {word()} {num(4)}", f"{num(8)}-{num(4)}", f"{y}-{y}", f"{num(4)} {num(4)}", f"{num(3)} {num(3)} {num(3)} {num(3)}", f"{num(10)}", f"{num(1)}.{num(1)}.{num(1)}"))
+        return rng.choice((f"{y}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}/{rng.randint(1, 12)}/{y}", f"{num(rng.randint(1, 6))}", f"{num(3)}.{num(2)}", f"{num(16)}0", card(False), f"{rng.randint(256, 999)}.{num(3)}.{num(2)}.{num(1)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"{num(13)}", f"{word()}@{word()}", f"{word()} at {word()} {num(4)}", f"{rng.choice((word(), num(3)))} at {word()}. {word().title()}", f"{word()} at {num(rng.randint(1, 5))}. {word()}", f"{num(8)}-{num(4)}", f"{y}-{y}", f"{num(4)} {num(4)}", f"{num(3)} {num(3)} {num(3)} {num(3)}", f"{num(10)}", f"{num(1)}.{num(1)}.{num(1)}"))
 
     makers = {0: (email, "mail write contact address"), 1: (ip, "host server address ip"), 2: (card, "card visa pay number"), 3: (phone, "call phone tel fax")}
     for _ in range(n):
@@ -312,6 +321,8 @@ def training_windows(n: int, seed: int):
                 hint = " " + rng.choice(makers[kind][1].split()) + rng.choice((":", ""))
             elif kind == NONE and rng.random() < 0.3:
                 hint = " " + rng.choice("order version id on number page".split())
+            if not hint and rng.random() < 0.2:
+                hint = " at"
             tokens += TOKEN.findall(filler + hint + " ")
             part = TOKEN.findall(makers[kind][0]() if kind != NONE else other())
             if kind != NONE and (0, len(part), kind) in set(candidates(part)):
