@@ -37,27 +37,37 @@ PIVOT_SHARE = 0.7
 SLACK = 1e-6  # of bounds, for rounding
 
 
-def build_shard(doc_ids: list, texts: list) -> tuple[bytes, object, np.ndarray, int]:
-    """(file content, the words (pyarrow), document frequency of each, number of words)."""
+def build_shard(doc_ids, texts) -> tuple[bytes, object, np.ndarray, int]:
+    """(file content, the words (pyarrow), document frequency of each, number of words) of arrays (pyarrow) of ids and texts without nulls."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    plain = pa.array([(t or "").encode().translate(WORD_BYTES).decode() for t in texts], pa.large_string())
-    lists = pc.ascii_split_whitespace(plain)
-    flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
-    full = pc.not_equal(flat, "")
-    flat, doc = flat.filter(full), doc[full.to_numpy(zero_copy_only=False)]
-    coded = flat.cast(pa.string()).dictionary_encode()
+    lists = pc.ascii_split_whitespace(pa.array([t.as_py().encode().translate(WORD_BYTES).decode() for t in texts], pa.string()))
     n = max(1, len(texts))
-    pairs, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
-    word, at = pairs // n, pairs % n
-    words = coded.dictionary
-    df = np.bincount(word, minlength=len(words)).astype(np.int64)
+    pairs = np.repeat(np.arange(len(texts), dtype=np.int64), lists.value_lengths().to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    del lists
+    words, codes = coded.dictionary, coded.indices.to_numpy()
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:
+        full = codes != empty
+        pairs, codes = pairs[full], codes[full]
+        codes = codes - (codes > empty)
+        words = pa.concat_arrays([words[:empty], words[empty + 1 :]])
+    n_words, lengths = len(codes), np.bincount(pairs, minlength=len(texts)).astype(np.int32)
+    pairs += codes.astype(np.int64) * n
+    del coded, codes
+    pairs.sort()
+    begins = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if n_words else np.zeros(0, np.int64)
+    tf = np.diff(np.append(begins, n_words)).astype(np.int32)
+    pairs = pairs[begins]
+    at = (pairs % n).astype(np.int32)
+    df = np.bincount(pairs // n, minlength=len(words)).astype(np.int64)
     text, ends = b"".join(w.encode() for w in words.to_pylist()), np.append(0, np.cumsum(pc.binary_length(words).to_numpy()))
     out = io.BytesIO()
-    np.savez(out, doc_ids=np.array([0 if x is None else x for x in doc_ids], np.int64), nulls=np.array([x is None for x in doc_ids], bool), lengths=np.bincount(doc, minlength=len(texts)).astype(np.int32), words=np.frombuffer(text, np.uint8), ends=ends.astype(np.int32), df=df, doc=at.astype(np.int32), tf=tf.astype(np.int32))
-    return out.getvalue(), words, df, len(doc)
+    nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
+    np.savez(out, doc_ids=pc.fill_null(doc_ids, 0).to_numpy(), nulls=nulls, lengths=lengths, words=np.frombuffer(text, np.uint8), ends=ends.astype(np.int32), df=df, doc=at, tf=tf)
+    return out.getvalue(), words, df, n_words
 
 
 class Shard:
@@ -114,7 +124,7 @@ def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def build_index(docs: DataFrame, folder: str, shard_bytes: int = 24 << 20) -> DataFrame:
+def build_index(docs: DataFrame, folder: str, shard_bytes: int = 16 << 20) -> DataFrame:
     """Write shards of (doc_id, text).  Returns rows (n_docs, n_words) of the shards and (word, df) of their words.
 
     Input splits are put together to about a shard each, with no shuffle, as every query meets every shard.
@@ -124,12 +134,14 @@ def build_index(docs: DataFrame, folder: str, shard_bytes: int = 24 << 20) -> Da
         import pyarrow as pa
 
         for k, table in enumerate(chunks_of(batches, "text", shard_bytes)):
-            content, words, df, n_words = build_shard(table.column("doc_id").to_pylist(), table.column("text").to_pylist())
+            content, words, df, n_words = build_shard(table.column("doc_id").combine_chunks(), table.column("text").combine_chunks())
             write_bytes(f"{folder}/shard-{TaskContext.get().partitionId():06d}-{k:06d}.npz", [content])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([table.num_rows], pa.int64()), pa.array([n_words], pa.int64())], names=["word", "df", "n_docs", "n_words"])
             for i in range(0, len(words), 10_000):
                 part = words[i : i + 10_000]
                 yield pa.RecordBatch.from_arrays([part, pa.array(df[i : i + 10_000], pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64())], names=["word", "df", "n_docs", "n_words"])
+            del content, words
+            pa.default_memory_pool().release_unused()
 
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -138,7 +150,7 @@ def build_index(docs: DataFrame, folder: str, shard_bytes: int = 24 << 20) -> Da
     return materialize(source.mapInArrow(write, "word string, df long, n_docs long, n_words long"), "index-rows")
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 24 << 20, queries_per_task: int = 256, words_at_once: int = 1_000_000) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 16 << 20, queries_per_task: int = 256, words_at_once: int = 1_000_000) -> DataFrame:
     """(query_id, rank, doc_id, score): the k documents with the highest BM25 score for each query (query_id, text).
 
     A query's distinct words count once each; documents without any of them
