@@ -497,3 +497,10 @@ def test_quality(docs, empty):
     kept = quality.accepted(docs)
     assert kept.columns == docs.columns
     assert kept.count() == quality.quality(docs).where("q_kept").count()
+
+
+def test_quality_measures_are_computed_once(docs):
+    """The filter on the verdict stays above the projection that computes the measures."""
+    plan = quality.accepted(docs)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter " in line]
+    assert len(filters) == 1 and "q_kept" in filters[0] and not any(f in filters[0] for f in ("split", "regexp", "aggregate", "transform"))
