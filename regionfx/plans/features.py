@@ -45,14 +45,15 @@ def property_diff(df: DataFrame, props: DataFrame, orig: str, new: str) -> DataF
     return df.join(o, orig).join(n, new).withColumn("aa", S.vector_diff(F.col("_n"), F.col("_o"))).drop("_o", "_n")
 
 
-def variant_feature_table(variants: DataFrame, regions: DataFrame, residue: DataFrame, contacts: DataFrame, cov: DataFrame | None, props: DataFrame, alphabet: list[str], channels: list, size: int, k: int = 3, rmsf: int | None = None) -> DataFrame:
+def variant_feature_table(variants: DataFrame, regions: DataFrame, residue: DataFrame, contacts: DataFrame, cov: DataFrame | None, props: DataFrame, alphabet: list[str], channels: list, size: int, k: int = 3, rmsf: int | None = None, bin_width: float | None = 500.0) -> DataFrame:
     """One row per variant in a region with tensors.
 
     variants (variant_id, key, location, orig, changed), regions (key, region_id, start, end), residue
     (region_id, pos, f), contacts (region, i, j, channel, value). Columns added: region_id, pos, window, mean_sasa, mean_rmsf,
     pair, aa, one_hot.  Regions without residues drop out by the inner join; positions without contacts have zeros.
+    ``bin_width``: about the usual length of a region; a hot key is spread over its bins.
     """
-    placed = J.point_in_region(variants, regions, "key", "location", "start", "end").withColumn("pos", (F.col("location") - F.col("start") + 1).cast("int"))
+    placed = J.point_in_region(variants, regions, "key", "location", "start", "end", bin_width).withColumn("pos", (F.col("location") - F.col("start") + 1).cast("int"))
     wide = placed.join(residue_features(residue, size, k, rmsf), ["region_id", "pos"])
     width = len(channels) + (cov is not None)
     wide = wide.join(pair_features(contacts, cov, channels), ["region_id", "pos"], "left").withColumn("pair", F.coalesce("pair", F.array_repeat(F.lit(0.0), width)))

@@ -9,7 +9,7 @@ from regionfx.plans import features as P
 from regionfx.plans import models as M
 from regionfx.queries.basics import _folder, _pieces
 from regionfx.queries.statistics import scored
-from regionfx.queries.tables import ATOMS, atoms, cells, pairs, residues
+from regionfx.queries.tables import ATOMS, CELLS, PAIRS, atoms, cells, pairs, residues
 from regionfx.storage import materialize
 from regionfx.streaming import incremental as I
 
@@ -30,21 +30,25 @@ def _props(spark, d):
 
 
 def _feature_table(spark, d):
-    cov = cells(spark, d)
-    return P.variant_feature_table(_variants(spark, d), _regions(spark, d), residues(spark, d).withColumn("f", F.slice("f", 1, 3)), pairs(spark, d), cov, _props(spark, d), LETTERS, LETTERS, 3, k=1, rmsf=2)
+    return P.variant_feature_table(_variants(spark, d), _regions(spark, d), residues(spark, d), pairs(spark, d), cells(spark, d), _props(spark, d), LETTERS, LETTERS, 64, k=1, rmsf=2)
 
 
-@query("m1_variant_feature_table", """WITH e AS (SELECT label AS region_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, avg(embedding[3]::DOUBLE) OVER (PARTITION BY label) AS mr FROM embeddings),
-w AS (SELECT region_id, pos, a, b, (c / mr)::FLOAT AS c, coalesce(lag(a) OVER v, 0) AS pa, coalesce(lead((c / mr)::FLOAT) OVER v, 0) AS nc FROM e WINDOW v AS (PARTITION BY region_id ORDER BY pos)),
-p AS (SELECT (l_suppkey % 10)::INT AS region, (l_partkey % 20)::INT AS i, l_linenumber AS j, l_returnflag AS channel, avg(l_discount * 10) AS value FROM lineitem GROUP BY ALL),
-g AS (SELECT region, pos, sum((channel = 'A')::INT) AS da, sum((channel = 'N')::INT) AS dn FROM (SELECT region, channel, i AS pos FROM p WHERE value > 0.4 UNION ALL SELECT region, channel, j FROM p WHERE value > 0.4) GROUP BY ALL),
+@query("m1_variant_feature_table", f"""WITH e AS (SELECT label AS region_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS pos, embedding AS f, avg(embedding[1]::DOUBLE) OVER (PARTITION BY label) AS ms, avg(embedding[3]::DOUBLE) OVER (PARTITION BY label) AS mr FROM embeddings),
+s AS (SELECT region_id, pos, ms, mr, list_concat(list_concat(f[1:2], [(f[3] / mr)::FLOAT]), f[4:64]) AS f, list_transform(f, lambda x: 0::FLOAT) AS zeros FROM e),
+w AS (SELECT region_id, pos, ms, mr, list_concat(list_concat(coalesce(lag(f) OVER v, zeros), f), coalesce(lead(f) OVER v, zeros)) AS win FROM s WINDOW v AS (PARTITION BY region_id ORDER BY pos)),
+g AS (SELECT region, pos, sum((channel = 'A')::INT) AS da, sum((channel = 'N')::INT) AS dn, sum((channel = 'R')::INT) AS dr FROM (SELECT region, channel, i AS pos FROM {PAIRS} WHERE value > 0.4 UNION ALL SELECT region, channel, j FROM {PAIRS} WHERE value > 0.4) GROUP BY ALL),
+c AS (SELECT *, avg(value) OVER (PARTITION BY region) AS mu, stddev_pop(value) OVER (PARTITION BY region) AS sd FROM {CELLS}),
+z AS (SELECT region, pos, sum(m) / 2 AS z FROM (SELECT region, i AS pos, avg((value - mu) / sd) AS m FROM c GROUP BY ALL UNION ALL SELECT region, j, avg((value - mu) / sd) FROM c GROUP BY ALL) GROUP BY ALL),
+a AS (SELECT l_returnflag AS aa, avg(l_tax) AS t, avg(l_discount) AS s FROM lineitem GROUP BY 1),
 x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_suppkey % 10) AS k, l_partkey % 60 AS location, l_returnflag AS orig FROM lineitem WHERE l_returnflag <> 'R')
-SELECT l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR AS variant_id, w.region_id, w.pos::INT AS pos, round(pa, 5) AS prev_a, round(nc, 5) AS next_c, coalesce(da, 0)::DOUBLE AS deg_a, coalesce(dn, 0)::DOUBLE AS deg_n, -(orig = 'A')::INT AS hot_a
-FROM x JOIN w ON x.k = w.region_id AND w.pos = location - 4 AND location BETWEEN 5 AND 54 LEFT JOIN g ON g.region = w.region_id AND g.pos = w.pos""")
+SELECT l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR AS variant_id, w.region_id, w.pos::INT AS pos, round(win[1], 5) AS prev_a, round(win[131], 5) AS next_c, round(list_sum(list_transform(win, lambda v: v::DOUBLE)), 4) AS window_sum,
+round(ms, 6) AS mean_sasa, round(mr, 6) AS mean_rmsf, [coalesce(da, 0)::DOUBLE, coalesce(dn, 0)::DOUBLE, coalesce(dr, 0)::DOUBLE, round(coalesce(z.z, 0.0), 6)] AS pair, [round(r.t - o.t, 9), round(r.s - o.s, 9)] AS aa, [-(orig = 'A')::INT, -(orig = 'N')::INT, 1 - (orig = 'R')::INT] AS one_hot
+FROM x JOIN w ON x.k = w.region_id AND w.pos = location - 4 AND location BETWEEN 5 AND 54 LEFT JOIN g ON g.region = w.region_id AND g.pos = w.pos LEFT JOIN z ON z.region = w.region_id AND z.pos = w.pos JOIN a o ON o.aa = orig JOIN a r ON r.aa = 'R'""")
 def m1(spark, d):
-    t = _feature_table(spark, d)
     at = lambda c, i: F.get(c, F.lit(i))
-    return t.select("variant_id", "region_id", "pos", F.round(at("window", 0), 5).alias("prev_a"), F.round(at("window", 8), 5).alias("next_c"), at("pair", 0).alias("deg_a"), at("pair", 1).alias("deg_n"), at("one_hot", 0).alias("hot_a"))
+    near = lambda c, n: F.transform(c, lambda x: F.round(x, n)).alias(c)
+    total = F.aggregate("window", F.lit(0.0), lambda s, x: s + x)
+    return _feature_table(spark, d).select("variant_id", "region_id", "pos", F.round(at("window", 0), 5).alias("prev_a"), F.round(at("window", 130), 5).alias("next_c"), F.round(total, 4).alias("window_sum"), F.round("mean_sasa", 6).alias("mean_sasa"), F.round("mean_rmsf", 6).alias("mean_rmsf"), near("pair", 6), near("aa", 9), "one_hot")
 
 
 @query("m2_mean_pair_features", "SELECT region, i AS pos, channel, round(avg(value), 9) AS mean FROM (SELECT (l_suppkey % 10)::INT AS region, (l_partkey % 20)::INT AS i, l_linenumber AS j, l_returnflag AS channel, avg(l_discount * 10) AS value FROM lineitem GROUP BY ALL) WHERE i BETWEEN 2 AND 5 AND j BETWEEN 2 AND 5 GROUP BY ALL")
