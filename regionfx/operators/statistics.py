@@ -158,7 +158,7 @@ def score_comparison_report(df: DataFrame, scores: list[str], label: str, fold:
     out = auroc(long, "_score", "_label", by)
     for c in cutoffs:
         out = out.join(partial_auroc(long, "_score", "_label", by, c, legacy=True).withColumnRenamed("pauroc", f"pauroc_{c}"), by, "left")
-    return out
+    return out.withColumns({f"pauroc_{c}": F.when(F.col("auroc").isNotNull(), F.col(f"`pauroc_{c}`")) for c in cutoffs})
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -149,7 +149,7 @@ _STRATA = f"""(SELECT s || '|' || m || '|' || fold::VARCHAR AS fold, v AS score,
 def _report():
     area = lambda c, n: f"p{n} AS (SELECT fold, round(sum((nx - x) * (y + ny) / 2) / {c}, 6) AS pauroc FROM (SELECT fold, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM g WINDOW w AS (PARTITION BY fold ORDER BY g)) WHERE nx <= {c} GROUP BY 1)"
     return f"""WITH {_ROC.replace(SCORED, _STRATA)}, {area(0.1, 1)}, {area(0.05, 2)}, a AS ({_auc("fold", _STRATA)})
-SELECT split_part(a.fold, '|', 1) AS stratum, split_part(a.fold, '|', 2) AS model, split_part(a.fold, '|', 3)::INT AS fold, auroc, p1.pauroc AS pauroc_1, p2.pauroc AS pauroc_2 FROM a LEFT JOIN p1 ON a.fold = p1.fold LEFT JOIN p2 ON a.fold = p2.fold"""
+SELECT split_part(a.fold, '|', 1) AS stratum, split_part(a.fold, '|', 2) AS model, split_part(a.fold, '|', 3)::INT AS fold, CASE WHEN isfinite(auroc) THEN auroc END AS auroc, CASE WHEN isfinite(auroc) THEN p1.pauroc END AS pauroc_1, CASE WHEN isfinite(auroc) THEN p2.pauroc END AS pauroc_2 FROM a LEFT JOIN p1 ON a.fold = p1.fold LEFT JOIN p2 ON a.fold = p2.fold"""
 
 
 @query("t11_report_cutoffs", _report())
