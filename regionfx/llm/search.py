@@ -88,9 +88,10 @@ class Shard:
         self.dense_row = np.full(len(self.df), -1, np.int64)
         self.dense_row[dense] = np.arange(len(dense))
         self.n_blocks = -(-self.n // BLOCK_DOCS)
-        self.rows = np.zeros((len(dense), self.n_blocks * BLOCK_DOCS))
+        width = self.n_blocks * BLOCK_DOCS
+        self.rows = np.zeros((len(dense), width))
         posts = _ranges(self.at[dense], self.df[dense])
-        self.rows[np.repeat(np.arange(len(dense)), self.df[dense]), self.doc[posts]] = self.weight[posts]
+        self.rows.ravel()[np.repeat(np.arange(len(dense)) * width, self.df[dense]) + self.doc[posts]] = self.weight[posts]
         self.block_greatest = self.rows.reshape(len(dense), self.n_blocks, BLOCK_DOCS).max(axis=2) if len(dense) else np.zeros((0, self.n_blocks))
 
     def places(self, words) -> np.ndarray:
@@ -150,7 +151,7 @@ def build_index(docs: DataFrame, folder: str, shard_bytes: int = 16 << 20) -> Da
     return materialize(source.mapInArrow(write, "word string, df long, n_docs long, n_words long"), "index-rows")
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 16 << 20, queries_per_task: int = 256, words_at_once: int = 1_000_000) -> DataFrame:
+def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, shard_bytes: int = 16 << 20, queries_per_task: int = 512, words_at_once: int = 1_000_000) -> DataFrame:
     """(query_id, rank, doc_id, score): the k documents with the highest BM25 score for each query (query_id, text).
 
     A query's distinct words count once each; documents without any of them
