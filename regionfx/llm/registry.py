@@ -3,6 +3,7 @@
 from regionfx.llm.archive import op5_web_archive
 from regionfx.llm.byte_pairs import op1_byte_pairs
 from regionfx.llm.licences import op7_licence_scan
+from regionfx.llm.negatives import OP11_SQL, op11_hard_negatives
 from regionfx.llm.packing import op8_best_fit_packing
 from regionfx.llm.personal_data import op9_personal_data
 from regionfx.llm.quality import OP10_SQL, op10_quality_rules
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
-SQL: dict[str, str] = {"op10_quality_rules": OP10_SQL}
+SQL: dict[str, str] = {"op10_quality_rules": OP10_SQL, "op11_hard_negatives": OP11_SQL}
