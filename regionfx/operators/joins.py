@@ -40,14 +40,55 @@ def semi_reduce(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return big.join(keys.select(on).distinct(), on, "left_semi")
 
 
-def point_in_region(points: DataFrame, regions: DataFrame, key: str, pos: str, start: str, end: str, bin_width: float | None = None, how: str = "inner") -> DataFrame:
-    """Points within start..end (inclusive) of regions of the same key.
+#: Widths of bins grow by this factor from level to level; so many levels are told apart at most.
+LEVEL_BASE, MOST_LEVELS = 4, 12
+
+
+def interval_levels(regions: DataFrame, start: str, end: str) -> list[int]:
+    """The levels of bins that the lengths of the intervals ask for, found in one small aggregation.
+
+    A level's width is LEVEL_BASE ** level, and an interval's level is the least whose width isn't below its length.  Where lengths span more than
+    MOST_LEVELS levels, neighbouring ones are put together, the shorter intervals into the wider bins.
+    """
+    length = (F.col(end) - F.col(start)).cast("double")
+    level = F.when(length > 0, F.ceil(F.log(float(LEVEL_BASE), length)).cast("int"))
+    found = sorted(r[0] for r in regions.where(length >= 0).select(level.alias("k")).distinct().where("k is not null").collect())  # one for each power of the base
+    step = -(-len(found) // MOST_LEVELS) or 1
+    return found[::-1][::step][::-1] or [0]
+
+
+def multilevel_hits(points: DataFrame, regions: DataFrame, key: str, pos: str, start: str, end: str) -> DataFrame:
+    """Pairs of points and the intervals around them by bins of several levels: an interval is in at most two bins, of its own level.
+
+    A point is in one bin of each level that occurs.  The join is on (key, level, bin), so neither long intervals nor a hot key make
+    many rows or one large group.  Columns: those of both sides but the intervals' key.
+    """
+    levels = interval_levels(regions, start, end)
+    width = lambda level: float(LEVEL_BASE) ** level
+    place = lambda x, w: F.floor(x.cast("double") / w)
+    length = (F.col(end) - F.col(start)).cast("double")
+    own = F.coalesce(*[F.when(length <= width(k), F.lit(k)) for k in levels])
+    other = regions.where(length >= 0).withColumnRenamed(key, "_key").withColumn("_rlevel", own)
+    w = F.coalesce(*[F.when(F.col("_rlevel") == k, F.lit(width(k))) for k in levels])
+    other = other.withColumn("_rbin", F.explode(F.sequence(place(F.col(start), w), place(F.col(end), w))))
+    bins = F.array(*[F.struct(F.lit(k).alias("level"), place(F.col(pos), width(k)).alias("bin")) for k in levels])
+    asked = points.where(F.col(pos).isNotNull()).withColumn("_b", F.explode(bins))
+    on = (F.col(key) == F.col("_key")) & (F.col("_b.level") == F.col("_rlevel")) & (F.col("_b.bin") == F.col("_rbin")) & F.col(pos).between(F.col(start), F.col(end))
+    return asked.join(other, on).drop("_b", "_rlevel", "_rbin", "_key")
+
+
+def point_in_region(points: DataFrame, regions: DataFrame, key: str, pos: str, start: str, end: str, bin_width: float | str | None = None, how: str = "inner") -> DataFrame:
+    """Points within start..end (inclusive) of regions of the same key; null keys, positions and bounds never match.
 
     One hash join on the key, the range as its further condition.  With
     ``bin_width`` regions are also spread over the bins they touch and the
     bin joins the key, so that one hot key falls into many groups: choose about the
-    usual length of a region.
+    usual length of a region, or "levels" for regions of mixed lengths (inner joins only).
     """
+    if bin_width == "levels":
+        if how != "inner":
+            raise ValueError("bins of several levels are for inner joins")
+        return multilevel_hits(points, regions, key, pos, start, end)
     other = regions.withColumnRenamed(key, "_key")
     on = (F.col(key) == F.col("_key")) & F.col(pos).between(F.col(start), F.col(end))
     if bin_width:
@@ -57,7 +98,7 @@ def point_in_region(points: DataFrame, regions: DataFrame, key: str, pos: str, s
     return points.join(other, on, how).drop("_key")
 
 
-def annotate_first_interval(points: DataFrame, intervals: DataFrame, key: str, pos: str, start: str, end: str, kind: str, order: str, point_id: str, default: str, bin_width: float | None = None) -> DataFrame:
+def annotate_first_interval(points: DataFrame, intervals: DataFrame, key: str, pos: str, start: str, end: str, kind: str, order: str, point_id: str, default: str, bin_width: float | str | None = None) -> DataFrame:
     """Each point with the type, start and end of its first interval in ``order``; ``default`` and nulls where there is none.
 
     The join gives the candidates, min_by combines them before the shuffle, and points

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionfx.functions import pvalues
-from regionfx.operators.sampling import running_sums
+from regionfx.operators.sampling import neighbours, running_sums
 
 
 def _score_table(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -37,11 +37,11 @@ def roc_on_grid(df: DataFrame, score: str, label: str, by: list[str], grid: int
     """(by, g, fpr, tpr): the curve interpolated at g/(grid-1); the highest value at a vertical step, 0 at the first place.
 
     Each segment of the curve gives the grid places within it, so no
-    search per place is needed.
+    search per place is needed.  A point's next one may be in another range, so a curve of many
+    distinct scores is spread over tasks.
     """
     points = roc_curve(df, score, label, by).groupBy(*by, "fpr").agg(F.max("tpr").alias("tpr"))
-    w = Window.partitionBy(*by).orderBy("fpr")
-    seg = points.withColumn("nf", F.lead("fpr").over(w)).withColumn("nt", F.lead("tpr").over(w))
+    seg = neighbours(points, by, "fpr", after={"nf": "fpr", "nt": "tpr"})
     g0, g1 = F.ceil(F.col("fpr") * (grid - 1) - 1e-9).cast("int"), F.ceil(F.coalesce(F.col("nf") * (grid - 1), F.lit(float(grid))) - 1e-9).cast("int") - 1
     hit = seg.where(g1 >= g0).withColumn("g", F.explode(F.sequence(g0, F.least(g1, F.lit(grid - 1)))))
     x = F.col("g") / F.lit(float(grid - 1))

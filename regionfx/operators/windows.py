@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,16 +26,22 @@ def neighbour_window(df: DataFrame, region: str, pos: str, f: str, size: int, k:
     return rows.withColumn(out, F.concat(*near)).where(F.col("_block") == at(F.col(pos))).drop("_block")
 
 
+def with_group(df: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Rows with what a summary by ``key`` says of their group; rows with a null key are a group like any other."""
+    own = groups.withColumnRenamed(key, f"_{key}")
+    return df.join(own, df[key].eqNullSafe(own[f"_{key}"])).drop(f"_{key}")
+
+
 def normalise_by_mean(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
-    """Value over its group's mean (null for a mean of 0); the means are grouped and joined, so a hot group isn't sorted in one task."""
+    """Value over its group's mean (null for a mean of 0); null keys are a group; the means are grouped and joined, so a hot group isn't sorted in one task."""
     means = df.groupBy(key).agg(F.avg(col).alias("_m"))
-    return df.join(means, key).withColumn(out, F.try_divide(F.col(col), F.col("_m"))).drop("_m")
+    return with_group(df, means, key).withColumn(out, F.try_divide(F.col(col), F.col("_m"))).drop("_m")
 
 
 def zscore(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
-    """(x - mean) / population std per group; null values are ignored, a group without spread gives null."""
+    """(x - mean) / population std per group; null values are ignored, a group without spread gives null; null keys are a group."""
     s = df.groupBy(key).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
-    return df.join(s, key).withColumn(out, (F.col(col) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
+    return with_group(df, s, key).withColumn(out, (F.col(col) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s")
 
 
 def avg_rank(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
@@ -41,12 +51,16 @@ def avg_rank(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 
 
 def aligned_segments(df: DataFrame, key: str, a: str, b: str, gap: str = "-", min_len: int = 5) -> DataFrame:
-    """(key, a_start, a_end, b_start, b_end): runs where both aligned strings have letters, in places (from 1) of the letters of each."""
+    """(key, a_start, a_end, b_start, b_end): runs where both aligned strings have letters, in places (from 1) of the letters of each.
+
+    A key is one pair of strings; its letters are counted in ranges, so a long one is spread over tasks.  Null strings give no rows.
+    """
     cells = df.select(key, F.posexplode(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))).alias("p", "c"))
-    w = Window.partitionBy(key).orderBy("p")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("pa", F.sum((F.col("c.x") != gap).cast("int")).over(upto)).withColumn("pb", F.sum((F.col("c.y") != gap).cast("int")).over(upto))
-    runs = cells.where((F.col("c.x") != gap) & (F.col("c.y") != gap)).withColumn("run", F.col("p") - F.row_number().over(w))
+    has = {"in_a": F.col("c.x") != gap, "in_b": F.col("c.y") != gap}
+    cells = cells.select(key, "p", *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in has.items()]).withColumn("both", F.col("in_a") * F.col("in_b"))
+    upto = running_sums(cells.withColumns({"own_a": F.col("in_a"), "own_b": F.col("in_b"), "own": F.col("both")}), [key], "p", {"pa": "in_a", "pb": "in_b", "k": "both"})
+    # along a run the place and the number of such places before it grow together
+    runs = upto.where("own = 1").select(key, (F.col("pa") + F.col("own_a")).alias("pa"), (F.col("pb") + F.col("own_b")).alias("pb"), (F.col("p") - F.col("k")).alias("run"))
     g = runs.groupBy(key, "run").agg(*[f(c).alias(n) for c, n, f in (("pa", "a_start", F.min), ("pa", "a_end", F.max), ("pb", "b_start", F.min), ("pb", "b_end", F.max))], F.count("*").alias("len"))
     return g.where(F.col("len") >= min_len).drop("run", "len")
 
@@ -79,16 +93,69 @@ def divisors(n: Column) -> Column:
     return F.array_sort(F.array_union(low, F.transform(low, lambda d: F.floor(n / d).cast("long"))))
 
 
+def block_squares(df: DataFrame, series: str, cells: int) -> DataFrame:
+    """(series, n, blocks, squares): for each number of blocks of a series, 2 and more, the sum over blocks of the squared sum of each cell.
+
+    df: (series, t, n, cell from 0, value), t from 0 to n - 1.  Rows are shuffled once, into ranges of (series, t).  A task adds up a stretch
+    of a series for all block lengths by differences at block ends; it gives the squares of the blocks that lie in the stretch,
+    and the sums of the at most two that reach beyond it, which are then put together.
+    """
+    kind = df.schema[series].dataType.simpleString()
+
+    def run(batches):
+        sizes = {}
+        for batch in batches:
+            names, t, cell, value, length = (batch.column(c) for c in (series, "t", "cell", "value", "n"))
+            keys, t, length = names.to_pylist(), t.to_numpy(), length.to_numpy()
+            cell, value = cell.to_numpy(), value.to_numpy()
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            out = {"n": [], "size": [], "block": [], "sums": []}
+            own = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                n = int(length[a])
+                if n not in sizes:
+                    low = [d for d in range(1, math.isqrt(n) + 1) if n % d == 0]
+                    sizes[n] = sorted({*low, *[n // d for d in low]} - {n})
+                first, last = int(t[a]), int(t[b - 1])
+                for size in sizes[n]:
+                    k = first // size
+                    count = last // size - k + 1
+                    sums = np.bincount((t[a:b] // size - k) * cells + cell[a:b], weights=value[a:b], minlength=count * cells).reshape(count, cells)
+                    lo, hi = int(first % size > 0), count - int((last + 1) % size > 0)
+                    rows = [(k, sums[0])] * lo + ([(k + count - 1, sums[-1])] if hi < count and (count > 1 or not lo) else [])
+                    if hi > lo:
+                        rows.append((None, (sums[lo:hi] ** 2).sum(axis=0)))
+                    for block, x in rows:
+                        own.append(keys[a])
+                        out["n"].append(n)
+                        out["size"].append(size)
+                        out["block"].append(block)
+                        out["sums"].append(x.tolist())
+            columns = [pa.array(own, names.type), pa.array(out["n"], pa.int64()), pa.array(out["size"], pa.int64()), pa.array(out["block"], pa.int64()), pa.array(out["sums"], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["series", "n", "size", "block", "sums"])
+
+    rows = df.select(series, F.col("t").cast("long").alias("t"), F.col("n").cast("long").alias("n"), F.col("cell").cast("long").alias("cell"), F.col("value").cast("double").alias("value"))
+    parts = rows.repartitionByRange(series, "t").sortWithinPartitions(series, "t").mapInArrow(run, f"series {kind}, n long, size long, block long, sums array<double>")
+    each = [F.sum(F.get("sums", F.lit(i))) for i in range(cells)]
+    # whole blocks are squares already, others are summed to blocks first
+    part = parts.groupBy("series", "n", "size", "block").agg(*[e.alias(f"s{i}") for i, e in enumerate(each)])
+    square = lambda i: F.when(F.col("block").isNull(), F.col(f"s{i}")).otherwise(F.col(f"s{i}") * F.col(f"s{i}"))
+    whole = part.groupBy("series", "n", "size").agg(F.array(*[F.sum(square(i)) for i in range(cells)]).alias("squares"))
+    return whole.select(F.col("series").alias(series), "n", (F.col("n") / F.col("size")).cast("long").alias("blocks"), "squares")
+
+
 def block_average_error(df: DataFrame, series: str) -> DataFrame:
     """(series, blocks, err, err_err) for each divisor of the length from 2 on, of (series, t, n, x).
 
-    Divisors are found once per series.  A row is needed once per divisor; sums of a block combine before the shuffle.
+    Rows are shuffled once, whatever the number of divisors.  A null value counts as the mean of its series; null series are one.
     """
-    sizes = df.groupBy(F.col(series).alias("_series")).agg(F.max("n").alias("_n")).withColumn("_d", F.filter(divisors(F.col("_n")), lambda d: d > 1))
-    rows = df.join(sizes, df[series].eqNullSafe(sizes["_series"])).select(series, "t", "n", "x", F.explode("_d").alias("blocks"))
-    means = rows.groupBy(series, "blocks", F.floor(F.col("t") / (F.col("n") / F.col("blocks"))).alias("b")).agg(F.avg("x").alias("m"))
-    err = F.sqrt(F.var_pop("m") / (F.count("*") - 1))
-    return means.groupBy(series, "blocks").agg(err.alias("err")).withColumn("err_err", F.col("err") / F.sqrt(2.0 * (F.col("blocks") - 1)))
+    means = df.groupBy(series).agg(F.avg("x").alias("_m"))
+    rows = with_group(df, means, series).select(series, "t", "n", F.lit(0).alias("cell"), F.coalesce(F.col("x") - F.col("_m"), F.lit(0.0)).alias("value"))
+    size = F.col("n") / F.col("blocks")
+    spread = F.col("squares")[0] / (size * size) / F.col("blocks")  # the mean of the block means is 0
+    err = F.sqrt(spread / (F.col("blocks") - 1))
+    out = block_squares(rows, series, 1).select(series, "blocks", err.alias("err"))
+    return out.withColumn("err_err", F.col("err") / F.sqrt(2.0 * (F.col("blocks") - 1)))
 
 
 def trim_for_blocking(df: DataFrame, series: str, min_divisors: int = 20, max_trim: int = 101) -> DataFrame:
@@ -110,31 +177,39 @@ def block_sem(errors: DataFrame, series: str) -> DataFrame:
     return inside.groupBy(series).agg(F.max_by(F.struct("blocks", "err", "n_inside"), F.struct("n_inside", "blocks")).alias("_r")).select(series, "_r.blocks", "_r.err", "_r.n_inside")
 
 
-def block_hist_error(df: DataFrame, series: str, bins: int = 50, blocks: int = 5, kt: float = 2.479) -> DataFrame:
-    """(series, error): weighted histograms per block of (series, t, n, x, w); mean relative spread over the blocks, times kT."""
+def block_hist_error(df: DataFrame, series: str, bins: int = 50, kt: float = 2.479, interval: tuple[float, float] | None = None) -> DataFrame:
+    """(series, blocks, err, err_err) for each divisor of the length from 2 on, of (series, t, n, x, w).
+
+    A block's histogram is its weights in each bin over its length.  The error of a bin is the standard error over the blocks from
+    the whole series' histogram, times kT, over the whole's bin; err is the mean over the bins that aren't empty.  Bins are of equal
+    width over ``interval``, or over each series' own range; values outside of it are in none.  Null values and weights are
+    in none either; a series without a filled bin gives no row; null series are one.
+    """
     from regionfx.operators.aggregates import bin_of
 
-    bounds = df.groupBy(series).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    rows = df.join(bounds, series).withColumn("bin", bin_of(F.col("x"), F.col("_lo"), F.col("_hi"), bins)).withColumn("block", F.least(F.floor(F.col("t") * blocks / F.col("n")), F.lit(blocks - 1)))
-    mass = rows.groupBy(series, "block", "bin").agg(F.sum("w").alias("m"))
-    total = mass.groupBy(series, "block").agg(F.sum("m").alias("_t"))
-    share = mass.join(total, [series, "block"]).withColumn("p", F.col("m") / F.nullif(F.col("_t"), F.lit(0.0)))
-    s, q = F.sum("p") / blocks, F.sum(F.col("p") * F.col("p")) / blocks
-    per_bin = share.groupBy(series, "bin").agg((F.sqrt(F.greatest(q - s * s, F.lit(0.0)) / (blocks - 1)) / F.nullif(s, F.lit(0.0))).alias("e"))
-    return per_bin.groupBy(series).agg((F.avg("e") * kt).alias("error"))
+    bounds = df.groupBy(series).agg(*([F.min("x").alias("_lo"), F.max("x").alias("_hi")] if interval is None else [F.lit(float(interval[0])).alias("_lo"), F.lit(float(interval[1])).alias("_hi")]))
+    bin_ = bin_of(F.col("x"), F.col("_lo"), F.col("_hi"), bins)
+    rows = with_group(df, bounds, series).select(series, "t", "n", F.coalesce(bin_, F.lit(0)).alias("cell"), F.when(bin_.isNotNull(), F.coalesce("w", F.lit(0.0))).otherwise(0.0).alias("value"))
+    whole = rows.groupBy(series).agg(F.array(*[F.sum(F.when(F.col("cell") == i, F.col("value")).otherwise(0.0)) for i in range(bins)]).alias("_whole"))
+    found = with_group(block_squares(rows, series, bins), whole, series)
+    size, blocks = F.col("n") / F.col("blocks"), F.col("blocks")
+    pair = F.filter(F.arrays_zip(F.col("squares").alias("q"), F.transform("_whole", lambda x: x / F.col("n")).alias("u")), lambda b: b["u"] != 0)
+    # the histograms of the blocks have the whole's as their mean
+    each = F.transform(pair, lambda b: F.sqrt(F.greatest(b["q"] / (size * size) - blocks * b["u"] * b["u"], F.lit(0.0)) / (blocks * (blocks - 1))) * kt / b["u"])
+    out = found.withColumn("_e", each).where(F.size("_e") > 0)
+    err = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x) / F.size("_e")
+    return out.select(series, "blocks", err.alias("err")).withColumn("err_err", F.col("err") / F.sqrt(2.0 * (blocks - 1)))
 
 
 def free_energy(density: DataFrame, series: str, kt: float, most: float | None = None) -> DataFrame:
     """Adds free_energy = -kT ln(density), shifted to a least value of 0 per series, above ``most`` null."""
     top = density.where("density > 0").groupBy(series).agg(F.max("density").alias("_d"))
     e = -kt * F.ln(F.when(F.col("density") > 0, F.col("density")) / F.col("_d"))
-    return density.join(top, series).withColumn("free_energy", F.when(e <= most, e) if most is not None else e).drop("_d")
+    return with_group(density, top, series).withColumn("free_energy", F.when(e <= most, e) if most is not None else e).drop("_d")
 
 
 def block_density_error(df: DataFrame, series: str, blocks: int = 5, grid: int = 20) -> DataFrame:
     """(series, x, density, error): mean and standard error over blocks of a density on a shared grid, of (series, t, n, x)."""
-    import math
-
     stats = df.groupBy(series).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.stddev_samp("x").alias("_sd"), F.count("*").alias("_n"))
     rows = df.withColumn("block", F.least(F.floor(F.col("t") * blocks / F.col("n")), F.lit(blocks - 1))).join(stats, series)
     rows = rows.withColumn("_h", F.col("_sd") * F.pow(F.col("_n") / F.lit(float(blocks)), F.lit(-0.2))).where("_h > 0").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
@@ -151,9 +226,9 @@ def mean_with_error(density: DataFrame, series: str) -> DataFrame:
 
 
 def boltzmann_weights(df: DataFrame, series: str, bias: str, kt: float, low: float | None = None, up: float | None = None) -> DataFrame:
-    """Adds weight = exp((bias - max)/kT), summing to 1 per series; only values in low..up take part."""
+    """Adds weight = exp((bias - max)/kT), summing to 1 per series; only values in low..up take part; null series are a series."""
     if low is not None or up is not None:
         df = df.where(F.col(bias).between(F.lit(low if low is not None else float("-inf")), F.lit(up if up is not None else float("inf"))))
     top = df.groupBy(series).agg(F.max(bias).alias("_b"))
-    raw = df.join(top, series).withColumn("_w", F.exp((F.col(bias) - F.col("_b")) / kt))
-    return raw.join(raw.groupBy(series).agg(F.sum("_w").alias("_t")), series).withColumn("weight", F.col("_w") / F.col("_t")).drop("_b", "_w", "_t")
+    raw = with_group(df, top, series).withColumn("_w", F.exp((F.col(bias) - F.col("_b")) / kt))
+    return with_group(raw, raw.groupBy(series).agg(F.sum("_w").alias("_t")), series).withColumn("weight", F.col("_w") / F.col("_t")).drop("_b", "_w", "_t")

@@ -9,7 +9,7 @@ from regionfx.functions import scalars as S
 from regionfx.operators import aggregates as A
 from regionfx.operators import joins as J
 from regionfx.operators import sampling as L
-from regionfx.operators.windows import neighbour_window
+from regionfx.operators.windows import neighbour_window, with_group
 
 
 def residue_features(residue: DataFrame, size: int, k: int, rmsf: int | None = None) -> DataFrame:
@@ -120,18 +120,21 @@ def edit_worklist(variants: DataFrame, regions: DataFrame, category: Column, n:
 def group_kfold(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """Adds fold 1..k by key: no key in two folds, sizes of folds in keys differ by at most one.
 
-    Distinct keys get a place in a hashed order by ranges and counts, so no
+    Distinct keys (null is one) get a place in a hashed order by ranges and counts, so no
     task sees all keys.
     """
     keys = df.select(key).distinct().withColumn("_h", L.hash_order(key, seed))
     keys = keys.withColumn("_o", F.struct("_h", key))
     placed = L.numbered(keys, "_o", "_r")
-    return df.join(placed.select(key, ((F.col("_r") - 1) % k + 1).cast("int").alias("fold")), key)
+    return with_group(df, placed.select(key, ((F.col("_r") - 1) % k + 1).cast("int").alias("fold")), key)
 
 
 def group_split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
-    """Adds is_test: about ``share`` of the keys, by hash."""
-    return df.withColumn("is_test", F.pmod(L.hash_order(key, seed), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Adds is_test: the first ceil(share * n) of the n distinct keys in a hashed order; null is a key."""
+    keys = df.select(key).distinct().withColumn("_h", L.hash_order(key, seed)).withColumn("_o", F.struct("_h", key))
+    placed = L.numbered(keys, "_o", "_r")
+    n = placed.agg(F.ceil(F.count("*") * share).alias("_n"))
+    return with_group(df, placed.crossJoin(F.broadcast(n)).select(key, (F.col("_r") <= F.col("_n")).alias("is_test")), key)  # one row
 
 
 def mixed_source_folds(df: DataFrame, key: str, row_id: str, label: str, source: str, a: str, b: str, k: int, seed: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from regionfx.functions.scalars import row_mean
 from regionfx.operators.sampling import hash_order
-from regionfx.storage import shared_root
+from regionfx.storage import discard, materialize
 
 #: One registry of feature groups by column-name pattern, for training, scoring and importances alike.  Fixed values.
 FEATURE_GROUPS = {"one_hot": "One_Hot_", "residue_aa": "Res_AA_", "residue_md": "Res_MD", "pair_md": "Pair_MD", "conservation": "Cons_", "embedding": "ESM2_", "conformation": "Conf_", "likelihood": "ESM1b_", "length": "^Region Length$"}
@@ -135,29 +136,86 @@ def kmeans(df: DataFrame, vector: str, k: int = 4, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(rows).transform(rows).drop("_v")
 
 
-def dbscan_pairs(df: DataFrame, key: str, vector: str, eps: float, blocks: int) -> DataFrame:
+def _pivots(points: DataFrame, n_pivots: int, sample_rows: int = 2048) -> list[list[float]]:
+    """Points far from each other, by farthest-first choice from a bounded sample in the order of a hash."""
+    n = points.count()
+    part = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(max(1, n))) < sample_rows // 2
+    sample = np.array([r[0] for r in points.where(part).select("v").limit(sample_rows).collect()])
+    if not len(sample):
+        return []
+    chosen = [sample[0]]
+    nearest = np.full(len(sample), np.inf)
+    while len(chosen) < n_pivots + 1:
+        nearest = np.minimum(nearest, np.linalg.norm(sample - chosen[-1], axis=1))
+        chosen.append(sample[int(nearest.argmax())])
+    return [p.tolist() for p in chosen[1:]]  # the first one was only a start
+
+
+def epsilon_candidates(points: DataFrame, eps: float, n_pivots: int = 4, n_cells: int = 3) -> DataFrame:
+    """Pairs (k, v, k2, v2), k < k2, of (k, v) that the triangle inequality allows to be within eps of each other.
+
+    Points have their distances to a few pivots; two of them can be close only if none of these differ by more than eps.  Cells of
+    width 2 eps in the distances to the first ``n_cells`` pivots are the join key: a point is at home in one cell and is also seen in those that
+    its eps reaches into.  The other pivots' distances are compared before the vectors are.
+    """
+    pivots = _pivots(points, n_pivots)
+    gap = lambda p: F.sqrt(F.aggregate(F.zip_with("v", F.lit(p), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t))
+    x = points.select("k", "v", F.array(*[gap(p) for p in pivots]).cast("array<double>").alias("d"))
+    far, cells = eps * (1 + 1e-9) + 1e-9, range(min(n_cells, len(pivots)))
+    cell = lambda i, move: F.floor((F.col("d")[i] + move) / (2 * far))
+    home = x.withColumn("cell", F.array(*[cell(i, 0.0) for i in cells]).cast("array<long>"))
+    seen = x.withColumn("cell", F.array().cast("array<long>"))
+    for i in cells:
+        seen = seen.withColumn("_c", F.explode(F.sequence(cell(i, -far), cell(i, far)))).withColumn("cell", F.concat("cell", F.array("_c"))).drop("_c")
+    other = seen.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("d").alias("d2"), "cell")
+    near = ~F.exists(F.zip_with("d", "d2", lambda a, b: F.abs(a - b)), lambda g: g > far)
+    return home.join(other, "cell").where((F.col("k") < F.col("k2")) & near).select("k", "v", "k2", "v2")
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component): the least node that can be reached, of all nodes that edges name; nodes must be comparable.
+
+    Each round hooks every root to its least neighbour, follows hooks to their ends by pointer jumping, and contracts the edges to
+    roots; the rounds grow with the logarithm of a component's size, not with the length of its paths.
+    """
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
+    links = materialize(both.where("x <> y").union(both.where("x <> y").select("y", "x")).distinct(), "links")
+    roots = materialize(both.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+    while not links.isEmpty():
+        hooks = materialize(links.groupBy("x").agg(F.min("y").alias("to")).where("to < x"), "hooks")
+        while True:
+            ends = hooks.select(F.col("x").alias("_x"), F.col("to").alias("_to"))
+            jumped = materialize(hooks.join(ends, F.col("to") == F.col("_x"), "left").select("x", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")), "hooks")
+            moved = not jumped.where("moved").isEmpty()
+            discard(hooks)
+            hooks = jumped.select("x", "to")
+            if not moved:
+                break
+        end = lambda df, c: df.join(hooks.select(F.col("x").alias("_x"), F.col("to").alias("_to")), F.col(c) == F.col("_x"), "left").withColumn(c, F.coalesce("_to", c)).drop("_x", "_to")  # noqa: B023, E731
+        new_roots = materialize(end(roots, "root"), "roots")
+        new_links = materialize(end(end(links, "x"), "y").where("x <> y").distinct(), "links")
+        discard(roots, links, hooks)
+        roots, links = new_roots, new_links
+    discard(links)
+    return roots.select("node", F.col("root").alias("component"))
+
+
+def dbscan_pairs(df: DataFrame, key: str, vector: str, eps: float, n_pivots: int = 4) -> DataFrame:
     """Clusters of points linked within eps (two points make one): (key, cluster), the smallest key of the cluster, -1 for single points.
 
-    Exact: points fall into slabs of width eps along their first coordinate; a
-    slab meets itself and the next one.  Labels then spread with checkpoints.
+    Exact.  Equal vectors are one point, so copies aren't paired with each other; pairs of others come from cells of pivot distances.
+    Where eps is as wide as the spread of those distances, as with long random vectors, they rule nothing out and all
+    pairs are compared.  Rows with a null key, a null vector or a null component are single points.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    x = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    x = x.withColumn("slab", F.floor(F.get("v", F.lit(0)) / eps).cast("long"))
-    near = x.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.explode(F.array(F.col("slab"), F.col("slab") - 1)).alias("slab"))
+    usable = F.col("v").isNotNull() & F.col("k").isNotNull() & ~F.exists("v", lambda c: c.isNull())
+    x = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(usable)
+    groups = materialize(x.groupBy("v").agg(F.min("k").alias("k"), F.count("*").alias("n")), "points")
     gap = F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
-    edges = x.repartition(blocks, "slab").join(near, "slab").where((F.col("k") != F.col("k2")) & (gap <= eps * eps)).select("k", "k2")
-    edges = edges.union(edges.select(F.col("k2"), F.col("k"))).distinct().checkpoint()
-    labels = edges.select("k").distinct().withColumn("c", F.col("k")).checkpoint()
-    while True:
-        seen = edges.join(labels.withColumnsRenamed({"k": "k2", "c": "c2"}), "k2").groupBy("k").agg(F.min("c2").alias("c2"))
-        new = labels.join(seen, "k").select("k", F.least("c", "c2").alias("n"), "c").checkpoint()
-        if new.where("n <> c").isEmpty():
-            break
-        labels = new.select("k", F.col("n").alias("c"))
-    return df.select(F.col(key).alias("k")).join(labels, "k", "left").select(F.col("k").alias(key), F.coalesce("c", F.lit(-1)).alias("cluster"))
+    edges = materialize(epsilon_candidates(groups.select("k", "v"), eps, n_pivots).where(gap <= eps * eps).select("k", "k2"), "edges")
+    found = components(edges, "k", "k2")
+    own = groups.join(found, groups["k"] == found["node"], "left").select(F.col("v").alias("_v"), F.coalesce("component", F.when(F.col("n") > 1, F.col("k")), F.lit(-1)).alias("_c"))
+    labelled = x.join(own, x["v"] == own["_v"]).select(F.col("k").alias("_k"), "_c").distinct()
+    return df.select(F.col(key).alias("k")).join(labelled, F.col("k") == F.col("_k"), "left").select(F.col("k").alias(key), F.coalesce("_c", F.lit(-1)).alias("cluster"))
 
 
 def saturation_scores(positions: DataFrame, letter: str, alphabet: list[str], add_features, models: dict[str, PipelineModel]) -> DataFrame:
@@ -170,3 +228,21 @@ def saturation_scores(positions: DataFrame, letter: str, alphabet: list[str], ad
     return rows
 
 
+def saturation_by_region(positions: DataFrame, region: str, letter: str, alphabet: list[str], add_features, models: dict[str, PipelineModel], path: str, columns: list[str] | None = None, regions_per_batch: int = 1000) -> int:
+    """``saturation_scores`` written by region, in batches; the number of new regions.  Read it with ``incremental.read_finished``.
+
+    Regions of finished batches are skipped, a null region among them, so a stopped run goes on where it was and each region is in
+    the output once.  ``columns``: what is written, all by default.
+    """
+    from regionfx.streaming.incremental import incremental_scoring
+
+    def score(rows: DataFrame) -> DataFrame:
+        out = saturation_scores(rows, letter, alphabet, add_features, models)
+        return out.select(*columns) if columns else out
+
+    return incremental_scoring(positions, region, score, path, regions_per_batch, [region])
+
+
+def named_features(df: DataFrame, vectors: dict[str, tuple[str, int]]) -> DataFrame:
+    """Elements of feature arrays as columns: name: (array, length) gives name_1, name_2, ..."""
+    return df.withColumns({f"{n}_{i + 1}": F.get(c, F.lit(i)).cast("double") for n, (c, size) in vectors.items() for i in range(size)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionfx.catalog import query, table
+from regionfx.operators import joins as J
 from regionfx.plans import features as P
 from regionfx.plans import models as M
 from regionfx.queries.basics import _folder, _pieces
@@ -150,6 +151,25 @@ def m10(spark, d):
     return M.saturation_scores(positions, "l_returnflag", LETTERS, add, {"p": model}).select("l_orderkey", "l_partkey", "l_linenumber", "changed", "p")
 
 
+@query("m10_saturation_by_region", """SELECT key AS region, count(*) AS n, count(DISTINCT location) AS positions, count(DISTINCT variant_id) AS variants FROM
+(SELECT l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR AS variant_id, l_suppkey % 10 AS key, l_partkey % 60 AS location, c FROM lineitem, (VALUES ('A'), ('N'), ('R')) t(c) WHERE c <> l_returnflag AND l_returnflag <> 'R'), (SELECT label, count(*) AS size FROM embeddings GROUP BY 1) e
+WHERE key = label AND location BETWEEN 5 AND 54 AND location - 4 <= size GROUP BY 1""")
+def m10_regions(spark, d):
+    """All variants of all regions with the features of the variant table, scored by region; stopped half-way and run again."""
+    vectors = {"Res_MD": ("window", 192), "Pair_MD": ("pair", 4), "Res_AA": ("aa", 2), "One_Hot": ("one_hot", 3)}
+    sides = residues(spark, d), pairs(spark, d), cells(spark, d), _props(spark, d)
+    add = lambda rows: M.named_features(P.variant_feature_table(rows, _regions(spark, d), *sides, LETTERS, LETTERS, 64, k=1, rmsf=2), vectors)
+    positions = _variants(spark, d).drop("changed")
+    train = add(J.saturation(positions, "orig", LETTERS)).withColumn("label", (F.col("key") % 2).cast("double"))
+    train = materialize(train, "training")
+    model = M.train_classifier(train, M.feature_columns(train, ["residue_md", "pair_md", "residue_aa"]), "label", trees=3, depth=3)
+    path, columns = _folder(spark, "saturation"), ["key", "variant_id", "location", "changed", "p"]
+    M.saturation_by_region(positions.where("key % 3 = 0"), "key", "orig", LETTERS, add, {"p": model}, path, columns, regions_per_batch=4)
+    M.saturation_by_region(positions, "key", "orig", LETTERS, add, {"p": model}, path, columns, regions_per_batch=4)
+    rows = I.read_finished(spark, path).where("p BETWEEN 0 AND 1")
+    return rows.groupBy(F.col("key").cast("long").alias("region")).agg(F.count("*").alias("n"), F.count_distinct("location").alias("positions"), F.count_distinct("variant_id").alias("variants"))
+
+
 @query("m11_score_ensemble", "SELECT doc_id, round((n_chars + doc_id) / 2.0::DOUBLE, 6) AS p FROM documents")
 def m11(spark, d):
     from regionfx.functions.scalars import row_mean
@@ -175,7 +195,7 @@ _EPS = f"""(SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embedding
 @query("m14_dbscan", f"""WITH RECURSIVE e AS MATERIALIZED {_EPS}, r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings WHERE vec_id IN (SELECT a FROM e) UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a)
 SELECT vec_id, coalesce(c, -1) AS cluster FROM embeddings LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) ON v = vec_id""")
 def m14(spark, d):
-    return M.dbscan_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", EPS, 8)
+    return M.dbscan_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", EPS)
 
 
 @query("m15_msa_site_features")
@@ -230,4 +250,4 @@ def st1(spark, d):
     score = I.by_key_mean("user_id", "value")
     I.incremental_scoring(e.where("user_id % 2 = 0"), "user_id", score, path)
     I.incremental_scoring(e, "user_id", score, path)
-    return spark.read.parquet(path).withColumn("score", F.round("score", 6))
+    return I.read_finished(spark, path).withColumn("score", F.round("score", 6))

@@ -30,7 +30,7 @@ def intervals(spark, d):
 
 
 def annotated(spark, d):
-    return J.annotate_first_interval(points(spark, d), intervals(spark, d), "key", "pos", "lo", "hi", "kind", "ord", "id", "No Domain", bin_width=1000.0)
+    return J.annotate_first_interval(points(spark, d), intervals(spark, d), "key", "pos", "lo", "hi", "kind", "ord", "id", "No Domain", bin_width="levels")
 
 
 def pairs(spark, d):
@@ -94,7 +94,7 @@ def j6(spark, d):
 
 @query("j7_point_in_region", f"SELECT p.id, i.ord FROM {POINTS} p JOIN {INTERVALS} i ON p.key = i.key AND p.pos BETWEEN i.lo AND i.hi")
 def j7(spark, d):
-    return J.point_in_region(points(spark, d), intervals(spark, d), "key", "pos", "lo", "hi", bin_width=1000.0).select("id", "ord")
+    return J.point_in_region(points(spark, d), intervals(spark, d), "key", "pos", "lo", "hi", bin_width="levels").select("id", "ord")
 
 
 @query("j8_annotate_first_interval", f"SELECT id, annotation, a_start, a_end FROM {FIRST}")
@@ -419,9 +419,15 @@ def w12(spark, d):
     return W.trim_for_blocking(table(spark, d, "events").withColumnRenamed("event_type", "series"), "series")
 
 
-@query("w13_block_hist_error")
+@query("w13_block_hist_error", f"""WITH s AS (SELECT *, 1 + x % 2 AS w FROM {SERIES}), r AS (SELECT series, min(x) AS lo, max(x) AS hi FROM s GROUP BY 1),
+c AS (SELECT s.series, t, n, w, least(floor((x - lo) * 20 / (hi - lo)), 19) AS k FROM s JOIN r USING (series)), u AS (SELECT series, k, sum(w) / any_value(n) AS u FROM c GROUP BY 1, 2),
+d AS (SELECT series, n, b FROM (SELECT series, n, unnest(range(2, n + 1)) AS b FROM {_LENGTHS}) WHERE n % b = 0),
+h AS (SELECT c.series, b, k, floor(t / (c.n / b)) AS block, sum(w / (c.n / b)) AS h FROM c JOIN d ON c.series = d.series GROUP BY 1, 2, 3, 4),
+e AS (SELECT h.series, b, h.k, 2.479::DOUBLE * sqrt((sum((h - u) * (h - u)) + (any_value(b) - count(*)) * any_value(u * u)) / (any_value(b) * (any_value(b) - 1))) / any_value(u) AS e FROM h JOIN u ON h.series = u.series AND h.k = u.k WHERE u <> 0 GROUP BY 1, 2, 3)
+SELECT series, b AS blocks, round(avg(e), 6) AS err, round(avg(e) / sqrt(2.0::DOUBLE * (any_value(b) - 1)), 6) AS err_err FROM e GROUP BY 1, 2""")
 def w13(spark, d):
-    return W.block_hist_error(series(spark, d).withColumn("w", F.lit(1.0) + F.col("x") % 2), "series", bins=20)
+    rows = W.block_hist_error(series(spark, d).withColumn("w", F.lit(1.0) + F.col("x") % 2), "series", bins=20)
+    return rows.select("series", "blocks", F.round("err", 6).alias("err"), F.round("err_err", 6).alias("err_err"))
 
 
 @query("w14_block_sem", f"""WITH e AS (SELECT *, err / sqrt(2.0 * (blocks - 1)) AS ee FROM {_BLOCKS}), i AS (SELECT a.series, a.blocks, a.err, count(b.blocks) AS n_inside FROM e a LEFT JOIN e b ON a.series = b.series AND b.blocks < a.blocks AND abs(a.err - b.err) <= b.ee GROUP BY ALL)

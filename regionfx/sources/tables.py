@@ -70,12 +70,18 @@ def match_files(files: DataFrame, wanted: DataFrame, name: str, part: str, must:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq): the id is the second field of a header with bars, else its first word."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.split("value", "\n")[0]
+    """(id, seq): the id is the second field of a header with bars, else its first word.
+
+    A record begins with ``>`` at the start of a line, so headers may hold that sign; line ends may be of either kind.  A header
+    without a sequence gives an empty one; a file begins with a header or with blank lines.
+    """
+    # records are cut at "\n>": only what a file begins with still has its own sign
+    parts = spark.read.option("lineSep", "\n>").text(path).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    records = parts.select(F.regexp_replace("value", "^>", "").alias("value"))
+    head = F.rtrim(F.split("value", "\n")[0], F.lit("\r"))
     bars = F.split(head, r"\|")
     name = F.when(F.size(bars) > 1, bars[1]).otherwise(F.split(head, r"\s")[0])
-    body = F.regexp_replace(F.substring(F.col("value"), F.length(head) + 1, F.length("value")), r"\s", "")
+    body = F.regexp_replace(F.substring(F.col("value"), F.length(F.split("value", "\n")[0]) + 1, F.length("value")), r"\s", "")
     return records.select(name.alias("id"), body.alias("seq"))
 
 

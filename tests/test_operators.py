@@ -174,7 +174,7 @@ def test_streams_take_each_file_once(spark, tmp_path):
     incremental.stream_scoring(spark, source, rows.schema, score, out, state)
     spark.createDataFrame([(3, 1.0)], rows.schema).write.mode("append").parquet(source)
     incremental.stream_scoring(spark, source, rows.schema, score, out, state)
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, 3.0), (2, 5.0), (3, 1.0)]
+    assert sorted(map(tuple, incremental.read_finished(spark, out).collect())) == [(1, 3.0), (2, 5.0), (3, 1.0)]
 
 
 def test_exact_rank_test(spark):
