@@ -22,7 +22,7 @@ def placed_turns(rows: DataFrame, *more: str) -> DataFrame:
     order are dealt over tasks, so no task holds a long conversation.
     """
     named = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
-    return numbered(named, ["turn", "role", "_tie", *more, "_row"], "place", ["key"]).drop("_tie", "_row")
+    return numbered(named, ["turn", "role", "_tie", *more, "_row"], "place", ["key"], small=False).drop("_tie", "_row")
 
 
 def text_digests(rows: DataFrame, order: list[str], piece: Column, separator: str = "") -> DataFrame:
