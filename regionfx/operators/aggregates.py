@@ -106,12 +106,78 @@ def rms_fluctuation(df: DataFrame, entity: str, frame: str, xyz: list[str], refe
     return g.select(entity, F.sqrt(F.greatest(sum(parts[1:], parts[0]), F.lit(0.0))).alias("rmsf"))
 
 
-def pair_covariance(df: DataFrame, entity: str, frame: str, xyz: list[str]) -> DataFrame:
-    """(a, b, cov) for a <= b: sample covariance over shared frames, summed over the coordinates.  Grows with the square of the entities of a frame."""
-    a = df.select(F.col(entity).alias("a"), frame, *[F.col(c).alias(f"a_{c}") for c in xyz])
-    b = df.select(F.col(entity).alias("b"), frame, *[F.col(c).alias(f"b_{c}") for c in xyz])
-    cov = [F.covar_samp(f"a_{c}", f"b_{c}") for c in xyz]
-    return a.join(b, frame).where("a <= b").groupBy("a", "b").agg(sum(cov[1:], cov[0]).alias("cov"))
+def _tile_pairs(cells: DataFrame, frame: str, cell: list[str]) -> DataFrame:
+    """(frame, ta, tb, a, b) for the pairs of tiles ta <= tb of each frame, of one row for each (frame, tile, slot)."""
+    tiles = cells.groupBy(frame, "tile").agg(F.collect_list(F.struct("slot", *cell)).alias("cells"))
+    a = tiles.select(frame, F.col("tile").alias("ta"), F.col("cells").alias("a"))
+    b = tiles.select(frame, F.col("tile").alias("tb"), F.col("cells").alias("b"))
+    return a.join(b, frame).where("ta <= tb")
+
+
+def _filled(cells, names: list[str], size: int) -> np.ndarray:
+    """Numbers of a list of structs by slot: one row for each name."""
+    slots = cells.field("slot").to_numpy()
+    out = np.zeros((len(names), size))
+    for i, n in enumerate(names):
+        out[i, slots] = cells.field(n).to_numpy(zero_copy_only=False)
+    return out
+
+
+def pair_covariance(df: DataFrame, entity: str, frame: str, xyz: list[str], tile: int = 64) -> DataFrame:
+    """(a, b, cov) for a <= b: sample covariance over shared frames, summed over the coordinates; null below two shared values.
+
+    The output grows with the square of the entities of a frame.  The work is done in tiles of entities: a row for each frame and tile,
+    products of tiles added up over the frames that a task sees, so what is shuffled grows with tiles and not with pairs in each frame.  Null
+    entities and frames take no part, a null coordinate none in its coordinate's sums; several rows of an entity in a frame count each.
+    """
+    from regionfx.operators.sampling import numbered
+
+    df = df.where(F.col(entity).isNotNull() & F.col(frame).isNotNull())
+    # sums are taken from each entity's means, which covariances don't depend on
+    own = numbered(df.groupBy(entity).agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(xyz)]), entity, "_at").withColumnRenamed(entity, "_name")
+    near = df.join(own, df[entity] == own["_name"])
+    numbers = ["r", *[f"{k}{i}" for i in range(len(xyz)) for k in "ns"]]
+    sums = [F.count("*").cast("double").alias("r"), *[e for i, c in enumerate(xyz) for e in (F.count(c).cast("double").alias(f"n{i}"), F.coalesce(F.sum(F.col(c) - F.col(f"_m{i}")), F.lit(0.0)).alias(f"s{i}"))]]
+    at = F.col("_at") - 1
+    cells = near.groupBy(frame, F.floor(at / tile).alias("tile"), (at % tile).cast("int").alias("slot"), F.col(entity).alias("name")).agg(*sums)
+    pairs = _tile_pairs(cells, frame, ["name", *numbers]).select("ta", "tb", "a", "b").sortWithinPartitions("ta", "tb")
+    kind, d = df.schema[entity].dataType.simpleString(), len(xyz)
+    out = [f"{k}{i}" for i in range(d) for k in ("n", "sa", "sb", "sab")]
+
+    def products(batches):
+        import pyarrow as pa
+
+        held, sums, names, arrow = None, None, None, None
+
+        def flush():
+            shared = sums[0] > 0
+            if held[0] == held[1]:
+                shared &= np.tri(tile, dtype=bool).T
+            i, j = np.nonzero(shared)
+            return pa.RecordBatch.from_arrays([pa.array([names[0][k] for k in i], arrow), pa.array([names[1][k] for k in j], arrow), *[pa.array(s[i, j]) for s in sums[1:]]], names=["a", "b", *out])
+
+        for batch in batches:
+            for ta, tb, a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                if (ta, tb) != held:
+                    if held:
+                        yield flush()
+                    held, sums, names = (ta, tb), np.zeros((1 + 4 * d, tile, tile)), ({}, {})
+                x, y = _filled(a.values, numbers, tile), _filled(b.values, numbers, tile)
+                arrow = a.values.field("name").type
+                for own, cell in ((names[0], a.values), (names[1], b.values)):
+                    own.update(zip(cell.field("slot").to_pylist(), cell.field("name").to_pylist(), strict=True))
+                sums[0] += np.outer(x[0], y[0])
+                for k in range(d):
+                    (n, s), (m, t) = x[1 + 2 * k : 3 + 2 * k], y[1 + 2 * k : 3 + 2 * k]
+                    for place, (u, v) in enumerate(((n, m), (s, m), (n, t), (s, t))):
+                        sums[1 + 4 * k + place] += np.outer(u, v)
+        if held:
+            yield flush()
+
+    found = pairs.mapInArrow(products, f"a {kind}, b {kind}, " + ", ".join(f"{n} double" for n in out)).groupBy("a", "b").agg(*[F.sum(n).alias(n) for n in out])
+    col = lambda k, i: F.col(f"{k}{i}")
+    cov = [F.when(col("n", i) > 1, (col("sab", i) - col("sa", i) * col("sb", i) / col("n", i)) / (col("n", i) - 1)) for i in range(d)]
+    return found.select("a", "b", sum(cov[1:], cov[0]).alias("cov"))
 
 
 def radius_of_gyration(df: DataFrame, frame: str, xyz: list[str], mass: str) -> DataFrame:
@@ -128,17 +194,43 @@ def end_to_end(df: DataFrame, frame: str, pos: str, xyz: list[str]) -> DataFrame
     return g.select(frame, F.sqrt(sum(d[1:], d[0])).alias("ete"))
 
 
-def distance_by_separation(df: DataFrame, frame: str, pos: str, xyz: list[str], least: int = 2, most: int | None = None) -> DataFrame:
-    """(separation, rms) over pairs of a frame at j-i >= least; ``most`` bounds the pairs of a frame to its length times it."""
-    a = df.select(frame, F.col(pos).alias("_i"), *[F.col(c).alias(f"_a_{c}") for c in xyz])
-    on = F.col("_i") <= F.col(pos) - least
+def distance_by_separation(df: DataFrame, frame: str, pos: str, xyz: list[str], least: int = 2, most: int | None = None, tile: int = 64) -> DataFrame:
+    """(separation, rms) over pairs of a frame at j-i >= least, for whole positions; ``most`` bounds the pairs of a frame to its length times it.
+
+    Without ``most`` pairs are taken tile by tile of positions and added up by separation in each task, so what is shuffled grows with
+    tiles and separations and not with pairs.  Rows with a null frame, position or coordinate take no part; several rows of a position count each.
+    """
     d = [F.pow(F.col(c) - F.col(f"_a_{c}"), F.lit(2.0)) for c in xyz]
-    if most is None:
-        pairs = df.join(a, frame).where(on)
-    else:
+    if most is not None:
+        a = df.select(frame, F.col(pos).alias("_i"), *[F.col(c).alias(f"_a_{c}") for c in xyz])
         steps = df.withColumn("_i", F.explode(F.sequence(F.col(pos) - most, F.col(pos) - least)))
-        pairs = steps.join(a, [frame, "_i"])
-    return pairs.groupBy((F.col(pos) - F.col("_i")).alias("separation")).agg(F.sqrt(F.avg(sum(d[1:], d[0]))).alias("rms"))
+        return steps.join(a, [frame, "_i"]).groupBy((F.col(pos) - F.col("_i")).alias("separation")).agg(F.sqrt(F.avg(sum(d[1:], d[0]))).alias("rms"))
+    rows = df.select(F.col(frame).alias("_frame"), F.col(pos).cast("long").alias("_p"), *[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(xyz)]).na.drop()
+    means = rows.groupBy("_frame").agg(*[F.avg(f"_c{i}").alias(f"_m{i}") for i in range(len(xyz))])  # distances don't depend on them
+    numbers = ["n", *[f"{k}{i}" for i in range(len(xyz)) for k in "sq"]]
+    from_mean = [F.col(f"_c{i}") - F.col(f"_m{i}") for i in range(len(xyz))]
+    sums = [F.count("*").cast("double").alias("n"), *[e for i, x in enumerate(from_mean) for e in (F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}"))]]
+    cells = rows.join(means, "_frame").groupBy("_frame", F.floor(F.col("_p") / tile).alias("tile"), F.pmod("_p", F.lit(tile)).cast("int").alias("slot")).agg(*sums)
+    pairs = _tile_pairs(cells, "_frame", numbers).select("ta", "tb", "a", "b")
+
+    def by_gap(batches):
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        step = (np.arange(tile)[None, :] - np.arange(tile)[:, None] + tile - 1).ravel()
+        for batch in batches:
+            for ta, tb, a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), batch.column("a"), batch.column("b"), strict=True):
+                x, y = _filled(a.values, numbers, tile), _filled(b.values, numbers, tile)
+                square = sum(np.outer(x[2 + 2 * i], y[0]) + np.outer(x[0], y[2 + 2 * i]) - 2 * np.outer(x[1 + 2 * i], y[1 + 2 * i]) for i in range(len(xyz)))
+                both = np.stack([np.bincount(step, weights=m.ravel(), minlength=2 * tile - 1) for m in (np.outer(x[0], y[0]), square)])
+                held[tb - ta] = held.get(tb - ta, 0) + both
+        gaps = [(k * tile + np.arange(1 - tile, tile), v) for k, v in held.items()]
+        flat = lambda f: np.concatenate([f(g, v) for g, v in gaps]) if gaps else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([pa.array(flat(lambda g, v: g).astype(np.int64)), pa.array(flat(lambda g, v: v[0])), pa.array(flat(lambda g, v: v[1]))], names=["separation", "n", "square"])
+
+    found = pairs.mapInArrow(by_gap, "separation long, n double, square double").where(F.col("separation") >= least)
+    total = found.groupBy("separation").agg(F.sum("n").alias("n"), F.sum("square").alias("square")).where("n > 0")
+    return total.select("separation", F.sqrt(F.greatest(F.col("square") / F.col("n"), F.lit(0.0))).alias("rms"))
 
 
 def power_law_fit(df: DataFrame, series: str, x: str, y: str, min_x: float = 5.0, start=(0.4, 0.5)) -> DataFrame:
@@ -199,15 +291,46 @@ def histogram(df: DataFrame, col: str, bins: int, group: str | None = None, dens
     return g.select(*keys, "bin", (F.col("n") / (total * (F.col("_hi") - F.col("_lo")) / bins)).alias("density"))
 
 
-def kde_1d(df: DataFrame, group: str, value: str, grid: int = 50, bw_adjust: float = 1.0) -> DataFrame:
+def shared_out(rows: DataFrame, keys: list[str], value: str, lo: str, hi: str, fine: int) -> DataFrame:
+    """(keys, value, weight): each value's weight of one on the two places beside it of ``fine`` places from lo to hi, added up.
+
+    At most ``fine`` rows for each key and task are shuffled.
+    """
+    u = (F.col(value) - F.col(lo)) / (F.col(hi) - F.col(lo)) * (fine - 1)
+    k = F.least(F.floor(u), F.lit(fine - 2))
+    sums = rows.withColumn("_u", u).withColumn("_k", k).groupBy(*keys, "_k").agg(F.sum(1 - (F.col("_u") - F.col("_k"))).alias("_a"), F.sum(F.col("_u") - F.col("_k")).alias("_b"), F.first(lo).alias("_x0"), F.first(hi).alias("_x1"))
+    sides = F.inline(F.array(F.struct(F.col("_k").alias("_p"), F.col("_a").alias("w")), F.struct((F.col("_k") + 1).alias("_p"), F.col("_b").alias("w"))))
+    at = F.first("_x0") + (F.first("_x1") - F.first("_x0")) * F.col("_p") / (fine - 1)
+    return sums.select(*keys, "_x0", "_x1", sides).groupBy(*keys, "_p").agg(at.alias(value), F.sum("w").alias("weight")).where("weight > 0").drop("_p")
+
+
+def binned_error(width: float, bandwidth: float, fine: int) -> float:
+    """How far a density of ``fine`` shared-out places over a range of ``width`` can be from the exact one, at any point.
+
+    Sharing out is linear interpolation of the kernel between places d apart, which is off by at most d*d/8 times its greatest
+    second derivative, 1 / (sqrt(2 pi) h**3).
+    """
+    return (width / (fine - 1)) ** 2 / (8 * math.sqrt(2 * math.pi) * bandwidth**3)
+
+
+def kde_1d(df: DataFrame, group: str, value: str, grid: int = 50, bw_adjust: float = 1.0, fine: int | None = None) -> DataFrame:
     """(group, x, density): Gaussian density on a grid over each group's range, bandwidth n**(-1/5) times the standard deviation.
 
-    Values are first counted per group, so repeated ones cost once; each is
-    spread over the fixed number of grid places and summed before the shuffle.
+    Exact: values are first counted per group, so repeated ones cost once; each is
+    spread over the fixed number of grid places and summed before the shuffle.  With ``fine`` values are shared out to that many
+    places first (``shared_out``): what is shuffled no longer grows with the rows, and no density is further off than ``binned_error``.
+    Null values take no part; a null group is one; a group without spread gives no rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
+    from regionfx.operators.sampling import with_group
+
+    df = df.where(F.col(value).isNotNull())
     stats = df.groupBy(group).agg(F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    rows = counts.join(stats, group).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * bw_adjust).where("_h > 0").withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * bw_adjust).where("_h > 0")
+    if fine:
+        counts = shared_out(with_group(df.select(group, value), stats, group), [group], value, "_lo", "_hi", fine).withColumnRenamed("weight", "_c")
+    else:
+        counts = df.groupBy(group, value).agg(F.count("*").alias("_c"))
+    rows = with_group(counts, stats, group).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_g") / (grid - 1)
     z = (x - F.col(value)) / F.col("_h")
     term = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))

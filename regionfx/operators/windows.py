@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionfx.operators.sampling import numbered, running_sums
+from regionfx.operators.aggregates import shared_out
+from regionfx.operators.sampling import numbered, running_sums, with_group
+from regionfx.storage import materialize
 
 
 def neighbour_window(df: DataFrame, region: str, pos: str, f: str, size: int, k: int = 3, out: str = "window", block: int = 4096) -> DataFrame:
@@ -26,12 +28,6 @@ def neighbour_window(df: DataFrame, region: str, pos: str, f: str, size: int, k:
     return rows.withColumn(out, F.concat(*near)).where(F.col("_block") == at(F.col(pos))).drop("_block")
 
 
-def with_group(df: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Rows with what a summary by ``key`` says of their group; rows with a null key are a group like any other."""
-    own = groups.withColumnRenamed(key, f"_{key}")
-    return df.join(own, df[key].eqNullSafe(own[f"_{key}"])).drop(f"_{key}")
-
-
 def normalise_by_mean(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
     """Value over its group's mean (null for a mean of 0); null keys are a group; the means are grouped and joined, so a hot group isn't sorted in one task."""
     means = df.groupBy(key).agg(F.avg(col).alias("_m"))
@@ -56,13 +52,13 @@ def aligned_segments(df: DataFrame, key: str, a: str, b: str, gap: str = "-", mi
     A key is one pair of strings; its letters are counted in ranges, so a long one is spread over tasks.  Null strings give no rows.
     """
     cells = df.select(key, F.posexplode(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))).alias("p", "c"))
-    has = {"in_a": F.col("c.x") != gap, "in_b": F.col("c.y") != gap}
-    cells = cells.select(key, "p", *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in has.items()]).withColumn("both", F.col("in_a") * F.col("in_b"))
-    upto = running_sums(cells.withColumns({"own_a": F.col("in_a"), "own_b": F.col("in_b"), "own": F.col("both")}), [key], "p", {"pa": "in_a", "pb": "in_b", "k": "both"})
+    has = {"_in_a": F.col("c.x") != gap, "_in_b": F.col("c.y") != gap}
+    cells = cells.select(key, F.col("p").alias("_p"), *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in has.items()]).withColumn("_both", F.col("_in_a") * F.col("_in_b"))
+    upto = running_sums(cells, [key], "_p", {"_pa": "_in_a", "_pb": "_in_b", "_k": "_both"})
     # along a run the place and the number of such places before it grow together
-    runs = upto.where("own = 1").select(key, (F.col("pa") + F.col("own_a")).alias("pa"), (F.col("pb") + F.col("own_b")).alias("pb"), (F.col("p") - F.col("k")).alias("run"))
-    g = runs.groupBy(key, "run").agg(*[f(c).alias(n) for c, n, f in (("pa", "a_start", F.min), ("pa", "a_end", F.max), ("pb", "b_start", F.min), ("pb", "b_end", F.max))], F.count("*").alias("len"))
-    return g.where(F.col("len") >= min_len).drop("run", "len")
+    runs = upto.where("_both = 1").select(key, (F.col("_pa") + 1).alias("_pa"), (F.col("_pb") + 1).alias("_pb"), (F.col("_p") - F.col("_k")).alias("_run"))
+    g = runs.groupBy(key, "_run").agg(*[f(c).alias(n) for c, n, f in (("_pa", "a_start", F.min), ("_pa", "a_end", F.max), ("_pb", "b_start", F.min), ("_pb", "b_end", F.max))], F.count("*").alias("_len"))
+    return g.where(F.col("_len") >= min_len).drop("_run", "_len")
 
 
 def identity_pct(a, b, gap: str = "-"):
@@ -149,7 +145,7 @@ def block_average_error(df: DataFrame, series: str) -> DataFrame:
 
     Rows are shuffled once, whatever the number of divisors.  A null value counts as the mean of its series; null series are one.
     """
-    means = df.groupBy(series).agg(F.avg("x").alias("_m"))
+    means = materialize(df.groupBy(series).agg(F.avg("x").alias("_m")), "means")  # of a size that Spark knows, so few series are broadcast
     rows = with_group(df, means, series).select(series, "t", "n", F.lit(0).alias("cell"), F.coalesce(F.col("x") - F.col("_m"), F.lit(0.0)).alias("value"))
     size = F.col("n") / F.col("blocks")
     spread = F.col("squares")[0] / (size * size) / F.col("blocks")  # the mean of the block means is 0
@@ -189,7 +185,7 @@ def block_hist_error(df: DataFrame, series: str, bins: int = 50, kt: float = 2.4
 
     bounds = df.groupBy(series).agg(*([F.min("x").alias("_lo"), F.max("x").alias("_hi")] if interval is None else [F.lit(float(interval[0])).alias("_lo"), F.lit(float(interval[1])).alias("_hi")]))
     bin_ = bin_of(F.col("x"), F.col("_lo"), F.col("_hi"), bins)
-    rows = with_group(df, bounds, series).select(series, "t", "n", F.coalesce(bin_, F.lit(0)).alias("cell"), F.when(bin_.isNotNull(), F.coalesce("w", F.lit(0.0))).otherwise(0.0).alias("value"))
+    rows = with_group(df, materialize(bounds, "bounds"), series).select(series, "t", "n", F.coalesce(bin_, F.lit(0)).alias("cell"), F.when(bin_.isNotNull(), F.coalesce("w", F.lit(0.0))).otherwise(0.0).alias("value"))
     whole = rows.groupBy(series).agg(F.array(*[F.sum(F.when(F.col("cell") == i, F.col("value")).otherwise(0.0)) for i in range(bins)]).alias("_whole"))
     found = with_group(block_squares(rows, series, bins), whole, series)
     size, blocks = F.col("n") / F.col("blocks"), F.col("blocks")
@@ -208,14 +204,26 @@ def free_energy(density: DataFrame, series: str, kt: float, most: float | None =
     return with_group(density, top, series).withColumn("free_energy", F.when(e <= most, e) if most is not None else e).drop("_d")
 
 
-def block_density_error(df: DataFrame, series: str, blocks: int = 5, grid: int = 20) -> DataFrame:
-    """(series, x, density, error): mean and standard error over blocks of a density on a shared grid, of (series, t, n, x)."""
+def block_density_error(df: DataFrame, series: str, blocks: int = 5, grid: int = 20, fine: int | None = None) -> DataFrame:
+    """(series, x, density, error): mean and standard error over blocks of a density on a shared grid, of (series, t, n, x).
+
+    With ``fine`` each block's values are first shared out to that many places (``shared_out``), so what is shuffled and spread over the grid
+    doesn't grow with the rows; a block's density then differs by at most ``binned_error`` from the exact one.  Null values take no part;
+    null series are one; a series without spread gives no rows.
+    """
+    df = df.where(F.col("x").isNotNull())
     stats = df.groupBy(series).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.stddev_samp("x").alias("_sd"), F.count("*").alias("_n"))
-    rows = df.withColumn("block", F.least(F.floor(F.col("t") * blocks / F.col("n")), F.lit(blocks - 1))).join(stats, series)
-    rows = rows.withColumn("_h", F.col("_sd") * F.pow(F.col("_n") / F.lit(float(blocks)), F.lit(-0.2))).where("_h > 0").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n") / F.lit(float(blocks)), F.lit(-0.2))).where("_h > 0")
+    rows = df.select(series, "x", F.least(F.floor(F.col("t") * blocks / F.col("n")), F.lit(blocks - 1)).alias("block"))
+    if fine:
+        rows = shared_out(with_group(rows, stats, series), [series, "block"], "x", "_lo", "_hi", fine)
+    else:
+        rows = rows.withColumn("weight", F.lit(1.0))
+    rows = with_group(rows, stats, series).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("g") / (grid - 1)
     z = (at - F.col("x")) / F.col("_h")
-    per = rows.groupBy(series, "g", "block").agg(F.avg(F.exp(-0.5 * z * z) / (F.col("_h") * math.sqrt(2 * math.pi))).alias("d"), F.first(at).alias("x"))
+    density = F.sum(F.col("weight") * F.exp(-0.5 * z * z)) / F.sum("weight") / (F.first("_h") * math.sqrt(2 * math.pi))
+    per = rows.groupBy(series, "g", "block").agg(density.alias("d"), F.first(at).alias("x"))
     return per.groupBy(series, "g").agg(F.first("x").alias("x"), F.avg("d").alias("density"), (F.stddev_samp("d") / math.sqrt(blocks)).alias("error")).drop("g")
 
 

@@ -9,7 +9,8 @@ from regionfx.functions import scalars as S
 from regionfx.operators import aggregates as A
 from regionfx.operators import joins as J
 from regionfx.operators import sampling as L
-from regionfx.operators.windows import neighbour_window, with_group
+from regionfx.operators.sampling import with_group
+from regionfx.operators.windows import neighbour_window
 
 
 def residue_features(residue: DataFrame, size: int, k: int, rmsf: int | None = None) -> DataFrame:

@@ -275,6 +275,11 @@ def a19(spark, d):
     return A.distance_by_separation(atoms(spark, d).withColumn("pos", F.col("pos").cast("long")), "frame", "pos", list("xyz"), most=30).select("separation", F.round("rms", 6).alias("rms"))
 
 
+@query("a19_distance_all_separations", f"SELECT b.pos - a.pos AS separation, round(sqrt(avg((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS rms FROM {ATOMS} a JOIN {ATOMS} b ON a.frame = b.frame AND b.pos - a.pos >= 2 GROUP BY 1")
+def a19_all(spark, d):
+    return A.distance_by_separation(atoms(spark, d), "frame", "pos", list("xyz")).select("separation", F.round("rms", 6).alias("rms"))
+
+
 @query("a20_power_law_fit")
 def a20(spark, d):
     curve = A.distance_by_separation(atoms(spark, d), "frame", "pos", list("xyz"), most=30).withColumn("series", F.lit("all"))
@@ -319,6 +324,14 @@ def a26(spark, d):
     return A.kde_1d(table(spark, d, "events"), "event_type", "value", grid=10).select("event_type", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
 
 
+@query("a26_kde_shared_out", """WITH s AS (SELECT event_type, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
+u AS (SELECT event_type, (value - lo) / (hi - lo) * 255 AS u, least(floor((value - lo) / (hi - lo) * 255), 254) AS k FROM events JOIN s USING (event_type)),
+w AS (SELECT event_type, p, sum(w) AS w FROM (SELECT event_type, k AS p, 1 - (u - k) AS w FROM u UNION ALL SELECT event_type, k + 1, u - k FROM u) GROUP BY 1, 2)
+SELECT event_type, round(lo + (hi - lo) * g / 9, 6) AS x, round(sum(w * exp(-0.5 * ((lo + (hi - lo) * g / 9 - (lo + (hi - lo) * p / 255)) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 6) AS density FROM w JOIN s USING (event_type), range(10) t(g) GROUP BY event_type, g, lo, hi""")
+def a26_shared(spark, d):
+    return A.kde_1d(table(spark, d, "events"), "event_type", "value", grid=10, fine=256).select("event_type", F.round("x", 6).alias("x"), F.round("density", 6).alias("density"))
+
+
 @query("a27_hist_2d", "SELECT least(floor((l_quantity - 1) * 5 / 49), 4)::INT AS bx, least(floor(l_discount * 5 / 0.1), 4)::INT AS by, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL")
 def a27(spark, d):
     return A.hist_2d(table(spark, d, "lineitem"), "l_quantity", "l_discount", 5, "l_returnflag")

@@ -57,16 +57,30 @@ def read_many(spark: SparkSession, paths: list[str] | str, tag: str, pattern: st
     return df.withColumn(tag, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
 
 
-def match_files(files: DataFrame, wanted: DataFrame, name: str, part: str, must: str | None = None, small_rows: int = 1_000) -> DataFrame:
-    """Rows of ``files`` whose name contains a row's ``part`` of the metadata (and ``must``).
+def _grams(text: Column, size: int) -> Column:
+    """The different stretches of ``size`` signs of a text."""
+    n = F.length(text)
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
-    A substring join has no key: the metadata table is sent to all tasks,
-    which its counted rows must allow.
+
+def match_files(files: DataFrame, wanted: DataFrame, name: str, part: str, must: str | None = None, gram: int = 3) -> DataFrame:
+    """Rows of ``files`` whose name contains a row's ``part`` of the metadata (and ``must``), with that row.
+
+    Both tables may have any size: a part is looked up by the rarest of its stretches of ``gram`` signs among all names (shorter parts by
+    themselves), and what that finds is held against the whole part.  A part with a stretch that no name has is left out before.  Null and
+    empty parts match nothing; repeated rows of either table count each.
     """
-    if wanted.limit(small_rows + 1).count() > small_rows:
-        raise ValueError(f"metadata has more than {small_rows} rows; match on a key instead")
     kept = files.where(F.contains(F.col(name), F.lit(must))) if must else files
-    return kept.join(F.broadcast(wanted), F.contains(kept[name], wanted[part]))
+    names = kept.select(F.col(name).alias("_name")).where("_name is not null").distinct()
+    parts = wanted.select(F.col(part).alias("_part")).where("length(_part) > 0").distinct().withColumn("_size", F.least(F.length("_part"), F.lit(gram)))
+    sizes = sorted(r[0] for r in parts.select("_size").distinct().collect())  # at most ``gram`` of them
+    of = lambda text, size: F.coalesce(*[F.when(size == k, _grams(F.col(text), k)) for k in sizes]) if sizes else F.array().cast("array<string>")
+    inside = names.select("_name", F.explode(F.concat(*[_grams(F.col("_name"), k) for k in sizes]) if sizes else F.array().cast("array<string>")).alias("_gram"))
+    counts = inside.groupBy("_gram").agg(F.count("*").alias("_n"))
+    listed = parts.select("_part", F.explode(of("_part", F.col("_size"))).alias("_gram"))
+    rarest = listed.join(counts, "_gram", "left").groupBy("_part").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.bool_and(F.col("_n").isNotNull()).alias("_all")).where("_all")
+    hits = inside.join(rarest.select("_part", "_gram"), "_gram").where(F.contains("_name", F.col("_part"))).select("_name", "_part")
+    return kept.join(hits, kept[name] == hits["_name"]).join(wanted, F.col("_part") == wanted[part]).drop("_name", "_part")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
