@@ -125,8 +125,8 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str, budget:
     turns.  Tokens are counted turn by turn, marks among them.  An empty table gives no windows; further columns are ignored.
     """
     rows = conversations.select(group_key("conv_id").alias("key"), "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = with_tokens(rows.withColumn("_piece", F.concat(head(F.col("role")), escaped(F.col("text")), F.lit(CLOSE))), "_piece", tokenizer_path)
-    turns = materialize(placed_turns(counted), "turns")
+    piece = F.concat(head(F.col("role")), escaped(F.col("text")), F.lit(CLOSE))
+    turns = materialize(with_tokens(placed_turns(rows).withColumn("_piece", piece), "_piece", tokenizer_path), "turns")
     small = turns.select("key", "place", "tokens", ((F.col("place") == 1) & (F.col("role") == "system")).alias("is_system"))
     plan = materialize(window_plan(small, budget, history, int(budget * history_share), turns_per_section), "plan")
     # a system turn meets the windows of one section at a time, so that a long conversation's isn't one join key

@@ -71,7 +71,6 @@ def test_token_files(docs, empty):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     manifest = token_files.write_token_files(docs, path, ids_per_file=5000)
     out = token_files.read_token_files(manifest).collect()
     ids = collections.defaultdict(list)
