@@ -189,6 +189,7 @@ def radius_of_gyration(df: DataFrame, frame: str, xyz: list[str], mass: str) ->
 
 
 def end_to_end(df: DataFrame, frame: str, pos: str, xyz: list[str]) -> DataFrame:
+    """(frame, ete): distance of the first position from the last; null positions are passed over, a null end coordinate gives null, a frame of one position 0."""
     g = df.groupBy(frame).agg(F.min_by(F.struct(*xyz), pos).alias("_a"), F.max_by(F.struct(*xyz), pos).alias("_b"))
     d = [F.pow(F.col(f"_a.{c}") - F.col(f"_b.{c}"), F.lit(2.0)) for c in xyz]
     return g.select(frame, F.sqrt(sum(d[1:], d[0])).alias("ete"))
@@ -266,22 +267,29 @@ def entropy(counts: DataFrame, keys: list[str], n: str, base: float = 2.0) -> Da
     return counts.groupBy(*keys).agg(h.alias("entropy"))
 
 
+def cosine_sums(vector: Column, size: int) -> tuple[list[Column], Column]:
+    """(sums, mean cosine over all pairs) for an aggregation of vectors and for a column after it."""
+    x = vector.cast("array<double>")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+    unit = F.when(norm > 0, F.transform(x, lambda v: v / norm)).otherwise(F.array_repeat(F.lit(0.0), size))
+    sums = [F.count("*").alias("_n"), F.sum((norm > 0).cast("double")).alias("_q"), *[F.sum(F.get(unit, F.lit(i))).alias(f"_s{i}") for i in range(size)]]
+    square = F.aggregate(F.array(*[F.col(f"_s{i}") for i in range(size)]), F.lit(0.0), lambda a, v: a + v * v)
+    return sums, F.when(F.col("_n") > 1, (square - F.col("_q")) / (F.col("_n") * (F.col("_n") - 1)))
+
+
 def mean_pairwise_cosine(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     """Mean cosine over all pairs of a group from its sums: (|sum u|^2 - sum |u|^2) / (n(n-1)); zero vectors count as 0, null below two."""
-    x = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    unit = df.select(key, F.when(norm > 0, F.transform(x, lambda v: v / norm)).otherwise(F.array_repeat(F.lit(0.0), size)).alias("u"), (norm > 0).cast("double").alias("q"))
-    sums = unit.groupBy(key).agg(F.count("*").alias("n"), F.sum("q").alias("q"), *[F.sum(F.get("u", F.lit(i))).alias(f"s{i}") for i in range(size)])
-    square = F.aggregate(F.array(*[F.col(f"s{i}") for i in range(size)]), F.lit(0.0), lambda a, v: a + v * v)
-    return sums.select(key, F.when(F.col("n") > 1, (square - F.col("q")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cosine"))
+    sums, cosine = cosine_sums(F.col("_v"), size)
+    return df.select(key, F.col(vector).alias("_v")).groupBy(key).agg(*sums).select(key, cosine.alias("mean_cosine"))
 
 
 def mean_with_sem(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, n, mean, sem) of the values that aren't null; sem is null below two; a null group is one."""
     return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, group: str | None = None, density: bool = False) -> DataFrame:
-    """([group,] bin, n or density): equal widths over the whole column's range."""
+    """([group,] bin, n or density): equal widths over the whole column's range; null values are left out, bins without values too; a null group is one."""
     bounds = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     keys = [group] if group else []
     g = df.where(F.col(col).isNotNull()).join(F.broadcast(bounds)).groupBy(*keys, bin_of(F.col(col), F.col("_lo"), F.col("_hi"), bins).alias("bin")).agg(F.count("*").alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
@@ -338,9 +346,11 @@ def kde_1d(df: DataFrame, group: str, value: str, grid: int = 50, bw_adjust: flo
 
 
 def hist_2d(df: DataFrame, x: str, y: str, bins: int, group: str) -> DataFrame:
+    """(bx, by, group, n) of the cells that occur, equal widths over the whole range of each axis; rows with a null coordinate are left out, a null group is one."""
     b = df.agg(*[f(c).alias(n) for c, n, f in ((x, "_x0", F.min), (x, "_x1", F.max), (y, "_y0", F.min), (y, "_y1", F.max))])
     return df.na.drop(subset=[x, y]).join(F.broadcast(b)).groupBy(bin_of(F.col(x), F.col("_x0"), F.col("_x1"), bins).alias("bx"), bin_of(F.col(y), F.col("_y0"), F.col("_y1"), bins).alias("by"), group).agg(F.count("*").alias("n"))
 
 
 def linear_fit(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
+    """(by, slope, intercept, r2) over the rows with both values; nulls where there are fewer than two or x is constant; a null key is a group."""
     return df.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))

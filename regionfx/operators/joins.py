@@ -36,7 +36,7 @@ def right_only(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
 
 
 def semi_reduce(big: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows of a large table whose key occurs in a smaller one."""
+    """Rows of a large table whose key occurs in a smaller one, each once; null keys never match."""
     return big.join(keys.select(on).distinct(), on, "left_semi")
 
 

@@ -138,13 +138,25 @@ def chi2_contingency(counts: DataFrame, row: str, col: str, by: list[str] | None
 
 
 def one_vs_rest_chi2(df: DataFrame, term: str, category: str, top_n: int, alpha: float = 0.05) -> DataFrame:
-    """(term, chi2, dof, p) of term/other by category for the most frequent terms, all tables in one pass; p below alpha, least first."""
+    """(term, chi2, dof, p) of term/other by category for the most frequent terms, all tables in one pass; p below alpha, least first.
+
+    No grid of terms and categories is formed.  With d the distance of a cell from its expected count, both sides of a table are d away, so
+    chi2 is the sum of d*d*N/W over the categories (totals W) times 1/T + 1/(N-T) for a term of T rows; categories that a term
+    doesn't have add T*T/N times what is left of N.  Two categories have Yates' correction.  Null terms and categories are left out,
+    as is a term of all rows; equally frequent terms are taken in their own order.
+    """
     counts = df.na.drop(subset=[term, category]).groupBy(F.col(term).alias("term"), F.col(category).alias("category")).agg(F.count("*").alias("n"))
-    top = counts.groupBy("term").agg(F.sum("n").alias("_t")).orderBy(F.desc("_t"), "term").limit(top_n).select("term")
-    whole = counts.groupBy("category").agg(F.sum("n").alias("whole"))
-    cells = whole.crossJoin(F.broadcast(top)).join(counts, ["term", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    both = cells.select("term", "category", F.inline(F.array(F.struct(F.lit("term").alias("side"), F.col("n").alias("n")), F.struct(F.lit("other").alias("side"), (F.col("whole") - F.col("n")).alias("n")))))
-    return chi2_contingency(both, "side", "category", ["term"]).where(F.col("p") < alpha).orderBy("p", "term")
+    top = counts.groupBy("term").agg(F.sum("n").cast("double").alias("_t")).orderBy(F.desc("_t"), "term").limit(top_n)
+    whole = counts.groupBy(F.col("category").alias("_c")).agg(F.sum("n").cast("double").alias("_w"))
+    all_rows = whole.agg(F.sum("_w").alias("_n"), F.count("*").alias("_k"), F.sum(1 / F.col("_w")).alias("_i"))  # one row
+    cells = counts.join(F.broadcast(top), "term").join(whole, F.col("category") == F.col("_c")).join(F.broadcast(all_rows))
+    d = F.col("n") - F.col("_t") * F.col("_w") / F.col("_n")
+    g = cells.groupBy("term", "_t", "_n", "_k", "_i").agg(F.sum(d * d * F.col("_n") / F.col("_w")).alias("_s"), F.sum("_w").alias("_p"), F.max(F.abs(d)).alias("_d"))
+    less = F.col("_d") - F.least(F.lit(0.5), F.col("_d"))
+    square = F.when(F.col("_k") == 2, less * less * F.col("_n") * F.col("_i")).otherwise(F.col("_s") + F.col("_t") * F.col("_t") / F.col("_n") * (F.col("_n") - F.col("_p")))
+    chi2 = square * (1 / F.col("_t") + F.try_divide(F.lit(1.0), F.col("_n") - F.col("_t")))
+    out = g.select("term", chi2.alias("chi2"), (F.col("_k") - 1).cast("int").alias("dof"))
+    return out.withColumn("p", pvalues.chi2_p(F.col("chi2"), F.col("dof"))).where(F.col("p") < alpha).orderBy("p", "term")
 
 
 def score_comparison_report(df: DataFrame, scores: list[str], label: str, fold: str, strata: dict[str, Column], cutoffs: list[float]) -> DataFrame:

@@ -70,19 +70,23 @@ def mean_pair_features(pairs: DataFrame, lo: int, hi: int) -> DataFrame:
 def msa_site_features(variants: DataFrame, msa: DataFrame, protein: str, site: str, seq: str, positive: str, negative: str, clusters: list[str], members: str, w: int = 19) -> DataFrame:
     """Per (protein, site): mean_cosine, site_entropy, region_entropy, gamma_mean, gamma_std, p_set of the aligned sequences.
 
-    variants (protein, site from 0); msa (protein, seq).  Counts are keyed by the letter; gaps are left out.
+    variants (protein, site from 0); msa (protein, seq).  Counts are keyed by the letter; gaps are left out.  A sequence meets the sites of its
+    protein as one array; contexts are cut from it in one projection, and what goes on are these and not the sequence.  Sequences that
+    end before a site or the window take no part there; null proteins, sites and sequences take none, repeated sequences count each.
     """
-    pairs = variants.select(protein, site).distinct().join(msa.select(protein, seq), protein).where(F.length(seq) >= F.greatest(F.lit(w), F.col(site) + 1))
-    x = pairs.withColumn("ctx", S.context_window(F.col(seq), F.col(site), w)).withColumn("letter", F.substring(F.col(seq), F.col(site) + 1, F.lit(1)))
-    x = x.withColumn("gamma", S.charge_gamma(F.col("ctx"), w - 1, positive, negative)).withColumn("counts", S.cluster_counts(F.col("ctx"), clusters))
-    keys = [protein, site]
-    x = x.withColumn("_k", F.struct(*keys))
-    whole = x.groupBy(*keys).agg(F.avg("gamma").alias("gamma_mean"), F.stddev_pop("gamma").alias("gamma_std"), F.avg(F.col("letter").isin(*members).cast("double")).alias("p_set"))
-    cosine = A.mean_pairwise_cosine(x, "_k", "counts", len(clusters)).select(*[F.col(f"_k.{c}").alias(c) for c in keys], "mean_cosine")
-    at_site = A.entropy(x.where("letter <> '-'").groupBy(*keys, "letter").agg(F.count("*").alias("n")), keys, "n").withColumnRenamed("entropy", "site_entropy")
-    cells = x.select(*keys, F.posexplode(F.split("ctx", "")).alias("p", "c")).where("c <> '-' and c <> ''").groupBy(*keys, "p", "c").agg(F.count("*").alias("n"))
-    around = A.entropy(cells, [*keys, "p"], "n").groupBy(*keys).agg(F.avg("entropy").alias("region_entropy"))
-    return whole.join(cosine, keys, "left").join(at_site, keys, "left").join(around, keys, "left")
+    sites = variants.select(protein, site).na.drop().distinct().groupBy(protein).agg(F.collect_list(site).alias("_sites"))  # places of one protein
+    fits = lambda i: F.length(seq) >= F.greatest(F.lit(w), i + 1)
+    cut = lambda i: F.struct(i.alias("site"), F.substring(F.col(seq), i + 1, F.lit(1)).alias("letter"), S.context_window(F.col(seq), i, w).alias("ctx"))
+    x = msa.select(protein, seq).where(F.col(seq).isNotNull()).join(sites, protein).select(protein, F.inline(F.transform(F.filter("_sites", fits), cut)))
+    x, keys = x.withColumnRenamed("site", site), [protein, site]
+    sums, cosine = A.cosine_sums(S.cluster_counts(F.col("ctx"), clusters), len(clusters))
+    gamma = S.charge_gamma(F.col("ctx"), w - 1, positive, negative)
+    whole = x.groupBy(*keys).agg(F.avg(gamma).alias("gamma_mean"), F.stddev_pop(gamma).alias("gamma_std"), F.avg(F.col("letter").isin(*members).cast("double")).alias("p_set"), *sums)
+    whole = whole.select(*keys, "gamma_mean", "gamma_std", "p_set", cosine.alias("mean_cosine"))
+    # the site's own letter is place 0, its neighbours follow
+    cells = x.select(*keys, F.posexplode(F.split(F.concat("letter", "ctx"), "")).alias("_p", "_c")).where("_c <> '-' and _c <> ''").groupBy(*keys, "_p", "_c").agg(F.count("*").alias("n"))
+    e = A.entropy(cells, [*keys, "_p"], "n").groupBy(*keys).agg(F.max(F.when(F.col("_p") == 0, F.col("entropy"))).alias("site_entropy"), F.avg(F.when(F.col("_p") > 0, F.col("entropy"))).alias("region_entropy"))
+    return whole.join(e, keys, "left").select(*keys, "gamma_mean", "gamma_std", "p_set", "mean_cosine", "site_entropy", "region_entropy")
 
 
 def region_profile(frames: DataFrame, entity: str, frame: str, state: str, states: list[str], area: str, angles: list[str], xyz: list[str], burn_in: float = 0.02, k: int = 800, seed: int = 0) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from regionfx.functions.scalars import row_mean
 from regionfx.operators.sampling import hash_order
-from regionfx.storage import discard, materialize
+from regionfx.plans import forests
+from regionfx.storage import discard, materialize, new_folder
 
 #: One registry of feature groups by column-name pattern, for training, scoring and importances alike.  Fixed values.
 FEATURE_GROUPS = {"one_hot": "One_Hot_", "residue_aa": "Res_AA_", "residue_md": "Res_MD", "pair_md": "Pair_MD", "conservation": "Cons_", "embedding": "ESM2_", "conformation": "Conf_", "likelihood": "ESM1b_", "length": "^Region Length$"}
@@ -75,17 +76,28 @@ def train_variants(df: DataFrame, variants: dict[str, list[str]], label: str, tr
         return {name: fit.result() for name, fit in fits.items()}
 
 
-def out_of_fold_scores(df: DataFrame, fold: str, variants: dict[str, list[str]], label: str, k: int, train_rows=None, at_once: int = 4, **options) -> DataFrame:
+def out_of_fold_scores(df: DataFrame, fold: str, variants: dict[str, list[str]], label: str, k: int, train_rows=None, at_once: int = 4, train=train_classifier, path: str | None = None, **options) -> DataFrame:
     """Each row with a score column per variant, of models that didn't see its fold.
 
-    train_rows: a function from a fold to its training rows, where these aren't all rows of the other folds.
+    train_rows: a function from a fold to its training rows, where these aren't all rows of the other folds.  The models are saved below
+    ``path`` (a scratch folder without one), from where ``forests.score_by_fold`` can score other tables by them; all of them score
+    a row in one pass, or one after the other if they are too large to be sent to all tasks.  Rows with a null or
+    NaN in a used column drop out.
     """
+    models = {}
+    for i in range(1, k + 1):
+        rows = train_rows(i) if train_rows else df.where(F.col(fold) != i)
+        models |= {(i, name): m for name, m in train_variants(rows, variants, label, train, at_once=at_once, **options).items()}
+    path = path or new_folder(df.sparkSession, "models")
+    forests.save_models(models, path)
+    found = forests.read_forests(df.sparkSession, path)
+    if found is not None:
+        return forests.score_by_fold(df, fold, found)
 
     def scored(i: int) -> DataFrame:
-        models = train_variants(train_rows(i) if train_rows else df.where(F.col(fold) != i), variants, label, at_once=at_once, **options)
         rows = df.where(F.col(fold) == i)
-        for name, model in models.items():
-            rows = predict(model, rows, name)
+        for name in sorted(variants):
+            rows = predict(models[i, name], rows, name)
         return rows
 
     return reduce(DataFrame.unionByName, [scored(i) for i in range(1, k + 1)])
@@ -107,7 +119,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[st
 
     Values move within buckets of about a thousand rows by a seeded order, so no row order over the whole table is
     needed.  Each repeat has one order for all columns; rows meet the ones whose values they get in one join, and a row is
-    scored once for each column and repeat, all in one job.
+    scored once for each column and repeat, all in one job.  ``columns`` are the model's; rows with a null or NaN in one drop out.
     """
     n = max(1, df.count() // 1000)
     hit = (F.col("prediction") == F.col(label)).cast("double")
@@ -117,7 +129,14 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: list[st
     rows = rows.withColumn("_i", place(hash_order(key, seed + 1))).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     order = hash_order(F.concat_ws("|", F.col("_r").cast("string"), F.col(key).cast("string")), seed + 2)
     moved = rows.select("_b", "_r", place(order, "_r").alias("_i"), F.struct(*columns).alias("_v"))
-    rows = rows.join(moved, ["_b", "_r", "_i"]).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
+    rows = rows.join(moved, ["_b", "_r", "_i"])
+    path = new_folder(df.sparkSession, "models")
+    forests.save_models({(0, "own"): model}, path)
+    found = forests.read_forests(df.sparkSession, path)
+    if found is not None:  # a row isn't copied for each column
+        hits = forests.hits_without(forests.usable_rows(rows, columns), found[0, "own"], label, "_v")
+        return hits.where(F.col("feature").isin(columns)).groupBy("feature").agg((F.lit(base) - F.avg("hit")).alias("drop"))
+    rows = rows.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in columns])))
     rows = rows.withColumns({c: F.when(F.col("feature") == c, F.col("_v").getField(c)).otherwise(F.col(f"`{c}`")) for c in columns})
     return model.transform(rows).groupBy("feature").agg((F.lit(base) - F.avg(hit)).alias("drop"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -19,16 +20,30 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def read_lines(spark: SparkSession, path: str | list[str], skip: int = 0) -> DataFrame:
-    """(value): the lines of text files without the first ``skip`` of each file.
+    """(value): the lines of text files without the first ``skip`` of each file, in one scan.
 
-    A file's first lines are those of its first split, in its order; only the place of a file's first line is looked up.
+    A file's first split comes to a task from its first line on, so the lines are counted as they pass; the lines that are
+    left out must be in that split.  Files with fewer lines give none.
     """
     lines = spark.read.text(path)
     if not skip:
         return lines
-    lines = lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    first = lines.where("_block = 0").groupBy(F.col("_file").alias("_name")).agg(F.min("_at").alias("_first"))
-    return lines.join(first, F.col("_file") == F.col("_name")).where((F.col("_block") > 0) | (F.col("_at") - F.col("_first") >= skip)).select("value")
+
+    def later(batches):
+        import numpy as np
+
+        own, seen = None, 0
+        for batch in batches:
+            files, starts = batch.column("_file").to_pylist(), batch.column("_block").to_pylist()
+            keep = np.ones(len(files), bool)
+            for i, split in enumerate(zip(files, starts, strict=True)):
+                if split != own:
+                    own, seen = split, 0
+                keep[i] = split[1] > 0 or seen >= skip
+                seen += 1
+            yield batch.select(["value"]).filter(pa.array(keep))
+
+    return lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).mapInArrow(later, "value string")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, preamble: str = "#", usecols: list[str] | None = None, skip: int = 0) -> DataFrame:
@@ -47,6 +62,7 @@ def whitespace_fields(line: Column, names: list[str]) -> list[Column]:
 
 
 def read_whitespace(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The first fields of each line under the given names; missing ones are null, further ones and blank lines are left out."""
     return spark.read.text(path).where(F.trim("value") != "").select(*whitespace_fields(F.col("value"), names))
 
 

@@ -112,3 +112,35 @@ def test_many_parts_meet_many_names_by_key(spark):
     assert got.count() == n
     names = [node.getClass().getSimpleName() for node in nodes(got._jdf.queryExecution().executedPlan())]
     assert not [x for x in names if "NestedLoop" in x or "Cartesian" in x]
+
+
+def test_terms_against_the_rest(spark):
+    from regionfx.operators import statistics
+
+    rng = random.Random(8)
+    for k in (2, 5):
+        rows = [(rng.choice("abcdefgh"), rng.randrange(k)) for _ in range(400)] + [("x", 0)] * 30 + [("y", k - 1)] * 25 + [(None, 1), ("a", None)]
+        df = spark.createDataFrame(rows, "t string, c int")
+        got = {r["term"]: r for r in statistics.one_vs_rest_chi2(df, "t", "c", 6, alpha=2.0).collect()}
+        good = [r for r in rows if None not in r]
+        cells, terms, whole = collections.Counter(good), collections.Counter(t for t, _ in good), collections.Counter(c for _, c in good)
+        assert got.keys() == {t for t, _ in sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:6]}
+        for t, r in got.items():
+            table = np.array([[cells[t, c] for c in whole], [whole[c] - cells[t, c] for c in whole]], float)
+            expected = table.sum(1, keepdims=True) * table.sum(0) / table.sum()
+            gap = np.abs(table - expected)
+            gap -= np.minimum(0.5, gap) * (k == 2)
+            assert r["dof"] == k - 1 and math.isclose(r["chi2"], (gap**2 / expected).sum(), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_summaries_of_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 6.0), ("a", None, 1.0), (None, 5.0, None)], "g string, x double, y double")
+    rows = lambda d: sorted(map(str, map(tuple, d.collect())))
+    assert rows(aggregates.mean_with_sem(df, "g", "x")) == ["('a', 2, 2.0, 1.0)", "(None, 1, 5.0, None)"]
+    assert rows(aggregates.histogram(df, "x", 2, "g")) == ["('a', 0, 1)", "('a', 1, 1)", "(None, 1, 1)"]
+    assert rows(aggregates.hist_2d(df, "x", "y", 2, "g")) == ["(0, 0, 'a', 1)", "(1, 1, 'a', 1)"]
+    assert aggregates.linear_fit(df, "x", "y", "g").where("g = 'a'").first()["slope"] == 2.0
+    assert rows(aggregates.end_to_end(df, "g", "x", ["y"])) == ["('a', 4.0)", "(None, None)"]
+    empty = df.limit(0)
+    for d in (aggregates.mean_with_sem(empty, "g", "x"), aggregates.histogram(empty, "x", 2, "g"), aggregates.hist_2d(empty, "x", "y", 2, "g"), aggregates.linear_fit(empty, "x", "y", "g"), aggregates.end_to_end(empty, "g", "x", ["y"]), aggregates.kde_1d(empty, "g", "x"), aggregates.pair_covariance(empty, "g", "x", ["y"])):
+        assert d.collect() == []
