@@ -2,18 +2,20 @@
 
 A template's words are indexed by position.  Of each template's words that a file
 holds, those with the highest inverse document frequency over all files are looked up,
-so many that no alignment without any of them can score; each of their places and
-postings gives alignments (file position minus template position).  An
-alignment's score is the share of the template's word weight found at its places, and a
+so many that no alignment without any of them can score; a template whose words the file lacks too much
+of is left out by them.  The postings of the others are intersected by relative
+position (file position minus template position), all alignments at once: each has the
+share of the template's word weight found at its places, and a
 label also needs the template's key phrases within the aligned range.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,10 +95,9 @@ class TemplateIndex:
     def __init__(self, templates, weights: dict[bytes, float]):
         self.templates = [(t.label, words_of(t.text), [p.encode().split() for p in t.required]) for t in templates]
         self.weights = weights
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words, _) in enumerate(self.templates):
-            for q, w in enumerate(words):
-                self.postings[w].append((k, q))
+        self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for _, words, _ in self.templates for w in words))}
+        self.postings = [np.array([self.numbers[w] for w in words], np.int64) for _, words, _ in self.templates]
+        self.own_weights = [np.array([weights[w] for w in words]) for _, words, _ in self.templates]
         self.totals = [sum(weights[w] for w in words) for _, words, _ in self.templates]
 
     def rare_words(self, k: int, present: set[bytes]) -> list[bytes]:
@@ -115,29 +116,69 @@ class TemplateIndex:
             out.append(w)
         return out
 
-    def match(self, words: list[bytes]) -> dict[str, float]:
-        """Labels and the best score of each, over all alignments of all templates."""
-        present = self.postings.keys() & set(words)
-        wanted: dict[bytes, set[int]] = defaultdict(set)
+    def shift_weights(self, k: int, keys: np.ndarray, n_words: int) -> tuple[int, np.ndarray]:
+        """(first shift, weight found at each shift) of template k: all its postings intersected by relative position at once.
+
+        keys: word number * n_words + place, sorted.  A word of the template counts at the shifts that bring it within SLACK of one of its places
+        in the text, once each: what its places share is cut from the later one, and the weights are added at the ends of these stretches.
+        """
+        numbers, weights = self.postings[k], self.own_weights[k]
+        first, last = np.searchsorted(keys, numbers * n_words), np.searchsorted(keys, (numbers + 1) * n_words)
+        counts = last - first
+        q = np.repeat(np.arange(len(numbers)), counts)
+        at = np.arange(len(q)) - np.repeat(np.cumsum(counts) - counts, counts) + first[q]
+        ends = keys[at] - numbers[q] * n_words - q + SLACK
+        begins = ends - 2 * SLACK
+        same = np.flatnonzero(q[1:] == q[:-1]) + 1
+        begins[same] = np.maximum(begins[same], ends[same - 1] + 1)
+        least = int(begins.min()) if len(q) else 0
+        size = int(ends.max()) - least + 2 if len(q) else 0
+        return least, np.cumsum(np.bincount(begins - least, weights[q], size) - np.bincount(ends + 1 - least, weights[q], size))
+
+    def score(self, k: int, shift: int, keys: np.ndarray, n_words: int) -> float:
+        """The share of template k's weight that an alignment finds."""
+        numbers = self.postings[k]
+        q = np.arange(len(numbers)) + shift
+        low, high = numbers * n_words + np.maximum(q - SLACK, 0), numbers * n_words + np.minimum(q + SLACK, n_words - 1)
+        at = np.searchsorted(keys, low)
+        hit = (q + SLACK >= 0) & (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= high)
+        return sum(self.own_weights[k][hit].tolist()) / self.totals[k]
+
+    def match(self, words: list[bytes], at_once: int = 1 << 17) -> dict[str, float]:
+        """Labels and the best score of each, over all alignments of all templates.
+
+        A template takes part if its rarest words show that some alignment may reach LEAST_SCORE.  A long text is gone through in stretches of
+        ``at_once`` shifts, so what is held doesn't grow with it.
+        """
+        present = self.numbers.keys() & set(words)
+        wanted = []
         for k, (_, _, required) in enumerate(self.templates):
-            rare = self.rare_words(k, present)
-            if rare and all(places(words, r) for r in required):
-                for w in rare:
-                    wanted[w].add(k)
-        if not wanted:
-            return {}
-        shifts: set[tuple[int, int]] = set()
-        for p, w in enumerate(words):
-            if w in wanted:
-                shifts.update((k, p - q + d) for k, q in self.postings[w] if k in wanted[w] for d in range(-SLACK, SLACK + 1))
+            if self.rare_words(k, present) and all(places(words, r) for r in required):
+                wanted.append(k)
         out: dict[str, float] = {}
-        for k, shift in shifts:
-            label, template, required = self.templates[k]
-            lo, hi = max(0, shift - SLACK), min(len(words), shift + len(template) + SLACK)
-            found = sum(self.weights[w] for q, w in enumerate(template) if w in words[max(lo, shift + q - SLACK) : max(0, shift + q + SLACK + 1)])
-            score = found / self.totals[k]
-            if score >= LEAST_SCORE and score > out.get(label, 0.0) and all(places(words, r, lo, hi) for r in required):
-                out[label] = score
+        longest = max((len(self.postings[k]) for k in wanted), default=0)
+        for start in range(-longest - SLACK, len(words) + SLACK, at_once) if wanted else ():
+            base = max(0, start - SLACK)
+            part = words[base : start + at_once + longest + SLACK]  # all places that these shifts can use
+            numbers = np.array([self.numbers.get(w, -1) for w in part], np.int64)
+            own = np.flatnonzero(numbers >= 0)
+            n = len(part)
+            keys = np.sort(numbers[own] * n + own)
+            for k in wanted:
+                label, template, required = self.templates[k]
+                least, found = self.shift_weights(k, keys, n)
+                near = found / self.totals[k]
+                some = np.flatnonzero(near >= LEAST_SCORE - 1e-9)
+                for i in some[np.argsort(-near[some], kind="stable")].tolist():
+                    shift = least + i + base
+                    if near[i] <= out.get(label, 0.0) + 1e-9:  # no better than one that has its phrases
+                        break
+                    if not start <= shift < start + at_once:
+                        continue
+                    score = self.score(k, shift - base, keys, n)
+                    lo, hi = max(0, shift - SLACK), min(len(words), shift + len(template) + SLACK)
+                    if score >= LEAST_SCORE and score > out.get(label, 0.0) and all(places(words, r, lo, hi) for r in required):
+                        out[label] = score
         return out
 
 

@@ -503,3 +503,23 @@ def test_quality_measures_are_computed_once(docs):
     plan = quality.accepted(docs)._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter " in line]
     assert len(filters) == 1 and "q_kept" in filters[0] and not any(f in filters[0] for f in ("split", "regexp", "aggregate", "transform"))
+
+
+def test_long_licence_texts_in_stretches():
+    import time
+
+    notices = [" ".join(w.decode() for w in licences.words_of(t.text)) for t in licences.TEMPLATES]
+    weights = {w: 1.0 + len(w) % 5 for n in notices for w in licences.words_of(n)}
+    index, rng = licences.TemplateIndex(licences.TEMPLATES, weights), random.Random(2)
+    stray = sorted({w for n in notices for w in n.split()}) + ["tarenho"] * 30
+    text = " ".join(" ".join(rng.choice(stray) for _ in range(rng.randint(0, 40))) + " " + " ".join(w for w in rng.choice(notices).split() if rng.random() > 0.05) for _ in range(12))
+    words = licences.words_of(text)
+    want = _all_alignments(index, words)
+    assert len(want) > 3
+    for at_once in (37, 300, 1 << 17):
+        got = index.match(words, at_once)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    long = licences.words_of(" ".join(notices)) * 6
+    began = time.thread_time()
+    index.match(long)
+    assert len(long) > 10_000 and time.thread_time() - began < 1
