@@ -43,6 +43,13 @@ def s5(spark, d):
     return T.match_files(table(spark, d, "pages"), wanted, "url", "n_name", must="example").select("page_id", "n_name")
 
 
+@query("s5_match_many", "SELECT c_name, part FROM customer, (SELECT DISTINCT substr((p_partkey * 7919 % 100000)::VARCHAR, 1, 2 + p_partkey % 4) AS part FROM part) WHERE contains(c_name, part)")
+def s5_many(spark, d):
+    part = F.substring((F.col("p_partkey") * 7919 % 100_000).cast("string"), F.lit(1), (F.col("p_partkey") % 4 + 2).cast("int"))
+    wanted = table(spark, d, "part").select(part.alias("part")).distinct()
+    return T.match_files(table(spark, d, "customer"), wanted, "c_name", "part").select("c_name", "part")
+
+
 @query("s6_read_fasta", "SELECT item_id::VARCHAR AS id, regexp_replace(regexp_replace(text, '>', '', 'g'), '\\s', '', 'g') AS seq FROM benchmark")
 def s6(spark, d):
     path = _folder(spark, "fasta")
@@ -50,6 +57,16 @@ def s6(spark, d):
     return T.read_fasta(spark, path)
 
 
+@query("s6_fasta_headers", "SELECT doc_id::VARCHAR AS id, regexp_replace(text, '[^a-z]', '', 'g') AS seq FROM documents WHERE text IS NOT NULL")
+def s6_headers(spark, d):
+    """Headers that hold the sign of a record, line ends of both kinds."""
+    path, sequence = _folder(spark, "fasta"), F.regexp_replace("text", "[^a-z]", "")
+    lines = F.regexp_replace(sequence, "(.{60})", "$1\r\n")
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    rows.select(F.concat(F.lit(">sp|"), "doc_id", F.lit("|a->b > c>\r\n"), lines, F.lit("\r")).alias("value")).write.text(path)
+    return T.read_fasta(spark, path)
+
+
 @query("s7_mixed_layout", r"""WITH l AS (SELECT regexp_split_to_array(trim(line), '\s+') AS p FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
 SELECT split_part(CASE WHEN contains(p[1], '_') THEN p[2] ELSE p[1] END, '-', 1) AS id, CASE WHEN contains(p[1], '_') THEN p[3] ELSE p[2] END AS location,
 CASE WHEN contains(p[1], '_') THEN p[4] ELSE p[3] END AS type FROM l WHERE contains(p[1], '_') OR regexp_matches(p[1], '^[A-Za-z]')""")
@@ -244,6 +261,13 @@ def l4(spark, d):
     return L.batch_slice(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 41, 20).select("o_orderkey")
 
 
+@query("l4_batch_slice_far", "SELECT l_id FROM (SELECT DISTINCT l_orderkey * 1000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS l_id FROM lineitem) ORDER BY l_id DESC LIMIT 20 OFFSET 5")
+def l4_far(spark, d):
+    """A slice near the end of a long list, whose length is counted first."""
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("l_id")).distinct()
+    return L.batch_slice(rows, "l_id", rows.count() - 24, 20).select("l_id")
+
+
 @query("l4_numbered", "SELECT l_id, row_number() OVER (ORDER BY l_id) AS row_no FROM (SELECT l_orderkey * 1000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS l_id FROM lineitem GROUP BY 1)")
 def l4_numbered(spark, d):
     return L.numbered(table(spark, d, "lineitem").select((F.col("l_orderkey") * 1000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("l_id")).distinct(), "l_id")

@@ -198,6 +198,17 @@ def m14(spark, d):
     return M.dbscan_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", EPS)
 
 
+_NEAR = """(SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey AND sqrt((a.c_acctbal - b.c_acctbal) ** 2 + (1000.0::DOUBLE * a.c_nationkey - 1000.0::DOUBLE * b.c_nationkey) ** 2) <= 60)"""
+
+
+@query("m14_dbscan_pruned", f"""WITH RECURSIVE e AS MATERIALIZED {_NEAR}, r AS (SELECT a AS v, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a)
+SELECT c_custkey, coalesce(c, -1) AS cluster FROM customer LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) ON v = c_custkey""")
+def m14_pruned(spark, d):
+    """Points with a narrow radius: distances to pivots leave a few candidates of each; chains of links have one label."""
+    points = table(spark, d, "customer").select("c_custkey", F.array("c_acctbal", F.col("c_nationkey") * 1000.0).alias("v"))
+    return M.dbscan_pairs(points, "c_custkey", "v", 60.0)
+
+
 @query("m15_msa_site_features")
 def m15(spark, d):
     msa = _pieces(spark, d, 64).select("protein", "seq")

@@ -46,6 +46,16 @@ def t2_curve(spark, d):
     return T.roc_curve(scored(spark, d), "score", "quality", ["fold"]).select("fold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
+_LINES = "(SELECT l_linenumber AS fold, l_extendedprice AS score, (l_returnflag = 'R')::INT AS quality FROM lineitem)"
+
+
+@query("t2_curves_of_many_scores", f"WITH {_ROC.replace(SCORED, _LINES)} SELECT fold, g, round(y, 6) AS tpr FROM g")
+def t2_many(spark, d):
+    """Curves over scores that hardly repeat: their points are in ranges, and each range hands on its first ones."""
+    rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("fold"), F.col("l_extendedprice").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("quality"))
+    return T.roc_on_grid(rows, "score", "quality", ["fold"]).select("fold", "g", F.round("tpr", 6).alias("tpr"))
+
+
 @query("t2b_partial_auroc", f"WITH {_ROC} SELECT fold, round(sum((nx - x) * (y + ny) / 2) / 0.1, 6) AS pauroc FROM (SELECT fold, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM g WINDOW w AS (PARTITION BY fold ORDER BY g)) WHERE nx <= 0.1 GROUP BY 1")
 def t2b(spark, d):
     return T.partial_auroc(scored(spark, d), "score", "quality", ["fold"], 0.1, legacy=True).select("fold", F.round("pauroc", 6).alias("pauroc"))

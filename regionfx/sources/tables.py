@@ -19,31 +19,34 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str | None =
     return df.select(*select) if select else df
 
 
-def read_lines(spark: SparkSession, path: str | list[str], skip: int = 0) -> DataFrame:
-    """(value): the lines of text files without the first ``skip`` of each file, in one scan.
+def _placed_lines(spark: SparkSession, path: str | list[str], upto: int) -> DataFrame:
+    """(value, file, path, at): the lines of text files in one scan; at: the line's place in its file, from 0, up to ``upto``, and that beyond it.
 
-    A file's first split comes to a task from its first line on, so the lines are counted as they pass; the lines that are
-    left out must be in that split.  Files with fewer lines give none.
+    A file's first split comes to a task from its first line on, so its lines are counted as they pass; lines of later splits are
+    beyond the first ones.
     """
-    lines = spark.read.text(path)
-    if not skip:
-        return lines
 
-    def later(batches):
+    def count(batches):
         import numpy as np
 
         own, seen = None, 0
         for batch in batches:
-            files, starts = batch.column("_file").to_pylist(), batch.column("_block").to_pylist()
-            keep = np.ones(len(files), bool)
+            files, starts = batch.column("_path").to_pylist(), batch.column("_block").to_pylist()
+            at = np.empty(len(files), np.int32)
             for i, split in enumerate(zip(files, starts, strict=True)):
                 if split != own:
-                    own, seen = split, 0
-                keep[i] = split[1] > 0 or seen >= skip
+                    own, seen = split, 0 if split[1] == 0 else upto
+                at[i] = min(seen, upto)
                 seen += 1
-            yield batch.select(["value"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("file"), batch.column("_path"), pa.array(at)], names=["value", "file", "path", "at"])
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    return lines.mapInArrow(count, "value string, file string, path string, at int")
+
 
-    return lines.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")).mapInArrow(later, "value string")
+def read_lines(spark: SparkSession, path: str | list[str], skip: int = 0) -> DataFrame:
+    """(value): the lines of text files without the first ``skip`` of each file, which must be in its first split.  Files with fewer lines give none."""
+    return _placed_lines(spark, path, skip).where(F.col("at") >= skip).select("value") if skip else spark.read.text(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, preamble: str = "#", usecols: list[str] | None = None, skip: int = 0) -> DataFrame:
@@ -134,10 +137,16 @@ def read_mixed_layout(spark: SparkSession, path: str | list[str], skip: int = 2)
 
 
 def matrix_to_long(spark: SparkSession, paths: list[str] | str, sep: str = ",") -> DataFrame:
-    """Matrices with a header of their own per file -> (file, row, column, value); cells that are no numbers are null."""
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split(F.trim("value"), "\r?\n").alias("lines"))
-    rows = files.select("file", F.split(F.col("lines")[0], sep).alias("head"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("i", "line"))
-    cells = rows.select("file", "head", F.split("line", sep).alias("cells")).select("file", "head", F.col("cells")[0].alias("row"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))).alias("j", "cell"))
+    """Matrices with a header of their own per file -> (file, row, column, value); cells that are no numbers are null.
+
+    Lines are rows of their own, so a large matrix is many tasks' work; they meet the header of their file by its path.
+    Cells beyond the header have no column name; missing ones give no row; blank lines and files with a header only give none.
+    """
+    lines = _placed_lines(spark, paths, 1)
+    of = lambda: F.split(F.rtrim("value", F.lit("\r")), sep)
+    heads = lines.where("at = 0").select(F.col("path").alias("_path"), of().alias("head"))
+    rows = lines.where("at > 0 AND trim(value) <> ''").join(heads, F.col("path") == F.col("_path")).select("file", "head", of().alias("cells"))
+    cells = rows.select("file", "head", F.col("cells")[0].alias("row"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))).alias("j", "cell"))
     return cells.select("file", "row", F.get("head", F.col("j") + 1).alias("column"), F.expr("try_cast(cell AS DOUBLE)").alias("value"))
 
 

@@ -195,3 +195,14 @@ def test_scratch_folders_go(spark, ranges_only):
 def test_size_check_reads_sizes_of_tables(spark, sf_dir, tmp_path):
     assert sampling.is_small(spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").count())
     assert not sampling.is_small(spark.createDataFrame([(1,)], "x int").rdd.toDF())
+
+
+def test_matrices_are_read_line_by_line(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "same.csv").write_bytes(b"aa,x%d,y\r\nr1,1,2\r\n\r\nr2,no,4,5\r\nr3,6\r\n" % k)
+    (tmp_path / "1" / "head.csv").write_text("aa,z\n")
+    (tmp_path / "1" / "none.csv").write_text("")
+    got = tables.matrix_to_long(spark, f"{tmp_path}/*/*.csv")
+    want = [("same.csv", r, c, v) for k in range(2) for r, c, v in (("r1", f"x{k}", 1.0), ("r1", "y", 2.0), ("r2", f"x{k}", None), ("r2", "y", 4.0), ("r2", None, 5.0), ("r3", f"x{k}", 6.0))]
+    assert _rows(got) == sorted(map(str, want))
