@@ -206,3 +206,16 @@ def test_matrices_are_read_line_by_line(spark, tmp_path):
     got = tables.matrix_to_long(spark, f"{tmp_path}/*/*.csv")
     want = [("same.csv", r, c, v) for k in range(2) for r, c, v in (("r1", f"x{k}", 1.0), ("r1", "y", 2.0), ("r2", f"x{k}", None), ("r2", "y", 4.0), ("r2", None, 5.0), ("r3", f"x{k}", 6.0))]
     assert _rows(got) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("name", ["t4_spearman", "t2_mean_roc", "w11_block_average_error", "m14_dbscan_pruned", "m10_saturation_by_region"])
+def test_queries_leave_nothing_in_a_scope(spark, sf_dir, ranges_only, name):
+    import __spark_entry__
+
+    root = storage.shared_root(spark).removeprefix("file:").replace("//", "/")
+    os.makedirs(root, exist_ok=True)
+    before = set(os.listdir(root))
+    with storage.scratch(spark):
+        __spark_entry__.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        assert set(os.listdir(root)) > before
+    assert set(os.listdir(root)) == before
