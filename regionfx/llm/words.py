@@ -34,13 +34,17 @@ def _classes() -> np.ndarray:
     """As the libraries' own patterns say, whose Unicode tables are newer than Python's; a test holds them against each other."""
     import tiktoken
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     single = {bytes([b]): b for b in range(256)}
+    patterns = {LETTER: r"\p{L}", NUMBER: r"\p{N}", SPACE: r"\s"}
+    matchers = {kind: tiktoken.Encoding("class", pat_str=p, mergeable_ranks=single, special_tokens={}) for kind, p in patterns.items()}
     table = np.full(0x110000, OTHER, dtype=np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-        # signs that the pattern doesn't match are left out of what is encoded
-        matched = bytes(tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every))
-        table[np.frombuffer(matched.decode().encode("utf-32-le"), np.uint32)] = kind
+    for start in range(0, 0x110000, 0x2000):  # a few at a time, so that little memory is taken in each process
+        if not 0xD800 <= start < 0xE000:
+            some = "".join(map(chr, range(start, min(start + 0x2000, 0xD800) if start < 0xD800 else start + 0x2000)))
+            for kind, matcher in matchers.items():
+                # signs that the pattern doesn't match are left out of what is encoded
+                matched = bytes(matcher.encode_ordinary(some)).decode()
+                table[np.frombuffer(matched.encode("utf-32-le"), np.uint32)] = kind
     return table
 
 
