@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from regionfx.functions.scalars import row_mean
 from regionfx.operators.sampling import hash_order
 from regionfx.plans import forests
+from regionfx.plans.links import tied_points
 from regionfx.storage import discard, materialize, new_folder
 
 #: One registry of feature groups by column-name pattern, for training, scoring and importances alike.  Fixed values.
@@ -159,7 +160,8 @@ def _pivots(points: DataFrame, n_pivots: int, sample_rows: int = 2048) -> list[l
     """Points far from each other, by farthest-first choice from a bounded sample in the order of a hash."""
     n = points.count()
     part = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(max(1, n))) < sample_rows // 2
-    sample = np.array([r[0] for r in points.where(part).select("v").limit(sample_rows).collect()])
+    rows = [r[0] for r in points.where(part).select("v").limit(sample_rows).collect()]
+    sample = np.array([r for r in rows if len(r) == len(rows[0])])
     if not len(sample):
         return []
     chosen = [sample[0]]
@@ -188,7 +190,7 @@ def epsilon_candidates(points: DataFrame, eps: float, n_pivots: int = 4, n_cells
         seen = seen.withColumn("_c", F.explode(F.sequence(cell(i, -far), cell(i, far)))).withColumn("cell", F.concat("cell", F.array("_c"))).drop("_c")
     other = seen.select(F.col("k").alias("k2"), F.col("v").alias("v2"), F.col("d").alias("d2"), "cell")
     near = ~F.exists(F.zip_with("d", "d2", lambda a, b: F.abs(a - b)), lambda g: g > far)
-    return home.join(other, "cell").where((F.col("k") < F.col("k2")) & near).select("k", "v", "k2", "v2")
+    return home.join(other.hint("merge"), "cell").where((F.col("k") < F.col("k2")) & near).select("k", "v", "k2", "v2")
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -222,15 +224,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def dbscan_pairs(df: DataFrame, key: str, vector: str, eps: float, n_pivots: int = 4) -> DataFrame:
     """Clusters of points linked within eps (two points make one): (key, cluster), the smallest key of the cluster, -1 for single points.
 
-    Exact.  Equal vectors are one point, so copies aren't paired with each other; pairs of others come from cells of pivot distances.
+    Exact.  Equal vectors are one point, so copies aren't paired with each other; others are compared in tiles of blocks that their distances to
+    pivots bring together, and a tile hands on a forest of its links, not all of them.
     Where eps is as wide as the spread of those distances, as with long random vectors, they rule nothing out and all
     pairs are compared.  Rows with a null key, a null vector or a null component are single points.
     """
     usable = F.col("v").isNotNull() & F.col("k").isNotNull() & ~F.exists("v", lambda c: c.isNull())
     x = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(usable)
     groups = materialize(x.groupBy("v").agg(F.min("k").alias("k"), F.count("*").alias("n")), "points")
-    gap = F.aggregate(F.zip_with("v", "v2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
-    edges = materialize(epsilon_candidates(groups.select("k", "v"), eps, n_pivots).where(gap <= eps * eps).select("k", "k2"), "edges")
+    edges = materialize(tied_points(groups.select("k", "v"), eps, _pivots(groups, n_pivots)), "edges")
     found = components(edges, "k", "k2")
     own = groups.join(found, groups["k"] == found["node"], "left").select(F.col("v").alias("_v"), F.coalesce("component", F.when(F.col("n") > 1, F.col("k")), F.lit(-1)).alias("_c"))
     labelled = x.join(own, x["v"] == own["_v"]).select(F.col("k").alias("_k"), "_c").distinct()

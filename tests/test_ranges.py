@@ -219,3 +219,15 @@ def test_queries_leave_nothing_in_a_scope(spark, sf_dir, ranges_only, name):
         __spark_entry__.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         assert set(os.listdir(root)) > before
     assert set(os.listdir(root)) == before
+
+
+def test_clusters_of_many_close_points(spark):
+    """Points of which each has hundreds of others within the radius: the links that are written are fewer than the points."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.uniform(0, 1, (1500, 2)), [[3.0, 3.0], [3.0, 3.5], [9.0, 9.0]]])
+    eps = 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    links = models.tied_points(df, eps, [[0.0, 0.0], [1.0, 0.0]])
+    assert links.count() < len(x)
+    got = {r["k"]: r["cluster"] for r in models.dbscan_pairs(df, "k", "v", eps).collect()}
+    assert got == dict.fromkeys(range(1500), 0) | {1500: 1500, 1501: 1500, 1502: -1}
