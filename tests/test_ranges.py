@@ -231,3 +231,22 @@ def test_clusters_of_many_close_points(spark):
     assert links.count() < len(x)
     got = {r["k"]: r["cluster"] for r in models.dbscan_pairs(df, "k", "v", eps).collect()}
     assert got == dict.fromkeys(range(1500), 0) | {1500: 1500, 1501: 1500, 1502: -1}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_first_interval_without_pairs(spark, monkeypatch, small):
+    """Bounds that meet, empty and turned intervals, nulls, and far more intervals around each point than rows are made."""
+    monkeypatch.setattr(sampling, "SMALL_BYTES", sampling.SMALL_BYTES if small else 0)
+    rng = random.Random(3)
+    intervals = [(rng.choice("ab"), x := rng.randint(0, 40) / 2, x + rng.randint(-1, 30) / 2, f"i{n}", n) for n in rng.sample(range(300), 300)] + [(None, 0.0, 50.0, "none", 0), ("c", 1.0, 2.0, "late", None)]
+    points = [(i, rng.choice("abd"), rng.randint(-4, 160) / 4) for i in range(300)] + [(900, None, 1.0), (901, "a", None), (902, "c", 1.5)]
+    want = {}
+    for i, k, x in points:
+        hit = [r for r in intervals if None not in (k, x) and r[0] == k and r[1] <= x <= r[2]]
+        r = min(hit, key=lambda r: (r[4] is None, r[4]), default=(None, None, None, "No", None))
+        want[i] = (k, x, r[3], r[1], r[2])
+    p = spark.createDataFrame(points, "id long, key string, pos double")
+    q = spark.createDataFrame(intervals, "key string, lo double, hi double, kind string, ord long")
+    got = joins.annotate_first_interval(p, q, "key", "pos", "lo", "hi", "kind", "ord", "id", "No", bin_width="levels")
+    assert {r["id"]: tuple(r)[1:] for r in got.collect()} == want
+    assert not made_rows(got, "Join") and made_rows(got, "SortMergeJoin") < 300 * 40
