@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from regionfx.operators.aggregates import shared_out
 from regionfx.operators.sampling import numbered, running_sums, with_group
@@ -49,16 +51,30 @@ def avg_rank(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 def aligned_segments(df: DataFrame, key: str, a: str, b: str, gap: str = "-", min_len: int = 5) -> DataFrame:
     """(key, a_start, a_end, b_start, b_end): runs where both aligned strings have letters, in places (from 1) of the letters of each.
 
-    A key is one pair of strings; its letters are counted in ranges, so a long one is spread over tasks.  Null strings give no rows.
+    A key is one row's pair of strings, of which only the runs leave the task that reads it; nothing is shuffled.  Null strings give no rows.
     """
-    cells = df.select(key, F.posexplode(F.arrays_zip(F.split(a, "").alias("x"), F.split(b, "").alias("y"))).alias("p", "c"))
-    has = {"_in_a": F.col("c.x") != gap, "_in_b": F.col("c.y") != gap}
-    cells = cells.select(key, F.col("p").alias("_p"), *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in has.items()]).withColumn("_both", F.col("_in_a") * F.col("_in_b"))
-    upto = running_sums(cells, [key], "_p", {"_pa": "_in_a", "_pb": "_in_b", "_k": "_both"})
-    # along a run the place and the number of such places before it grow together
-    runs = upto.where("_both = 1").select(key, (F.col("_pa") + 1).alias("_pa"), (F.col("_pb") + 1).alias("_pb"), (F.col("_p") - F.col("_k")).alias("_run"))
-    g = runs.groupBy(key, "_run").agg(*[f(c).alias(n) for c, n, f in (("_pa", "a_start", F.min), ("_pa", "a_end", F.max), ("_pb", "b_start", F.min), ("_pb", "b_end", F.max))], F.count("*").alias("_len"))
-    return g.where(F.col("_len") >= min_len).drop("_run", "_len")
+    kind = df.schema[key].dataType
+    places = ("a_start", "a_end", "b_start", "b_end")
+    schema = StructType([StructField(key, kind), *[StructField(n, LongType()) for n in places]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], [np.zeros((4, 0), dtype=np.int64)]
+            for i in range(batch.num_rows):
+                x, y = [np.frombuffer(batch.column(c)[i].as_py().encode("utf-32-le"), dtype="<u4") != ord(gap) for c in (1, 2)]
+                n = min(len(x), len(y))
+                both = np.diff(np.concatenate([[0], (x[:n] & y[:n]).astype(np.int8), [0]]))
+                first, last = np.flatnonzero(both == 1), np.flatnonzero(both == -1) - 1
+                long = last - first + 1 >= min_len
+                first, last = first[long], last[long]
+                in_a, in_b = np.cumsum(x), np.cumsum(y)
+                found.append(np.stack([in_a[first], in_a[last], in_b[first], in_b[last]]))
+                keys.append(np.full(len(first), i))
+            at = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c) for c in np.concatenate(found, axis=1)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, *places])
+
+    return df.select(key, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).mapInArrow(run, schema)
 
 
 def identity_pct(a, b, gap: str = "-"):

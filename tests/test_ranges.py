@@ -250,3 +250,10 @@ def test_first_interval_without_pairs(spark, monkeypatch, small):
     got = joins.annotate_first_interval(p, q, "key", "pos", "lo", "hi", "kind", "ord", "id", "No", bin_width="levels")
     assert {r["id"]: tuple(r)[1:] for r in got.collect()} == want
     assert not made_rows(got, "Join") and made_rows(got, "SortMergeJoin") < 300 * 40
+
+
+def test_aligned_segments_shuffle_nothing(spark):
+    df = spark.createDataFrame([(1, "ab-cdéfgh", "xy-zwvuts"), (2, "", ""), (3, "a" * 6, "b" * 9), (4, "-----😀abcde", "abcde😀abcde"), (5, None, "abcdef")], "k long, a string, b string")
+    got = windows.aligned_segments(df, "k", "a", "b")
+    assert shuffled_rows(got) == 0
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 8, 3, 8), (3, 1, 6, 1, 6), (4, 1, 6, 6, 11)]
