@@ -80,12 +80,13 @@ def _training(spark, d):
     symbols = (F.length("text") - F.length(F.translate("text", "#*$%&|", ""))).cast("double")
     capitals = (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("double")
     count = lambda signs: (F.length("text") - F.length(F.translate("text", signs, ""))).cast("double")
-    return x.select(
+    rows = x.select(
         "doc_id", "fold", F.col("quality").cast("double").alias("label"), F.col("score").cast("double").alias("Region Length"),
         *[(F.col("lang") == c).cast("double").alias(f"One_Hot_{c}") for c in ("de", "en", "es", "fr")],
         (symbols / words).alias("Res_AA_1"), (count("0123456789") / words).alias("Res_AA_2"), (capitals / words).alias("Res_MD_1"), (count(".,;:!?") / words).alias("Res_MD_2"),
         words.alias("Pair_MD_1"), (F.length("text") / words).alias("Pair_MD_2"), (count("\n") / words).alias("Cons_1"), (count("aeiou") / F.length("text")).alias("ESM1b_1"),
     )
+    return materialize(rows, "training")  # fits and scores read numbers, not texts
 
 
 FAST = {"trees": 10, "depth": 5}
@@ -99,7 +100,7 @@ def m6(spark, d):
 
 @query("m6_classifier_variants")
 def m6_variants(spark, d):
-    t = materialize(_training(spark, d), "training")
+    t = _training(spark, d)
     rows = t
     for name, model in M.train_variants(t, M.CLASSIFIERS, "label", **FAST).items():
         rows = M.predict(model, rows, name)
@@ -108,7 +109,7 @@ def m6_variants(spark, d):
 
 @query("m7_train_regressor")
 def m7(spark, d):
-    t = materialize(_training(spark, d), "training")
+    t = _training(spark, d)
     rows = t
     for name, model in M.train_variants(t, M.REGRESSORS, "Region Length", M.train_regressor, **FAST).items():
         rows = M.predict(model, rows, name)
@@ -131,13 +132,13 @@ def s11(spark, d):
 
 @query("m9_out_of_fold_scores")
 def m9(spark, d):
-    t = materialize(_training(spark, d), "training")
+    t = _training(spark, d)
     return M.out_of_fold_scores(t, "fold", M.CLASSIFIERS, "label", 5, **FAST).select("doc_id", "fold", "label", *M.CLASSIFIERS)
 
 
 @query("m11_model_ensemble")
 def m11_models(spark, d):
-    t = materialize(_training(spark, d), "training")
+    t = _training(spark, d)
     families = {k: M.CLASSIFIERS[k] for k in ("Res_Pair", "ESM1b_MD_Cons")}
     return M.score_ensemble(M.out_of_fold_scores(t, "fold", families, "label", 5, **FAST), list(families), "ensemble").select("doc_id", "label", *families, "ensemble")
 
@@ -225,14 +226,14 @@ def m16(spark, d):
 
 @query("t9_feature_importance")
 def t9(spark, d):
-    t = materialize(_training(spark, d), "training")
+    t = _training(spark, d)
     cols = M.feature_columns(t, ["residue_md", "pair_md", "length"])
     return M.feature_importance([M.train_classifier(t.where(F.col("fold") != i), cols, "label", **FAST) for i in (1, 2)], cols, spark)
 
 
 @query("t10_permutation_importance")
 def t10(spark, d):
-    t = materialize(_training(spark, d), "training")
+    t = _training(spark, d)
     cols = M.feature_columns(t, ["residue_md"])
     return M.permutation_importance(M.train_classifier(t, cols, "label", **FAST), t, cols, "label", "doc_id", repeats=2)
 

@@ -257,3 +257,10 @@ def test_aligned_segments_shuffle_nothing(spark):
     got = windows.aligned_segments(df, "k", "a", "b")
     assert shuffled_rows(got) == 0
     assert sorted(map(tuple, got.collect())) == [(1, 3, 8, 3, 8), (3, 1, 6, 1, 6), (4, 1, 6, 6, 11)]
+
+
+@pytest.mark.parametrize("name", ["m6_train_classifier", "m8_predict", "s11_save_load_model"])
+def test_fits_read_texts_once(spark, sf_dir, name):
+    import __spark_entry__
+
+    assert not [f for f in __spark_entry__.queries()[name](spark, sf_dir).inputFiles() if "documents" in f]
