@@ -264,3 +264,14 @@ def test_fits_read_texts_once(spark, sf_dir, name):
     import __spark_entry__
 
     assert not [f for f in __spark_entry__.queries()[name](spark, sf_dir).inputFiles() if "documents" in f]
+
+
+def test_close_pairs_at_the_radius():
+    """Far from the origin a product of the vectors loses the last digits; pairs at the radius are as sums term by term say."""
+    from regionfx.plans.links import close
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, (300, 8)) / 4 + 1e4
+    i, j = close(x, x, 1.25)
+    want = (((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= 1.25**2).nonzero()
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(want[0].tolist(), want[1].tolist()))
