@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,10 +119,33 @@ def charge_sigma(seq: Column, positive: str = "KR", negative: str = "DE") -> Col
 
 
 def charge_gamma(seq: Column, length: int, positive: str, negative: str, n: int = 10, size: int = 5) -> Column:
-    """Mean squared deviation of the segments' sigma from that of the whole."""
-    whole = charge_sigma(seq, positive, negative)
-    parts = F.transform(segment_windows(seq, length, n, size), lambda s: F.pow(charge_sigma(s, positive, negative) - whole, F.lit(2.0)))
-    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.lit(float(n))
+    """Mean squared deviation of the segments' sigma from that of the whole; segments as in ``segment_windows``.
+
+    Charges are added up once along all sequences of an Arrow batch, so a segment's are two differences.  An aggregate over it needs it as a column first.
+    """
+    stride = size - (size * n - length) // (n - 1)
+
+    @F.pandas_udf("double")
+    def gamma(seqs: pd.Series) -> pd.Series:
+        texts = seqs.tolist()
+        known = np.array([t is not None for t in texts], dtype=bool)
+        texts = [t or "" for t in texts]
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        starts = np.append(0, ends)[:-1]
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        sums = [np.append(0, np.cumsum(np.isin(codes, [ord(c) for c in letters]), dtype=np.int64)) for letters in (positive, negative)]
+
+        def sigma(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            p, m = (s[b] - s[a] for s in sums)
+            return (p - m) * (p - m) / np.maximum(p + m, 1)
+
+        whole, total = sigma(starts, ends), np.zeros(len(texts))
+        for k in range(n):
+            a = np.clip(starts + k * stride, starts, ends)
+            total += (sigma(a, np.minimum(a + size, ends)) - whole) ** 2
+        return pd.Series(np.where(known, total / n, None), dtype=object)
+
+    return gamma(seq)
 
 
 def cluster_counts(seq: Column, clusters: list[str]) -> Column:

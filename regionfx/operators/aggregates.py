@@ -267,20 +267,23 @@ def entropy(counts: DataFrame, keys: list[str], n: str, base: float = 2.0) -> Da
     return counts.groupBy(*keys).agg(h.alias("entropy"))
 
 
-def cosine_sums(vector: Column, size: int) -> tuple[list[Column], Column]:
-    """(sums, mean cosine over all pairs) for an aggregation of vectors and for a column after it."""
-    x = vector.cast("array<double>")
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-    unit = F.when(norm > 0, F.transform(x, lambda v: v / norm)).otherwise(F.array_repeat(F.lit(0.0), size))
-    sums = [F.count("*").alias("_n"), F.sum((norm > 0).cast("double")).alias("_q"), *[F.sum(F.get(unit, F.lit(i))).alias(f"_s{i}") for i in range(size)]]
+def with_norm(df: DataFrame, vector: Column) -> DataFrame:
+    """Adds ``_v``, the vector as doubles, and ``_norm``, its length: columns of their own, so that a row's are computed once and not for each sum."""
+    return df.withColumn("_v", vector.cast("array<double>")).withColumn("_norm", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v * v)))
+
+
+def cosine_sums(size: int) -> tuple[list[Column], Column]:
+    """(sums, mean cosine over all pairs) for an aggregation of rows of ``with_norm`` and for a column after it."""
+    unit = lambda i: F.when(F.col("_norm") > 0, F.get("_v", F.lit(i)) / F.col("_norm")).otherwise(0.0)
+    sums = [F.count("*").alias("_n"), F.sum((F.col("_norm") > 0).cast("double")).alias("_q"), *[F.sum(unit(i)).alias(f"_s{i}") for i in range(size)]]
     square = F.aggregate(F.array(*[F.col(f"_s{i}") for i in range(size)]), F.lit(0.0), lambda a, v: a + v * v)
     return sums, F.when(F.col("_n") > 1, (square - F.col("_q")) / (F.col("_n") * (F.col("_n") - 1)))
 
 
 def mean_pairwise_cosine(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
     """Mean cosine over all pairs of a group from its sums: (|sum u|^2 - sum |u|^2) / (n(n-1)); zero vectors count as 0, null below two."""
-    sums, cosine = cosine_sums(F.col("_v"), size)
-    return df.select(key, F.col(vector).alias("_v")).groupBy(key).agg(*sums).select(key, cosine.alias("mean_cosine"))
+    sums, cosine = cosine_sums(size)
+    return with_norm(df.select(key, vector), F.col(vector)).groupBy(key).agg(*sums).select(key, cosine.alias("mean_cosine"))
 
 
 def mean_with_sem(df: DataFrame, group: str, value: str) -> DataFrame:

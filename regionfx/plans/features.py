@@ -79,9 +79,9 @@ def msa_site_features(variants: DataFrame, msa: DataFrame, protein: str, site: s
     cut = lambda i: F.struct(i.alias("site"), F.substring(F.col(seq), i + 1, F.lit(1)).alias("letter"), S.context_window(F.col(seq), i, w).alias("ctx"))
     x = msa.select(protein, seq).where(F.col(seq).isNotNull()).join(sites, protein).select(protein, F.inline(F.transform(F.filter("_sites", fits), cut)))
     x, keys = x.withColumnRenamed("site", site), [protein, site]
-    sums, cosine = A.cosine_sums(S.cluster_counts(F.col("ctx"), clusters), len(clusters))
-    gamma = S.charge_gamma(F.col("ctx"), w - 1, positive, negative)
-    whole = x.groupBy(*keys).agg(F.avg(gamma).alias("gamma_mean"), F.stddev_pop(gamma).alias("gamma_std"), F.avg(F.col("letter").isin(*members).cast("double")).alias("p_set"), *sums)
+    sums, cosine = A.cosine_sums(len(clusters))
+    own = A.with_norm(x, S.cluster_counts(F.col("ctx"), clusters)).withColumn("_g", S.charge_gamma(F.col("ctx"), w - 1, positive, negative))
+    whole = own.groupBy(*keys).agg(F.avg("_g").alias("gamma_mean"), F.stddev_pop("_g").alias("gamma_std"), F.avg(F.col("letter").isin(*members).cast("double")).alias("p_set"), *sums)
     whole = whole.select(*keys, "gamma_mean", "gamma_std", "p_set", cosine.alias("mean_cosine"))
     # the site's own letter is place 0, its neighbours follow
     cells = x.select(*keys, F.posexplode(F.split(F.concat("letter", "ctx"), "")).alias("_p", "_c")).where("_c <> '-' and _c <> ''").groupBy(*keys, "_p", "_c").agg(F.count("*").alias("n"))

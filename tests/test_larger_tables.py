@@ -21,3 +21,34 @@ def test_parsed_pairs_zero_has_no_sign(spark, tmp_path):
     got = __spark_entry__.queries()["j14_parsed_pairs"](spark, str(tmp_path)).collect()
     assert [repr(list(x)) for x in got] == [repr(list(x)) for x in want]
     assert all(math.copysign(1, x) == 1 for x in got[0]["difference"] if x == 0)
+
+
+def test_gamma_of_many_sequences_at_once(spark):
+    """Null, empty, short and overlong sequences, signs beyond 16 bits, letters of both charges; a sequence is read once, not for each segment."""
+    from regionfx.functions import scalars
+
+    texts = [None, "", "a", "aeiou", "strnaeioubcdfghxyz", "aaaaaaaaaaaaaaaaaasss", "a\U0001f600strn\U0001f600eiaxxxstrn", "saeioustrnaeioustr"]
+
+    def sigma(x, p, m):
+        a, b = sum(c in p for c in x), sum(c in m for c in x)
+        return (a - b) ** 2 / (a + b) if a + b else 0.0
+
+    def gamma(x, p, m):
+        return None if x is None else sum((sigma(x[2 * k : 2 * k + 5], p, m) - sigma(x, p, m)) ** 2 for k in range(10)) / 10
+
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, seq string").coalesce(1)
+    for p, m in (("aeiou", "strn"), ("aeis", "strn")):
+        out = df.select("k", scalars.charge_gamma(F.col("seq"), 18, p, m).alias("g"))
+        assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = dict(out.collect())
+        assert {k: None if g is None else round(g, 12) for k, g in got.items()} == {k: None if x is None else round(gamma(x, p, m), 12) for k, x in enumerate(texts)}
+
+
+def test_norms_are_computed_once_per_row(spark):
+    from regionfx.operators import aggregates
+
+    df = spark.createDataFrame([("a", [3.0, 4.0, 0.0]), ("a", [0.0, 2.0, 0.0]), ("a", [0.0, 0.0, 0.0]), ("a", None), ("b", [1.0, 1.0, 1.0])], "g string, v array<double>")
+    out = aggregates.mean_pairwise_cosine(df, "g", "v", 3)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("SQRT(") == 1
+    assert dict(out.collect()) == {"a": (0.8 * 2 + 2 - 2) / 12, "b": None}
