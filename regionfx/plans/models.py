@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionfx.functions.scalars import row_mean
-from regionfx.operators.sampling import hash_order
+from regionfx.operators.sampling import hash_order, same
 from regionfx.plans import forests
 from regionfx.plans.links import tied_points
 from regionfx.storage import discard, materialize, new_folder
@@ -45,8 +45,11 @@ def feature_columns(df: DataFrame, groups: list[str]) -> list[str]:
     return [c for c in df.columns if any(re.search(FEATURE_GROUPS[g], c) for g in groups)]
 
 
-def train_classifier(df: DataFrame, columns: list[str], label: str, trees: int = 100, depth: int = 15, seed: int = 42) -> PipelineModel:
+def train_classifier(df: DataFrame, columns: list[str], label: str, trees: int = 100, depth: int = 15, seed: int = 42, weight: str | None = None) -> PipelineModel:
+    """With ``weight`` a row stands for so many equal ones, which resampling would hardly change: trees then differ by their features alone."""
     forest = RandomForestClassifier(labelCol=label, featuresCol="_features", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
+    if weight:
+        forest = forest.setWeightCol(weight).setBootstrap(False)
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="skip"), forest]).fit(df)
 
 
@@ -239,17 +242,25 @@ def dbscan_pairs(df: DataFrame, key: str, vector: str, eps: float, n_pivots: int
     return df.select(F.col(key).alias("k")).join(labelled, F.col("k") == F.col("_k"), "left").select(F.col("k").alias(key), F.coalesce("_c", F.lit(-1)).alias("cluster"))
 
 
-def saturation_scores(positions: DataFrame, letter: str, alphabet: list[str], add_features, models: dict[str, PipelineModel]) -> DataFrame:
-    """Every position with every other letter, its features and one score column per model, as one job."""
+def saturation_scores(positions: DataFrame, letter: str, alphabet: list[str], add_features, models: dict[str, PipelineModel], alike: list[str] | None = None) -> DataFrame:
+    """Every position with every other letter, its features and one score column per model.
+
+    ``alike``: the columns that features depend on, the changed letter among them.  Each of their combinations has its features made and is scored once, and
+    rows get the scores (not the features) by a join; null is a value like others, and rows without features drop out.
+    """
     from regionfx.operators.joins import saturation
 
-    rows = add_features(saturation(positions, letter, alphabet))
+    rows = saturation(positions, letter, alphabet)
+    found = add_features(rows.select(*alike).distinct() if alike else rows)
     for name, model in models.items():
-        rows = predict(model, rows, name)
-    return rows
+        found = predict(model, found, name)
+    if not alike:
+        return found
+    own = materialize(found.select(*[F.col(c).alias(f"_{c}") for c in alike], *models), "alike")  # so that a small table's size is known to the join
+    return rows.join(own, same(alike, rows, own)).drop(*[f"_{c}" for c in alike])
 
 
-def saturation_by_region(positions: DataFrame, region: str, letter: str, alphabet: list[str], add_features, models: dict[str, PipelineModel], path: str, columns: list[str] | None = None, regions_per_batch: int = 1000) -> int:
+def saturation_by_region(positions: DataFrame, region: str, letter: str, alphabet: list[str], add_features, models: dict[str, PipelineModel], path: str, columns: list[str] | None = None, regions_per_batch: int = 1000, alike: list[str] | None = None) -> int:
     """``saturation_scores`` written by region, in batches; the number of new regions.  Read it with ``incremental.read_finished``.
 
     Regions of finished batches are skipped, a null region among them, so a stopped run goes on where it was and each region is in
@@ -258,7 +269,7 @@ def saturation_by_region(positions: DataFrame, region: str, letter: str, alphabe
     from regionfx.streaming.incremental import incremental_scoring
 
     def score(rows: DataFrame) -> DataFrame:
-        out = saturation_scores(rows, letter, alphabet, add_features, models)
+        out = saturation_scores(rows, letter, alphabet, add_features, models, alike)
         return out.select(*columns) if columns else out
 
     return incremental_scoring(positions, region, score, path, regions_per_batch, [region])

@@ -156,17 +156,20 @@ def m10(spark, d):
 (SELECT l_orderkey::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR || '-' || l_linenumber::VARCHAR AS variant_id, l_suppkey % 10 AS key, l_partkey % 60 AS location, c FROM lineitem, (VALUES ('A'), ('N'), ('R')) t(c) WHERE c <> l_returnflag AND l_returnflag <> 'R'), (SELECT label, count(*) AS size FROM embeddings GROUP BY 1) e
 WHERE key = label AND location BETWEEN 5 AND 54 AND location - 4 <= size GROUP BY 1""")
 def m10_regions(spark, d):
-    """All variants of all regions with the features of the variant table, scored by region; stopped half-way and run again."""
+    """All variants of all regions with the features of the variant table, scored by region; stopped half-way and run again.
+
+    Variants of a place with the same letters have the same features, so the model is trained on each kind of them with its number as weight.
+    """
     vectors = {"Res_MD": ("window", 192), "Pair_MD": ("pair", 4), "Res_AA": ("aa", 2), "One_Hot": ("one_hot", 3)}
-    sides = residues(spark, d), pairs(spark, d), cells(spark, d), _props(spark, d)
-    add = lambda rows: M.named_features(P.variant_feature_table(rows, _regions(spark, d), *sides, LETTERS, LETTERS, 64, k=1, rmsf=2), vectors)
-    positions = _variants(spark, d).drop("changed")
-    train = add(J.saturation(positions, "orig", LETTERS)).withColumn("label", (F.col("key") % 2).cast("double"))
-    train = materialize(train, "training")
-    model = M.train_classifier(train, M.feature_columns(train, ["residue_md", "pair_md", "residue_aa"]), "label", trees=3, depth=3)
+    sides = [materialize(x(spark, d), "sides") for x in (_regions, residues, pairs, cells, _props)]  # read by every batch
+    add = lambda rows: M.named_features(P.variant_feature_table(rows, *sides, LETTERS, LETTERS, 64, k=1, rmsf=2), vectors)
+    positions, alike = _variants(spark, d).drop("changed"), ["key", "location", "orig", "changed"]
+    kinds = J.saturation(positions, "orig", LETTERS).groupBy(*alike).agg(F.count("*").cast("double").alias("weight"))
+    train = materialize(add(kinds).withColumn("label", (F.col("key") % 2).cast("double")), "training")
+    model = M.train_classifier(train, M.feature_columns(train, ["residue_md", "pair_md", "residue_aa"]), "label", trees=3, depth=3, weight="weight")
     path, columns = _folder(spark, "saturation"), ["key", "variant_id", "location", "changed", "p"]
-    M.saturation_by_region(positions.where("key % 3 = 0"), "key", "orig", LETTERS, add, {"p": model}, path, columns, regions_per_batch=4)
-    M.saturation_by_region(positions, "key", "orig", LETTERS, add, {"p": model}, path, columns, regions_per_batch=4)
+    for part in (positions.where("key % 3 = 0"), positions):
+        M.saturation_by_region(part, "key", "orig", LETTERS, add, {"p": model}, path, columns, regions_per_batch=4, alike=alike)
     rows = I.read_finished(spark, path).where("p BETWEEN 0 AND 1")
     return rows.groupBy(F.col("key").cast("long").alias("region")).agg(F.count("*").alias("n"), F.count_distinct("location").alias("positions"), F.count_distinct("variant_id").alias("variants"))
 

@@ -39,7 +39,7 @@ def finished_keys(spark: SparkSession, path: str, key: str) -> DataFrame | None:
 def write_batch(spark: SparkSession, path: str, batch: str, rows: DataFrame, keys: DataFrame, partition_by: list[str] | None = None) -> None:
     """Write a batch's rows and keys, then say that it is finished.  The same id again replaces the batch."""
     to = lambda df, part: df.write.mode("overwrite").parquet(f"{path}/{part}/batch={batch}")
-    writer = rows.repartition(*partition_by).write.partitionBy(*partition_by) if partition_by else rows.write
+    writer = rows.hint("rebalance", *partition_by).write.partitionBy(*partition_by) if partition_by else rows.write
     writer.mode("overwrite").parquet(f"{path}/{ROWS}/batch={batch}")
     to(keys, KEYS)
     to(spark.range(1), BATCHES)

@@ -52,3 +52,26 @@ def test_norms_are_computed_once_per_row(spark):
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("SQRT(") == 1
     assert dict(out.collect()) == {"a": (0.8 * 2 + 2 - 2) / 12, "b": None}
+
+
+def test_alike_rows_are_scored_once(spark):
+    """Scores by a join equal those of each row; null is a value, rows without features drop out, features are made once for each kind."""
+    from regionfx.operators import joins
+    from regionfx.plans import models
+
+    data = [(i, i % 3 if i % 7 else None, "ANR"[i % 3 - 1] if i % 5 else None) for i in range(60)]
+    positions = spark.createDataFrame(data, "id int, place int, letter string")
+    seen = []
+
+    def add(rows):
+        seen.append(rows.count())
+        rows = rows.where("place IS NULL OR place <> 1")
+        return rows.withColumn("Res_MD_1", F.coalesce(F.col("place"), F.lit(9)) + 0.0).withColumn("Res_MD_2", F.ascii("changed") / 100.0)
+
+    train = add(joins.saturation(positions, "letter", list("ANR"))).withColumn("label", (F.col("id") % 2).cast("double"))
+    weighted = train.groupBy("Res_MD_1", "Res_MD_2", "label").agg(F.count("*").cast("double").alias("n"))
+    model = models.train_classifier(weighted, ["Res_MD_1", "Res_MD_2"], "label", trees=2, depth=3, weight="n")
+    one = models.saturation_scores(positions, "letter", list("ANR"), add, {"p": model})
+    all_ = models.saturation_scores(positions, "letter", list("ANR"), add, {"p": model}, alike=["place", "letter", "changed"])
+    assert sorted(map(str, one.select("id", "changed", "p").collect())) == sorted(map(str, all_.select("id", "changed", "p").collect()))
+    assert seen[2] < seen[1]
