@@ -11,6 +11,7 @@ from regionfx.operators import joins as J
 from regionfx.operators import sampling as L
 from regionfx.operators.sampling import with_group
 from regionfx.operators.windows import neighbour_window
+from regionfx.storage import materialize
 
 
 def residue_features(residue: DataFrame, size: int, k: int, rmsf: int | None = None) -> DataFrame:
@@ -75,6 +76,7 @@ def msa_site_features(variants: DataFrame, msa: DataFrame, protein: str, site: s
     end before a site or the window take no part there; null proteins, sites and sequences take none, repeated sequences count each.
     """
     sites = variants.select(protein, site).na.drop().distinct().groupBy(protein).agg(F.collect_list(site).alias("_sites"))  # places of one protein
+    sites = materialize(sites, "sites")  # so that the join knows a small table's size, and a hot protein's sequences needn't meet in one task
     fits = lambda i: F.length(seq) >= F.greatest(F.lit(w), i + 1)
     cut = lambda i: F.struct(i.alias("site"), F.substring(F.col(seq), i + 1, F.lit(1)).alias("letter"), S.context_window(F.col(seq), i, w).alias("ctx"))
     x = msa.select(protein, seq).where(F.col(seq).isNotNull()).join(sites, protein).select(protein, F.inline(F.transform(F.filter("_sites", fits), cut)))

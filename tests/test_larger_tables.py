@@ -83,3 +83,15 @@ def test_joins_that_make_many_rows_have_many_tasks(spark, sf_dir):
     for name in ("j9_site_annotation", "j7_point_in_region"):
         parts = __spark_entry__.queries()[name](spark, sf_dir).select(F.spark_partition_id().alias("p")).distinct().count()
         assert parts > 1, name
+
+
+def test_sequences_of_a_hot_protein_stay_in_their_tasks(spark):
+    """What is shuffled are counts, a few rows of each task, whatever the number of sequences."""
+    from regionfx.plans import features
+    from tests.plans import shuffled_rows
+
+    msa = spark.range(20000, numPartitions=4).select(F.lit("p").alias("protein"), F.repeat(F.lit("aeioustrnb"), 3).alias("seq"))
+    sites = spark.createDataFrame([("p", 3), ("p", 12)], "protein string, site int")
+    out = features.msa_site_features(sites, msa, "protein", "site", "seq", "aeiou", "strn", ["aeiou", "strn"], "sty")
+    assert shuffled_rows(out) < 2000
+    assert [r["site_entropy"] for r in out.collect()] == [0.0, 0.0]
