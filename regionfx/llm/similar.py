@@ -5,7 +5,8 @@ in about ten bits of a 64-bit SimHash, which ball hashing can't cover.  So
 texts also get band signatures of minima of their shingles' hashes; texts that
 share a band are compared by their whole sets.  A band's texts are compared
 with leaders, never each with each: first with one of the band, after which a text leaves that by its
-distance from this leader and its own shingles nothing in the band can be similar to; then with
+distance from this leader and its own shingles nothing in the band can be similar to; then members that have a rare shingle
+in common, which are few; then, as far as distances allow with rare shingles taken as nobody else's, with
 texts that are still outside of the band's largest component, as far as both distances allow.  A leader leaves the
 band after its turn, and the band is done when all its texts are in one component, so that
 no two texts of a band are left that might be similar and are neither compared nor linked.
@@ -24,6 +25,8 @@ from regionfx.llm.words import chunks_of
 #: A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** ROWS) ** BANDS = 6e-5.
 BANDS, ROWS = 32, 6
 NODE_SEED, MINIMA_SEED = 7, 11
+#: A shingle is rare among a leader's members if at most so many have it; those are compared with each other.
+RARE = 16
 
 
 def band_signatures(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -100,34 +103,48 @@ def crowded_bands(sigs: DataFrame) -> DataFrame:
     return met.join(met.groupBy("node").agg(F.sum("n").alias("weight")), "node").select("sig", "node", "weight")
 
 
-def hopeful(met: DataFrame, known: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(sig, node, high, low): the members of bands that another one of their band may still be similar enough to.
+def differences(met: DataFrame, known: DataFrame) -> DataFrame:
+    """met (sig, node, root, lead) with size, that of the node's set, and d, its symmetric difference from the leader's, by the comparisons ``known``."""
+    gap = (F.col("a_size") + F.col("b_size") - 2 * F.col("shared")).alias("d")
+    of = known.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("a_size").alias("size"), gap)
+    return met.join(of.union(known.select("b", "a", "b_size", gap)), ["node", "lead"])
+
+
+def single_shingles(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, u): how many shingles of members and leaders no other one of these has."""
+    own = sets.join(met.select("node").union(met.select("lead")).distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    return own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("u"))
+
 
-    met: (sig, node, root, lead), the members of a band and the leader they were
-    compared with; known: those comparisons.  A text's difference from the leader is
-    the symmetric difference of their sets, of size d; the distance of two texts is
-    the symmetric difference of their differences.  Shingles that no other
-    text here has (u of them) are in no two differences, so x and y differ in at least
+def rare_shingles(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, shingle, node, n): the shingles of a leader's members that it lacks and that at most RARE of them (n) have."""
+    pairs = met.select("node", "lead").distinct().join(sets, "node").withColumnRenamed("shingles", "_own")
+    pairs = pairs.join(sets.select(F.col("node").alias("lead"), "shingles"), "lead")
+    added = materialize(pairs.select("lead", "node", F.explode(F.array_except("_own", "shingles")).alias("shingle")), "added-shingles")
+    few = added.groupBy("lead", "shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    return added.join(few, ["lead", "shingle"]).select("lead", "shingle", "node", "n")
+
+
+def hopeful(rows: DataFrame, similarity: float) -> DataFrame:
+    """The members of bands that another one of their band may still be similar enough to, with ``high`` and ``low``.
+
+    rows: (sig, node, root, lead, size, d, u), the members of a band, the leader they were
+    compared with and by how much they differ.  The distance of two texts is
+    the symmetric difference of their differences from the leader.  If u of a text's shingles, which the leader lacks,
+    are in no two differences, x and y differ in at least
     d(x) + d(y) - 2 min(d(x) - u(x), d(y) - u(y)) shingles, and similar ones in at most
     share * (size(x) + size(y)).  With high = d - 2u + share * size and low = d - share * size a
     pair needs high(y) >= low(x) and high(x) >= low(y).  Members are held against
     summaries of their band in steps of low, each with its greatest high and least low.
     """
-    share = (1 - similarity) / (1 + similarity)
-    gap = (F.col("a_size") + F.col("b_size") - 2 * F.col("shared")).alias("d")
-    of = known.select(F.col("a").alias("node"), F.col("b").alias("lead"), F.col("a_size").alias("size"), gap)
-    of = of.union(known.select("b", "a", "b_size", gap))
-    there = met.select("node").union(met.select("lead")).distinct()
-    own = sets.join(there, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-    single = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("u"))
-    slack = share * F.col("size") + 1e-6
+    slack = (1 - similarity) / (1 + similarity) * F.col("size") + 1e-6
     high, low = F.col("d") - 2 * F.coalesce("u", F.lit(0)) + slack, F.col("d") - slack
     step = (8 * F.log2(F.greatest(F.col("d"), F.lit(1)))).cast("int")
-    rows = materialize(met.join(of, ["node", "lead"]).join(single, "node", "left").select("sig", "node", "root", high.alias("high"), low.alias("low"), step.alias("step")), "bounds")
+    rows = materialize(rows.select("sig", "node", "root", "lead", "size", "d", high.alias("high"), low.alias("low"), step.alias("step")), "bounds")
     steps = rows.groupBy("sig", "step").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.min("root").alias("first"), F.max("root").alias("last"))
     bands = steps.groupBy("sig").agg(F.collect_list(F.struct("high", "low", "first", "last")).alias("steps"))  # at most 8 for each doubling of d
     may = F.exists("steps", lambda s: (s["high"] >= F.col("low")) & (s["low"] <= F.col("high")) & ((s["first"] != F.col("root")) | (s["last"] != F.col("root"))))
-    return rows.join(bands, "sig").where(may).select("sig", "node", "high", "low")
+    return rows.join(bands, "sig").where(may).select("sig", "node", "lead", "size", "d", "high", "low")
 
 
 def merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -145,7 +162,9 @@ def similar_groups(members: DataFrame, edges: DataFrame, sets: DataFrame, simila
 
     First each band's members are compared with one leader, the one that meets most
     others in its bands: the text that a family of near copies was made from links them all.  Members that
-    nothing in their band can be similar to leave it.  After that, leaders are texts outside of their
+    nothing in their band can be similar to leave it.  Of the others, those of a leader that have a rare shingle in common are compared, at most RARE
+for each of their shingles; no two that are left share one, so rare shingles count like those that only one text has, and again members leave.
+After that, leaders are texts outside of their
     band's largest component, and each is compared with the members of other components that may be similar to it.
     """
     roots = components(edges)
@@ -164,7 +183,17 @@ def similar_groups(members: DataFrame, edges: DataFrame, sets: DataFrame, simila
     roots = merged(roots, linked(tested))
     met = materialize(rooted(met), "met-leads")
     open_bands = met.groupBy("sig").agg(*ranges).where("first <> last").select("sig")
-    active, n_leads = materialize(hopeful(met.join(open_bands, "sig", "left_semi"), tested, sets, similarity), "hopeful"), 64
+    met = met.join(open_bands, "sig", "left_semi")
+    active, n_leads = materialize(hopeful(differences(met, tested).join(single_shingles(met, sets), "node", "left"), similarity), "hopeful"), 64
+    if not active.isEmpty():
+        rare = materialize(rare_shingles(active, sets), "rare-shingles")
+        two = rooted(rare.where("n > 1")).select("lead", "shingle", "node", "root")
+        pairs = two.join(two.select("lead", "shingle", F.col("node").alias("node2"), F.col("root").alias("root2")), ["lead", "shingle"]).where("node < node2 and root <> root2")
+        known = materialize(compared(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), sets), "compared")
+        tested, roots = tested.union(known), merged(roots, linked(known))
+        few = rare.groupBy("lead", "node").agg(F.count("*").alias("u"))
+        active = materialize(hopeful(rooted(active.select("sig", "node", "lead", "size", "d")).join(few, ["lead", "node"], "left"), similarity), "hopeful")
+    active = active.select("sig", "node", "high", "low")
     while True:
         seen = materialize(rooted(active), "band-members")
         sizes = seen.groupBy("sig", "root").agg(F.count("*").alias("n"))

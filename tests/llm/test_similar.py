@@ -89,3 +89,30 @@ def test_large_families_equal_brute_force(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert similar.near_duplicates(docs).isEmpty()
+
+
+def test_members_of_a_large_family_are_not_all_compared(spark, monkeypatch):
+    """Copies that differ in many words, some of which a few have in common: pairs compared grow with the copies, not with their square."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(500):
+        near = list(base)
+        for _ in range(rng.choice((2, 3, 4, 5))):
+            near[rng.randrange(150)] = f"x{rng.randint(0, 3)}"
+        texts.append(" ".join(near))
+    texts, made = list(dict.fromkeys(texts)), []
+    compared = similar.compared
+
+    def counted(pairs, sets):
+        out = compared(pairs, sets)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "compared", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = similar.near_duplicates(docs).groupBy("component_id").agg(F.count("*").alias("n")).collect()
+    assert max(r["n"] for r in got) > 200 and len(got) > 100
+    assert sum(made) < 30 * len(texts), made
