@@ -95,3 +95,19 @@ def test_sequences_of_a_hot_protein_stay_in_their_tasks(spark):
     out = features.msa_site_features(sites, msa, "protein", "site", "seq", "aeiou", "strn", ["aeiou", "strn"], "sty")
     assert shuffled_rows(out) < 2000
     assert [r["site_entropy"] for r in out.collect()] == [0.0, 0.0]
+
+
+def test_full_bins_of_intervals_are_cut_into_tiles(spark, monkeypatch):
+    """Pairs equal those of a plain join; one hot bin, copies of rows and bins without intervals among them; points without intervals near aren't shuffled."""
+    from regionfx.operators import joins
+    from tests.plans import shuffled_rows
+
+    monkeypatch.setattr(joins, "TILE_POINTS", 16, raising=False)
+    monkeypatch.setattr(joins, "TILE_REGIONS", 8, raising=False)
+    points = spark.createDataFrame([(i, i % 2 if i % 9 else None, float(i % 70) if i % 11 else None) for i in range(300)] + [(0, 1, 5.0)] * 3 + [(-i, 1, 1e6 + i) for i in range(5000)], "id long, key int, pos double")
+    regions = spark.createDataFrame([(i, i % 3 if i % 8 else None, float(i), float(i + 4 ** (i % 4))) for i in range(60)] + [(99, 1, 3.0, 9.0)] * 20 + [(100, 1, 9.0, 3.0)], "ord int, key int, lo double, hi double")
+    got = joins.point_in_region(points, regions, "key", "pos", "lo", "hi", bin_width="levels")
+    want = joins.point_in_region(points, regions, "key", "pos", "lo", "hi")
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert shuffled_rows(got) < 5000
