@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 
 def group_mean(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -357,3 +358,77 @@ def hist_2d(df: DataFrame, x: str, y: str, bins: int, group: str) -> DataFrame:
 def linear_fit(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """(by, slope, intercept, r2) over the rows with both values; nulls where there are fewer than two or x is constant; a null key is a group."""
     return df.groupBy(by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+
+
+#: Characters that are counted at once, and cells of a task's tables up to which it goes on counting before it hands them on.
+LETTERS_AT_ONCE, LETTER_CELLS = 1 << 22, 1 << 24
+
+
+def letter_counts(df: DataFrame, group: str, seq: str) -> DataFrame:
+    """(group, pos from 0, letter, n): how many sequences of a group have a letter at a place.
+
+    A task counts in tables of letters and places, one for each group, and hands on their cells when it ends or the tables are full, so
+    no row is made for each letter.  The null group is one like others; null sequences have no letters.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = df.schema[group].dataType
+
+    def counted(batches):
+        import pyarrow as pa
+
+        places, letters, tables = np.full(0x110000, -1, dtype=np.int32), [], {}
+
+        def rows(name, codes, pos, n):
+            of = pa.array(letters)
+            for i in range(0, len(n), 1 << 16):
+                cut = slice(i, i + (1 << 16))
+                own = pa.array([name], to_arrow_type(kind)).take(pa.array(np.zeros(len(n[cut]), dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(pos[cut].astype(np.int32)), of.take(pa.array(codes[cut])), pa.array(n[cut].astype(np.int64))], names=[group, "pos", "letter", "n"])
+
+        def full():
+            for name, table in tables.items():
+                codes, pos = np.nonzero(table)
+                yield from rows(name, codes, pos, table[codes, pos])
+            tables.clear()
+
+        def count(name, texts):
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            if not len(codes):
+                return
+            for new in np.unique(codes[places[codes] < 0]):
+                places[new] = len(letters)
+                letters.append(chr(new))
+            pos = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            longest, own = int(sizes.max()), places[codes].astype(np.int64)
+            if len(letters) * longest > LETTER_CELLS:  # too many for a table
+                key, n = np.unique(pos * len(letters) + own, return_counts=True)
+                yield from rows(name, key % len(letters), key // len(letters), n)
+                return
+            table = np.bincount(own * longest + pos, minlength=len(letters) * longest).reshape(len(letters), longest)
+            old = tables.get(name, table[:0, :0])
+            if old.shape[0] < table.shape[0] or old.shape[1] < longest:
+                tables[name] = np.zeros(np.maximum(old.shape, table.shape), dtype=np.int64)
+                tables[name][: old.shape[0], : old.shape[1]] = old
+            tables[name][:, :longest] += table
+            if sum(t.size for t in tables.values()) > LETTER_CELLS:
+                yield from full()
+
+        waiting, size = {}, 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                waiting.setdefault(name, []).append(text)
+                size += len(text)
+                if size >= LETTERS_AT_ONCE:
+                    for k, texts in waiting.items():
+                        yield from count(k, texts)
+                    waiting, size = {}, 0
+        for k, texts in waiting.items():
+            yield from count(k, texts)
+        yield from full()
+
+    counts = [StructField("pos", IntegerType()), StructField("letter", StringType()), StructField("n", LongType())]
+    parts = df.select(group, seq).mapInArrow(counted, StructType([StructField(group, kind), *counts]))
+    return parts.groupBy(group, "pos", "letter").agg(F.sum("n").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regionfx.catalog import query, table
 from regionfx.functions import scalars as S
+from regionfx.operators import aggregates as A
 from regionfx.operators import sampling as L
 from regionfx.sources import tables as T
 from regionfx.storage import new_folder as _folder
@@ -362,7 +363,7 @@ def f8(spark, d):
 
 @query("f9_residue_counts", f"SELECT protein, pos, letter, count(*) AS n FROM (SELECT protein, unnest(range(length(seq)))::INT AS pos, unnest(string_split(seq, '')) AS letter FROM {_SEQ} WHERE length(seq) > 0) GROUP BY ALL")
 def f9(spark, d):
-    return _seq(spark, d).where("length(seq) > 0").select("protein", F.posexplode(F.split("seq", "")).alias("pos", "letter")).groupBy("protein", "pos", "letter").agg(F.count("*").alias("n"))
+    return A.letter_counts(_seq(spark, d), "protein", "seq")
 
 
 @query("f10_transforms", "SELECT l_orderkey, l_linenumber, round(asin(sqrt(l_discount)), 9) AS a, round(log10(l_tax + 0.0001), 9) AS b FROM lineitem")

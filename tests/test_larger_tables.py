@@ -111,3 +111,25 @@ def test_full_bins_of_intervals_are_cut_into_tiles(spark, monkeypatch):
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert shuffled_rows(got) < 5000
+
+
+def test_letter_counts(spark, monkeypatch):
+    """Null and empty sequences, a null group, signs beyond 16 bits, full tables, tables that would be too large; no row for each letter."""
+    import collections
+
+    from regionfx.operators import aggregates
+
+    data = [("a", "abca"), ("a", "ab"), ("a", None), ("a", ""), (None, "zz"), ("b", "\U0001f600xé"), ("b", "q" * 300)] + [("c", "abcabc")] * 2000
+    want = collections.Counter((g, i, x) for g, s in data for i, x in enumerate(s or ""))
+    for at_once, cells in ((1 << 22, 1 << 24), (3, 40), (1 << 22, 40)):
+        monkeypatch.setattr(aggregates, "LETTERS_AT_ONCE", at_once)
+        monkeypatch.setattr(aggregates, "LETTER_CELLS", cells)
+        out = aggregates.letter_counts(spark.createDataFrame(data, "g string, s string").coalesce(2), "g", "s")
+        assert {(r["g"], r["pos"], r["letter"]): r["n"] for r in out.collect()} == want
+
+
+def test_residue_counts_make_no_row_for_each_letter(spark, sf_dir):
+    import __spark_entry__
+
+    df = __spark_entry__.queries()["f9_residue_counts"](spark, sf_dir)
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
