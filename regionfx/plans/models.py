@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from regionfx.functions.scalars import row_mean
 from regionfx.operators.sampling import hash_order, same
 from regionfx.plans import forests
-from regionfx.plans.links import tied_points
-from regionfx.storage import discard, materialize, new_folder
+from regionfx.plans.links import components, tied_points
+from regionfx.storage import materialize, new_folder
 
 #: One registry of feature groups by column-name pattern, for training, scoring and importances alike.  Fixed values.
 FEATURE_GROUPS = {"one_hot": "One_Hot_", "residue_aa": "Res_AA_", "residue_md": "Res_MD", "pair_md": "Pair_MD", "conservation": "Cons_", "embedding": "ESM2_", "conformation": "Conf_", "likelihood": "ESM1b_", "length": "^Region Length$"}
@@ -196,34 +196,6 @@ def epsilon_candidates(points: DataFrame, eps: float, n_pivots: int = 4, n_cells
     return home.join(other.hint("merge"), "cell").where((F.col("k") < F.col("k2")) & near).select("k", "v", "k2", "v2")
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the least node that can be reached, of all nodes that edges name; nodes must be comparable.
-
-    Each round hooks every root to its least neighbour, follows hooks to their ends by pointer jumping, and contracts the edges to
-    roots; the rounds grow with the logarithm of a component's size, not with the length of its paths.
-    """
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    links = materialize(both.where("x <> y").union(both.where("x <> y").select("y", "x")).distinct(), "links")
-    roots = materialize(both.select(F.explode(F.array("x", "y")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
-    while not links.isEmpty():
-        hooks = materialize(links.groupBy("x").agg(F.min("y").alias("to")).where("to < x"), "hooks")
-        while True:
-            ends = hooks.select(F.col("x").alias("_x"), F.col("to").alias("_to"))
-            jumped = materialize(hooks.join(ends, F.col("to") == F.col("_x"), "left").select("x", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")), "hooks")
-            moved = not jumped.where("moved").isEmpty()
-            discard(hooks)
-            hooks = jumped.select("x", "to")
-            if not moved:
-                break
-        end = lambda df, c: df.join(hooks.select(F.col("x").alias("_x"), F.col("to").alias("_to")), F.col(c) == F.col("_x"), "left").withColumn(c, F.coalesce("_to", c)).drop("_x", "_to")  # noqa: B023, E731
-        new_roots = materialize(end(roots, "root"), "roots")
-        new_links = materialize(end(end(links, "x"), "y").where("x <> y").distinct(), "links")
-        discard(roots, links, hooks)
-        roots, links = new_roots, new_links
-    discard(links)
-    return roots.select("node", F.col("root").alias("component"))
-
-
 def dbscan_pairs(df: DataFrame, key: str, vector: str, eps: float, n_pivots: int = 4) -> DataFrame:
     """Clusters of points linked within eps (two points make one): (key, cluster), the smallest key of the cluster, -1 for single points.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from regionfx import storage
 from regionfx.operators import joins, sampling, statistics, windows
-from regionfx.plans import features, models
+from regionfx.plans import features, links, models
 from regionfx.sources import tables
 from tests.plans import made_rows, shuffled_rows
 
@@ -275,3 +275,40 @@ def test_close_pairs_at_the_radius():
     i, j = close(x, x, 1.25)
     want = (((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= 1.25**2).nonzero()
     assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(want[0].tolist(), want[1].tolist()))
+
+
+@pytest.mark.parametrize("shape", ["one cluster", "many clusters", "far apart"])
+def test_pairs_inside_the_largest_cluster_are_left_out(spark, monkeypatch, shape):
+    """Points that the pivots can't tell apart: few blocks are compared where most points are one cluster, all pairs where they aren't."""
+    monkeypatch.setattr(links, "BLOCK", 16)
+    monkeypatch.setattr(links, "MET", 2)
+    monkeypatch.setattr(links, "FEW", 2)
+    whole, seen = links._compared, []
+
+    def compared(a, b, met, *rest):
+        seen.append(met.count())
+        return whole(a, b, met, *rest)
+
+    monkeypatch.setattr(links, "_compared", compared)
+    rng = np.random.default_rng(9)
+    if shape == "many clusters":
+        centres = rng.normal(0, 1, (40, 24))
+        x = np.concatenate([c / np.linalg.norm(c) + rng.normal(0, 0.01, (12, 24)) for c in centres])
+        eps = 0.2
+    else:
+        x = rng.normal(0, 1, (480, 12 if shape == "one cluster" else 40))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        eps = 1.1 if shape == "one cluster" else 0.7
+    x = np.concatenate([x, x[:3], 3 * x[5:6], 3 * x[5:6] + 1e-3])
+    keys = [int(k) for k in rng.permutation(len(x))]
+    df = spark.createDataFrame([*zip(keys, x.tolist(), strict=True), (5000, [1.0]), (5001, [1.5]), (5002, [9.0])], "k long, v array<double>")
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= eps
+    label = np.array(keys)
+    while (label != (least := np.where(near, label[None], 10**6).min(axis=1))).any():
+        label = least
+    want = {k: int(label[i]) if near[i].sum() > 1 else -1 for i, k in enumerate(keys)}
+    got = {r["k"]: r["cluster"] for r in models.dbscan_pairs(df, "k", "v", eps).collect()}
+    assert got == {**want, 5000: 5000 if eps >= 0.5 else -1, 5001: 5000 if eps >= 0.5 else -1, 5002: -1}
+    n = math.ceil(len(x) / 16)
+    assert len(seen) > 2
+    assert shape != "one cluster" or sum(seen) < n * (n + 1) / 4
