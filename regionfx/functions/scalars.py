@@ -218,3 +218,27 @@ def row_mean(columns: list[str]) -> Column:
     """Mean of a row's columns without its nulls."""
     present = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull())
     return F.try_divide(F.aggregate(present, F.lit(0.0), lambda a, x: a + x), F.size(present))
+
+
+def sign_counts(text: Column, sets: list[str]) -> Column:
+    """How many signs of each set a text has, then the pieces that ``split`` makes of it at ``\\s+``: an array of doubles, null for null.
+
+    Signs must be ASCII, so that bytes are counted, all sets in one pass, whatever else the text holds.
+    """
+    member, space = np.zeros((256, len(sets))), bytes(c in b" \t\n\x0b\f\r" for c in range(256))
+    for i, signs in enumerate(sets):
+        member[list(signs.encode("ascii")), i] = 1
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        out: list[np.ndarray | None] = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            blank = np.frombuffer(t.translate(space), np.uint8)
+            runs = np.count_nonzero(blank[1:] > blank[:-1]) + np.count_nonzero(blank[:1])
+            out.append(np.append(np.bincount(np.frombuffer(t, np.uint8), minlength=256) @ member, runs + 1.0))
+        return pd.Series(out, dtype=object)
+
+    return run(text.cast("binary"))

@@ -88,10 +88,10 @@ def out_of_fold_scores(df: DataFrame, fold: str, variants: dict[str, list[str]],
     a row in one pass, or one after the other if they are too large to be sent to all tasks.  Rows with a null or
     NaN in a used column drop out.
     """
-    models = {}
-    for i in range(1, k + 1):
-        rows = train_rows(i) if train_rows else df.where(F.col(fold) != i)
-        models |= {(i, name): m for name, m in train_variants(rows, variants, label, train, at_once=at_once, **options).items()}
+    rows_of = {i: train_rows(i) if train_rows else df.where(F.col(fold) != i) for i in range(1, k + 1)}
+    with ThreadPoolExecutor(at_once) as pool:  # one fold's last fits don't keep the next fold waiting
+        fits = {(i, name): pool.submit(train, rows, feature_columns(rows, groups), label, **options) for i, rows in rows_of.items() for name, groups in variants.items()}
+        models = {key: fit.result() for key, fit in fits.items()}
     path = path or new_folder(df.sparkSession, "models")
     forests.save_models(models, path)
     found = forests.read_forests(df.sparkSession, path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionfx.catalog import query, table
+from regionfx.functions.scalars import sign_counts
 from regionfx.operators import joins as J
 from regionfx.plans import features as P
 from regionfx.plans import models as M
@@ -75,16 +76,15 @@ def m5(spark, d):
 
 
 def _training(spark, d):
-    x = scored(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    words = F.size(F.split("text", r"\s+")).cast("double")
-    symbols = (F.length("text") - F.length(F.translate("text", "#*$%&|", ""))).cast("double")
-    capitals = (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("double")
-    count = lambda signs: (F.length("text") - F.length(F.translate("text", signs, ""))).cast("double")
+    sets = {"symbols": "#*$%&|", "digits": "0123456789", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "marks": ".,;:!?", "lines": "\n", "vowels": "aeiou"}
+    counted = table(spark, d, "documents").select("doc_id", F.length("text").alias("length"), sign_counts(F.col("text"), list(sets.values())).alias("n"))
+    x = scored(spark, d).join(counted, "doc_id")  # no text is shuffled
+    n = {name: F.get("n", F.lit(i)) for i, name in enumerate([*sets, "words"])}
     rows = x.select(
         "doc_id", "fold", F.col("quality").cast("double").alias("label"), F.col("score").cast("double").alias("Region Length"),
         *[(F.col("lang") == c).cast("double").alias(f"One_Hot_{c}") for c in ("de", "en", "es", "fr")],
-        (symbols / words).alias("Res_AA_1"), (count("0123456789") / words).alias("Res_AA_2"), (capitals / words).alias("Res_MD_1"), (count(".,;:!?") / words).alias("Res_MD_2"),
-        words.alias("Pair_MD_1"), (F.length("text") / words).alias("Pair_MD_2"), (count("\n") / words).alias("Cons_1"), (count("aeiou") / F.length("text")).alias("ESM1b_1"),
+        (n["symbols"] / n["words"]).alias("Res_AA_1"), (n["digits"] / n["words"]).alias("Res_AA_2"), (n["capitals"] / n["words"]).alias("Res_MD_1"), (n["marks"] / n["words"]).alias("Res_MD_2"),
+        n["words"].alias("Pair_MD_1"), (F.col("length") / n["words"]).alias("Pair_MD_2"), (n["lines"] / n["words"]).alias("Cons_1"), (n["vowels"] / F.col("length")).alias("ESM1b_1"),
     )
     return materialize(rows, "training")  # fits and scores read numbers, not texts
 

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from regionfx.functions import scalars
 from regionfx.plans import forests, models
 from regionfx.queries import models as queries
 
@@ -119,3 +120,19 @@ def test_saturation_scores_are_those_of_the_saved_trees(spark, tmp_path):
     out = models.saturation_scores(queries.materialize(positions, "positions"), "letter", list("ANR"), lambda x: x.withColumn("Res_MD_2", F.ascii("changed") / 100.0), {"p": model}).collect()
     assert len(out) == 100 and all(r["letter"] != r["changed"] for r in out)
     assert all(math.isclose(r["p"], _probability(trees, [r["Res_MD_1"], r["Res_MD_2"]]), abs_tol=1e-12) for r in out)
+
+
+def test_signs_are_counted_in_one_pass(spark, sf_dir, monkeypatch):
+    """Counts equal those of translate and split, for texts of any signs, and no text is shuffled for the training rows."""
+    sets = ["#*$%&|", "0123456789", "aeiou", "\n"]
+    texts = ["", " ", " a  b\t", "a\u00a0b\u2003c é\U0001f600#1", "\n\x0b\f\r\x1c\x85x", "a1#" * 500, "a" * 9 + " \n" * 7, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    plain = [(F.length("text") - F.length(F.translate("text", s, ""))).cast("double") for s in sets]
+    rows = df.select("text", scalars.sign_counts(F.col("text"), sets).alias("got"), F.when(F.col("text").isNotNull(), F.array(*plain, F.size(F.split("text", r"\s+")).cast("double"))).alias("want"))
+    assert rows.where("text IS NOT NULL").count() > 100 and rows.where("NOT got <=> want").isEmpty()
+    monkeypatch.setattr(queries, "materialize", lambda df, name: df)
+    joins, below = [], [queries._training(spark, sf_dir)._jdf.queryExecution().optimizedPlan()]
+    for plan in below:
+        below += [plan.children().apply(i) for i in range(plan.children().size())]
+        joins += [plan.output().toString()] * (plan.nodeName() == "Join")
+    assert joins and not any("text#" in output for output in joins)
