@@ -133,3 +133,15 @@ def test_residue_counts_make_no_row_for_each_letter(spark, sf_dir):
 
     df = __spark_entry__.queries()["f9_residue_counts"](spark, sf_dir)
     assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mixed_lengths_keep_the_widest_intervals(spark, sf_dir):
+    """Every interval around an order's place is there, those of 20,000 and 200,000 too."""
+    import __spark_entry__
+
+    got = {r["k"]: r["n"] for r in __spark_entry__.queries()["j7_mixed_lengths"](spark, sf_dir).groupBy((F.col("name") % 7).alias("k")).agg(F.count("*").alias("n")).collect()}
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 5).alias("key"), (F.col("o_totalprice") / 10).alias("pos"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 7 >= 5").select((F.col("p_partkey") % 7).alias("k"), (F.col("p_size") % 5).alias("key"), F.col("p_retailprice").alias("x"))
+    half = F.when(F.col("k") == 5, 10000.0).otherwise(100000.0)
+    want = {r["k"]: r["n"] for r in o.join(p, "key").where((F.col("pos") >= F.col("x") * 10 - half) & (F.col("pos") <= F.col("x") * 10 + half)).groupBy("k").agg(F.count("*").alias("n")).collect()}
+    assert want and {k: got.get(k) for k in want} == want
