@@ -145,3 +145,64 @@ def test_mixed_lengths_keep_the_widest_intervals(spark, sf_dir):
     half = F.when(F.col("k") == 5, 10000.0).otherwise(100000.0)
     want = {r["k"]: r["n"] for r in o.join(p, "key").where((F.col("pos") >= F.col("x") * 10 - half) & (F.col("pos") <= F.col("x") * 10 + half)).groupBy("k").agg(F.count("*").alias("n")).collect()}
     assert want and {k: got.get(k) for k in want} == want
+
+
+def test_search_scores_blocks_of_like_documents_only(tmp_path, monkeypatch):
+    """Queries of two languages at once: hits equal exhaustive scores, and tiles of the other language are never scored; many hits and few."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from regionfx.llm import search
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{x}{i}" for i in rng.integers(0, 60, 25)) + f" own{n}" for n, x in enumerate("ab" * 700)]
+    texts += ["a1 a2 a3 rare", "a1 a2 a3 rare"] + ["b5 b6 b7 seldom"] * 30 + [""]
+    content, words, df, n_words = search.build_shard(pa.array(range(len(texts))), pa.array(texts))
+    (tmp_path / "s.npz").write_bytes(content)
+    asked = [sorted(set(t.split())) for t in texts[:40] + texts[1400:1404]]
+    dictionary = pa.array(sorted({w for a in asked for w in a} | {"nowhere"}))
+    at = {w: i for i, w in enumerate(dictionary.to_pylist())}
+    count = dict(zip(words.to_pylist(), df.tolist(), strict=True))
+    idf = np.array([math.log(1 + (len(texts) - count.get(w, 0) + 0.5) / (count.get(w, 0) + 0.5)) for w in at])
+    mean = n_words / len(texts)
+    shard = search.Shard(fs.LocalFileSystem(), str(tmp_path / "s.npz"), mean, dictionary, idf)
+
+    def score(words, text):
+        tf = {w: text.split().count(w) for w in set(text.split())}
+        return sum(idf[at[w]] * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * sum(tf.values()) / mean)) for w in words if w in tf)
+
+    exact = [[score(a, t) for t in texts] for a in asked]
+    place = {int(d): i for i, d in enumerate(shard.doc_ids)}
+    scored = []
+
+    class Spy:
+        __array_ufunc__ = None
+
+        def __init__(self, weights):
+            self.weights = weights
+
+        def __rmatmul__(self, a):
+            scored.append(len(a))
+            return a @ self.weights
+
+    shard.tiles = [(has, Spy(weights)) for has, weights in shard.tiles]
+    ends = np.append(0, np.cumsum([len(a) for a in asked]))
+    rows = shard.row[[at[w] for a in asked for w in a]]
+    for least in (np.zeros(len(asked)), np.array([sorted(x)[-10] for x in exact])):
+        scored.clear()
+        query, docs, scores = shard.best(rows, ends, least, 10)
+        for q in range(len(asked)):
+            found = dict(zip(docs[query == q].tolist(), scores[query == q].tolist(), strict=True))
+            tenth = sorted(exact[q])[-10]
+            assert {place[i] for i, s in enumerate(exact[q]) if s > 0 and s >= tenth - 1e-9} <= found.keys()
+            assert all(abs(found[place[i]] - s) < 1e-9 for i, s in enumerate(exact[q]) if place[i] in found)
+    assert sum(scored) < 0.75 * len(asked) * len(shard.tiles)
+
+
+def test_searches_are_dealt_over_the_cores(spark):
+    from regionfx.llm import search
+
+    docs = spark.range(700).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7, F.lit(" x"), F.col("id")).alias("text"))
+    out = search.top_k(docs, docs.withColumnRenamed("doc_id", "query_id"), 3)
+    tasks = out.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == min(6, spark.sparkContext.defaultParallelism)
