@@ -25,6 +25,43 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+#: Rows of both sides that one tile of ``many_to_many`` has, about, and tiles that a task has.
+TILE_LEFT, TILE_RIGHT, TASK_TILES = 8192, 512, 8
+
+
+def spread_tiles(df: DataFrame, n_tiles: int, *keys: str) -> DataFrame:
+    """Rows of tiles dealt over tasks of a few tiles each, four tasks a core at least: columns of a task's pairs have few values, and files stay small."""
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-n_tiles // TASK_TILES)), *keys)
+
+
+def many_to_many(a: DataFrame, b: DataFrame, keys: list[tuple[str, str]], how: str = "inner") -> DataFrame:
+    """As ``equi_join`` (inner or left) for keys with many rows on both sides; columns of both sides have different names.
+
+    A key's pairs are cut into tiles of so many rows of either side, which are dealt over the tasks; a row is copied for each tile of its own, one for some
+    hundreds of pairs.  Each row of the left side meets the same few rows of the right side in the same order as the one before it, so that columnar files of
+    the pairs hold short patterns again and again, whatever the size of a key.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("tiles are for inner and left joins")
+    right = b.withColumnsRenamed({r: f"_r{i}" for i, (_, r) in enumerate(keys)})
+    rest, left_keys, right_keys = [c for c in right.columns if c in b.columns], [p for p, _ in keys], [f"_r{i}" for i in range(len(keys))]
+    equal = lambda x, y: reduce(lambda p, q: p & q, [F.col(c) == F.col(k) for c, k in zip(x, y, strict=True)])
+    tile_keys = [f"_k{i}" for i in range(len(keys))]
+    n_left = a.groupBy(*[F.col(c).alias(k) for c, k in zip(left_keys, tile_keys, strict=True)]).agg(F.ceil(F.count("*") / TILE_LEFT).alias("_nl"))
+    n_right = right.groupBy(*right_keys).agg(F.ceil(F.count("*") / TILE_RIGHT).alias("_nr"))
+    tiles = materialize(n_left.join(n_right, equal(tile_keys, right_keys)).select(*tile_keys, "_nl", "_nr"), "tiles")  # so that a small table's size is known to the joins
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    n_tiles = tiles.agg(F.sum(F.col("_nl") * F.col("_nr"))).first()[0] or 0
+    one = a.join(tiles, equal(left_keys, tile_keys)).withColumn("_pl", F.pmod(F.xxhash64(*a.columns), F.col("_nl"))).withColumn("_pr", all_("_nr")).select(*a.columns, "_pl", "_pr")
+    two = numbered(right, rest or right_keys, "_n", right_keys)  # tiles of the full size, as patterns of such a length are packed alike each time
+    two = two.join(tiles, equal(right_keys, tile_keys)).withColumn("_qr", F.floor((F.col("_n") - 1) / TILE_RIGHT)).withColumn("_ql", all_("_nl")).select(*right.columns, "_ql", "_qr")
+    out = spread_tiles(one, n_tiles, *left_keys, "_pl", "_pr").join(two.hint("merge"), equal([*left_keys, "_pl", "_pr"], [*right_keys, "_ql", "_qr"])).select(*a.columns, *rest)
+    if how == "inner":
+        return out
+    alone = a.join(tiles.select(*tile_keys), equal(left_keys, tile_keys), "left_anti")
+    return out.unionByName(alone, allowMissingColumns=True)
+
+
 def annotate_chain(base: DataFrame, dims: list[tuple[DataFrame, list[tuple[str, str]]]]) -> DataFrame:
     """Left joins one after the other; each dimension has one row per key."""
     for dim, keys in dims:

@@ -206,3 +206,35 @@ def test_searches_are_dealt_over_the_cores(spark):
     out = search.top_k(docs, docs.withColumnRenamed("doc_id", "query_id"), 3)
     tasks = out.select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks == min(6, spark.sparkContext.defaultParallelism)
+
+
+def test_tiles_of_a_join_of_many_to_many(spark, monkeypatch):
+    """Pairs equal those of a plain join: null keys, keys of one side only, copies of rows, two keys."""
+    import pytest
+
+    from regionfx.operators import joins
+
+    monkeypatch.setattr(joins, "TILE_LEFT", 16)
+    monkeypatch.setattr(joins, "TILE_RIGHT", 4)
+    a = spark.createDataFrame([(i, None if i % 11 == 0 else i % 4, i % 2) for i in range(200)] + [(1, 1, 1)] * 40, "id long, k int, m int")
+    b = spark.createDataFrame([(i, None if i % 7 == 0 else i % 5 + 1, i % 2) for i in range(60)] + [(5, 1, 1)] * 9, "ord long, bk int, bm int")
+    for how in ("inner", "left"):
+        for keys in ([("k", "bk")], [("k", "bk"), ("m", "bm")]):
+            got, want = (f(a, b, keys, how) for f in (joins.many_to_many, joins.equi_join))
+            assert got.columns == want.columns
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert joins.many_to_many(a, b.limit(0), [("k", "bk")], "left").count() == 240 and joins.many_to_many(a.limit(0), b, [("k", "bk")]).isEmpty()
+    with pytest.raises(ValueError):
+        joins.many_to_many(a, b, [("k", "bk")], "right")
+
+
+def test_site_annotation_takes_little_disk(spark, tmp_path):
+    """One nation with many customers and suppliers, whose keys are in no order: the pairs take less than a quarter of a byte each."""
+    import __spark_entry__
+
+    key = lambda n: F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * 4096 + F.col("id") % 4096
+    spark.range(2000).select(key(0).alias("c_custkey"), F.lit(3).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3000).select(key(1).alias("s_suppkey"), F.lit(3).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    __spark_entry__.queries()["j9_site_annotation"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1_500_000
