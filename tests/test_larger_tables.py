@@ -238,3 +238,17 @@ def test_site_annotation_takes_little_disk(spark, tmp_path):
     __spark_entry__.queries()["j9_site_annotation"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 6_000_000
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1_500_000
+
+
+def test_points_in_wide_regions_take_little_disk(spark, tmp_path):
+    """All points are in all regions, whose names are in no order: the pairs take less than a quarter of a byte each, and the work is dealt over tasks."""
+    from regionfx.operators import joins
+
+    name = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(1 << 30)) * 4096 + F.col("id") % 4096
+    points = spark.range(2000).select(name(0).alias("id"), F.floor(F.col("id") / 1e6).alias("key"), (F.col("id") / 7).alias("pos"))
+    regions = spark.range(4000).select(name(1).alias("name"), F.floor(F.col("id") / 1e6).alias("key"), (-1 - F.col("id") / 3).alias("lo"), (1000 + F.col("id") / 5).alias("hi"))
+    joins.point_in_region(points, regions, "key", "pos", "lo", "hi", bin_width="levels").select("id", "name").write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 8_000_000
+    files = [f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")]
+    assert sum(files) < 2_000_000 and len(files) > 1
